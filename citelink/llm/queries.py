@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from citelink.llm import line_dedup, near_dup
+from citelink.llm import line_dedup, mixing, near_dup
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op3_near_dup": near_dup.op3_near_dup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
