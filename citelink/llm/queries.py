@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from citelink.llm import line_dedup, mixing, near_dup
+from citelink.llm import lang_id, line_dedup, mixing, near_dup
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_near_dup": near_dup.op3_near_dup,
+    "op7_lang_id": lang_id.op7_lang_id,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL = {
