@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from citelink.llm import lang_id, line_dedup, mixing, near_dup
+from citelink.llm import html_text, lang_id, line_dedup, mixing, near_dup
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_mixing": mixing.op2_mixing,
     "op3_near_dup": near_dup.op3_near_dup,
     "op7_lang_id": lang_id.op7_lang_id,
