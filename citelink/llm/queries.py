@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citelink.llm import fingerprint, html_text, lang_id, line_dedup, mixing, near_dup
+from citelink.llm import fingerprint, html_text, lang_id, line_dedup, mixing, near_dup, pieces
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_dup": near_dup.op3_near_dup,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_lang_id": lang_id.op7_lang_id,
+    "op9_pieces": pieces.op9_pieces,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL = {
