@@ -16,8 +16,8 @@ WORDS = 5
 PERCENT = 85
 #: Bands and rows: a pair at 0.85 shares no bucket with probability (1 - 0.85**5)**24 < 1e-6.
 BANDS, ROWS = 24, 5
-#: Each round after the first tries so many times as many hubs of a bucket that still spans several components.
-HUB_GROWTH = 8
+#: Documents of a tile: a larger bucket that still spans several components is compared in pairs of tiles.
+TILE = 512
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -162,54 +162,133 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     return links
 
 
+def _short_sets(words: int):
+    """Shingle sets by 32 bits of each hash, sorted: half as long, and confirmed later where they say that a pair links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n, data, offsets in text_chunks(batch.column(1)):
+                short = [np.unique(s.astype(np.uint32)).tobytes() for s in shingle_sets(data, offsets, words)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(short, pa.binary())], ["doc_id", "shingles"])
+
+    return run
+
+
+def _across(percent: int):
+    """Of rows sorted by bucket and pair of tiles: a forest of links between documents of different components."""
+
+    def forest(left: list, right: list | None) -> list[tuple[int, int]]:
+        rows = left + (right or [])
+        sets = [np.frombuffer(r[2], np.uint32) for r in rows]
+        sizes = np.array([len(x) for x in sets])
+        at = np.cumsum(sizes) - sizes
+        flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        marks = np.zeros(int(flat.max()) + 1, np.uint8)
+        labels = np.array([r[1] for r in rows], np.int64)
+        side = np.arange(len(rows)) >= len(left)
+        names, many = np.unique(labels, return_counts=True)
+        common = names[many.argmax()]  # pairs with the commonest component are found from the other end
+        root: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while root.get(v, v) != v:
+                root[v] = v = root.get(root[v], root[v])
+            return v
+
+        out = []
+        for i in np.flatnonzero(labels != common).tolist():
+            own = flat[at[i] : at[i] + sizes[i]]
+            marks[own] = 1
+            both = np.add.reduceat(marks[flat], at, dtype=np.int64)
+            marks[own] = 0
+            hit = (100 * both >= percent * (sizes + sizes[i] - both)) & (labels != labels[i])
+            if right is not None:
+                hit &= side != side[i]
+            for j in np.flatnonzero(hit).tolist():
+                p, q = find(int(labels[i])), find(int(labels[j]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((rows[i][0], rows[j][0]))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, ([], [])
+
+        def done() -> pa.RecordBatch:
+            left, right = sides
+            if now[1] == now[2]:
+                pairs = forest(left + right, None)
+            else:
+                pairs = forest(left, right) if left and right else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for bucket, s, t, side, doc, label, shingles in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (bucket, s, t) != now:
+                    if now is not None:
+                        yield done()
+                    now, sides = (bucket, s, t), ([], [])
+                sides[side].append((doc, label, shingles))
+        if now is not None:
+            yield done()
+
+    return run
+
+
+def _beyond_stars(shared: DataFrame, found: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that the stars missed: pairs (a, b) of different components in one bucket, found on whole sets.
+
+    Only buckets of three or more that still hold several components come here. They are dealt over pairs of tiles
+    and compared inside, so what leaves a tile is a forest, never its pairs.
+    """
+    labelled = shared.where("size > 2").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "size", "doc_id", F.coalesce("root", "doc_id").alias("label"))
+    labelled = written(labelled, "labelled")
+    split = written(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "split")
+    open_ = written(labelled.join(split, "bucket", "left_semi"), "open")
+    ids = written(open_.select("doc_id").distinct(), "ids")
+    sets = written(only_ids(docs, ids, "doc_id").mapInArrow(_short_sets(words), "doc_id bigint, shingles binary"), "short_sets")
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    placed = open_.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("s"), F.greatest(t, "tile").alias("t")))
+    side = F.when(F.col("tile") == F.col("p.t"), F.lit(1)).otherwise(0).alias("side")
+    dealt = placed.withColumn("p", F.explode(pairs)).select("bucket", "p.s", "p.t", side, "doc_id", "label").join(sets, "doc_id")
+    dealt = dealt.select("bucket", "s", "t", "side", "doc_id", "label", "shingles").repartition("bucket", "s", "t").sortWithinPartitions("bucket", "s", "t")
+    out = written(dealt.mapInArrow(_across(percent), "a bigint, b bigint"), "beyond")
+    for table in (labelled, split, open_, ids, sets):
+        dropped_table(table)
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): groups of documents linked directly or through others.
 
     Documents whose shingle sets are equal are one class from the start, so copies meet in one aggregate and only
-    the class's least doc_id is compared. Within a bucket one hub, the member of least hash, is paired with
-    the rest: a star, not all pairs. Buckets that then still hold several components are gone over again with 8, 64, ...
-    hubs until every pair that spans components has been tried, so no candidate is dropped. Each pair is
+    the class's least doc_id is compared. Within a bucket one hub, the member that shares most buckets with others, is
+    paired with the rest: a star, not all pairs. Buckets that then still hold several components are gone over
+    in tiles for links between those, so no candidate is dropped. Every link is
     confirmed on its full sets. A null or wordless text has no shingles and links with nothing. Rows that
     repeat a doc_id each have a row in the result, and what any of them links with, all of them do.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     sketch = written(docs.mapInArrow(_sketch(words, bands, rows), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, bands array<bigint>"), "sketch")
     own = ["n_shingles", "s0", "s1"]
-    classes = sketch.where("n_shingles > 0").groupBy(*own).agg(F.min("doc_id").alias("rep"))
+    classes = sketch.where("n_shingles > 0").groupBy(*own).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
+    classes = written(classes.drop("copies"), "classes")
     members = written(sketch.select("doc_id", *own).join(classes, own, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     reps = members.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct()
-    banded = sketch.join(reps, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("h"), "doc_id", "n")).alias("hub")).where("size > 1")
-    buckets = written(buckets.select("bucket", "size", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")), "buckets")
-    shared = written(banded.join(buckets, "bucket").select("bucket", "size", "doc_id", "n", "hub", "hub_n"), "shared")
-
-    def near(m: str, n: str) -> str:
-        return f"100 * least({m}, {n}) >= {percent} * greatest({m}, {n})"
-
-    links = _verified(shared.where(f"hub <> doc_id and {near('n', 'hub_n')}").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), docs, words, percent)
-    found, done, hubs = components(links), 1, HUB_GROWTH
-    open_ = shared.where("size > 2").select("bucket", "size", "doc_id", "n")
-    while True:
-        labelled = open_.join(found, open_["doc_id"] == found["id"], "left").select("bucket", "size", "doc_id", "n", F.coalesce("root", "doc_id").alias("label"))
-        labelled = written(labelled, "labelled")
-        split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("size").alias("most")).where(f"lo < hi and most > {done}").select("bucket")
-        open_ = written(labelled.join(split, "bucket", "left_semi"), "open")
-        dropped_table(labelled)
-        if open_.isEmpty():
-            break
-        # a member's place in its bucket's random order, as a share of the bucket; the least was the first hub
-        place = F.shiftrightunsigned(F.xxhash64("doc_id", "bucket"), 1) / F.lit(float(1 << 63))
-        placed = open_.withColumn("place", place)
-        chosen = placed.where(F.col("place") < F.lit(float(done + hubs)) / F.col("size"))
-        if done > 1:
-            chosen = chosen.where(F.col("place") >= F.lit(float(done)) / F.col("size"))
-        other = placed.select("bucket", *(F.col(c).alias(f"o_{c}") for c in ("doc_id", "n", "label", "place")))
-        tried = chosen.join(other, "bucket").where(f"label <> o_label and {near('n', 'o_n')} and place < o_place")
-        more = _verified(tried.select(F.col("doc_id").alias("a"), F.col("o_doc_id").alias("b")), docs, words, percent)
-        done, hubs = done + hubs, hubs * HUB_GROWTH
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
+    banded = written(sketch.join(reps, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "banded")
+    buckets = written(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    shared = written(banded.join(buckets, "bucket").select("bucket", "size", "doc_id", "n"), "shared")
+    dropped_table(banded)
+    # the text that others were made from shares most buckets with them, so it is the best hub
+    load = written(shared.groupBy("doc_id").agg(F.sum("size").alias("load")), "load")
+    hub = F.max(F.struct("load", F.xxhash64("doc_id", "bucket").alias("h"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")))
+    hubs = written(shared.join(load, "doc_id").groupBy("bucket").agg(hub.alias("hub")).select("bucket", "hub.hub", "hub.hub_n"), "hubs")
+    star = shared.join(hubs, "bucket").where(f"hub <> doc_id and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
+    links = _verified(star.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), docs, words, percent)
+    beyond = _beyond_stars(shared, components(links), docs, words, percent)
+    more = _verified(beyond, docs, words, percent)
+    found = components(links.unionByName(more))
     rep = members.join(found.select(F.col("id").alias("rep"), "root"), "rep", "left")
     return rep.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
