@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from citelink.llm import embed_dup, fingerprint, html_text, lang_id, line_dedup, mixing, near_dup, pieces
+from citelink.llm import embed_dup, fingerprint, html_text, lang_id, line_dedup, mixing, near_dup, pieces, pii
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
     "op2_mixing": mixing.op2_mixing,
     "op3_near_dup": near_dup.op3_near_dup,
     "op4_embed_dup": embed_dup.op4_embed_dup,
+    "op5_pii": pii.op5_pii,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_lang_id": lang_id.op7_lang_id,
     "op9_pieces": pieces.op9_pieces,
