@@ -289,28 +289,32 @@ def digests(docs: DataFrame, model_path: str = MODEL_PATH, key: str = "doc_id",
     return rows.mapInArrow(_run(shared, sharpness, seed, True), ", ".join([*fields, "n_pieces bigint, pieces_sha256 string, decoded_sha256 string, lossless boolean"]))
 
 
-def _decoded(shared):
+def _decoded(shared, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(shared.value)
         for batch in batches:
             names = batch.schema.names
-            lists = batch.column(names.index("pieces"))
-            texts = []
-            for x in lists:
-                texts.append(None if not x.is_valid else pieces.decode(x.values.to_numpy().astype(np.int64), np.array([0, len(x.values)]))[0].decode())
-            kept = [n for n in names if n != "pieces"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in kept), pa.array(texts, pa.string())], [*kept, "text"])
+            own = [n for n in names if keep or n != "pieces"]
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                lists = part.column(names.index("pieces"))
+                ids = lists.flatten().to_numpy().astype(np.int64)
+                sizes = lists.value_lengths().fill_null(0).to_numpy()
+                texts = pieces.decode(ids, np.concatenate([[0], np.cumsum(sizes)]))
+                back = [t.decode("utf-8", "surrogatepass") if ok else None for t, ok in zip(texts, lists.is_valid().to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(names.index(n)) for n in own), pa.array(back, pa.string())], [*own, "text"])
 
     return run
 
 
-def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
-    """The rows of ``encode`` with ``text`` in place of ``pieces``."""
+def decode(encoded: DataFrame, model_path: str = MODEL_PATH, keep: bool = False) -> DataFrame:
+    """The rows of ``encode`` with ``text``, the text that the pieces stand for; ``pieces`` stays if ``keep``. Null pieces give a null text."""
     with open(model_path, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
-    kept = [c for c in encoded.columns if c not in ("pieces", "text")]
+    kept = [c for c in encoded.columns if c != "text" and (keep or c != "pieces")]
     fields = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept]
-    return encoded.select(*(f"`{c}`" for c in kept), "pieces").mapInArrow(_decoded(shared), ", ".join([*fields, "text string"]))
+    rows = encoded.select(*(f"`{c}`" for c in kept), *([] if keep else ["pieces"]))
+    return rows.mapInArrow(_decoded(shared, keep), ", ".join([*fields, "text string"]))
 
 
 def op9_pieces(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citelink.llm import embed_dup, fingerprint, html_text, lang_id, line_dedup, mixing, near_dup, pieces, pii
+from citelink.llm import embed_dup, fingerprint, html_text, lang_id, line_dedup, mixing, near_dup, pieces, pii, suffix_dedup
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_lang_id": lang_id.op7_lang_id,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_pieces": pieces.op9_pieces,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
