@@ -1,22 +1,67 @@
-"""A corpus pipeline of five stages, each on all that the stage before it kept."""
+"""A corpus pipeline of five stages, each on all that the stage before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, so that stages
+can be left out or put in another order. Empty tables, null columns, empty and very long texts and repeated
+rows pass as each operator defines; columns beyond those of documents are carried along unchanged.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citelink.llm import line_dedup
+from citelink.llm import lang_id, line_dedup, mixing, near_dup, pieces
 from citelink.llm.common import read_table, written
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines leave the texts; a document that loses all of its text leaves the corpus."""
-    columns = docs.columns
-    kept = line_dedup.dedup_lines(docs).where("not (_n_dropped > 0 and text = '')")
-    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*columns)
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null texts and texts without a letter) go; the others stay as they are."""
+    scored = lang_id.predict(docs, lang_id.fit_on_documents(docs))
+    return scored.where(F.col("lang_pred") != lang_id.UNKNOWN).select(*docs.columns)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share leave the texts; a document that loses its whole text leaves the corpus."""
+    kept = line_dedup.dedup_lines(docs).where("_n_dropped = 0 or text <> ''")
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of least doc_id stays. Rows that share that doc_id are one document and stay."""
+    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many words of each document as the mix takes: a row for each whole time, and one for the first words of a last part.
+
+    A document that the mix doesn't take leaves. Documents are told apart by doc_id; without one a row isn't taken.
+    """
+    takes = mixing.mix(docs.where("doc_id is not null")).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).where("_taken > 0")
+    both = docs.join(takes.hint("shuffle_hash"), "doc_id")
+    size = mixing.word_count(F.col("text"))
+    rest = F.expr("_taken % _size")
+    pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), rest.cast("string"), F.lit("}+"))
+    head = F.call_function("regexp_extract", F.col("text"), pattern, F.lit(0))
+    whole = F.array_repeat(F.col("text"), F.expr("int(_taken div _size)"))
+    texts = F.when(rest > 0, F.concat(whole, F.array(head))).otherwise(whole)
+    taken = both.where(size > 0).withColumn("text", F.explode(texts))
+    return taken.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def encoded_and_decoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each text's sampled pieces and their number; the text is what the pieces decode to, which is the text itself."""
+    back = pieces.decode(pieces.encode(docs), keep=True)
+    return back.withColumn("n_pieces", F.coalesce(F.size("pieces"), F.lit(0)).cast("bigint")).select(*docs.columns, "pieces", "n_pieces")
 
 
-STAGES = [("line_dedup", drop_repeated_lines)]
+STAGES = [
+    ("language_id", known_languages),
+    ("line_dedup", without_repeated_lines),
+    ("near_dedup", one_of_each_group),
+    ("mixing", mixed_to_weights),
+    ("pieces", encoded_and_decoded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +73,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: No SQL here expresses sampled segmentations; tests compare the stages with plain versions.
 ORACLE_SQL = None
