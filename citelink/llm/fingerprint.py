@@ -109,9 +109,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     doc_id stay rows; as somebody's next document the one with the least text counts. Without a doc_id a row has no
     next document: its edited text is its own and next_fp is null.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    full = docs.withColumn("fp", fingerprint(F.col("text")))
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("need"), F.count("*").alias("copies"))
+    every = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("fp", fingerprint(F.col("text")))
+    # both joins below read the same rows by the same key, so that texts are shuffled once
+    full = every.where("doc_id is not null")
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length(F.coalesce("text", F.lit("")))).alias("need"), F.count("*").alias("copies"))
     order = written(next_ids(ids), "next")
     to_next = order.select(F.col("doc_id").alias("prev_id"), F.col("next_id").alias("doc_id"), F.expr("need div 4").alias("need"))
     sent = full.join(to_next, "doc_id").select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, int(need))").alias("head"), F.col("fp").alias("next_fp"), F.col("text").alias("_by"))
@@ -119,7 +120,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         sent = sent.drop("_by")
     else:
         sent = sent.groupBy("doc_id").agg(F.min(F.struct("_by", "head", "next_fp")).alias("m")).select("doc_id", "m.head", "m.next_fp")
-    both = full.join(sent, "doc_id", "left").withColumn("n_chars", F.length("text").cast("bigint"))
+    lone = every.where("doc_id is null").withColumn("head", F.lit(None).cast("string")).withColumn("next_fp", F.lit(None).cast("array<bigint>"))
+    both = full.join(sent, "doc_id", "left").unionByName(lone).withColumn("n_chars", F.length("text").cast("bigint"))
     cut = F.expr("int(n_chars div 4)")
     edited = F.when(F.col("head").isNull(), F.col("text")).otherwise(F.concat(F.expr("substring(text, 1, int(n_chars - n_chars div 4))"), F.substring("head", F.lit(1), cut)))
     return both.withColumn("edited", edited).select("doc_id", "n_chars", "edited", "fp", fingerprint(F.col("edited")).alias("edited_fp"), "next_fp")
