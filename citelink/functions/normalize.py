@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # DOI strings that stand for a missing DOI.
 DOI_PLACEHOLDERS = ("null", "none", "nan", "n/a", "na", "unknown", "undefined", "-", "--", "?")
@@ -26,13 +27,13 @@ EXTRA_SOURCES = {"cs": ("DBLP", "Semantic Scholar"), "biomedical": ("PubMed", "S
 _WORD = r"[\p{L}\p{N}_]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition; text of ASCII only passes as it is."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKD", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(texts: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks, so that accents don't keep equal titles apart."""
     return texts.map(lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))

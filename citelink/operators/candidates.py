@@ -118,9 +118,10 @@ def postings(works: DataFrame) -> DataFrame:
     """(source, fields, token, work_key): each word of a work once, of its title and of title and authors, in each of its sources."""
     title = F.array_distinct(_words(F.col("norm_title")))
     both = F.array_distinct(F.concat(title, _words(normalize_text(F.array_join("authors", " ")))))
-    kinds = F.array(F.struct(F.lit("title").alias("fields"), title.alias("tokens")), F.struct(F.lit("both").alias("fields"), both.alias("tokens")))
-    flat = works.select("work_key", F.explode("sources").alias("source"), kinds.alias("kinds")).select("work_key", "source", F.explode("kinds").alias("k"))
-    return flat.select("source", "k.fields", F.explode("k.tokens").alias("token"), "work_key")
+    flat = works.select("work_key", F.explode("sources").alias("source"), title.alias("title"), both.alias("both"))
+    kinds = flat.withColumn("fields", F.explode(F.array(F.lit("title"), F.lit("both"))))
+    tokens = F.when(F.col("fields") == "title", F.col("title")).otherwise(F.col("both"))
+    return kinds.select("source", "fields", F.explode(tokens).alias("token"), "work_key")
 
 
 def search_topk(queries: DataFrame, works: DataFrame, caps: dict[int, int] | None = None, most_common: int = MOST_COMMON) -> DataFrame:
