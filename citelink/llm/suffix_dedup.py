@@ -20,7 +20,9 @@ from citelink.llm.common import dropped_table, mixed, text_chunks, written
 
 LENGTH, GRAM = 50, 16
 #: Text bytes whose samples share a shard, and samples that are sorted at a time.
-SHARD_BYTES, RUN = 32 << 20, 1 << 16
+SHARD_BYTES, RUN = 8 << 20, 1 << 16
+#: Text bytes that a task samples before it sends them on.
+SEND_BYTES = 8 << 20
 #: Low bits of a sample's rank that hold its place; longer texts are read in overlapping parts.
 PLACE_BITS = 24
 PART_BYTES = 4 << 20
@@ -122,28 +124,34 @@ def _shared_by(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _sampled(shards: int):
     """Of each batch of (key, text): by shard the samples' hashes; what two texts of the batch share is known at once and sent but once."""
 
+    def sent(got: list) -> pa.RecordBatch:
+        h, key, many = _shared_by(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        shard, out = [], []
+        first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else many
+        to = (h[first] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+        for s, at in _by(to.astype(np.int32)):
+            shard.append(s)
+            out.append(_packed(h[first][at], key[first][at], many[first][at]))
+        known = np.flatnonzero(many)
+        direct, hashes = [], []
+        for k, at in _by(key[known]):
+            direct.append(k)
+            hashes.append(h[known[at]].tobytes())
+        return _rows([*shard, *(np.abs(np.array(direct, np.int64)) % shards).tolist()], [*([None] * len(shard)), *direct], [*out, *hashes])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, held = [], 0
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            got = []
             for at, _, data, offsets in text_chunks(batch.column(1)):
                 row, _, _, _, h = samples(data, offsets)
                 got.append((h, keys[at + row]))
-            if not got:
-                continue
-            h, key, many = _shared_by(*(np.concatenate(x) for x in zip(*got, strict=True)))
-            shard, out = [], []
-            first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else many
-            to = (h[first] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-            for s, at in _by(to.astype(np.int32)):
-                shard.append(s)
-                out.append(_packed(h[first][at], key[first][at], many[first][at]))
-            known = np.flatnonzero(many)
-            direct, hashes = [], []
-            for k, at in _by(key[known]):
-                direct.append(k)
-                hashes.append(h[known[at]].tobytes())
-            yield _rows([*shard, *(np.abs(np.array(direct, np.int64)) % shards).tolist()], [*([None] * len(shard)), *direct], [*out, *hashes])
+                held += len(data)
+                if held >= SEND_BYTES:
+                    yield sent(got)
+                    got, held = [], 0
+        if got:
+            yield sent(got)
 
     return run
 
@@ -186,11 +194,33 @@ _KINDS = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8
 def _contexts(shards: int):
     """Of each text with its shared samples: by shard the bytes that each of these decides on."""
 
+    def sent(got: list) -> pa.RecordBatch:
+        h, whole, doc, key, first, more, place, size, text = (np.concatenate(x) for x in zip(*got, strict=True))
+        # equal contexts: those of later documents go, the first document's stand for all
+        order = np.lexsort((doc, whole))
+        head = np.concatenate([[True], whole[order][1:] != whole[order][:-1]]) if len(order) else np.zeros(0, bool)
+        least = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        late = np.zeros(len(order), bool)
+        late[order] = doc[order] > least
+        start = np.cumsum(size) - size
+        gone = np.flatnonzero(late)
+        spans = [(k, _runs(first[gone[at]], first[gone[at]] + more[gone[at]] + LENGTH)) for k, at in _by(key[gone])]
+        stay = np.flatnonzero(~late)
+        to = ((h[stay] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+        shard, out = [], []
+        for s, at in _by(to):
+            at = stay[at]
+            n = size[at]
+            begin = np.cumsum(n) - n
+            shard.append(s)
+            out.append(_packed(h[at], whole[at], doc[at], key[at], first[at], more[at], place[at], text[np.repeat(start[at] - begin, n) + np.arange(int(n.sum()))]))
+        return _rows([*shard, *(abs(k) % shards for k, _ in spans)], [*([None] * len(shard)), *(k for k, _ in spans)], [*out, *(b for _, b in spans)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, held = [], 0
         for batch in batches:
             keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(3)
-            got, spans = [], []
             for at, n, data, offsets in text_chunks(batch.column(2)):
                 row, place, first, last, h = samples(data, offsets)
                 known = [np.frombuffer(b"".join(lists[at + r].as_py()), np.uint64) for r in range(n)]
@@ -200,33 +230,17 @@ def _contexts(shards: int):
                 row, place, first, last, h = row[keep], place[keep], first[keep], last[keep], h[keep]
                 size = last - first + LENGTH
                 start = np.cumsum(size) - size
-                text = data[np.repeat(first - start, size) + np.arange(int(size.sum()))]
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(text.astype(np.uint64) + (np.arange(len(text)) - np.repeat(start, size)).astype(np.uint64) * np.uint64(256) + np.uint64(1)), dtype=np.uint64)])
+                step = np.arange(int(size.sum())) - np.repeat(start, size)
+                text = data[np.repeat(first, size) + step]
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(text.astype(np.uint64) + step.astype(np.uint64) * np.uint64(256) + np.uint64(1)), dtype=np.uint64)])
                 whole = mixed(sums[start + size] - sums[start] + h + (place - first).astype(np.uint64) * _A)
                 got.append((h, whole, docs[at + row], keys[at + row], first - offsets[row], (last - first).astype(np.uint8), (place - first).astype(np.uint8), size, text))
-            if not got:
-                continue
-            h, whole, doc, key, first, more, place, size, text = (np.concatenate(x) for x in zip(*got, strict=True))
-            # equal contexts of the batch: those of later documents go, the first document's stand for all
-            order = np.lexsort((doc, whole))
-            head = np.concatenate([[True], whole[order][1:] != whole[order][:-1]]) if len(order) else np.zeros(0, bool)
-            least = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-            late = np.zeros(len(order), bool)
-            late[order] = doc[order] > least
-            start = np.cumsum(size) - size
-            for k, at in _by(key[late]):
-                at = np.flatnonzero(late)[at]
-                spans.append((k, _runs(first[at], first[at] + more[at] + LENGTH)))
-            stay = np.flatnonzero(~late)
-            to = ((h[stay] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
-            shard, out = [], []
-            for s, at in _by(to):
-                at = stay[at]
-                n = size[at]
-                begin = np.cumsum(n) - n
-                shard.append(s)
-                out.append(_packed(h[at], whole[at], doc[at], key[at], first[at], more[at], place[at], text[np.repeat(start[at] - begin, n) + np.arange(int(n.sum()))]))
-            yield _rows([*shard, *(abs(k) % shards for k, _ in spans)], [*([None] * len(shard)), *(k for k, _ in spans)], [*out, *(b for _, b in spans)])
+                held += len(text)
+                if held >= SEND_BYTES:
+                    yield sent(got)
+                    got, held = [], 0
+        if got:
+            yield sent(got)
 
     return run
 
