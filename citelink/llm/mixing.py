@@ -64,12 +64,25 @@ def sainte_lague(votes: DataFrame, group: list[str], party: list[str], vote: str
     parties can hold. Ties go to the party first in order.
     """
     whole = Window.partitionBy(*group)
-    n, all_votes = F.count("*").over(whole).cast("double"), F.sum(vote).over(whole).cast("double")
-    v, h = F.col(vote).cast("double"), F.col(seats).cast("double")
-    sure = F.greatest(F.lit(0), F.least(F.col(most), F.floor(v * (h - n / 2) / all_votes - 0.5) - 1)).cast("bigint")
-    listed = votes.withColumn("_sure", F.when(all_votes > 0, sure).otherwise(F.lit(0).cast("bigint"))).withColumn("_rest", F.col(seats) - F.sum("_sure").over(whole))
-    upper = F.least(F.col(most), F.when(all_votes > 0, F.ceil(v * (h + n / 2) / all_votes + 0.5) + 1).otherwise(F.lit(0))).cast("bigint")
-    listed = listed.withColumn("_upper", upper)
+    v, h, cap = F.col(vote).cast("double"), F.col(seats).cast("double"), F.col(most).cast("double")
+    by_ratio = Window.partitionBy(*group).orderBy(F.try_divide(cap, v).asc_nulls_last(), *(F.col(p).asc_nulls_last() for p in party))
+    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
+    full = F.coalesce(F.sum(F.when(v > 0, cap)).over(before), F.lit(0.0))
+    open_votes = F.sum(v).over(whole) - F.coalesce(F.sum(v).over(before), F.lit(0.0))
+    n = F.count("*").over(whole).cast("double")
+
+    def per_vote(total: Column) -> Column:
+        """Seats per vote at which all parties, each up to its cap, hold ``total``; null if they cannot."""
+        own = F.when((v > 0) & ((total - full) * v <= cap * open_votes), F.try_divide(total - full, open_votes))
+        return F.first(own, ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+    # rounding moves each party by half a seat at most, so the true divisor lies between those of n / 2 seats less and more
+    listed = votes.withColumns({"_low": per_vote(h - n / 2), "_high": per_vote(h + n / 2)})
+    sure = F.greatest(F.lit(0), F.least(F.col(most), F.floor(v * F.col("_low") - 0.5) - 1)).cast("bigint")
+    upper = F.least(F.col(most), F.coalesce(F.ceil(v * F.col("_high") + 0.5) + 1, F.col(most))).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    listed = listed.withColumns({"_sure": F.when(v > 0, F.coalesce(sure, F.col(most))).otherwise(zero), "_upper": F.when(v > 0, upper).otherwise(zero)})
+    listed = listed.withColumn("_rest", F.col(seats) - F.sum("_sure").over(whole))
     turns = F.when(F.col("_upper") > F.col("_sure"), F.sequence(F.col("_sure"), F.col("_upper") - 1)).otherwise(F.array().cast("array<bigint>"))
     offers = listed.where("_upper > _sure").withColumn("_turn", F.explode(turns)).withColumn("_quotient", v / (2 * F.col("_turn") + 1))
     by_offer = Window.partitionBy(*group).orderBy(F.desc("_quotient"), *(F.col(p).asc_nulls_last() for p in party), "_turn")
@@ -80,7 +93,7 @@ def sainte_lague(votes: DataFrame, group: list[str], party: list[str], vote: str
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return listed.join(renamed, same, "left").withColumn("won", F.col("_sure") + F.coalesce("_extra", F.lit(0))).drop("_sure", "_rest", "_upper", "_extra", *(f"_k_{k}" for k in keys))
+    return listed.join(renamed, same, "left").withColumn("won", F.col("_sure") + F.coalesce("_extra", F.lit(0))).drop("_sure", "_rest", "_upper", "_low", "_high", "_extra", *(f"_k_{k}" for k in keys))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST_REPEATS, block: int = BLOCK_WORDS, shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
