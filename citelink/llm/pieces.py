@@ -12,14 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import mixed
+from citelink.llm.common import mixed, text_chunks, with_fields
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 29
 #: Sharpness of the sampling: 1 takes the pieces' weights as they are, larger values come closer to the best segmentation.
 SHARPNESS = 1.0
 #: Characters whose distinct units share one pass.
-PASS_CHARS = 2 << 20
+PASS_CHARS = 3 << 18
 _BYTE_BASE = 1 << 24
 _TURN = 0x9E3779B97F4A7C15
 #: Added to a weight for each character covered: the same on every path, it only keeps sums near 1.
@@ -64,18 +64,24 @@ class Pieces:
             for k in range(1, len(p)):
                 prefixes.setdefault(p[:k], (-1, 0.0))
             prefixes[p] = hit
-        self.bits = max(4, (len(prefixes) * 8).bit_length())
+        self.bits = max(4, (len(prefixes) * 4).bit_length())
         self.key = np.zeros(1 << self.bits, np.uint64)
-        self.hit, self.weight = np.full(1 << self.bits, -2, np.int64), np.zeros(1 << self.bits)
-        mask = (1 << 64) - 1
-        for p, (i, w) in prefixes.items():
+        self.hit, self.weight = np.full(1 << self.bits, -2, np.int32), np.zeros(1 << self.bits)
+        mask, hashes = (1 << 64) - 1, []
+        for p in prefixes:
             h = 0
             for c in p:
                 h = (h * _TURN + ord(c) + 1) & mask
-            at = int(mixed(np.array([h], np.uint64))[0]) >> (64 - self.bits)
-            while self.hit[at] != -2:
+            hashes.append(h)
+        keys = np.array(hashes, np.uint64)
+        taken = bytearray(1 << self.bits)
+        places = []
+        for at in (mixed(keys) >> np.uint64(64 - self.bits)).tolist():
+            while taken[at]:
                 at = (at + 1) & ((1 << self.bits) - 1)
-            self.key[at], self.hit[at], self.weight[at] = h, i, w
+            taken[at] = 1
+            places.append(at)
+        self.key[places], self.hit[places], self.weight[places] = keys, [i for i, _ in prefixes.values()], [w for _, w in prefixes.values()]
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Table slots of rolling hashes; -1 where no piece begins so."""
@@ -99,10 +105,10 @@ class Pieces:
         size = np.array([len(u) for u in units], np.int64)
         chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         n, first = len(chars), np.cumsum(size) - size
-        local = np.arange(n) - np.repeat(first, size)
-        left = np.repeat(size, size) - local
+        local = (np.arange(n) - np.repeat(first, size)).astype(np.int32)
+        left = np.repeat(size, size).astype(np.int32) - local
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        start, h, width = np.arange(n), np.zeros(n, np.uint64), 0
+        start, h, width = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64), 0
         plain = np.zeros(n, bool)
         while len(start):
             width += 1
@@ -114,9 +120,9 @@ class Pieces:
             real = piece >= 0
             if width == 1:
                 plain[start[real]] = True
-                odd = np.flatnonzero(~plain)
+                odd = np.flatnonzero(~plain).astype(np.int32)
                 wide = 1 + (chars[odd] > 0x7F) + (chars[odd] > 0x7FF) + (chars[odd] > 0xFFFF)
-                ends, ids, weight = np.concatenate([start[real], odd]), np.concatenate([piece[real], _BYTE_BASE + chars[odd].astype(np.int64)]), np.concatenate([self.weight[at[real]], self.byte_weight * wide])
+                ends, ids, weight = np.concatenate([start[real], odd]), np.concatenate([piece[real], _BYTE_BASE + chars[odd].astype(np.int32)]), np.concatenate([self.weight[at[real]], self.byte_weight * wide])
             else:
                 ends, ids, weight = start[real] + width - 1, piece[real], self.weight[at[real]]
             found.append((ends, ids, np.exp(weight + _PER_CHAR * width)))
@@ -127,9 +133,9 @@ class Pieces:
             count[ends] += 1
         edge = np.cumsum(count) - count
         total = int(count.sum())
-        filled, value, covers, pieces = np.zeros(n, np.int64), np.zeros(total), np.zeros(total, np.int64), np.zeros(total, np.int64)
+        filled, value, covers, pieces = np.zeros(n, np.int32), np.zeros(total), np.zeros(total, np.int32), np.zeros(total, np.int32)
         for width in range(len(found), 0, -1):  # long pieces first, as samples mostly take them
-            ends, ids, weight = found[width - 1]
+            ends, ids, weight = found.pop()
             slot = edge[ends] + filled[ends]
             filled[ends] += 1
             value[slot], covers[slot], pieces[slot] = weight, width, ids
@@ -223,28 +229,30 @@ class Pieces:
         return [data[a + 1 : b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about PASS_CHARS characters."""
-    at, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= PASS_CHARS:
-            yield at, i + 1
-            at, held = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+_known: dict[tuple[int, float], Pieces] = {}
+
+
+def _pieces(proto: bytes, sharpness: float = SHARPNESS) -> Pieces:
+    """The vocabulary, read once in each Python worker."""
+    key = (hash(proto), sharpness)
+    if key not in _known:
+        _known.clear()
+        _known[key] = Pieces(proto, sharpness)
+    return _known[key]
 
 
 def _run(shared, sharpness: float, seed: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(shared.value, sharpness)
+        pieces = _pieces(shared.value, sharpness)
         for batch in batches:
             names = batch.schema.names
-            texts = batch.column(names.index("_text")).to_pylist()
+            column = batch.column(names.index("_text"))
             keys = batch.column(names.index("_key")).to_numpy(zero_copy_only=False)
             kept = [n for n in names if n not in ("_text", "_key")]
-            for a, b in _slices(texts):
-                ids, offsets = pieces.encode(texts[a:b], keys[a:b], seed)
+            for a, n, _, _ in text_chunks(column, PASS_CHARS):
+                b = a + n
+                texts = column.slice(a, n).to_pylist()
+                ids, offsets = pieces.encode(texts, keys[a:b], seed)
                 own = [batch.column(names.index(n)).slice(a, b - a) for n in kept]
                 if digest:
                     cuts = offsets.tolist()
@@ -253,11 +261,11 @@ def _run(shared, sharpness: float, seed: int, digest: bool):
                         pa.array(np.diff(offsets)),
                         pa.array([hashlib.sha256(ids[x:y].astype("<i4").tobytes()).hexdigest() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]),
                         pa.array([hashlib.sha256(x).hexdigest() for x in back]),
-                        pa.array([x == (t or "").encode() for x, t in zip(back, texts[a:b], strict=True)]),
+                        pa.array([x == (t or "").encode() for x, t in zip(back, texts, strict=True)]),
                     ]
                     yield pa.RecordBatch.from_arrays([*own, *more], [*kept, "n_pieces", "pieces_sha256", "decoded_sha256", "lossless"])
                 else:
-                    mask = pa.array([t is None for t in texts[a:b]])
+                    mask = pa.array([t is None for t in texts])
                     lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=mask)
                     yield pa.RecordBatch.from_arrays([*own, lists], [*kept, "pieces"])
 
@@ -269,7 +277,7 @@ def _prepared(docs: DataFrame, key: str, text: str, model_path: str, drop: tuple
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     kept = [c for c in docs.columns if c not in drop]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias("_text"), F.coalesce(F.col(key).cast("bigint"), F.lit(-1).cast("bigint")).alias("_key"))
-    return shared, rows, [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
+    return shared, rows
 
 
 def encode(docs: DataFrame, model_path: str = MODEL_PATH, key: str = "doc_id", text: str = "text", seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
@@ -278,20 +286,20 @@ def encode(docs: DataFrame, model_path: str = MODEL_PATH, key: str = "doc_id", t
     The draw depends on the row's key, the seed and the text only, never on how rows are dealt out. Characters
     that are no pieces become bytes, so decoding always gives the text back. Empty texts give no pieces, null ones null.
     """
-    shared, rows, fields = _prepared(docs, key, text, model_path, ("pieces",))
-    return rows.mapInArrow(_run(shared, sharpness, seed, False), ", ".join([*fields, "pieces array<int>"]))
+    shared, rows = _prepared(docs, key, text, model_path, ("pieces",))
+    return rows.mapInArrow(_run(shared, sharpness, seed, False), with_fields(rows, "pieces array<int>", ("_text", "_key")))
 
 
 def digests(docs: DataFrame, model_path: str = MODEL_PATH, key: str = "doc_id", text: str = "text", seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
     """``docs`` without its text but with ``n_pieces``, SHA-256 of the ids (32-bit little-endian) and of the decoded text, and ``lossless``. Null counts as empty."""
     taken = ("n_pieces", "pieces_sha256", "decoded_sha256", "lossless", text)
-    shared, rows, fields = _prepared(docs, key, text, model_path, taken)
-    return rows.mapInArrow(_run(shared, sharpness, seed, True), ", ".join([*fields, "n_pieces bigint, pieces_sha256 string, decoded_sha256 string, lossless boolean"]))
+    shared, rows = _prepared(docs, key, text, model_path, taken)
+    return rows.mapInArrow(_run(shared, sharpness, seed, True), with_fields(rows, "n_pieces bigint, pieces_sha256 string, decoded_sha256 string, lossless boolean", ("_text", "_key")))
 
 
 def _decoded(shared, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(shared.value)
+        pieces = _pieces(shared.value)
         for batch in batches:
             names = batch.schema.names
             own = [n for n in names if keep or n != "pieces"]
@@ -312,9 +320,8 @@ def decode(encoded: DataFrame, model_path: str = MODEL_PATH, keep: bool = False)
     with open(model_path, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
     kept = [c for c in encoded.columns if c != "text" and (keep or c != "pieces")]
-    fields = [f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in kept]
     rows = encoded.select(*(f"`{c}`" for c in kept), *([] if keep else ["pieces"]))
-    return rows.mapInArrow(_decoded(shared, keep), ", ".join([*fields, "text string"]))
+    return rows.mapInArrow(_decoded(shared, keep), with_fields(rows, "text string", () if keep else ("pieces",)))
 
 
 def op9_pieces(spark, sf_dir: str) -> DataFrame:
