@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that a vectorized pass holds at once; a longer document is a pass of its own.
 CHUNK_BYTES = 1 << 20
@@ -60,6 +61,12 @@ def only_ids(rows: DataFrame, ids: DataFrame, key: str, most: int = 1_000_000) -
     return rows.join(F.broadcast(ids) if small(ids, most) else ids, key, "left_semi")
 
 
+def with_fields(df: DataFrame, added: str, without: tuple[str, ...] = ()) -> StructType:
+    """The schema of ``df`` less some columns, with the columns of a DDL string after them; whatever types and names it has."""
+    kept = [StructField(f.name, f.dataType, True) for f in df.schema.fields if f.name not in without]
+    return StructType(kept + StructType.fromDDL(added).fields)
+
+
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, UTF-8 bytes, row offsets) of a string column, about ``limit`` bytes at a time. Null is empty."""
     if isinstance(column, pa.ChunkedArray):

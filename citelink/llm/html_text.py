@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citelink.llm.common import with_fields
+
 # Elements of the HTML standard, by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select xmp noframes noembed".split())
@@ -259,8 +261,7 @@ def extract_text(pages: DataFrame, source: str = "html") -> DataFrame:
     """
     rest = [c for c in pages.columns if c not in (source, "text")]
     plain = pages.select(*(F.col(f"`{c}`") for c in rest), F.col(source).alias("_html"))
-    fields = [f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in rest]
-    return plain.mapInArrow(_extracted, ", ".join([*fields, "text string"]))
+    return plain.mapInArrow(_extracted, with_fields(plain, "text string", ("_html",)))
 
 
 def op1_html_text(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import text_chunks
+from citelink.llm.common import text_chunks, with_fields
 
 UNKNOWN = "und"
 #: Byte n-grams of these lengths, hashed to so many presence bits each.
@@ -160,9 +160,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     if model is None:
         return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     known = docs.withColumn("_known", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return known.mapInArrow(_scored(shared), ", ".join([*fields, "lang_pred string", "score double"]))
+    return known.mapInArrow(_scored(shared), with_fields(docs, "lang_pred string, score double"))
 
 
 def held_out(doc_id="doc_id"):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import dropped_table, written
+from citelink.llm.common import with_fields, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -125,7 +125,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     return seen.join(confirmed.select("k0", "k1", "keeper"), ["k0", "k1"]).where("doc_id <> keeper").select("doc_id", "k0", "k1")
 
 
-def _without(min_chars: int, schema: pa.Schema | None = None):
+def _without(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
@@ -158,10 +158,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     document and are treated alike; rows without a doc_id neither count nor lose lines.
     """
     gone = repeated_lines(docs, min_chars, min_docs, bits)
-    by_doc = gone.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("k0", "k1")).alias("_drop"))
+    by_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("k0", "k1")).alias("_drop"))
     both = docs.join(by_doc.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_drop")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
-    return both.mapInArrow(_without(min_chars), ", ".join([*fields, "_n_lines bigint", "_n_dropped bigint"]))
+    return both.mapInArrow(_without(min_chars), with_fields(docs, "_n_lines bigint, _n_dropped bigint"))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ rows pass as each operator defines; columns beyond those of documents are carrie
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,24 +16,47 @@ from citelink.llm import lang_id, line_dedup, mixing, near_dup, pieces
 from citelink.llm.common import read_table, written
 
 
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _aside(stage):
+    """A stage that sees columns beyond those of documents under names no operator uses; they come back under their own."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = docs.columns
+        names = [c if c in COLUMNS and c not in own[:i] else f"_x{i}" for i, c in enumerate(own)]
+        back = dict(zip(names, own, strict=True))
+        out = stage(spark, docs.toDF(*names), sf_dir)
+        added = {c for c in out.columns if c not in back}
+        kept = out.select(*(c for c in out.columns if back.get(c) not in added))  # a stage's own column takes the place of one that came so named
+        return kept.toDF(*(back.get(c, c) for c in kept.columns))
+
+    return run_stage
+
+
+@_aside
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (null texts and texts without a letter) go; the others stay as they are."""
     scored = lang_id.predict(docs, lang_id.fit_on_documents(docs))
     return scored.where(F.col("lang_pred") != lang_id.UNKNOWN).select(*docs.columns)
 
 
+@_aside
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share leave the texts; a document that loses its whole text leaves the corpus."""
     kept = line_dedup.dedup_lines(docs).where("_n_dropped = 0 or text <> ''")
     return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
+@_aside
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of least doc_id stays. Rows that share that doc_id are one document and stay."""
     kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
     return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
 
 
+@_aside
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many words of each document as the mix takes: a row for each whole time, and one for the first words of a last part.
 
@@ -49,6 +74,7 @@ def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return taken.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
+@_aside
 def encoded_and_decoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's sampled pieces and their number; the text is what the pieces decode to, which is the text itself."""
     back = pieces.decode(pieces.encode(docs), keep=True)
