@@ -20,9 +20,9 @@ from citelink.llm.common import dropped_table, mixed, text_chunks, written
 
 LENGTH, GRAM = 50, 16
 #: Text bytes whose samples share a shard, and samples that are sorted at a time.
-SHARD_BYTES, RUN = 8 << 20, 1 << 16
-#: Text bytes that a task samples before it sends them on.
-SEND_BYTES = 8 << 20
+SHARD_BYTES, RUN = 8 << 20, 1 << 13
+#: Text bytes that a task samples at a time, and those after which it sends samples on.
+READ_BYTES, SEND_BYTES = 1 << 18, 4 << 20
 #: Low bits of a sample's rank that hold its place; longer texts are read in overlapping parts.
 PLACE_BITS = 24
 PART_BYTES = 4 << 20
@@ -143,7 +143,7 @@ def _sampled(shards: int):
         got, held = [], 0
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for at, _, data, offsets in text_chunks(batch.column(1)):
+            for at, _, data, offsets in text_chunks(batch.column(1), READ_BYTES):
                 row, _, _, _, h = samples(data, offsets)
                 got.append((h, keys[at + row]))
                 held += len(data)
@@ -221,7 +221,7 @@ def _contexts(shards: int):
         for batch in batches:
             keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             lists = batch.column(3)
-            for at, n, data, offsets in text_chunks(batch.column(2)):
+            for at, n, data, offsets in text_chunks(batch.column(2), READ_BYTES):
                 row, place, first, last, h = samples(data, offsets)
                 known = [np.frombuffer(b"".join(lists[at + r].as_py()), np.uint64) for r in range(n)]
                 salt = np.arange(1, n + 1, dtype=np.uint64) * _B
