@@ -22,7 +22,7 @@ LENGTH, GRAM = 50, 16
 #: Text bytes whose samples share a shard, and samples that are sorted at a time.
 SHARD_BYTES, RUN = 8 << 20, 1 << 13
 #: Text bytes that a task samples at a time, and those after which it sends samples on.
-READ_BYTES, SEND_BYTES = 1 << 18, 4 << 20
+READ_BYTES, SEND_BYTES = 1 << 16, 4 << 20
 #: Low bits of a sample's rank that hold its place; longer texts are read in overlapping parts.
 PLACE_BITS = 24
 PART_BYTES = 4 << 20
