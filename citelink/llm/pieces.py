@@ -19,7 +19,7 @@ SEED = 29
 #: Sharpness of the sampling: 1 takes the pieces' weights as they are, larger values come closer to the best segmentation.
 SHARPNESS = 1.0
 #: Characters whose distinct units share one pass.
-PASS_CHARS = 3 << 18
+PASS_CHARS = 1 << 18
 _BYTE_BASE = 1 << 24
 _TURN = 0x9E3779B97F4A7C15
 #: Added to a weight for each character covered: the same on every path, it only keeps sums near 1.
