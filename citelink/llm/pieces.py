@@ -241,7 +241,7 @@ def _pieces(proto: bytes, sharpness: float = SHARPNESS) -> Pieces:
     return _known[key]
 
 
-def _run(shared, sharpness: float, seed: int, digest: bool):
+def _run(shared, sharpness: float, seed: int, digest: bool, decoded: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared.value, sharpness)
         for batch in batches:
@@ -267,7 +267,11 @@ def _run(shared, sharpness: float, seed: int, digest: bool):
                 else:
                     mask = pa.array([t is None for t in texts])
                     lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids), mask=mask)
-                    yield pa.RecordBatch.from_arrays([*own, lists], [*kept, "pieces"])
+                    if decoded:
+                        back = [None if t is None else x.decode("utf-8", "surrogatepass") for x, t in zip(pieces.decode(ids, offsets), texts, strict=True)]
+                        yield pa.RecordBatch.from_arrays([*own, lists, pa.array(back, pa.string())], [*kept, "pieces", "text"])
+                    else:
+                        yield pa.RecordBatch.from_arrays([*own, lists], [*kept, "pieces"])
 
     return run
 
@@ -280,14 +284,16 @@ def _prepared(docs: DataFrame, key: str, text: str, model_path: str, drop: tuple
     return shared, rows
 
 
-def encode(docs: DataFrame, model_path: str = MODEL_PATH, key: str = "doc_id", text: str = "text", seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL_PATH, key: str = "doc_id", text: str = "text", seed: int = SEED, sharpness: float = SHARPNESS, decoded: bool = False) -> DataFrame:
     """``docs`` with ``pieces`` (array of ids), one segmentation sampled for each row from the lattice of its whole text.
 
     The draw depends on the row's key, the seed and the text only, never on how rows are dealt out. Characters
-    that are no pieces become bytes, so decoding always gives the text back. Empty texts give no pieces, null ones null.
+    that are no pieces become bytes, so decoding always gives the text back. Empty texts give no pieces, null ones null. With
+    ``decoded`` the pieces are decoded in the same pass, and ``text`` is what they stand for.
     """
-    shared, rows = _prepared(docs, key, text, model_path, ("pieces",))
-    return rows.mapInArrow(_run(shared, sharpness, seed, False), with_fields(rows, "pieces array<int>", ("_text", "_key")))
+    shared, rows = _prepared(docs, key, text, model_path, ("pieces", "text") if decoded else ("pieces",))
+    added = "pieces array<int>, text string" if decoded else "pieces array<int>"
+    return rows.mapInArrow(_run(shared, sharpness, seed, False, decoded), with_fields(rows, added, ("_text", "_key")))
 
 
 def digests(docs: DataFrame, model_path: str = MODEL_PATH, key: str = "doc_id", text: str = "text", seed: int = SEED, sharpness: float = SHARPNESS) -> DataFrame:
@@ -297,12 +303,12 @@ def digests(docs: DataFrame, model_path: str = MODEL_PATH, key: str = "doc_id",
     return rows.mapInArrow(_run(shared, sharpness, seed, True), with_fields(rows, "n_pieces bigint, pieces_sha256 string, decoded_sha256 string, lossless boolean", ("_text", "_key")))
 
 
-def _decoded(shared, keep: bool):
+def _decoded(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared.value)
         for batch in batches:
             names = batch.schema.names
-            own = [n for n in names if keep or n != "pieces"]
+            own = [n for n in names if n != "pieces"]
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
                 lists = part.column(names.index("pieces"))
@@ -315,13 +321,12 @@ def _decoded(shared, keep: bool):
     return run
 
 
-def decode(encoded: DataFrame, model_path: str = MODEL_PATH, keep: bool = False) -> DataFrame:
-    """The rows of ``encode`` with ``text``, the text that the pieces stand for; ``pieces`` stays if ``keep``. Null pieces give a null text."""
+def decode(encoded: DataFrame, model_path: str = MODEL_PATH) -> DataFrame:
+    """The rows of ``encode`` with ``text``, the text that the pieces stand for, in place of ``pieces``. Null pieces give a null text."""
     with open(model_path, "rb") as f:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
-    kept = [c for c in encoded.columns if c != "text" and (keep or c != "pieces")]
-    rows = encoded.select(*(f"`{c}`" for c in kept), *([] if keep else ["pieces"]))
-    return rows.mapInArrow(_decoded(shared, keep), with_fields(rows, "text string", () if keep else ("pieces",)))
+    rows = encoded.select(*(f"`{c}`" for c in encoded.columns if c not in ("text", "pieces")), "pieces")
+    return rows.mapInArrow(_decoded(shared), with_fields(rows, "text string", ("pieces",)))
 
 
 def op9_pieces(spark, sf_dir: str) -> DataFrame:

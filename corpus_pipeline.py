@@ -77,7 +77,7 @@ def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 @_aside
 def encoded_and_decoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each text's sampled pieces and their number; the text is what the pieces decode to, which is the text itself."""
-    back = pieces.decode(pieces.encode(docs), keep=True)
+    back = pieces.encode(docs, decoded=True)
     return back.withColumn("n_pieces", F.coalesce(F.size("pieces"), F.lit(0)).cast("bigint")).select(*docs.columns, "pieces", "n_pieces")
 
 
