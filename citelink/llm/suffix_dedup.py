@@ -334,8 +334,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     digest = written(digest, "digest")
     many = written(digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"), "many")
     copies = written(digest.join(many, "digest").where("doc_id > least").select("key").distinct(), "copies")
-    lists = known.groupBy("key").agg(F.collect_list("hashes").alias("hashes")).join(copies, "key", "left_anti")
-    open_ = docs.join(lists.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "hashes")
+    lists = known.groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
+    open_ = docs.join(copies.hint("shuffle_hash"), "key", "left_anti").join(lists.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "hashes")
     contexts = open_.mapInArrow(_contexts(shards), kind)
     spans = contexts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_induced, "key bigint, spans binary")
     spans = written(spans, "spans")
