@@ -290,6 +290,20 @@ def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done()
 
 
+def _codes(text: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the strings of LENGTH bytes that start at the given places, RUN places at a time."""
+    out = np.zeros(len(begin), np.uint64)
+    for a in range(0, len(begin), RUN):
+        at, codes = begin[a : a + RUN], np.zeros(len(begin[a : a + RUN]), np.uint64)
+        for j in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+            eight = np.zeros(len(at), np.uint64)
+            for i in range(8):
+                eight |= text[at + (j + i)].astype(np.uint64) << np.uint64(8 * i)
+            codes = mixed(codes + eight * _A + np.uint64(j + 1))
+        out[a : a + RUN] = codes
+    return out
+
+
 def _decided(h, whole, doc, first, more, place, start, size, text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sample, start, end) of ranges to remove, from samples in order of hash, context and document."""
     head = np.concatenate([[True], whole[1:] != whole[:-1]])
@@ -305,14 +319,7 @@ def _decided(h, whole, doc, first, more, place, start, size, text) -> tuple[np.n
         which = np.repeat(open_, n)
         step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         begin = start[which] + step
-        codes = np.zeros(len(which), np.uint64)
-        for j in range(0, LENGTH - 1, 8):
-            j = min(j, LENGTH - 8)
-            eight = np.zeros(len(which), np.uint64)
-            for i in range(8):
-                eight |= text[begin + j + i].astype(np.uint64) << np.uint64(8 * i)
-            codes = mixed(codes + eight * _A + np.uint64(j + 1))
-        codes = mixed(codes + group[which].astype(np.uint64) * _B)
+        codes = mixed(_codes(text, begin) + group[which].astype(np.uint64) * _B)
         order = np.lexsort((doc[which], codes))
         codes, owner = codes[order], doc[which][order]
         top = np.concatenate([[True], codes[1:] != codes[:-1]])
