@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from citelink.llm.common import dropped_table, mixed, text_chunks, written
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 24
 #: Text bytes whose samples share a shard, and samples that are sorted at a time.
 SHARD_BYTES, RUN = 8 << 20, 1 << 13
 #: Text bytes that a task samples at a time, and those after which it sends samples on.
@@ -43,7 +43,9 @@ def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
         two = part[:-1].astype(np.uint64) | part[1:].astype(np.uint64) << np.uint64(8)
         four = two[:-2] | two[2:] << np.uint64(16)
         eight = four[:-4] | four[4:] << np.uint64(32)
-        h = mixed(eight[:grams] * _A + mixed(eight[gram - 8 : gram - 8 + grams]) * _B)
+        h = np.zeros(grams, np.uint64)
+        for i in (*range(0, gram - 8, 8), gram - 8):
+            h = mixed(h * _B + eight[i : i + grams] * _A)
         low = np.uint64((1 << PLACE_BITS) - 1)
         rank = (h & ~low) | np.arange(grams, dtype=np.uint64)
         width, reach = length - gram + 1, 1
@@ -79,6 +81,24 @@ def _parts(data: np.ndarray, offsets: np.ndarray, length: int) -> list[tuple[int
     return out
 
 
+#: Bytes of a hash that are sent where hashes are only matched: a chance match merely adds a sample to look at.
+SHORT = 5
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """The low bytes of hashes, packed."""
+    return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, :SHORT]).ravel()
+
+
+def _widened(packed: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(packed) // SHORT, 8), np.uint8)
+    out[:, :SHORT] = packed.reshape(-1, SHORT)
+    return out.view(np.uint64).ravel()
+
+
+_LOW = np.uint64((1 << 8 * SHORT) - 1)
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.array([len(arrays), *(x.nbytes for x in arrays)], np.int64).tobytes() + b"".join(x.tobytes() for x in arrays))
 
@@ -131,12 +151,12 @@ def _sampled(shards: int):
         to = (h[first] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
         for s, at in _by(to.astype(np.int32)):
             shard.append(s)
-            out.append(_packed(h[first][at], key[first][at], many[first][at]))
+            out.append(_packed(_short(h[first][at]), key[first][at], many[first][at]))
         known = np.flatnonzero(many)
         direct, hashes = [], []
         for k, at in _by(key[known]):
             direct.append(k)
-            hashes.append(h[known[at]].tobytes())
+            hashes.append(_short(h[known[at]]).tobytes())
         return _rows([*shard, *(np.abs(np.array(direct, np.int64)) % shards).tolist()], [*([None] * len(shard)), *direct], [*out, *hashes])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +189,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many[1:] |= same
         many[:-1] |= same
         fresh = np.flatnonzero(many & ~sure)  # those marked sure know already
-        out = [(k, h[fresh[at]].tobytes()) for k, at in _by(key[fresh])]
+        out = [(k, _short(h[fresh[at]]).tobytes()) for k, at in _by(key[fresh])]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "hashes"])
 
     for batch in batches:
@@ -182,7 +202,8 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if held:
                     yield done()
                 now, held = shard, []
-            held.append(_unpacked(blob, (np.uint64, np.int64, np.bool_)))
+            short, keys, sure = _unpacked(blob, (np.uint8, np.int64, np.bool_))
+            held.append((_widened(short), keys, sure))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in passed], pa.int64()), pa.array([b for _, b in passed], pa.binary())], ["key", "hashes"])
     if held:
         yield done()
@@ -223,10 +244,10 @@ def _contexts(shards: int):
             lists = batch.column(3)
             for at, n, data, offsets in text_chunks(batch.column(2), READ_BYTES):
                 row, place, first, last, h = samples(data, offsets)
-                known = [np.frombuffer(b"".join(lists[at + r].as_py()), np.uint64) for r in range(n)]
+                known = [_widened(np.frombuffer(b"".join(lists[at + r].as_py()), np.uint8)) for r in range(n)]
                 salt = np.arange(1, n + 1, dtype=np.uint64) * _B
                 wanted = np.concatenate([mixed(x + salt[r]) for r, x in enumerate(known)])
-                keep = np.isin(mixed(h + salt[row]), wanted)
+                keep = np.isin(mixed((h & _LOW) + salt[row]), wanted)
                 row, place, first, last, h = row[keep], place[keep], first[keep], last[keep], h[keep]
                 size = last - first + LENGTH
                 start = np.cumsum(size) - size
