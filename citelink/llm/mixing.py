@@ -133,3 +133,43 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     """Words taken from each document by a mix of all sources at weights 1, 2, 3, repeating."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP2_SQL = rf"""
+WITH sizes AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents
+), weighed AS (
+    SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n, CAST(3 * sum(size) AS BIGINT) AS cap, [1, 2, 3][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM sizes GROUP BY source
+), run AS (
+    SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0) AS words_left, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS weight_left
+    FROM weighed WINDOW before AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), judged AS (
+    SELECT *, words_left * weight >= cap * weight_left AS stops FROM run
+), share AS (
+    SELECT CAST(words_left AS BIGINT) AS words, CAST(weight_left AS BIGINT) AS parts FROM judged WHERE NOT stops ORDER BY cap / weight, source NULLS LAST LIMIT 1
+), targets AS (
+    SELECT source, source_size, n, CASE WHEN stops THEN CAST(cap AS DOUBLE) ELSE CAST(weight * (SELECT words FROM share) AS DOUBLE) / (SELECT parts FROM share) END AS target FROM judged
+), seats AS (
+    SELECT *, CAST(round(sum(target) OVER () / {BLOCK_WORDS}) AS BIGINT) AS seats, CAST(ceil(source_size * 3 / {BLOCK_WORDS}) AS BIGINT) AS most FROM targets
+), offers AS (
+    SELECT source, seats, target / (2 * turn + 1) AS quotient, turn FROM (SELECT *, unnest(range(0, most)) AS turn FROM seats WHERE target > 0)
+), dealt AS (
+    SELECT s.source, s.source_size, s.target, coalesce(o.won, 0) AS quota, CAST(ceil(s.n / {SHARD_DOCS}) AS BIGINT) AS shards
+    FROM seats s LEFT JOIN (SELECT source, count(*) AS won FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST, turn) AS place FROM offers) WHERE place <= seats GROUP BY source) o ON s.source IS NOT DISTINCT FROM o.source
+), placed AS (
+    SELECT z.*, d.source_size, d.target, d.quota, CAST('0x' || substr(z.k, 1, 8) AS BIGINT) % d.shards AS shard FROM sizes z JOIN dealt d ON z.source IS NOT DISTINCT FROM d.source
+), by_shard AS (
+    SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size, max(quota) AS seats, CAST(ceil(sum(size) * 3 / {BLOCK_WORDS}) AS BIGINT) AS most FROM placed GROUP BY source, shard
+), shard_offers AS (
+    SELECT source, shard, seats, shard_size / (2 * turn + 1) AS quotient, turn FROM (SELECT *, unnest(range(0, most)) AS turn FROM by_shard WHERE shard_size > 0)
+), shard_won AS (
+    SELECT source, shard, count(*) AS won FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY quotient DESC, shard, turn) AS place FROM shard_offers) WHERE place <= seats GROUP BY source, shard
+), quotas AS (
+    SELECT b.source, b.shard, b.shard_size, least(coalesce(w.won, 0) * {BLOCK_WORDS}, b.shard_size * 3) AS words FROM by_shard b LEFT JOIN shard_won w ON b.source IS NOT DISTINCT FROM w.source AND b.shard = w.shard
+), stream AS (
+    SELECT p.*, q.shard_size, q.words, sum(p.size) OVER (PARTITION BY p.source, p.shard ORDER BY p.k, p.doc_id, p.size) AS stop FROM placed p JOIN quotas q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard
+)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN shard_size > 0 THEN words // shard_size * size + greatest(0, least(size, words % shard_size - (stop - size))) ELSE 0 END AS BIGINT) AS taken
+FROM stream
+"""

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLE_SQL = {
+    "op2_mixing": mixing.OP2_SQL,
     "op4_embed_dup": embed_dup.OP4_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
