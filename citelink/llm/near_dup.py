@@ -296,3 +296,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 def op3_near_dup(spark, sf_dir: str) -> DataFrame:
     """Groups of documents whose five-word shingle sets overlap by at least 0.85."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w
+), e AS (
+    SELECT doc_id, unnest(s) AS x FROM s
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+    SELECT a, b FROM shared JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)
+), reach(id, other) AS (
+    SELECT doc_id, doc_id FROM s UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least ON id = doc_id
+"""

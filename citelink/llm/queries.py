@@ -18,6 +18,8 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
+    "op3_near_dup": near_dup.OP3_SQL,
     "op4_embed_dup": embed_dup.OP4_SQL,
+    "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

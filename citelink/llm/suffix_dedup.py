@@ -420,3 +420,18 @@ def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document without the passages of 50 bytes or more that earlier documents hold."""
     kept = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d)
+), first AS (SELECT s, min(doc_id) AS owner, max(doc_id) AS last FROM starts GROUP BY s HAVING min(doc_id) < max(doc_id)
+), hits AS (SELECT t.doc_id, t.i FROM starts t JOIN first f ON t.s = f.s AND f.owner < t.doc_id
+), edges AS (SELECT doc_id, i, coalesce(i > lag(i) OVER w + 50, TRUE) AS opens FROM hits WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edges) GROUP BY doc_id, r
+), kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS k FROM (
+        SELECT r.doc_id, r.b AS x, coalesce(lead(r.a) OVER (PARTITION BY r.doc_id ORDER BY r.a), len(h) // 2) AS y, h FROM runs r JOIN d ON d.doc_id = r.doc_id
+        UNION ALL SELECT r.doc_id, 0, min(r.a), min(h) FROM runs r JOIN d ON d.doc_id = r.doc_id GROUP BY r.doc_id) GROUP BY doc_id
+), sums AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS n FROM runs GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
