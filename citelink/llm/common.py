@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -94,6 +96,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def lean(run):
+    """A function over Arrow batches that gives freed memory back when it ends, since its Python worker stays for later tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (a bigint, b bigint): (id, root), root the smallest id reachable.
 

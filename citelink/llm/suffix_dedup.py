@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import dropped_table, mixed, text_chunks, written
+from citelink.llm.common import dropped_table, lean, mixed, text_chunks, written
 
 LENGTH, GRAM = 50, 24
 #: Text bytes whose samples share a shard, and samples that are sorted at a time.
@@ -124,8 +124,35 @@ def _by(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield group[order[a]].item(), order[a:b]
 
 
-def _rows(shard: list, key: list, blob: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(key, pa.int64()), pa.array(blob, pa.binary())], ["shard", "key", "blob"])
+def _rows(kind: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """Rows (shard, kind, blob): packed arrays on their way to the task that has their shard."""
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array([b for _, b in parts], pa.binary())], ["shard", "kind", "blob"])
+
+
+_ROWS = "shard int, kind int, blob binary"
+#: Kinds of rows: what a shard has to sort, and answers to texts, dealt by the texts' keys.
+_ASKED, _ANSWER = 0, 1
+
+
+def _bucket(key: np.ndarray, shards: int) -> np.ndarray:
+    return (mixed(key.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+
+
+def _shard(h: np.ndarray, shards: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+
+
+def _answers(shards: int, key: np.ndarray, *arrays: np.ndarray) -> list[tuple[int, bytes]]:
+    """Arrays that go with texts' keys, by bucket of the key."""
+    return [(k, _packed(key[at], *(x[at] for x in arrays))) for k, at in _by(_bucket(key, shards))]
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+    """(shard, kind, blob) of rows, one at a time."""
+    for batch in batches:
+        shard, kind = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for i in range(batch.num_rows):
+            yield shard[i], kind[i], batch.column(2)[i].as_py()
 
 
 def _shared_by(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,23 +169,16 @@ def _shared_by(h: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _sampled(shards: int):
-    """Of each batch of (key, text): by shard the samples' hashes; what two texts of the batch share is known at once and sent but once."""
+    """Of (key, text): by shard the samples' hashes; what two texts here share is known at once and sent but once."""
 
-    def sent(got: list) -> pa.RecordBatch:
+    def sent(got: list) -> Iterator[pa.RecordBatch]:
         h, key, many = _shared_by(*(np.concatenate(x) for x in zip(*got, strict=True)))
-        shard, out = [], []
         first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else many
-        to = (h[first] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
-        for s, at in _by(to.astype(np.int32)):
-            shard.append(s)
-            out.append(_packed(_short(h[first][at]), key[first][at], many[first][at]))
-        known = np.flatnonzero(many)
-        direct, hashes = [], []
-        for k, at in _by(key[known]):
-            direct.append(k)
-            hashes.append(_short(h[known[at]]).tobytes())
-        return _rows([*shard, *(np.abs(np.array(direct, np.int64)) % shards).tolist()], [*([None] * len(shard)), *direct], [*out, *hashes])
+        h1, key1, sure = h[first], key[first], many[first]
+        yield _rows(_ASKED, [(k, _packed(_short(h1[at]), key1[at], sure[at])) for k, at in _by(_shard(h1, shards))])
+        yield _rows(_ANSWER, _answers(shards, key[many], h[many]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, held = [], 0
         for batch in batches:
@@ -168,19 +188,18 @@ def _sampled(shards: int):
                 got.append((h, keys[at + row]))
                 held += len(data)
                 if held >= SEND_BYTES:
-                    yield sent(got)
+                    yield from sent(got)
                     got, held = [], 0
         if got:
-            yield sent(got)
+            yield from sent(got)
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shard: for each text, the hashes of its samples that some other text holds too."""
-    now, held = None, []
+def _repeated(shards: int):
+    """Of rows sorted by shard: for the texts, the hashes of their samples that some other text holds too."""
 
-    def done() -> pa.RecordBatch:
+    def done(held: list) -> pa.RecordBatch:
         h, key, sure = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(h, kind="stable")
         h, key, sure = h[order], key[order], sure[order]
@@ -188,23 +207,44 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = np.zeros(len(h), bool)
         many[1:] |= same
         many[:-1] |= same
-        fresh = np.flatnonzero(many & ~sure)  # those marked sure know already
-        out = [(k, _short(h[fresh[at]]).tobytes()) for k, at in _by(key[fresh])]
-        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "hashes"])
+        fresh = many & ~sure  # those marked sure know already
+        return _rows(_ANSWER, _answers(shards, key[fresh], h[fresh]))
 
-    for batch in batches:
-        passed = []
-        for shard, key, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key is not None:
-                passed.append((key, blob))
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for shard, kind, blob in _each(batches):
+            if kind == _ANSWER:
+                yield _rows(_ANSWER, [(shard, blob)])
                 continue
             if shard != now:
                 if held:
-                    yield done()
+                    yield done(held)
                 now, held = shard, []
             short, keys, sure = _unpacked(blob, (np.uint8, np.int64, np.bool_))
             held.append((_widened(short), keys, sure))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in passed], pa.int64()), pa.array([b for _, b in passed], pa.binary())], ["key", "hashes"])
+        if held:
+            yield done(held)
+
+    return run
+
+
+@lean
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of answers sorted by bucket: one row for each text with its samples' hashes, short."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        key, h = (np.concatenate(x) for x in zip(*held, strict=True))
+        out = [(k, _short(h[at]).tobytes()) for k, at in _by(key)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "hashes"])
+
+    for bucket, _, blob in _each(batches):
+        if bucket != now:
+            if held:
+                yield done()
+            now, held = bucket, []
+        held.append(_unpacked(blob, (np.int64, np.uint64)))
     if held:
         yield done()
 
@@ -215,7 +255,7 @@ _KINDS = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8
 def _contexts(shards: int):
     """Of each text with its shared samples: by shard the bytes that each of these decides on."""
 
-    def sent(got: list) -> pa.RecordBatch:
+    def sent(got: list) -> Iterator[pa.RecordBatch]:
         h, whole, doc, key, first, more, place, size, text = (np.concatenate(x) for x in zip(*got, strict=True))
         # equal contexts: those of later documents go, the first document's stand for all
         order = np.lexsort((doc, whole))
@@ -224,27 +264,23 @@ def _contexts(shards: int):
         late = np.zeros(len(order), bool)
         late[order] = doc[order] > least
         start = np.cumsum(size) - size
-        gone = np.flatnonzero(late)
-        spans = [(k, _runs(first[gone[at]], first[gone[at]] + more[gone[at]] + LENGTH)) for k, at in _by(key[gone])]
-        stay = np.flatnonzero(~late)
-        to = ((h[stay] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
-        shard, out = [], []
-        for s, at in _by(to):
+        yield _rows(_ANSWER, _answers(shards, *_runs(key[late], first[late], first[late] + more[late] + LENGTH)))
+        stay, out = np.flatnonzero(~late), []
+        for k, at in _by(_shard(h[stay], shards)):
             at = stay[at]
             n = size[at]
             begin = np.cumsum(n) - n
-            shard.append(s)
-            out.append(_packed(h[at], whole[at], doc[at], key[at], first[at], more[at], place[at], text[np.repeat(start[at] - begin, n) + np.arange(int(n.sum()))]))
-        return _rows([*shard, *(abs(k) % shards for k, _ in spans)], [*([None] * len(shard)), *(k for k, _ in spans)], [*out, *(b for _, b in spans)])
+            out.append((k, _packed(h[at], whole[at], doc[at], key[at], first[at], more[at], place[at], text[np.repeat(start[at] - begin, n) + np.arange(int(n.sum()))])))
+        yield _rows(_ASKED, out)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, held = [], 0
         for batch in batches:
-            keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lists = batch.column(3)
+            keys, docs, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             for at, n, data, offsets in text_chunks(batch.column(2), READ_BYTES):
                 row, place, first, last, h = samples(data, offsets)
-                known = [_widened(np.frombuffer(b"".join(lists[at + r].as_py()), np.uint8)) for r in range(n)]
+                known = [_widened(np.frombuffer(lists[at + r].as_buffer(), np.uint8)) for r in range(n)]
                 salt = np.arange(1, n + 1, dtype=np.uint64) * _B
                 wanted = np.concatenate([mixed(x + salt[r]) for r, x in enumerate(known)])
                 keep = np.isin(mixed((h & _LOW) + salt[row]), wanted)
@@ -258,57 +294,83 @@ def _contexts(shards: int):
                 got.append((h, whole, docs[at + row], keys[at + row], first - offsets[row], (last - first).astype(np.uint8), (place - first).astype(np.uint8), size, text))
                 held += len(text)
                 if held >= SEND_BYTES:
-                    yield sent(got)
+                    yield from sent(got)
                     got, held = [], 0
         if got:
-            yield sent(got)
+            yield from sent(got)
 
     return run
 
 
-def _runs(start: np.ndarray, end: np.ndarray) -> bytes:
-    """Ranges put together where they meet, as (start, end) pairs of 64-bit integers."""
-    order = np.argsort(start, kind="stable")
-    start, end = start[order], np.maximum.accumulate(end[order])
-    new = np.concatenate([[True], start[1:] > end[:-1]])
+def _runs(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (key, start, end) in order, put together where those of one key meet."""
+    if not len(key):
+        return key, start, end
+    order = np.lexsort((start, key))
+    key, start, end = key[order], start[order], end[order]
+    lift = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]])) * (int(end.max()) + 2)
+    reach = np.maximum.accumulate(end + lift)
+    new = np.concatenate([[True], start[1:] + lift[1:] > reach[:-1]])
     at = np.flatnonzero(new)
-    return np.stack([start[at], end[np.concatenate([at[1:] - 1, [len(end) - 1]])]], 1).astype(np.int64).tobytes()
+    last = np.concatenate([at[1:] - 1, [len(key) - 1]])
+    return key[at], start[at], reach[last] - lift[last]
 
 
-def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by shard: for each text, the ranges that strings of earlier documents cover."""
-    now, held = None, []
+def _induced(shards: int):
+    """Of rows sorted by shard: for the texts, the ranges that strings of earlier documents cover."""
 
-    def done() -> Iterator[pa.RecordBatch]:
+    def done(held: list) -> pa.RecordBatch:
         h, whole, doc, key, first, more, place, text = (np.concatenate(x) for x in zip(*held, strict=True))
         size = more.astype(np.int64) + LENGTH
         start = np.cumsum(size) - size
         order = np.lexsort((doc, whole, h))
         cuts = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-        a = 0
+        out, a = [], 0
         while a < len(cuts):  # whole groups of one hash, about RUN samples at a time
             b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + RUN)))
             at = order[cuts[a] : cuts[b] if b < len(cuts) else len(order)]
             a = b
-            found = _decided(h[at], whole[at], doc[at], first[at], more[at], place[at], start[at], size[at], text)
-            which, x, y = found
-            out = [(k, _runs(x[i], y[i])) for k, i in _by(key[at][which])]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([v for _, v in out], pa.binary())], ["key", "spans"])
+            which, x, y = _decided(h[at], whole[at], doc[at], first[at], more[at], start[at], text)
+            out.append(_runs(key[at][which], x, y))
+        return _rows(_ANSWER, _answers(shards, *_runs(*(np.concatenate(x) for x in zip(*out, strict=True)))))
 
-    for batch in batches:
-        passed = []
-        for shard, key, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key is not None:
-                passed.append((key, blob))
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for shard, kind, blob in _each(batches):
+            if kind == _ANSWER:
+                yield _rows(_ANSWER, [(shard, blob)])
                 continue
             if shard != now:
                 if held:
-                    yield from done()
+                    yield done(held)
                 now, held = shard, []
             held.append(_unpacked(blob, _KINDS))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in passed], pa.int64()), pa.array([b for _, b in passed], pa.binary())], ["key", "spans"])
+        if held:
+            yield done(held)
+
+    return run
+
+
+@lean
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of answers sorted by bucket: one row for each text with its ranges as pairs of 64-bit integers."""
+    now, held = None, []
+
+    def done() -> pa.RecordBatch:
+        key, start, end = _runs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        pairs = np.stack([start, end], 1)
+        out = [(k, pairs[at].tobytes()) for k, at in _by(key)]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "spans"])
+
+    for bucket, _, blob in _each(batches):
+        if bucket != now:
+            if held:
+                yield done()
+            now, held = bucket, []
+        held.append(_unpacked(blob, (np.int64, np.int64, np.int64)))
     if held:
-        yield from done()
+        yield done()
 
 
 def _codes(text: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -325,7 +387,7 @@ def _codes(text: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def _decided(h, whole, doc, first, more, place, start, size, text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _decided(h, whole, doc, first, more, start, text) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(sample, start, end) of ranges to remove, from samples in order of hash, context and document."""
     head = np.concatenate([[True], whole[1:] != whole[:-1]])
     lead = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
@@ -350,56 +412,53 @@ def _decided(h, whole, doc, first, more, place, start, size, text) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _by_shard(rows: DataFrame) -> DataFrame:
+    return rows.repartition("shard").sortWithinPartitions("shard")
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(key, spans array<binary>, copy boolean) of documents (key, doc_id, text) that lose bytes; a copy loses all."""
+    """(key, spans binary, copy boolean) of documents (key, doc_id, text) that lose bytes; a copy loses all."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, -(-total // SHARD_BYTES))
-    kind = "shard int, key bigint, blob binary"
-    sampled = docs.select("key", "text").mapInArrow(_sampled(shards), kind)
-    known = sampled.repartition("shard").sortWithinPartitions("shard").mapInArrow(_repeated, "key bigint, hashes binary")
-    known = written(known, "known")
+    asked = docs.select("key", "text").mapInArrow(_sampled(shards), _ROWS)
+    answers = _by_shard(asked).mapInArrow(_repeated(shards), _ROWS)
+    lists = written(_by_shard(answers).mapInArrow(_lists, "key bigint, hashes binary"), "lists")
     digest = docs.where(F.octet_length("text") >= LENGTH).select("key", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
     digest = written(digest, "digest")
     many = written(digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"), "many")
     copies = written(digest.join(many, "digest").where("doc_id > least").select("key").distinct(), "copies")
-    lists = known.groupBy("key").agg(F.collect_list("hashes").alias("hashes"))
     open_ = docs.join(copies.hint("shuffle_hash"), "key", "left_anti").join(lists.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "hashes")
-    contexts = open_.mapInArrow(_contexts(shards), kind)
-    spans = contexts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_induced, "key bigint, spans binary")
-    spans = written(spans, "spans")
-    dropped_table(known)
+    found = _by_shard(open_.mapInArrow(_contexts(shards), _ROWS)).mapInArrow(_induced(shards), _ROWS)
+    spans = written(_by_shard(found).mapInArrow(_spans, "key bigint, spans binary"), "spans")
+    dropped_table(lists)
     dropped_table(digest)
-    by_key = spans.groupBy("key").agg(F.collect_list("spans").alias("spans"))
-    return by_key.join(copies.withColumn("copy", F.lit(True)), "key", "full_outer").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    return spans.join(copies.withColumn("copy", F.lit(True)), "key", "full_outer").withColumn("copy", F.coalesce("copy", F.lit(False)))
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names = batch.schema.names
-        texts, spans, copies = (batch.column(names.index(c)).to_pylist() for c in ("text", "_spans", "_copy"))
-        kept, runs, n_bytes, n_removed = [], [], [], []
-        for text, blobs, copy in zip(texts, spans, copies, strict=True):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            if copy:
-                pairs = np.array([[0, len(raw)]], np.int64)
-            elif blobs:
-                every = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
-                pairs = np.frombuffer(_runs(every[:, 0], every[:, 1]), np.int64).reshape(-1, 2)
-            else:
-                pairs = np.zeros((0, 2), np.int64)
-            out, at = [], 0
-            for a, b in pairs.tolist():
-                out.append(raw[at:a])
-                at = b
-            out.append(raw[at:])
-            kept.append(b"".join(out))
-            runs.append(len(pairs))
-            n_bytes.append(len(raw))
-            n_removed.append(len(raw) - len(kept[-1]))
-        own = [n for n in names if n not in ("text", "_spans", "_copy")]
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(names.index(n)) for n in own), pa.array(n_bytes), pa.array(n_removed), pa.array(runs), pa.array(kept, pa.binary())], [*own, "n_bytes", "n_removed", "n_spans", "kept"]
-        )
+    for whole in batches:
+        for s in range(0, whole.num_rows, 512):
+            batch = whole.slice(s, 512)
+            names = batch.schema.names
+            texts, spans, copies = (batch.column(names.index(c)).to_pylist() for c in ("text", "_spans", "_copy"))
+            kept, runs, n_bytes, n_removed = [], [], [], []
+            for text, blob, copy in zip(texts, spans, copies, strict=True):
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                pairs = [[0, len(raw)]] if copy else np.frombuffer(blob or b"", np.int64).reshape(-1, 2).tolist()
+                out, at = [], 0
+                for a, b in pairs:
+                    out.append(raw[at:a])
+                    at = b
+                out.append(raw[at:])
+                kept.append(b"".join(out))
+                runs.append(len(pairs))
+                n_bytes.append(len(raw))
+                n_removed.append(len(raw) - len(kept[-1]))
+            own = [n for n in names if n not in ("text", "_spans", "_copy")]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(names.index(n)) for n in own), pa.array(n_bytes), pa.array(n_removed), pa.array(runs), pa.array(kept, pa.binary())], [*own, "n_bytes", "n_removed", "n_spans", "kept"]
+            )
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
