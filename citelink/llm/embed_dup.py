@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import components, small, written
+from citelink.llm.common import components, lean, small, written
 
 COSINE = 0.95
 SEED = 41
@@ -110,6 +110,7 @@ def unit_rows(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np
 def _members(shared):
     """Of each vector: its raw bytes and its filters."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code: Code = shared.value
         for batch in batches:
@@ -129,6 +130,7 @@ def _members(shared):
     return run
 
 
+@lean
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each filter of a vector, with the filters before it as packed integers."""
     for batch in batches:
@@ -208,6 +210,7 @@ def _compared(cosine: float, kind: type):
                 forest.append((p, q))
         return many, forest
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides = None, ([], [])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import with_fields
+from citelink.llm.common import lean, with_fields
 
 # Elements of the HTML standard, by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -245,6 +245,7 @@ def main_text(page: str | None) -> str:
     return text_of(root)
 
 
+@lean
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import text_chunks, with_fields
+from citelink.llm.common import lean, text_chunks, with_fields
 
 UNKNOWN = "und"
 #: Byte n-grams of these lengths, hashed to so many presence bits each.
@@ -70,6 +70,7 @@ def kernel(bits: np.ndarray, model_bits: np.ndarray, sizes: np.ndarray, used: np
 def _partial(shared, langs: list[str]):
     """Of each batch: the sums that ridge regression needs, as (cell, value)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, sizes, used, root = shared.value
         m = len(sizes)
@@ -131,6 +132,7 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LA
 
 
 def _scored(shared):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         names = np.array(model.langs, object)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import with_fields, written
+from citelink.llm.common import lean, with_fields, written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -43,6 +43,7 @@ def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
 def _touched(bits: int, min_chars: int):
     """Of each input partition: by segment, the filter bits that its lines touch once, and those touched again."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[bytes] = []
@@ -62,6 +63,7 @@ def _touched(bits: int, min_chars: int):
     return run
 
 
+@lean
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by segment: the bits set at least twice. A bit of the once filter that comes again enters the twice filter."""
     now, once, twice = None, np.zeros(0, bool), np.zeros(0, bool)
@@ -98,6 +100,7 @@ def twice_filter(docs: DataFrame, min_chars: int = MIN_CHARS, bits: int | None =
 
 
 def _suspects(shared, min_chars: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
         for batch in batches:
@@ -126,6 +129,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
 
 
 def _without(min_chars: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import CHUNK_BYTES, components, dropped_table, mixed, only_ids, text_chunks, written
+from citelink.llm.common import CHUNK_BYTES, components, dropped_table, lean, mixed, only_ids, text_chunks, written
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -107,6 +107,7 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarr
 
 
 def _sketch(words: int, bands: int, rows: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n, data, offsets in text_chunks(batch.column(1)):
@@ -124,6 +125,7 @@ def _sketch(words: int, bands: int, rows: int):
 
 
 def _sets(words: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n, data, offsets in text_chunks(batch.column(1)):
@@ -133,6 +135,7 @@ def _sets(words: int):
 
 
 def _linked(percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -165,6 +168,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
 def _short_sets(words: int):
     """Shingle sets by 32 bits of each hash, sorted: half as long, and confirmed later where they say that a pair links."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n, data, offsets in text_chunks(batch.column(1)):
@@ -211,6 +215,7 @@ def _across(percent: int):
                     out.append((rows[i][0], rows[j][0]))
         return out
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sides = None, ([], [])
 

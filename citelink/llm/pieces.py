@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import mixed, text_chunks, with_fields
+from citelink.llm.common import lean, mixed, text_chunks, with_fields
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 29
@@ -242,6 +242,7 @@ def _pieces(proto: bytes, sharpness: float = SHARPNESS) -> Pieces:
 
 
 def _run(shared, sharpness: float, seed: int, digest: bool, decoded: bool = False):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared.value, sharpness)
         for batch in batches:
@@ -304,6 +305,7 @@ def digests(docs: DataFrame, model_path: str = MODEL_PATH, key: str = "doc_id",
 
 
 def _decoded(shared):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(shared.value)
         for batch in batches:
