@@ -125,7 +125,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     seen = written(docs.select("doc_id", "text").mapInArrow(_suspects(shared, min_chars), "doc_id bigint, k0 bigint, k1 bigint").where("doc_id is not null"), "suspects")
     per_doc = seen.groupBy("k0", "k1", "doc_id").agg(F.lit(1).alias("n"))
     confirmed = per_doc.groupBy("k0", "k1").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    return seen.join(confirmed.select("k0", "k1", "keeper"), ["k0", "k1"]).where("doc_id <> keeper").select("doc_id", "k0", "k1")
+    confirmed = written(confirmed.select("k0", "k1", "keeper"), "confirmed")  # as a table of its own the join below can split a very common line
+    return seen.join(confirmed, ["k0", "k1"]).where("doc_id <> keeper").select("doc_id", "k0", "k1")
 
 
 def _without(min_chars: int):
