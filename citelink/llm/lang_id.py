@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelink.llm.common import lean, text_chunks, with_fields
@@ -17,6 +17,8 @@ UNKNOWN = "und"
 GRAMS, GRAM_BITS = (1, 2, 3, 4), 14
 #: At most about so many labelled rows are fitted on, drawn by a hash; so many landmarks of each language.
 SAMPLE_ROWS, LANDMARKS = 8192, 16
+#: The commonest so many languages are learned.
+MOST_LANGS = 512
 RIDGE = 1e-3
 #: Bytes of text scored in one matrix product.
 SCORE_BYTES = 1 << 18
@@ -97,20 +99,19 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LA
     system as large as the landmarks.
     """
     labelled = labelled.where("text is not null and lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
-    counts = labelled.groupBy("lang").count()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
     total = counts.agg(F.sum("count")).first()[0]
     if not total:
         return None
     # rare languages keep more of their rows, so that each has its landmarks
     rate = F.least(F.lit(1.0), F.greatest(F.lit(sample_rows / total), F.lit(4.0 * landmarks) / F.col("count")))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63))
-    few = {r["lang"]: r["rate"] for r in counts.select("lang", rate.alias("rate")).collect()}  # as many as there are languages
+    few = {r["lang"]: r["rate"] for r in counts.select("lang", rate.alias("rate")).collect()}  # MOST_LANGS rows at most
     rates = F.coalesce(*(F.when(F.col("lang") == k, F.lit(float(v))) for k, v in few.items()))
     sample = labelled.withColumn("_place", place).where(F.col("_place") < rates)
     langs = sorted(few)
-    picked = []
-    for lang in langs:
-        picked += sample.where(F.col("lang") == lang).orderBy("_place", "doc_id", "text").select(F.substring("text", 1, 20_000).alias("text")).limit(landmarks).collect()
+    nearest = Window.partitionBy("lang").orderBy("_place", "doc_id", "text")
+    picked = sample.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= landmarks).orderBy("lang", "_n").select("text").collect()
     texts = pa.array([r["text"] for r in picked])
     bits = np.vstack([presence(data, offsets) for _, _, data, offsets in text_chunks(texts)])
     used = np.flatnonzero(bits.any(0))
