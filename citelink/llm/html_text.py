@@ -260,7 +260,7 @@ def extract_text(pages: DataFrame, source: str = "html") -> DataFrame:
     Any page gives a text: null, empty and textless pages an empty one; broken markup is read as far as it goes. Pages
     that repeat give the same text each. A column already named text is replaced. Rows stay where they are: there is no shuffle.
     """
-    rest = [c for c in pages.columns if c not in (source, "text")]
+    rest = [c for c in pages.columns if c not in (source, "text", "_html")]
     plain = pages.select(*(F.col(f"`{c}`") for c in rest), F.col(source).alias("_html"))
     return plain.mapInArrow(_extracted, with_fields(plain, "text string", ("_html",)))
 

@@ -158,8 +158,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``lang_pred`` (a learned language, or "und" for a text without a letter, a null one or no model) and ``score`` (0 to 1).
 
     Only the text is read. Every text is scored whole; an empty table gives an empty result; a text of n-grams that
-    no landmark holds goes to the language with the highest intercept, at a low score.
+    no landmark holds goes to the language with the highest intercept, at a low score. Columns already so named are replaced.
     """
+    docs = docs.drop("lang_pred", "score", "_known")
     if model is None:
         return docs.withColumn("lang_pred", F.lit(UNKNOWN)).withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -160,8 +160,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     code points that occurs in at least ``min_docs`` documents goes with all its lines from every document
     but the one of largest doc_id. The rest is joined by a newline again. A null text stays null and counts as one
     empty line; a document whose lines all go is left with an empty text. Rows that repeat a doc_id count as one
-    document and are treated alike; rows without a doc_id neither count nor lose lines.
+    document and are treated alike; rows without a doc_id neither count nor lose lines. Columns already named as those added are replaced.
     """
+    docs = docs.drop("_drop", "_n_lines", "_n_dropped")
     gone = repeated_lines(docs, min_chars, min_docs, bits)
     by_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("k0", "k1")).alias("_drop"))
     both = docs.join(by_doc.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_drop")

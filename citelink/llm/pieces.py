@@ -280,7 +280,7 @@ def _run(shared, sharpness: float, seed: int, digest: bool, decoded: bool = Fals
 def _prepared(docs: DataFrame, key: str, text: str, model_path: str, drop: tuple[str, ...]):
     with open(model_path, "rb") as f:  # a vocabulary file beside the driver, about half a megabyte, goes to the executors as bytes
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
-    kept = [c for c in docs.columns if c not in drop]
+    kept = [c for c in docs.columns if c not in (*drop, "_text", "_key")]
     rows = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias("_text"), F.coalesce(F.col(key).cast("bigint"), F.lit(-1).cast("bigint")).alias("_key"))
     return shared, rows
 

@@ -185,3 +185,19 @@ def test_pipeline_mixes_near_its_targets(spark):
     taken = {r["source"]: r["n"] for r in corpus_pipeline.mixed_to_weights(spark, docs, "").groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
     targets = {r["source"]: r["target"] for r in mixing.mix(docs).select("source", "target").distinct().collect()}
     assert all(taken[s] == pytest.approx(t, rel=0.01) for s, t in targets.items())
+
+
+def test_columns_with_clashing_names(spark):
+    from citelink.llm import embed_dup, fingerprint, lang_id, line_dedup, mixing, near_dup, pii, suffix_dedup
+
+    docs = spark.createDataFrame([(1, "the and of to", "en", "a", 0), (2, None, None, None, None)], DOCS)
+    more = docs.selectExpr("*", *(f"1 as `{c}`" for c in ("_drop", "_n_lines", "_n_dropped", "lang_pred", "score", "_known", "_text", "_key", "size", "target", "taken", "n", "bucket", "a", "b", "id", "root", "rep", "key", "fp", "row", "spans", "pieces", "n_pieces", "_html", "kept", "component_id", "shard", "weight")))
+    model = lang_id.fit_on_documents(docs)
+    frames = [
+        line_dedup.dedup_lines(more), lang_id.predict(more, model), near_dup.near_duplicates(more), mixing.mix(more), pii.find_personal_data(more), fingerprint.edited_fingerprints(more), suffix_dedup.without_repeats(more), pieces.encode(more),
+        pieces.digests(more), html_text.extract_text(more.withColumnRenamed("text", "html")),
+    ]
+    assert all(f.count() == 2 for f in frames)
+    assert all(len(set(f.columns)) == len(f.columns) for f in frames)
+    vectors = spark.createDataFrame([(1, [1.0, 2.0], 5, 6)], "vec_id long, embedding array<double>, rep int, copies int")
+    assert embed_dup.near_vectors(vectors).count() == 1
