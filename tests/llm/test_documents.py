@@ -306,3 +306,21 @@ def test_language_id(spark):
 
 def test_text_is_hashed_as_utf8(spark):
     assert hashlib.sha256("é".encode()).hexdigest() == spark.sql("select sha2(cast('é' as binary), 256)").first()[0]
+
+
+def test_personal_data_finds_what_no_seed_matches(spark):
+    """Numbers of a card's form after a word that seeds follow are found though their check sum fails; after another word they are not."""
+    rng = random.Random(12)
+
+    def card(good):
+        while True:
+            d = [rng.randrange(10) for _ in range(16)]
+            if (sum(sum(divmod(c * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0) == good:
+                return "".join(map(str, d))
+
+    rows = [(i, f"{words(rng, 4)} account {card(True)}, and {words(rng, 4)}", None) for i in range(40)]
+    bad = card(False)
+    rows += [(50, f"her account {bad}. End", None), (51, f"the parcel {bad}. End", None)]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["seed"]) for s in r["spans"]] for r in pii.find_personal_data(table(spark, rows)).collect()}
+    assert got[50] == [("card", 12, 28, False)] and got[51] == []
+    assert all(len(got[i]) == 1 and got[i][0][3] for i in range(40))
