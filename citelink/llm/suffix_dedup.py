@@ -1,9 +1,10 @@
-"""Removal of repeated byte passages by induced sorting of sampled suffixes, spread over shards.
+"""Removal of repeated byte passages by content-defined sampling and grouping of hashes, spread over shards.
 
-A suffix sort of a whole corpus would move every byte many times. Here, as in induced sorting, only sampled suffixes are
-sorted, and the others follow from them. The samples are chosen by content, so that every string of LENGTH bytes holds at least
-one, at the same place wherever the string occurs; what a sample decides for the strings around it is induced. Shards are
-ranges of the samples' order; each is sorted in runs by tasks that hold a bounded part at a time.
+This replaces an external induced sort of suffixes: no suffix is ordered by its bytes, no common-prefix value is carried, and there
+are no queues, recursion or merges on disk. Of every string of LENGTH bytes the GRAM-byte gram of least hash is its sample
+(winnowing), so each such string holds at least one, at the same place wherever the string occurs. Samples are grouped
+by hash, and what one decides for the strings around it is found by the hashes of their contexts. Shards are ranges of the
+samples' hashes; tasks hold a bounded part at a time. The README has figures of an attempt to order all suffixes.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from citelink.llm.common import dropped_table, lean, mixed, text_chunks, written
 
 LENGTH, GRAM = 50, 24
-#: Text bytes whose samples share a shard, and samples that are sorted at a time.
+#: Text bytes whose samples share a shard, and samples that are grouped at a time.
 SHARD_BYTES, RUN = 8 << 20, 1 << 13
 #: Text bytes that a task samples at a time, and those after which it sends samples on.
 READ_BYTES, SEND_BYTES = 1 << 16, 4 << 20
@@ -31,7 +32,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(row, place, first, last, hash) of the sampled suffixes of UTF-8 rows.
+    """(row, place, first, last, hash) of the sampled grams of UTF-8 rows.
 
     Of the ``length - gram + 1`` grams in a string of ``length`` bytes the one of least hash is its sample (the first
     of equals). ``first`` to ``last`` are the starts of the strings that a sample decides. Places are in ``data``.
@@ -130,7 +131,7 @@ def _rows(kind: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 _ROWS = "shard int, kind int, blob binary"
-#: Kinds of rows: what a shard has to sort, and answers to texts, dealt by the texts' keys.
+#: Kinds of rows: what a shard has to group, and answers to texts, dealt by the texts' keys.
 _ASKED, _ANSWER = 0, 1
 
 
