@@ -101,15 +101,15 @@ def q_merge_external_parses(spark, sf):
 
 
 def q_assign_batches(spark, sf):
-    return parsing.assign_batches(T.citations(spark, sf).select("doc_id", "ref_no"), 8, buckets=16).groupBy("bucket", "batch").agg(F.count("*").alias("n"))
+    return parsing.assign_batches(T.citations(spark, sf, whole=True).select("doc_id", "ref_no"), 8, buckets=16).groupBy("bucket", "batch").agg(F.count("*").alias("n"))
 
 
 def q_parse_coverage(spark, sf):
     return reports.parse_coverage(parsing.parse_citations(T.citations_text(spark, sf)))
 
 
-def _works(spark, sf) -> DataFrame:
-    return stored(W.deduplicate_works(T.works_raw(spark, sf)), "works")
+def _works(spark, sf, whole: bool = False) -> DataFrame:
+    return stored(W.deduplicate_works(T.works_raw(spark, sf, whole)), "works")
 
 
 def q_works_merged(spark, sf):
@@ -141,13 +141,13 @@ def q_search_topk(spark, sf):
 
 
 def q_candidate_counts(spark, sf):
-    pairs = C.generate_candidates(T.citations(spark, sf), _works(spark, sf), stages=(1,))
+    pairs = C.generate_candidates(T.citations(spark, sf, whole=True), _works(spark, sf, whole=True))
     return W.candidate_counts(pairs)
 
 
 def q_staged_candidates(spark, sf):
     """Number of citations by the stage of the first of their hits, over all stages."""
-    pairs = C.generate_candidates(T.citations(spark, sf), _works(spark, sf))
+    pairs = C.generate_candidates(T.citations(spark, sf, whole=True), _works(spark, sf, whole=True))
     return pairs.groupBy("doc_id", "ref_no").agg(F.min("stage").alias("stage")).groupBy("stage").agg(F.count("*").alias("n"))
 
 
@@ -160,15 +160,15 @@ def q_doi_year_states(spark, sf):
 
 def q_field_states(spark, sf):
     """How often each combination of states occurs between citations and the works of their DOI or title."""
-    works = _works(spark, sf)
-    pairs = C.with_works(C.lookup_keys(T.citations(spark, sf)).join(works.where("norm_title <> ''").select("norm_title", "work_key"), "norm_title"), works)
+    works = _works(spark, sf, whole=True)
+    pairs = C.with_works(C.lookup_keys(T.citations(spark, sf, whole=True)).join(works.where("norm_title <> ''").select("norm_title", "work_key"), "norm_title"), works)
     return compare.build_field_states(pairs).groupBy(*(F.col(f"states.{f}").alias(f) for f in compare.FIELDS)).agg(F.count("*").alias("n"))
 
 
 def q_title_measures(spark, sf):
     """Similarity measures between each citation's title and its record's."""
-    base = T.base(spark, sf).select("work_id", F.col("title").alias("w_title"), F.col("authors").alias("w_authors"))
-    pairs = T.citations(spark, sf).join(base, "work_id")
+    base = T.base(spark, sf, whole=True).select("work_id", F.col("title").alias("w_title"), F.col("authors").alias("w_authors"))
+    pairs = T.citations(spark, sf, whole=True).join(base, "work_id")
     a, b = normalize.normalize_text(F.col("title")), normalize.normalize_text(F.col("w_title"))
     return pairs.select("work_id", similarity.fuzz_ratio(a, b).alias("ratio"), similarity.token_sort_ratio(a, b).alias("sorted_ratio"), similarity.token_set_ratio(a, b).alias("set_ratio"), similarity.title_similarity(F.col("title"), F.col("w_title")).alias("similarity"), similarity.title_identity(F.col("title"), F.col("w_title")).alias("identity"), similarity.author_similarity(F.col("authors"), F.col("w_authors")).alias("authors"))
 
@@ -247,13 +247,13 @@ def q_usage_summary(spark, sf):
 
 def q_verify(spark, sf):
     """Results of the whole verification: each citation's status and best match."""
-    results = verify(T.citations(spark, sf), _works(spark, sf))
+    results = verify(T.citations(spark, sf, whole=True), _works(spark, sf, whole=True))
     return results.select("doc_id", "ref_no", "status", "source", F.col("best_match.title").alias("matched_title"), F.col("best_match.weighted_score").alias("score"))
 
 
 def q_verify_documents(spark, sf):
     """The whole way from documents with reference sections to verdicts."""
-    results = verify_documents(T.documents_with_references(spark, sf), T.works_raw(spark, sf))
+    results = verify_documents(T.documents_with_references(spark, sf, whole=True), T.works_raw(spark, sf, whole=True))
     return results.select("doc_id", "ref_no", "parse_style", "status", F.col("best_match.title").alias("matched_title"))
 
 
@@ -262,10 +262,10 @@ def q_verify_stream(spark, sf):
     import uuid
 
 
-    cites = stored(T.citations_text(spark, sf).select("doc_id", "ref_no", "original_reference"), "arrived")
+    cites = stored(T.citations_text(spark, sf, whole=True).select("doc_id", "ref_no", "original_reference"), "arrived")
     root = cites.inputFiles()[0].rsplit("/", 2)[0] + f"/stream-{uuid.uuid4().hex}"
     cites.write.json(f"{root}/in")
-    query = verify_stream(spark, f"{root}/in", _works(spark, sf), f"{root}/out", f"{root}/pools", f"{root}/state")
+    query = verify_stream(spark, f"{root}/in", _works(spark, sf, whole=True), f"{root}/out", f"{root}/pools", f"{root}/state")
     query.awaitTermination()
     return spark.read.parquet(f"{root}/out").select("doc_id", "ref_no", "status", F.col("best_match.title").alias("matched_title"))
 

@@ -1,6 +1,7 @@
 """Records and citations derived from the documents table, so that every job runs on data that grows with it.
 
-Each function has its SQL counterpart in ``SQL``: the same formulas as common table expressions.
+Each function has its SQL counterpart in ``SQL``: the same formulas as common table expressions, over a quarter of the records and
+titles of 120 code points. Queries without SQL take ``whole``: a citation of every record, with its whole first sentence.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ def _author(doc: Column, m: int) -> Column:
     return F.concat(F.char(65 + (doc * m) % 26), F.lit(". "), surname)
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """One record for each document whose first sentence makes a title of 12 characters or more."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    title = F.trim(F.substring(F.regexp_extract("text", r"^[^.\n]*", 0), 1, 120))
+    sentence = F.regexp_extract("text", r"^[^.\n]*", 0)
+    title = F.trim(sentence if whole else F.substring(sentence, 1, 120))
     doc = F.col("doc_id")
     return docs.withColumn("title", title).where(F.length("title") >= 12).select(
         doc.alias("work_id"),
@@ -32,10 +34,10 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def works_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def works_raw(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The records as several sources have them, with fields missing here and there."""
     i = F.col("i")
-    rows = base(spark, sf_dir).withColumn("i", F.explode(F.array(*map(F.lit, range(len(SOURCES)))))).where((F.col("work_id") + i) % 3 != 0)
+    rows = base(spark, sf_dir, whole).withColumn("i", F.explode(F.array(*map(F.lit, range(len(SOURCES)))))).where((F.col("work_id") + i) % 3 != 0)
     return rows.select(
         "work_id",
         "title",
@@ -48,13 +50,19 @@ def works_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quarter of the records as parsed citations, each changed in one of eight ways."""
-    doc, p = F.col("work_id"), F.expr("(work_id div 4) % 8")
-    rows = base(spark, sf_dir).where(doc % 4 == 0).withColumn("p", p)
+def _step(whole: bool) -> int:
+    """Every how many-th record has a citation; ten citations make a document."""
+    return 1 if whole else 4
+
+
+def citations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """A quarter of the records (all, if ``whole``) as parsed citations, each changed in one of eight ways."""
+    step = _step(whole)
+    doc, p = F.col("work_id"), F.expr(f"(work_id div {step}) % 8")
+    rows = base(spark, sf_dir, whole).where(doc % step == 0).withColumn("p", p)
     return rows.select(
-        F.expr("work_id div 40").alias("doc_id"),
-        F.expr("int((work_id % 40) div 4) + 1").alias("ref_no"),
+        F.expr(f"work_id div {10 * step}").alias("doc_id"),
+        F.expr(f"int((work_id % {10 * step}) div {step}) + 1").alias("ref_no"),
         "work_id",
         F.lit("citation").alias("original_reference"),
         F.when(p == 4, F.array_join(F.slice(F.split("title", " "), 1, 3), " ")).when(p == 7, F.regexp_replace("title", "^([^ ]*) ", "$1")).otherwise(F.col("title")).alias("title"),
@@ -70,9 +78,10 @@ def plain_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z ]", ""), " +", " "))
 
 
-def citations_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def citations_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Citations written as text in four styles and one that no style fits, with the fields they were made of."""
-    rows = base(spark, sf_dir).where("work_id % 4 = 0").withColumn("t", F.concat(plain_title(F.col("title")), F.lit(" study"))).where("length(t) >= 18").withColumn("q", F.expr("(work_id div 4) % 5"))
+    step = _step(whole)
+    rows = base(spark, sf_dir, whole).where(f"work_id % {step} = 0").withColumn("t", F.concat(plain_title(F.col("title")), F.lit(" study"))).where("length(t) >= 18").withColumn("q", F.expr(f"(work_id div {step}) % 5"))
     year = F.col("year").cast("string")
     last = F.transform("authors", lambda a: F.concat(F.substring(a, 4, 20), F.lit(", "), F.substring(a, 1, 2)))
     bare = F.transform("authors", lambda a: F.concat(F.substring(a, 4, 20), F.lit(" "), F.substring(a, 1, 1)))
@@ -84,16 +93,18 @@ def citations_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("q") == 3, F.concat(F.array_join("authors", ", "), F.lit(", "), "t", F.lit(", "), "venue", F.lit(", "), year, doi))
         .otherwise(F.concat(F.lower("t"), F.lit(" "), year))
     )
-    return rows.select(F.expr("work_id div 40").alias("doc_id"), F.expr("int((work_id % 40) div 4) + 1").alias("ref_no"), "work_id", "q", "t", "authors", "year", "venue", "doi", text.alias("original_reference"))
+    return rows.select(F.expr(f"work_id div {10 * step}").alias("doc_id"), F.expr(f"int((work_id % {10 * step}) div {step}) + 1").alias("ref_no"), "work_id", "q", "t", "authors", "year", "venue", "doi", text.alias("original_reference"))
 
 
-def documents_with_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents (doc_id, style, text): a body, a reference section in one of three numbering styles, and an appendix."""
-    cites = citations_text(spark, sf_dir).where("length(original_reference) > 25")
+def documents_with_references(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Documents (doc_id, style, text): the document's own text, a reference section in one of three numbering styles, and an appendix."""
+    cites = citations_text(spark, sf_dir, whole).where("length(original_reference) > 25")
     lines = cites.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ref_no", "original_reference"))).alias("c")).where("size(c) >= 2").withColumn("style", F.col("doc_id") % 3)
     mark = F.when(F.col("style") == 0, F.concat(F.lit("["), F.lit("%d"), F.lit("] "))).when(F.col("style") == 1, F.lit("%d. ")).otherwise(F.lit("%d) "))
     numbered = F.transform("c", lambda x, i: F.concat(F.replace(mark, F.lit("%d"), (i + 1).cast("string")), x["original_reference"]))
-    text = F.concat(F.lit("Body of the text.\nReferences to earlier work are below.\nReferences\n"), F.array_join(numbered, "\n"), F.lit("\nAppendix\nmore text that is not a citation"))
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    lines = lines.join(own, "doc_id", "left")
+    text = F.concat(F.coalesce("body", F.lit("")), F.lit("\nReferences to earlier work are below.\nReferences\n"), F.array_join(numbered, "\n"), F.lit("\nAppendix\nmore text that is not a citation"))
     return lines.select("doc_id", "style", text.alias("text"))
 
 

@@ -60,6 +60,19 @@ def test_verification_finds_the_changed_citations(spark):
             assert r["status"] in ("VERIFIED", "UNCERTAIN", "PENDING_AI") and r["best_match"]["weighted_score"] == 100
 
 
+def test_whole_citations_and_documents(spark):
+    """Every record has a citation with its whole first sentence, and documents keep their own text as body."""
+    records, cites = testbed.base(spark, SF, whole=True), testbed.citations(spark, SF, whole=True)
+    assert cites.count() == records.count() and cites.select("doc_id", "ref_no").distinct().count() == records.count()
+    assert cites.agg(F.max(F.length("title"))).first()[0] > 120
+    own = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.col("text").alias("own"))
+    for whole in (False, True):
+        docs = testbed.documents_with_references(spark, SF, whole)
+        assert docs.join(own, "doc_id").where("startswith(text, own)").count() == docs.count() > 0
+    assert testbed.documents_with_references(spark, SF, whole=True).count() > testbed.documents_with_references(spark, SF).count()
+    assert {r["doc_id"] for r in QUERIES["candidate_counts"](spark, SF).select("doc_id").distinct().collect()} == {r["doc_id"] for r in cites.select("doc_id").distinct().collect()}
+
+
 def test_citation_without_hits_and_blank_one(spark):
     rows = [(1, 1, "x", "Zzzz qqqq xxxx wwww", ["Qqqx Zzzx"], 2000, None, None), (1, 2, "  ", None, [], None, None, None)]
     cites = spark.createDataFrame(rows, "doc_id long, ref_no int, original_reference string, title string, authors array<string>, year int, venue string, doi string")
