@@ -173,9 +173,9 @@ def q_title_measures(spark, sf):
     return pairs.select("work_id", similarity.fuzz_ratio(a, b).alias("ratio"), similarity.token_sort_ratio(a, b).alias("sorted_ratio"), similarity.token_set_ratio(a, b).alias("set_ratio"), similarity.title_similarity(F.col("title"), F.col("w_title")).alias("similarity"), similarity.title_identity(F.col("title"), F.col("w_title")).alias("identity"), similarity.author_similarity(F.col("authors"), F.col("w_authors")).alias("authors"))
 
 
-def judged_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Citations, and pairs with scores and states by formula, so that ranking and decisions can be checked by SQL."""
-    cites = T.citations(spark, sf_dir)
+def judged_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Citations, and pairs with scores and states by formula, so that ranking and decisions can be checked by SQL. A fifth of the citations have no pair."""
+    cites = T.citations(spark, sf_dir, whole)
     k, w = F.col("k"), F.col("work_id")
 
     def state(values: tuple[str, ...], a: int, b: int) -> Column:
@@ -192,8 +192,8 @@ def judged_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return cites, pairs
 
 
-def _decided(spark, sf) -> DataFrame:
-    cites, pairs = judged_pairs(spark, sf)
+def _decided(spark, sf, whole: bool = False) -> DataFrame:
+    cites, pairs = judged_pairs(spark, sf, whole)
     return D.route(D.decide(cites, pairs))
 
 
@@ -238,7 +238,7 @@ def q_status_summary(spark, sf):
 
 
 def q_text_report(spark, sf):
-    return reports.text_report(_decided(spark, sf)).select("doc_id", "ref_no", F.size(F.split("block", "\n")).cast("bigint").alias("n_lines"), F.md5(F.col("block").cast("binary")).alias("block_md5"))
+    return reports.text_report(_decided(spark, sf, whole=True)).select("doc_id", "ref_no", F.size(F.split("block", "\n")).cast("bigint").alias("n_lines"), F.md5(F.col("block").cast("binary")).alias("block_md5"))
 
 
 def q_usage_summary(spark, sf):

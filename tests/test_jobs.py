@@ -70,6 +70,7 @@ def test_whole_citations_and_documents(spark):
         docs = testbed.documents_with_references(spark, SF, whole)
         assert docs.join(own, "doc_id").where("startswith(text, own)").count() == docs.count() > 0
     assert testbed.documents_with_references(spark, SF, whole=True).count() > testbed.documents_with_references(spark, SF).count()
+    assert QUERIES["text_report"](spark, SF).count() == records.count()
     assert {r["doc_id"] for r in QUERIES["candidate_counts"](spark, SF).select("doc_id").distinct().collect()} == {r["doc_id"] for r in cites.select("doc_id").distinct().collect()}
 
 
