@@ -16,8 +16,10 @@ DOI_SOURCES = ("Crossref", "OpenAlex", "Semantic Scholar")
 TEXT_SOURCES = ("Crossref", "OpenAlex")
 CAPS = {1: 50, 2: 50, 3: 50, 4: 30, 5: 30, 6: 20}
 STRONG_TITLE, STRONG_AUTHORS = 95, 90
-#: A token in more works of a source than this finds works only if it is among a query's rarest so many.
+#: A token in more works of a source than this, and not among a query's rarest so many, finds works only where that can change the result.
 MOST_COMMON, RAREST = 50_000, 3
+#: Parts into which the works of such a token are split.
+SALTS = 32
 
 
 def lookup_keys(cites: DataFrame) -> DataFrame:
@@ -127,9 +129,11 @@ def postings(works: DataFrame) -> DataFrame:
 def search_topk(queries: DataFrame, works: DataFrame, caps: dict[int, int] | None = None, most_common: int = MOST_COMMON) -> DataFrame:
     """(lookup_key, source, place, stage, work_key, score, hit_no): the best works of each search.
 
-    A work scores the rarities of the query's words in it, in thousandths so that sums are exact. Very common words find
-    works only where they are among a query's three rarest, so no word's whole list meets every query; queries and
-    lists meet in an equi-join on source and word, and only sums are shuffled after that.
+    A work scores the rarities of the query's words in it, in thousandths so that sums are exact. ``most_common`` changes the
+    work, never the result: a query's rarer words find works first. If these fill the cap with scores above all that the
+    query's common words can give together, no work of common words alone is among the best, so those words' rarities are
+    only added to the works found; else they find works too, with their lists split by a salt. Queries and
+    lists meet in equi-joins on source and word, and only sums are shuffled after that.
     """
     caps = caps or CAPS
     own = ("lookup_key", "source", "place", "stage", "fields")
@@ -139,13 +143,42 @@ def search_topk(queries: DataFrame, works: DataFrame, caps: dict[int, int] | Non
     rarity = counts.select("source", "fields", "token", "df", F.floor(1000 * F.log(1 + F.col("n_works") / F.col("df"))).cast("bigint").alias("rarity"))
     words = queries.select(*own, F.explode(F.array_distinct(_words(F.col("text")))).alias("token")).join(rarity, ["source", "fields", "token"])
     order = Window.partitionBy(*own).orderBy("df", "token")
-    used = words.withColumn("_place", F.row_number().over(order)).where((F.col("df") <= most_common) | (F.col("_place") <= RAREST)).drop("_place", "df")
-    scored = used.join(listed, ["source", "fields", "token"]).groupBy(*own, "work_key").agg(F.sum("rarity").alias("score"))
-    best = Window.partitionBy(*own).orderBy(F.desc("score"), "work_key")
+    finds = (F.col("df") <= most_common) | (F.col("_place") <= RAREST)
+    placed = stored(words.withColumn("_place", F.row_number().over(order)).select(*own, "token", "rarity", (F.col("df") > most_common).alias("common"), finds.alias("finds")), "words")
     cap = F.coalesce(*(F.when(F.col("stage") == s, F.lit(k)) for s, k in caps.items()))
+    scored = _found(placed.where("finds"), listed, own)
+    if not placed.where("not finds").isEmpty():
+        scored = _with_common_words(placed, listed, stored(scored, "found"), own, cap)
+    best = Window.partitionBy(*own).orderBy(F.desc("score"), "work_key")
     return scored.withColumn("hit_no", F.row_number().over(best)).where(F.col("hit_no") <= cap).drop("fields")
 
 
+def _found(words: DataFrame, listed: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """The works of each query that hold any of its words, with the sum of these words' rarities; lists of common words are split by a salt."""
+    on = ["source", "fields", "token"]
+    met = words.where("not common").join(listed, on).select(*own, "work_key", "rarity")
+    common = words.where("common")
+    salted = common.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lists = listed.join(common.select(*on).distinct(), on, "left_semi").withColumn("_salt", F.pmod(F.xxhash64("work_key"), F.lit(SALTS)).cast("int"))
+    met = met.unionByName(salted.join(lists, [*on, "_salt"]).select(*own, "work_key", "rarity"))
+    return met.groupBy(*own, "work_key").agg(F.sum("rarity").alias("score"))
+
+
+def _with_common_words(words: DataFrame, listed: DataFrame, found: DataFrame, own: tuple[str, ...], cap: Column) -> DataFrame:
+    """``found`` with the rarities of the words that did not find, and the works which only these find where they can be among the best."""
+    rest = words.where("not finds")
+    best = Window.partitionBy(*own).orderBy(F.desc("score"), "work_key")
+    floor = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == cap).select(*own, F.col("score").alias("_floor"))
+    bounds = rest.groupBy(*own).agg(F.sum("rarity").alias("_most")).join(floor, list(own), "left")
+    bounds = stored(bounds.withColumn("_open", F.coalesce(F.col("_floor") <= F.col("_most"), F.lit(True))), "bounds")
+    wanted = _found(rest.join(bounds.where("_open").select(*own), list(own), "left_semi"), listed, own)
+    near = found.join(bounds.where("not _open"), list(own)).where("score + _most >= _floor").select(*own, "work_key")
+    asked = near.join(rest.select(*own, "token", "rarity"), list(own))
+    added = asked.join(listed, ["source", "fields", "token", "work_key"]).select(*own, "work_key", F.col("rarity").alias("score"))
+    every = found.unionByName(wanted).unionByName(added)
+    return every.groupBy(*own, "work_key").agg(F.sum("score").alias("score"))
+
+
 def strong_matches(pairs: DataFrame) -> DataFrame:
     """``pairs`` with ``strong``: equal DOIs, or nearly equal titles (95) with very similar authors (90)."""
     same = (F.col("norm_doi") != "") & (F.col("norm_doi") == F.col("w_norm_doi"))

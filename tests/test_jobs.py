@@ -1,5 +1,9 @@
 """Whole jobs on the given tables and on small ones: each registered query against its SQL, and what SQL does not say."""
 
+import math
+import random
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +126,25 @@ def test_common_words_still_find_works(spark):
         assert [h["hit_no"] for h in hits] == [1, 2, 3, 4, 5] and all(int(h["work_key"][1:]) % 3 == 1 for h in hits)
 
 
+def test_common_words_change_no_result(spark):
+    """Whatever counts as a common word, hits and scores are those of a plain search by all words."""
+    rng = random.Random(3)
+    pick = lambda n: list(dict.fromkeys(rng.choices([f"c{i}" for i in range(6)] + [f"r{i}" for i in range(40)], [20] * 6 + [1] * 40, k=n)))
+    titles = {f"w{i:03}": pick(8) for i in range(200)}
+    asked = {f"q{i}": pick(rng.choice([3, 6, 9])) for i in range(30)} | {"common": [f"c{i}" for i in range(6)], "odd": ["none", "c1", "r1", "c2", "c3", "c4", "c5"]}
+    known = spark.createDataFrame([(k, " ".join(t), ["A"], ["Crossref"]) for k, t in titles.items()], "work_key string, norm_title string, authors array<string>, sources array<string>")
+    queries = spark.createDataFrame([(q, "Crossref", 0, 1, "title", " ".join(t)) for q, t in asked.items()], "lookup_key string, source string, place int, stage int, fields string, text string")
+    df = Counter(t for title in titles.values() for t in title)
+    for cap in (5, 150):
+        want = []
+        for q, text in asked.items():
+            scores = {k: sum(math.floor(1000 * math.log(1 + len(titles) / df[t])) for t in set(text) & set(title)) for k, title in titles.items() if set(text) & set(title)}
+            want += [(q, k, s, n) for n, (k, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:cap], 1)]
+        for most in (0, 12, 60, 1000):
+            got = candidates.search_topk(queries, known, {1: cap}, most_common=most).select("lookup_key", "work_key", "score", "hit_no").collect()
+            assert sorted(map(tuple, got)) == sorted(want), (cap, most)
+
+
 def test_failed_batches_get_the_rules_verdict(spark):
     cites, pairs = judged_pairs(spark, SF)
     results = decision.route(decision.decide(cites, pairs)).withColumn("failed", F.lit(True))
