@@ -16,6 +16,9 @@ from citelink.llm import lang_id, line_dedup, mixing, near_dup, pieces
 from citelink.llm.common import read_table, written
 
 
+#: Likeness from which two documents are one, in percent, and bands: a pair at 0.80 shares no bucket with probability (1 - 0.80**5)**36 < 1e-6.
+NEAR_PERCENT, NEAR_BANDS = 80, 36
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -52,7 +55,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 @_aside
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of least doc_id stays. Rows that share that doc_id are one document and stay."""
-    kept = near_dup.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = near_dup.near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS).where("kept").select("doc_id").distinct()
     return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
 
 

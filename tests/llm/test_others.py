@@ -178,6 +178,17 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert third.where("doc_id = 60").count() == 0 and third.where("doc_id = 0").count() == 1
 
 
+def test_pipeline_links_from_four_fifths(spark):
+    """Of pairs with 80 of 100 shingles in common one document stays, of pairs with 79 of 100 both."""
+    rows = []
+    for k in range(20):
+        text = [f"w{k}x{j}" for j in range(104)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(text[: 84 - k % 2]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()}
+    assert got == {i for i, _ in rows if i % 4 != 1}
+
+
 def test_pipeline_mixes_near_its_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     from citelink.llm import mixing
