@@ -9,25 +9,40 @@ from citelink.llm.common import written
 
 #: Lanes of 32 bits that sum the hashes of whole paragraphs.
 WHOLE = 4
-#: Words of a run; a paragraph's runs start anew with it.
+#: Words of a run (code points, in a paragraph without blanks); runs overlap and don't go beyond their paragraph.
 RUN_WORDS = 8
-#: Longs of three 20-bit lanes that count, over all runs, the set bits of the runs' hashes.
-LONGS, LANE, PER_LONG = 20, 20, 3
+#: Longs of two 30-bit lanes that count, over all runs, the set bits of the runs' hashes.
+LONGS, LANE, PER_LONG = 30, 30, 2
 _ONES = sum(1 << (LANE * k) for k in range(PER_LONG))
 _M32, _M60 = 1 << 32, 1 << 60
 
 
+def _runs(paragraph: Column) -> Column:
+    """The hashes of a paragraph's runs."""
+
+    def hashed(units: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(units) - (RUN_WORDS - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(units, i, RUN_WORDS)))
+
+    words = F.regexp_extract_all(paragraph, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    one = F.element_at(words, 1)
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(words) > 1, hashed(words)).when(F.size(words) == 1, hashed(F.split(one, ""))).otherwise(none)
+
+
 def fingerprint(text: Column) -> Column:
     """A vector of WHOLE + 1 + LONGS bigints, the sum of one vector for each paragraph (line) of the text.
 
     A paragraph gives two 64-bit hashes in 32-bit lanes summed modulo 2**32, the number of its word runs, and for each
     of 60 bits how many of its runs' hashes have it set. Sums don't depend on order; equal texts, and
     texts of the same paragraphs in any order, have equal vectors. Null is as empty: one paragraph without runs.
-    Over a million runs the bit counts carry into each other; they stay equal for equal texts.
+    Every RUN_WORDS neighbouring words are a run, so that a word more or less changes only the runs that hold it; a paragraph of
+    fewer words is one run. Words end at ASCII white space; where a paragraph has one word only, its code points stand for words.
+    Over 2**30 runs the bit counts carry into each other; they stay equal for equal texts.
     """
     text = F.coalesce(text, F.lit(""))
     whole = F.transform(F.split(text, "\n", -1), lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit("2"), p).alias("b")))
-    runs = F.transform(F.regexp_extract_all(text, F.lit(rf"(?:[^ \n]+ *){{1,{RUN_WORDS}}}"), F.lit(0)), lambda r: F.xxhash64(F.rtrim(r)))
+    runs = F.flatten(F.transform(F.split(text, "\n", -1), _runs))
     zero = F.lit(0).cast("bigint")
     low, high = (lambda h: h.bitwiseAND(F.lit(_M32 - 1))), (lambda h: F.shiftrightunsigned(h, 32))
     start = F.struct(*(zero.alias(f"w{i}") for i in range(WHOLE)))

@@ -176,6 +176,18 @@ def test_fingerprints(spark):
     assert re.fullmatch("[0-9a-f]+", row["text"])
 
 
+def test_likeness_of_shifted_texts(spark):
+    """A word less at the start of a line, tabs in place of blanks, and a line without blanks leave near copies alike."""
+    rng = random.Random(2)
+    line, other = words(rng, 400, 9999), words(rng, 400, 9999)
+    solid, end = ("".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(n)) for n in (400, 100))
+    tabs = line.replace(" ", "\t")
+    pairs = [(line, line.split(" ", 1)[1]), (tabs, tabs.split("\t", 1)[1]), (solid, solid[1:]), (solid, solid[:300] + end), (line, other)]
+    a, b = fingerprint.fingerprint(F.col("a")), fingerprint.fingerprint(F.col("b"))
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(fingerprint.likeness(a, b, fingerprint.centred(a), fingerprint.centred(b))).collect()]
+    assert min(got[:3]) > 0.95 and 0.5 < got[3] < 0.95 and got[4] < 0.5
+
+
 def test_edited_fingerprints(spark, mixed_rows):
     rng = random.Random(8)
     rows = [(i * 3, t, s) for i, t, s in mixed_rows]
