@@ -40,8 +40,15 @@ def _aside(stage):
 
 @_aside
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null texts and texts without a letter) go; the others stay as they are."""
-    scored = lang_id.predict(docs, lang_id.fit_on_documents(docs))
+    """Documents without a language (null texts and texts without a letter) go; the others stay as they are.
+
+    These are what ``predict`` calls "und"; which language it predicts, and its score, reject nothing. Where no document says its language,
+    there is no model, and the same texts go.
+    """
+    model = lang_id.fit_on_documents(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    scored = lang_id.predict(docs, model)
     return scored.where(F.col("lang_pred") != lang_id.UNKNOWN).select(*docs.columns)
 
 

@@ -1,13 +1,15 @@
 """Vectors, pages, pieces and the pipeline against plain versions."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from citelink.llm import embed_dup, html_text, pieces
+from citelink.llm import embed_dup, html_text, mixing, pieces
+from test_documents import brute_lines, shingles, union_find
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -178,6 +180,32 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     assert third.where("doc_id = 60").count() == 0 and third.where("doc_id = 0").count() == 1
 
 
+@pytest.mark.parametrize("lang", ["en", None])
+def test_pipeline_equals_plain_stages(spark, tmp_path, lang):
+    """The whole run against plain versions of its stages; how many words the mix takes is asked of the mix, on the plain third stage's rows."""
+    rng = random.Random(4)
+    line = "A line that very many of the documents share among them."
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(20, 60))) + ("\n" + line if i % 2 else ""), f"s{i % 3}") for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " more", "s1") for i in range(0, 12, 2)] + [(200, None, "s0"), (201, "", "s0"), (202, "12 34", "s1"), (203, line, "s2")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, lang, s, len(t or "")) for i, t, s in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    left = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    lines = brute_lines(left)
+    left = [(i, lines[i][0], s) for i, _, s in left if not lines[i][2] or lines[i][0]]
+    sets = {i: shingles(t) for i, t, _ in left}
+    root = union_find([(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])], sets)
+    left = [r for r in left if root[r[0]] == r[0]]
+    takes = mixing.mix(spark.createDataFrame([(i, t, lang, s, len(t)) for i, t, s in left], schema)).collect()
+    text, want = {i: t for i, t, _ in left}, []
+    for r in takes:
+        whole, rest = divmod(r["taken"], r["size"]) if r["taken"] else (0, 0)
+        want += [(r["doc_id"], text[r["doc_id"]])] * whole
+        want += [(r["doc_id"], re.match(r"(?:\s*\S+){%d}" % rest, text[r["doc_id"]])[0])] if rest else []
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "text", "n_chars", "n_pieces").collect()
+    assert want and sorted((r["doc_id"], r["text"]) for r in got) == sorted(want)
+    assert all(r["n_chars"] == len(r["text"]) and r["n_pieces"] > 0 for r in got)
+
+
 def test_pipeline_links_from_four_fifths(spark):
     """Of pairs with 80 of 100 shingles in common one document stays, of pairs with 79 of 100 both."""
     rows = []
