@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
@@ -16,8 +17,10 @@ from citelink.llm.common import lean, with_fields
 # Elements of the HTML standard, by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object select xmp noframes noembed".split())
-#: Elements that are never part of an article, whatever their density.
-APART = frozenset("nav footer aside form button dialog menu head script style noscript template textarea title svg math iframe object select canvas audio video map datalist xmp noframes noembed".split())
+#: Raw elements that reach to the page's end where their end tag is missing; of the others such a start tag counts for nothing.
+OPEN_RAW = frozenset("script style textarea title iframe xmp noframes noembed".split())
+#: Elements that are no part of an article; one that holds the article after all (an end tag is missing) stays.
+APART = frozenset("nav footer aside button dialog menu canvas audio video map datalist".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -27,117 +30,204 @@ IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
 }
-#: Words of class, id or role that name what surrounds an article.
-SURROUND = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|rail|widget\w*|footer|foot|masthead|topbar|header|site-header|page-header|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommend\w*|pagination|pager|toolbar|skip-link|search|complementary|contentinfo|copyright|disclaimer|legal)(?=$|[\s_\d-])",
-    re.I,
+# Words in names (class, id, role), as hints only: what surrounds an article; words that say so unless the name also has a word of
+# content; reader comments; words of content; and words that make a name speak of a layout instead of the element itself.
+SURROUND = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar rail footer masthead topbar cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended recommendations pagination pager toolbar skip complementary contentinfo".split()
 )
-#: A comment, a declaration, or a tag; the last form takes tags whose quotes don't match.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?:(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<torn>[^>]*)>)", re.S)
+VAGUE = frozenset("alert banner copyright disclaimer foot legal notice notices promo promos promotion promotions search widget widgets".split())
+HEADER = frozenset({"header"})
+COMMENTS = frozenset("comment comments commentlist commentbox disqus replies reply respond".split())
+CONTENT = frozenset("article body content entry main post section story text title".split())
+LAYOUT = frozenset("has is no not with without".split())
+#: A comment, a declaration, or the start of a tag.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)", re.S)
+STOP = re.compile("[>\"']")
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
 
+#: How an element is hinted to stand apart: by its tag, by a plain name for what surrounds or for comments, or by a longer name or an attribute.
+BY_TAG, BY_PLAIN_NAME, BY_NAME = 1, 2, 3
+
 
 class Node:
-    __slots__ = ("chars", "content", "density", "inside", "link_chars", "link_tags", "parent", "parts", "summed", "tag", "tags")
+    __slots__ = ("chars", "content", "density", "depth", "hint", "inside", "link_chars", "link_tags", "parent", "parts", "summed", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.parts = tag, parent, []
+    def __init__(self, tag: str, parent: Node | None, hint: int = 0):
+        self.tag, self.parent, self.parts, self.hint = tag, parent, [], hint
+        self.depth = parent.depth + 1 if parent is not None else 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.summed = 0.0
         self.content = self.inside = False
 
 
-def _apart(tag: str, rest: str, in_article: bool) -> bool:
-    """Whether an element and all in it surrounds the article: by its tag, or by what class, id or role call it."""
-    if tag in APART or (tag == "header" and not in_article):
-        return True
-    if "=" not in rest and "hidden" not in rest.lower() or tag in ("html", "body", "main", "article"):
-        return False
+def _name_hint(value: str, in_article: bool) -> int:
+    """What the names in a class, id or role attribute say about their element."""
+    for name in value.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        every = {*words, *(a + b for a, b in zip(words, words[1:], strict=False))}
+        if every & LAYOUT:
+            continue
+        if every & COMMENTS or (len(words) == 1 and every & SURROUND):
+            return BY_PLAIN_NAME
+        if every & SURROUND or (not every & CONTENT and every & (VAGUE if in_article else VAGUE | HEADER)):
+            return BY_NAME
+    return 0
+
+
+def _hint(tag: str, rest: str, in_article: bool) -> int:
+    """Whether an element seems to stand apart from the article, by its tag or by its attributes."""
+    if tag in APART:
+        return BY_TAG
+    if tag == "form" or (tag == "header" and not in_article):
+        return BY_NAME
+    if "=" not in rest and "hidden" not in rest.lower() or tag in ("html", "body", "main"):
+        return 0
+    found = 0
     for name, a, b, c in NAMED.findall(rest):
         name, value = name.lower(), a or b or c
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-            return True
-        if name in ("class", "id", "role") and SURROUND.search(value):
-            return True
-    return False
+            found = found or BY_NAME
+        elif name in ("class", "id", "role"):
+            found = found or _name_hint(value, in_article)
+    return found if tag != "article" or found == BY_PLAIN_NAME else 0
+
+
+class Tags:
+    """Reads a page's tags from left to right, each character a bounded number of times whatever the quotes in it."""
+
+    def __init__(self, page: str):
+        self.page, self.failed, self.absent = page, set(), set()
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose name stops at ``at``: the first > outside quotes, else (torn quotes) the first >; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        seen, pos = [], at
+        while pos <= self.last[">"]:
+            i = STOP.search(self.page, pos).start()
+            if self.page[i] == ">":
+                return i
+            seen.append(i)
+            if i in self.failed or i >= self.last[self.page[i]]:
+                break
+            pos = self.page.find(self.page[i], i + 1) + 1
+        self.failed.update(seen)  # a later tag that comes to one of these quotes finds no end either
+        return self.page.find(">", at)
+
+    def raw_end(self, at: int, tag: str) -> int:
+        """Where the text after a raw element goes on."""
+        m = None if tag in self.absent else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, at)
+        if m is None:
+            self.absent.add(tag)
+            return len(self.page) if tag in OPEN_RAW else at
+        return m.end()
 
 
 def parse(page: str) -> Node:
-    """The page's elements as a tree without what stands apart. Ends that are left out or wrong are mended."""
+    """The page's elements as a tree, without raw elements. Ends that are left out or wrong are mended. Takes linear time.
+
+    The open elements are kept by tag as well, so that whatever a tag ends is found without climbing the tree.
+    """
     root = Node("html", None)
-    at, now, end, skip, depth, articles = 0, root, len(page), None, 0, 0
+    tags, now, at, end = Tags(page), root, 0, len(page)
+    by_tag: dict[str, list[Node]] = {"html": [root]}
+    blocks = [root]
+
+    def close(last: Node) -> Node:
+        node = now
+        while True:
+            by_tag[node.tag].pop()
+            if blocks[-1] is node:
+                blocks.pop()
+            if node is last:
+                return node.parent
+            node = node.parent
+
     while at < end:
         m = TOKEN.search(page, at)
         stop = m.start() if m else end
-        if skip is None and stop > at:
+        if stop > at:
             now.parts.append(page[at:stop])
         if m is None:
             break
         at = m.end()
-        tag, ends, rest = m["tag"], m["end"], m["rest"] or m["torn"] or ""
+        tag, ends = m["tag"], m["end"]
         if tag is None:
             continue
         tag = tag.lower()
-        if skip is not None:  # inside an element that stands apart only its own tag counts
-            if tag == skip:
-                depth += -1 if ends else 0 if rest.endswith("/") and tag in VOID else 1
-                if not depth:
-                    skip = None
-            elif ends and (tag in ("body", "html") or (tag in ("article", "main") and articles)):
-                skip = None
-            if skip is not None:
-                if not ends and tag in RAW:
-                    at = _raw_end(page, at, tag)
-                continue
-            if tag not in ("body", "html", "article", "main"):
-                continue
+        to = tags.end(at)
+        if to < 0:  # no tag ends any more: the rest is text
+            now.parts.append(page[stop:])
+            break
+        rest, at = page[at:to], to + 1
         if ends:
-            up = now
-            while up is not None and up.tag != tag:
-                up = up.parent if tag in BLOCKS or up.tag not in BLOCKS else None
-            if up is not None and up.parent is not None:
-                while now is not up.parent:
-                    articles -= now.tag in ("article", "main")
-                    now = now.parent
+            found = by_tag.get(tag)
+            if found and found[-1] is not root and (tag in BLOCKS or found[-1].depth > blocks[-1].depth):
+                now = close(found[-1])
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P:
-            up = now
-            while up is not None and up.tag != "p" and up.tag not in BLOCKS:
-                up = up.parent
-            if up is not None and up.tag == "p":
-                now = up.parent
+        if tag in CLOSES_P and blocks[-1].tag == "p":
+            now = close(blocks[-1])
         if tag in IMPLIED_END:
             ended, within = IMPLIED_END[tag]
-            up, last = now, None
-            while up is not None and up.tag not in within:
-                if up.tag in ended:
-                    last = up
-                up = up.parent
-            if last is not None:
-                now = last.parent
+            floor = max((by_tag[t][-1].depth for t in within if by_tag.get(t)), default=0)
+            inner = [x[bisect.bisect_right(x, floor, key=lambda n: n.depth) :] for x in (by_tag.get(t, []) for t in ended)]
+            first = min((x[0] for x in inner if x), key=lambda n: n.depth, default=None)
+            if first is not None:
+                now = close(first)
         if tag in VOID:
             now.parts.append(None if tag in ("br", "hr") else "")
             now.tags += 1
-        elif _apart(tag, rest, articles > 0):
-            if tag in RAW:
-                at = _raw_end(page, at, tag)
-            else:
-                skip, depth = tag, 1
+        elif tag in RAW:
             now.parts.append(None)
-        else:
-            child = Node(tag, now)
+            at = tags.raw_end(at, tag) if not rest.endswith("/") or tag in OPEN_RAW else at
+        elif tag != "head":
+            child = Node(tag, now, _hint(tag, rest, bool(by_tag.get("article") or by_tag.get("main"))))
             now.parts.append(child)
             now = child
-            articles += tag in ("article", "main")
+            by_tag.setdefault(tag, []).append(child)
+            if tag in BLOCKS:
+                blocks.append(child)
     return root
 
 
-def _raw_end(page: str, at: int, tag: str) -> int:
-    m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-    return m.end() if m else len(page)
+def drop_surroundings(root: Node) -> None:
+    """Takes out what stands apart, unless it holds what the page is about.
+
+    Hints only say what may go. An element hinted by a name stays if it holds more than half of the unlinked characters
+    that are left, one hinted by its tag if it also holds an article, one of a plain name (ad, comments) only if it holds
+    the one article or nearly all characters.
+    """
+    for kinds in ((BY_PLAIN_NAME,), (BY_TAG, BY_NAME)):
+        nodes = _in_order(root)
+        linked: dict[Node, bool] = {}
+        free = dict.fromkeys(nodes, 0)
+        articles = dict.fromkeys(nodes, 0)
+        for node in nodes:
+            linked[node] = node.tag == "a" or (node.parent is not None and linked[node.parent])
+            if not linked[node]:
+                free[node] = sum(len(SPACE.sub(" ", p).strip()) for p in node.parts if isinstance(p, str))
+            articles[node] = int(node.tag in ("article", "main") and not node.hint)
+        for node in reversed(nodes):
+            if node.parent is not None:
+                free[node.parent] += free[node]
+                articles[node.parent] += articles[node]
+        total, gone = free[root], set()
+        for node in nodes:
+            if node.parent in gone:
+                gone.add(node)
+            elif node.hint in kinds:
+                most, article = 2 * free[node] > total, articles[node] > 0
+                stays = most and {BY_NAME: True, BY_TAG: article, BY_PLAIN_NAME: (article and articles[node] == articles[root]) or 50 * free[node] > 49 * total}[node.hint]
+                if not stays:
+                    gone.add(node)
+        for node in nodes:
+            if node not in gone:
+                node.parts = [None if isinstance(p, Node) and p in gone else p for p in node.parts]
 
 
 def _in_order(root: Node) -> list[Node]:
@@ -193,6 +283,11 @@ def mark_content(nodes: list[Node]) -> None:
         least = min(least, up.density)
         up = up.parent
     best.content = True
+    if best is root:  # a page without a main subtree: all but lists of links
+        for part in root.parts:
+            if isinstance(part, Node) and part.tag in BLOCKS and 2 * part.link_chars > part.chars:
+                part.parts = []
+        return
     # the best node's own path stays a frame: of what hangs beside it, only articles' parts as dense as the threshold count
     up = best
     while up.parent is not None:
@@ -241,6 +336,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    drop_surroundings(root)
     mark_content(densities(root))
     return text_of(root)
 
@@ -257,8 +353,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, source: str = "html") -> DataFrame:
     """``pages`` without its html column and with ``text``, the main text of each page.
 
-    Any page gives a text: null, empty and textless pages an empty one; broken markup is read as far as it goes. Pages
-    that repeat give the same text each. A column already named text is replaced. Rows stay where they are: there is no shuffle.
+    Any page gives a text: null, empty and textless pages an empty one; broken markup is read as far as it goes, in linear
+    time. Names of classes only hint at what surrounds an article; how the text lies on the page decides. Pages
+    that repeat give the same text each. Columns already named text or _html are replaced or left out. Rows stay where they are: there is no shuffle.
     """
     rest = [c for c in pages.columns if c not in (source, "text", "_html")]
     plain = pages.select(*(F.col(f"`{c}`") for c in rest), F.col(source).alias("_html"))

@@ -92,6 +92,65 @@ def test_main_text(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+LINES = ["Title here", "This is the first paragraph of the article, long enough.", "And another one follows it, with more words."]
+TITLE, BODY = f"<h1>{LINES[0]}</h1>", "".join(f"<p>{x}</p>" for x in LINES[1:])
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content no-sidebar">{TITLE}{BODY}</div>',
+        f'<div id="page" class="layout with-sidebar">{TITLE}{BODY}</div>',
+        f'<div class="legal">{TITLE}{BODY}</div>',
+        f'<article><div class="entry-header">{TITLE}</div>{BODY}</article>',
+        f'<div class="elementor-widget-text-editor">{TITLE}{BODY}</div><div class="sidebar">side</div>',
+        f'<form id="aspnetForm">{TITLE}{BODY}</form>',
+        f'<article>{TITLE}{BODY}</article><div class="userComments"><p>I do not agree.</p></div>',
+        f'<article>{TITLE}{BODY}</article><div id="comments"><article class="comment-body">{"<p>I do not agree, and at length.</p>" * 20}</article></div>',
+        f"<nav>Home, about<article>{TITLE}{BODY}</article>",
+        f'<div class="content-sidebar-wrap"><div class="col">{TITLE}{BODY}</div><div class="sidebar-primary"><p>side text</p></div></div>',
+    ],
+)
+def test_names_only_hint_at_surroundings(page):
+    assert html_text.main_text(page) == "\n".join(LINES)
+
+
+@pytest.mark.parametrize("piece", ["<a '", "<b>|</i>", "<i><div>|<b>|</i>", "<td>", "<a \">\" ", "<a ", "<a \"'>", "<object>", '<div class="ad">'])
+def test_broken_pages_take_linear_time(piece):
+    """Ten times the page takes about ten times as long, never a hundred."""
+    import time
+
+    def took(n):
+        parts = piece.split("|")
+        page = parts[0] * (n if len(parts) < 3 else 1) + "".join(x * n for x in parts[1:])
+        began = time.process_time()
+        html_text.main_text(page)
+        return time.process_time() - began
+
+    assert took(60_000) < 40 * max(took(6_000), 0.01)
+
+
+def test_repeated_pages(spark):
+    rows = [(1, "<p>one text</p>"), (1, "<p>one text</p>"), (None, "<p>two</p>")]
+    got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, html string")).collect()
+    assert sorted(r["text"] for r in got) == ["one text", "one text", "two"]
+
+
+def test_main_text_of_pages_without_names(spark):
+    """Without classes, ids and tags that mean something, text density alone finds the article on nearly all pages."""
+    import html
+
+    right = total = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        blocks = re.sub(r"</?(?:p|h1)>", "\0", re.search("<article>(.*?)</article>", r["html"], re.S)[1].replace("<br>", " "))
+        lines = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in blocks.split("\0"))
+        bare = re.sub(r"<(/?)(nav|header|footer|aside|article|main|section|form|button)\b[^>]*>", r"<\1div>", r["html"])
+        bare = re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|\S+?(?=[\s>]))", "", bare)
+        right += html_text.main_text(bare) == "\n".join(x for x in lines if x)
+        total += 1
+    assert right >= 0.95 * total
+
+
 def test_main_text_of_all_pages(spark):
     """On the given pages the article is marked up, so the right text is known."""
     import html
