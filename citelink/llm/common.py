@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import functools
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,45 +12,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from citelink.sources.scratch import dropped, stored
+
 #: Bytes of text that a vectorized pass holds at once; a longer document is a pass of its own.
 CHUNK_BYTES = 1 << 20
 
-_own_scratch: str | None = None
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where none is set, as in tests, one of our own."""
-    global _own_scratch
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if _own_scratch is None:
-        _own_scratch = tempfile.mkdtemp(prefix="citelink-")
-    return _own_scratch
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here and a lost executor costs nothing before it."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped_table(table: DataFrame) -> None:
-    """Removes the files of a table made by ``written`` once nothing reads it any more."""
-    spark = table.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        if scratch_root(spark).removeprefix("file://") in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small(ids: DataFrame, most: int) -> bool:
     """Whether a table has at most ``most`` rows; counting stops there."""
     return ids.limit(most + 1).count() <= most
@@ -69,8 +37,8 @@ def with_fields(df: DataFrame, added: str, without: tuple[str, ...] = ()) -> Str
     return StructType(kept + StructType.fromDDL(added).fields)
 
 
-def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, UTF-8 bytes, row offsets) of a string column, about ``limit`` bytes at a time. Null is empty."""
+def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES, most_rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, rows, UTF-8 bytes, row offsets) of a string column, about ``limit`` bytes and at most so many rows at a time. Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -81,7 +49,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[in
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at, n = 0, len(column)
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1), at + most_rows)
         yield at, to - at, raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
 
@@ -119,7 +87,7 @@ def components(edges: DataFrame) -> DataFrame:
     to another node have no row.
     """
     flat = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = written(flat, "edges")
+    left = stored(flat, "edges")
     steps: list[DataFrame] = []
 
     def rank(c: Column) -> Column:
@@ -128,18 +96,20 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m"))
-        step = written(best.select("a", F.least(F.col("m"), rank(F.col("a")))["to"].alias("to")), "step")
+        step = stored(best.select("a", F.least(F.col("m"), rank(F.col("a")))["to"].alias("to")), "step")
         to_a, to_b = step.select("a", F.col("to").alias("ta")), step.select(F.col("a").alias("b"), F.col("to").alias("tb"))
         moved = left.join(to_a, "a").join(to_b, "b").where("ta <> tb")
-        old, left = left, written(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
-        dropped_table(old)
+        old, left = left, stored(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+        dropped(old)
         steps.append(step)
     if not steps:
         return left.select(F.col("a").alias("id"), F.col("b").alias("root"))
     found = steps[-1]
-    for step in reversed(steps[:-1]):
+    for step in reversed(steps[:-1]):  # as many joins as rounds, a logarithm of the nodes
         later = found.select(F.col("a").alias("to"), F.col("to").alias("far"))
         found = step.join(later, "to", "left").select("a", F.coalesce("far", "to").alias("to"))
-    found = written(found, "roots")
+    found = stored(found, "roots")
     least = found.groupBy("to").agg(F.min(F.least("a", "to")).alias("root"))
-    return found.join(least, "to").select(F.col("a").alias("id"), "root")
+    roots = stored(found.join(least, "to").select(F.col("a").alias("id"), "root"), "components")
+    dropped(found, left, *steps)
+    return roots

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelink.llm.common import written
+from citelink.sources.scratch import stored
 
 #: Lanes of 32 bits that sum the hashes of whole paragraphs.
 WHOLE = 4
@@ -108,7 +108,7 @@ def next_ids(ids: DataFrame) -> DataFrame:
 
     The order is found in range partitions; only each partition's first id, a row per shuffle partition, meets in one place.
     """
-    placed = written(ids.repartitionByRange("doc_id").withColumn("_part", F.spark_partition_id()), "ordered")
+    placed = stored(ids.repartitionByRange("doc_id").withColumn("_part", F.spark_partition_id()), "ordered")
     firsts = placed.groupBy("_part").agg(F.min("doc_id").alias("_first"))
     every = Window.partitionBy()
     after = firsts.select(F.col("_part"), F.coalesce(F.lead("_first").over(Window.orderBy("_part")), F.min("_first").over(every)).alias("_after"))
@@ -128,7 +128,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     # both joins below read the same rows by the same key, so that texts are shuffled once
     full = every.where("doc_id is not null")
     ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length(F.coalesce("text", F.lit("")))).alias("need"), F.count("*").alias("copies"))
-    order = written(next_ids(ids), "next")
+    order = stored(next_ids(ids), "next")
     to_next = order.select(F.col("doc_id").alias("prev_id"), F.col("next_id").alias("doc_id"), F.expr("need div 4").alias("need"))
     sent = full.join(to_next, "doc_id").select(F.col("prev_id").alias("doc_id"), F.expr("substring(text, 1, int(need))").alias("head"), F.col("fp").alias("next_fp"), F.col("text").alias("_by"))
     if order.where("copies > 1").isEmpty():

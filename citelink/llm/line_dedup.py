@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import lean, with_fields, written
+from citelink.llm.common import lean, with_fields
+from citelink.sources.scratch import stored
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -122,10 +123,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     """(doc_id, k0, k1) of the lines to drop: keys held by at least ``min_docs`` documents, in all but the largest doc_id."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(twice_filter(docs, min_chars, bits))
-    seen = written(docs.select("doc_id", "text").mapInArrow(_suspects(shared, min_chars), "doc_id bigint, k0 bigint, k1 bigint").where("doc_id is not null"), "suspects")
+    seen = stored(docs.select("doc_id", "text").mapInArrow(_suspects(shared, min_chars), "doc_id bigint, k0 bigint, k1 bigint").where("doc_id is not null"), "suspects")
     per_doc = seen.groupBy("k0", "k1", "doc_id").agg(F.lit(1).alias("n"))
     confirmed = per_doc.groupBy("k0", "k1").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
-    confirmed = written(confirmed.select("k0", "k1", "keeper"), "confirmed")  # as a table of its own the join below can split a very common line
+    confirmed = stored(confirmed.select("k0", "k1", "keeper"), "confirmed")  # as a table of its own the join below can split a very common line
     return seen.join(confirmed, ["k0", "k1"]).where("doc_id <> keeper").select("doc_id", "k0", "k1")
 
 

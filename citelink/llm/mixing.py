@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelink.llm.common import written
+from citelink.sources.scratch import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order of name, null last, repeating.
@@ -108,12 +108,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST
     that repeat a doc_id are documents of their own; those that also share size and source share one place in the
     stream and take the same.
     """
-    sizes = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = source_targets(sizes, weights, repeats)
     total = Window.partitionBy()
     seats = targets.withColumn("_seats", F.round(F.sum("target").over(total) / block).cast("bigint")).withColumn("_most", F.ceil(F.col("source_size") * repeats / block).cast("bigint"))
     dealt = sainte_lague(seats, [], ["source"], "target", "_seats", "_most").withColumn("shards", F.ceil(F.col("n_docs") / shard_docs).cast("int"))
-    dealt = written(dealt.select(F.col("source").alias("_source"), "source_size", "target", F.col("won").alias("quota"), "shards"), "quotas")
+    dealt = stored(dealt.select(F.col("source").alias("_source"), "source_size", "target", F.col("won").alias("quota"), "shards"), "quotas")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     placed = sizes.join(dealt, sizes["source"].eqNullSafe(dealt["_source"])).drop("_source").withColumn("_key", key)
     placed = placed.withColumn("_shard", (F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") % F.col("shards")).cast("int"))

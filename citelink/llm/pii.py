@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citelink.llm.common import written
+from citelink.sources.scratch import stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -72,7 +72,7 @@ def _searched(docs: DataFrame) -> DataFrame:
         here = text.rlike(hint) if not holds else text.contains(holds) & text.rlike(hint)
         columns.append(F.when(here, _pieces(text, BASE[kind])).otherwise(none).alias(kind))
     columns.append(F.when(text.rlike("[0-9@]"), _pieces(text, TOKEN)).otherwise(none).alias("token"))
-    return written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *columns), "searched")
+    return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *columns), "searched")
 
 
 def _placed(searched: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -121,18 +121,18 @@ def learned(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS)
     some doubt; another value is as sure as its patterns make it together. This goes round a fixed number of times, always on
     counts. Only patterns with several different seeds take part.
     """
-    edges = written(found.groupBy("before", "form", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind")), "edges")
+    edges = stored(found.groupBy("before", "form", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind")), "edges")
     seeds = edges.where("kind is not null").select("value", "kind").distinct().withColumn("sure", F.lit(1.0))
     total = edges.groupBy("before", "form").agg(F.sum("n").alias("total"), F.count_distinct(F.when(F.col("kind").isNotNull(), F.col("value"))).alias("seeds")).where(F.col("seeds") >= min_seeds)
-    live = written(edges.join(total.select("before", "form", "total"), ["before", "form"]), "live")
+    live = stored(edges.join(total.select("before", "form", "total"), ["before", "form"]), "live")
     sure = seeds
     for _ in range(rounds):
         mass = live.drop("kind").join(sure, "value")
         scored = mass.groupBy("before", "form", "kind").agg(F.sum(F.col("n") * F.col("sure")).alias("mass"), F.max("total").alias("total"))
-        patterns = written(scored.select("before", "form", "kind", (F.col("mass") / (F.col("total") + DOUBT)).alias("confidence")), "patterns")
+        patterns = stored(scored.select("before", "form", "kind", (F.col("mass") / (F.col("total") + DOUBT)).alias("confidence")), "patterns")
         others = live.where("kind is null").drop("kind").join(patterns, ["before", "form"])
         guess = others.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("sure"))
-        sure = written(seeds.unionByName(guess), "sure")
+        sure = stored(seeds.unionByName(guess), "sure")
     return patterns, sure
 
 
@@ -144,8 +144,8 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     text has none. Each row is searched for itself, so rows that repeat have the same spans each.
     """
     searched = _searched(docs.select("doc_id", "text"))
-    base = written(_placed(searched, KINDS).where(valid(F.col("kind"), F.col("value"))), "base")
-    found = written(occurrences(searched, base), "occurrences")
+    base = stored(_placed(searched, KINDS).where(valid(F.col("kind"), F.col("value"))), "base")
+    found = stored(occurrences(searched, base), "occurrences")
     patterns, sure = learned(found, rounds)
     enough = (F.length(F.regexp_replace("value", "[^0-9]", "")) >= MIN_DIGITS) | F.col("value").contains("@")
     fresh = found.where(~F.col("taken") & enough).drop("kind").join(patterns.where(F.col("confidence") >= MIN_PATTERN), ["before", "form"]).join(sure.where(F.col("sure") >= MIN_INSTANCE), ["value", "kind"])

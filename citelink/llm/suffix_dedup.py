@@ -17,7 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import dropped_table, lean, mixed, text_chunks, written
+from citelink.llm.common import lean, mixed, text_chunks
+from citelink.sources.scratch import dropped, stored
 
 LENGTH, GRAM = 50, 24
 #: Text bytes whose samples share a shard, and samples that are grouped at a time.
@@ -423,16 +424,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     shards = max(8, -(-total // SHARD_BYTES))
     asked = docs.select("key", "text").mapInArrow(_sampled(shards), _ROWS)
     answers = _by_shard(asked).mapInArrow(_repeated(shards), _ROWS)
-    lists = written(_by_shard(answers).mapInArrow(_lists, "key bigint, hashes binary"), "lists")
+    lists = stored(_by_shard(answers).mapInArrow(_lists, "key bigint, hashes binary"), "lists")
     digest = docs.where(F.octet_length("text") >= LENGTH).select("key", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
-    digest = written(digest, "digest")
-    many = written(digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"), "many")
-    copies = written(digest.join(many, "digest").where("doc_id > least").select("key").distinct(), "copies")
+    digest = stored(digest, "digest")
+    many = stored(digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"), "many")
+    copies = stored(digest.join(many, "digest").where("doc_id > least").select("key").distinct(), "copies")
     open_ = docs.join(copies.hint("shuffle_hash"), "key", "left_anti").join(lists.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "hashes")
     found = _by_shard(open_.mapInArrow(_contexts(shards), _ROWS)).mapInArrow(_induced(shards), _ROWS)
-    spans = written(_by_shard(found).mapInArrow(_spans, "key bigint, spans binary"), "spans")
-    dropped_table(lists)
-    dropped_table(digest)
+    spans = stored(_by_shard(found).mapInArrow(_spans, "key bigint, spans binary"), "spans")
+    dropped(lists)
+    dropped(digest)
     return spans.join(copies.withColumn("copy", F.lit(True)), "key", "full_outer").withColumn("copy", F.coalesce("copy", F.lit(False)))
 
 
