@@ -9,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import CHUNK_BYTES, components, dropped_table, lean, mixed, only_ids, text_chunks, written
+from citelink.llm.common import CHUNK_BYTES, components, lean, mixed, only_ids, text_chunks
+from citelink.sources.scratch import dropped, stored
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: Bands and rows: a pair at 0.85 shares no bucket with probability (1 - 0.85**5)**24 < 1e-6.
 BANDS, ROWS = 24, 5
-#: Documents of a tile: a larger bucket that still spans several components is compared in pairs of tiles.
-TILE = 512
+#: Documents and shingles of a tile: a larger bucket that still spans several components is compared in pairs of tiles.
+TILE, TILE_SHINGLES = 512, 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -129,7 +130,7 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, n, data, offsets in text_chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([s.tobytes() for s in shingle_sets(data, offsets, words)], pa.binary())], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([s.tobytes() for s in shingle_sets(data, offsets, words)], pa.binary())], ["doc_id", "shingles"])
 
     return run
 
@@ -152,46 +153,29 @@ def _linked(percent: int):
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link on their full shingle sets."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    pairs = stored(pairs.select("a", "b").distinct(), "pairs")
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     texts = only_ids(docs, ids, "doc_id")
-    sets = written(texts.mapInArrow(_sets(words), "id bigint, shingles binary"), "sets")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    sets = stored(texts.mapInArrow(_sets(words), "doc_id bigint, shingles binary"), "sets")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    links = written(both.mapInArrow(_linked(percent), "a bigint, b bigint"), "links")
-    for table in (sets, pairs, ids):
-        dropped_table(table)
+    links = stored(both.mapInArrow(_linked(percent), "a bigint, b bigint"), "links")
+    dropped(sets, pairs, ids)
     return links
 
 
-def _short_sets(words: int):
-    """Shingle sets by 32 bits of each hash, sorted: half as long, and confirmed later where they say that a pair links."""
-
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, n, data, offsets in text_chunks(batch.column(1)):
-                short = [np.unique(s.astype(np.uint32)).tobytes() for s in shingle_sets(data, offsets, words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(short, pa.binary())], ["doc_id", "shingles"])
-
-    return run
-
-
 def _across(percent: int):
-    """Of rows sorted by bucket and pair of tiles: a forest of links between documents of different components."""
+    """Of rows sorted by bucket and pair of tiles: a forest of links between documents of different components, on full sets."""
 
-    def forest(left: list, right: list | None) -> list[tuple[int, int]]:
-        rows = left + (right or [])
-        sets = [np.frombuffer(r[2], np.uint32) for r in rows]
+    def forest(left: list, right: list) -> list[tuple[int, int]]:
+        rows = left + right
+        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
         sizes = np.array([len(x) for x in sets])
         at = np.cumsum(sizes) - sizes
         flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
         marks = np.zeros(int(flat.max()) + 1, np.uint8)
         labels = np.array([r[1] for r in rows], np.int64)
-        side = np.arange(len(rows)) >= len(left)
-        names, many = np.unique(labels, return_counts=True)
-        common = names[many.argmax()]  # pairs with the commonest component are found from the other end
         root: dict[int, int] = {}
 
         def find(v: int) -> int:
@@ -200,14 +184,14 @@ def _across(percent: int):
             return v
 
         out = []
-        for i in np.flatnonzero(labels != common).tolist():
+        for i in range(len(left)):
             own = flat[at[i] : at[i] + sizes[i]]
             marks[own] = 1
             both = np.add.reduceat(marks[flat], at, dtype=np.int64)
             marks[own] = 0
             hit = (100 * both >= percent * (sizes + sizes[i] - both)) & (labels != labels[i])
-            if right is not None:
-                hit &= side != side[i]
+            if right:
+                hit[: len(left)] = False
             for j in np.flatnonzero(hit).tolist():
                 p, q = find(int(labels[i])), find(int(labels[j]))
                 if p != q:
@@ -221,10 +205,7 @@ def _across(percent: int):
 
         def done() -> pa.RecordBatch:
             left, right = sides
-            if now[1] == now[2]:
-                pairs = forest(left + right, None)
-            else:
-                pairs = forest(left, right) if left and right else []
+            pairs = forest(left, right) if left and (right or now[1] == now[2]) else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -240,31 +221,38 @@ def _across(percent: int):
     return run
 
 
-def _beyond_stars(shared: DataFrame, found: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _beyond_stars(shared: DataFrame, found: DataFrame, docs: DataFrame, words: int, percent: int, tile: int, tile_shingles: int) -> DataFrame:
     """Links that the stars missed: pairs (a, b) of different components in one bucket, found on whole sets.
 
-    Only buckets of three or more that still hold several components come here. They are dealt over pairs of tiles
-    and compared inside, so what leaves a tile is a forest, never its pairs.
+    Only buckets of three or more that still hold several components come here. The documents outside a bucket's commonest
+    component, mostly few, are compared with each other and with that component, which is never compared with itself. Both
+    are dealt over tiles, and each pair of tiles is compared on its own, so no task holds a whole large bucket,
+    and what leaves a tile is a forest, never its pairs.
     """
-    labelled = shared.where("size > 2").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "size", "doc_id", F.coalesce("root", "doc_id").alias("label"))
-    labelled = written(labelled, "labelled")
-    split = written(labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), "split")
-    open_ = written(labelled.join(split, "bucket", "left_semi"), "open")
-    ids = written(open_.select("doc_id").distinct(), "ids")
-    sets = written(only_ids(docs, ids, "doc_id").mapInArrow(_short_sets(words), "doc_id bigint, shingles binary"), "short_sets")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    placed = open_.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("s"), F.greatest(t, "tile").alias("t")))
-    side = F.when(F.col("tile") == F.col("p.t"), F.lit(1)).otherwise(0).alias("side")
+    labelled = shared.where("size > 2").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("root", "doc_id").alias("label"))
+    labelled = stored(labelled, "labelled")
+    parts = labelled.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    whole = parts.groupBy("bucket").agg(F.max(F.struct("c", "label", "n")).alias("m"), F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum("n").alias("n")).where("labels > 1")
+    tiles = lambda c, n: F.greatest(F.ceil(c / tile), F.ceil(n / tile_shingles)).cast("int")
+    split = whole.select("bucket", F.col("m.label").alias("main"), tiles(F.col("c") - F.col("m.c"), F.col("n") - F.col("m.n")).alias("few"), tiles(F.col("m.c"), F.col("m.n")).alias("many"))
+    split = stored(split, "split")
+    open_ = stored(labelled.join(split, "bucket"), "open")
+    ids = stored(open_.select("doc_id").distinct(), "ids")
+    sets = stored(only_ids(docs, ids, "doc_id").mapInArrow(_sets(words), "doc_id bigint, shingles binary"), "sets")
+    inside = F.col("label") == F.col("main")
+    h = F.xxhash64("doc_id")
+    placed = open_.withColumn("tile", F.when(inside, F.col("few") + F.pmod(h, "many")).otherwise(F.pmod(h, "few")).cast("int"))
+    others = F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    pairs = F.transform(others, lambda t: F.struct(F.least(t, "tile").alias("s"), F.greatest(t, "tile").alias("t")))
+    side = F.when((F.col("tile") == F.col("p.t")) & (F.col("p.s") < F.col("p.t")), F.lit(1)).otherwise(0).alias("side")
     dealt = placed.withColumn("p", F.explode(pairs)).select("bucket", "p.s", "p.t", side, "doc_id", "label").join(sets, "doc_id")
     dealt = dealt.select("bucket", "s", "t", "side", "doc_id", "label", "shingles").repartition("bucket", "s", "t").sortWithinPartitions("bucket", "s", "t")
-    out = written(dealt.mapInArrow(_across(percent), "a bigint, b bigint"), "beyond")
-    for table in (labelled, split, open_, ids, sets):
-        dropped_table(table)
+    out = stored(dealt.mapInArrow(_across(percent), "a bigint, b bigint"), "beyond")
+    dropped(labelled, split, open_, ids, sets)
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): groups of documents linked directly or through others.
 
     Documents whose shingle sets are equal are one class from the start, so copies meet in one aggregate and only
@@ -275,25 +263,34 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     repeat a doc_id each have a row in the result, and what any of them links with, all of them do.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    sketch = written(docs.mapInArrow(_sketch(words, bands, rows), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, bands array<bigint>"), "sketch")
+    sketch = stored(docs.mapInArrow(_sketch(words, bands, rows), "doc_id bigint, n_shingles bigint, s0 bigint, s1 bigint, bands array<bigint>"), "sketch")
     own = ["n_shingles", "s0", "s1"]
     classes = sketch.where("n_shingles > 0").groupBy(*own).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1")
-    classes = written(classes.drop("copies"), "classes")
-    members = written(sketch.select("doc_id", *own).join(classes, own, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    classes = stored(classes.drop("copies"), "classes")
+    members = stored(sketch.select("doc_id", *own).join(classes, own, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     reps = members.where("doc_id = rep and n_shingles > 0").select("doc_id").distinct()
-    banded = written(sketch.join(reps, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "banded")
-    buckets = written(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
-    shared = written(banded.join(buckets, "bucket").select("bucket", "size", "doc_id", "n"), "shared")
-    dropped_table(banded)
+    banded = stored(sketch.join(reps, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "banded")
+    buckets = stored(banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    shared = stored(banded.join(buckets, "bucket").select("bucket", "size", "doc_id", "n"), "shared")
+    dropped(banded)
     # the text that others were made from shares most buckets with them, so it is the best hub
-    load = written(shared.groupBy("doc_id").agg(F.sum("size").alias("load")), "load")
+    load = stored(shared.groupBy("doc_id").agg(F.sum("size").alias("load")), "load")
     hub = F.max(F.struct("load", F.xxhash64("doc_id", "bucket").alias("h"), F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")))
-    hubs = written(shared.join(load, "doc_id").groupBy("bucket").agg(hub.alias("hub")).select("bucket", "hub.hub", "hub.hub_n"), "hubs")
+    hubs = stored(shared.join(load, "doc_id").groupBy("bucket").agg(hub.alias("hub")).select("bucket", "hub.hub", "hub.hub_n"), "hubs")
     star = shared.join(hubs, "bucket").where(f"hub <> doc_id and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
     links = _verified(star.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), docs, words, percent)
-    beyond = _beyond_stars(shared, components(links), docs, words, percent)
+    first = components(links)
+    beyond = _beyond_stars(shared, first, docs, words, percent, tile, tile_shingles)
     more = _verified(beyond, docs, words, percent)
-    found = components(links.unionByName(more))
+    # the links found later join what the stars have joined, so only the roots of those go round again
+    ends = more
+    for c in ("a", "b"):
+        ends = ends.join(first.select(F.col("id").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
+    second = components(ends)
+    far = second.select(F.col("id").alias("root"), F.col("root").alias("far"))
+    found = first.join(far, "root", "left").select("id", F.coalesce("far", "root").alias("root"))
+    found = stored(found.unionByName(second.join(first.select("id"), "id", "left_anti")), "found")
+    dropped(sketch, classes, buckets, shared, load, hubs, links, first, second, beyond, more)
     rep = members.join(found.select(F.col("id").alias("rep"), "root"), "rep", "left")
     return rep.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
