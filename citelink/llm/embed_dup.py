@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -10,12 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citelink.llm.common import components, lean, small, written
+from citelink.llm.common import components, lean, small
+from citelink.sources.scratch import dropped, stored
 
 COSINE = 0.95
 SEED = 41
 #: Independent codes, parts of a direction, vectors of a filter aimed at, and filters that a pair at the threshold shares on average.
 CODES, BLOCKS, FILTER_SIZE, SHARED = 24, 2, 48, 20
+#: Bytes of all codewords at most. A code that needs more filters has more parts, so it stays small at any number of vectors; vectors
+#: are less even over these, so that more filters have to be shared.
+CODE_BYTES, SHARED_BEYOND = 64 << 20, 2.4
 #: Vectors of a tile: a filter with more is compared in pairs of tiles, so no task holds a whole large filter.
 TILE = 1024
 
@@ -40,7 +45,6 @@ class Code:
 
     def __init__(self, dims: int, rows: int, cosine: float = COSINE, seed: int = SEED, aim: float = FILTER_SIZE, shared: float = SHARED, codes: int = CODES):
         self.dims = dims
-        blocks = min(BLOCKS, dims)
         grid, above = _cap(max(dims, 4))
         share = min(0.25, max(1e-9, aim / max(rows, 1)))
         self.alpha = float(grid[np.searchsorted(-above, -share)])
@@ -49,7 +53,13 @@ class Code:
         mass = np.maximum(1 - s * s, 1e-300) ** ((max(dims, 4) - 3) / 2)
         need = (self.alpha - cosine * s) / np.maximum(np.sqrt((1 - cosine * cosine) * (1 - s * s)), 1e-12)
         both = float((mass * np.interp(need, inner_grid, inner)).sum() / mass.sum())
-        self.per_block = max(2, math.ceil((shared / both / codes / share) ** (1 / blocks)))
+        wanted, most = shared / both / codes / share, max(64, CODE_BYTES // (8 * codes * dims))
+        blocks = min(BLOCKS, dims)
+        if wanted > most**blocks:
+            wanted *= SHARED_BEYOND
+        while blocks < dims and wanted > most**blocks:
+            blocks += 1
+        self.per_block = max(2, math.ceil(wanted ** (1 / blocks)))
         rng = np.random.default_rng(seed)
         cuts = [round(dims * i / blocks) for i in range(blocks + 1)]
         self.codes = []
@@ -86,6 +96,12 @@ class Code:
         return rows[order], filters[order]
 
 
+@functools.lru_cache(maxsize=4)
+def code_for(dims: int, rows: int, cosine: float, seed: int, aim: float) -> Code:
+    """The code for vectors of one length. It follows from these numbers alone, so every worker makes its own and nothing is sent."""
+    return Code(dims, rows, cosine, seed, aim)
+
+
 def unit_rows(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(usable rows, their unit vectors in double precision): not null, not zero, all components finite, of the common length."""
     if isinstance(column, pa.ChunkedArray):
@@ -107,25 +123,30 @@ def unit_rows(column: pa.Array, dims: int | None = None) -> tuple[np.ndarray, np
     return keep[ok], x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _members(shared):
-    """Of each vector: its raw bytes and its filters."""
+def _members(plans: dict[int, tuple[int, int]], cosine: float, seed: int, aim: float):
+    """Of each vector: its raw bytes and its filters. ``plans``: for each common length its number of vectors and its first filter."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code: Code = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keep, unit = unit_rows(part.column(1), code.dims)
-                if not len(keep):
-                    continue
-                rows, filters = code.decode(unit)
-                cuts = np.searchsorted(rows, np.arange(len(keep) + 1)).astype(np.int32)
-                column = part.column(1).take(pa.array(keep))
-                raw = column.flatten().to_numpy(zero_copy_only=False).reshape(len(keep), code.dims)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(keep)), pa.ListArray.from_arrays(cuts, pa.array(filters)), pa.array([x.tobytes() for x in raw + 0.0], pa.binary())], ["id", "filters", "raw"]
-                )
+                for dims in sorted({len(x) for x in part.column(1) if x.is_valid and len(x)}):
+                    keep, unit = unit_rows(part.column(1), dims)
+                    if not len(keep):
+                        continue
+                    if dims in plans:
+                        rows, first = plans[dims]
+                        at_row, filters = code_for(dims, rows, cosine, seed, aim).decode(unit)
+                        filters = filters + first
+                    else:  # a rare length: its vectors fit one filter
+                        at_row, filters = np.arange(len(keep)), np.full(len(keep), -dims, np.int64)
+                    cuts = np.searchsorted(at_row, np.arange(len(keep) + 1)).astype(np.int32)
+                    column = part.column(1).take(pa.array(keep))
+                    raw = column.flatten().to_numpy(zero_copy_only=False).reshape(len(keep), dims)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(keep)), pa.ListArray.from_arrays(cuts, pa.array(filters)), pa.array([x.tobytes() for x in raw + 0.0], pa.binary())], ["id", "filters", "raw"]
+                    )
 
     return run
 
@@ -243,32 +264,36 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, seed: int = SEED, a
     Equal vectors are one class from the start; a class's vectors link with each other and as one with other classes.
     Classes that share a filter are compared by cosine in double precision; a pair that shares several is
     counted in the first. A filter of more than ``tile`` classes is dealt over tiles, and each pair of tiles is a task's
-    small matrix product. Vectors that are null, empty, zero, hold null or non-finite components, or whose
-    length is not the commonest one, link with nothing. Rows without a vec_id are left out; rows that repeat a vec_id with equal
+    small matrix product. Vectors of each length have filters of their own: a code where they are the commonest or more than
+    a tile, else one filter for all of them. Vectors that are null, empty, zero or hold null or non-finite components link
+    with nothing, nor do vectors of different lengths. Rows without a vec_id are left out; rows that repeat a vec_id with equal
     vectors count as copies of each other.
     """
     vectors = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where("vec_id is not null")
-    sizes = vectors.where("embedding is not null and size(embedding) > 0").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    lengths = vectors.where("embedding is not null and size(embedding) > 0").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n"))
+    top = lengths.orderBy(F.desc("n"), "d").first()
     plain = vectors.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if sizes is None:
+    if top is None:
         return plain
-    dims, rows = sizes["d"], sizes["count"]
+    plans, first = {}, 0
+    for r in sorted(lengths.where((F.col("n") > tile) | (F.col("d") == top["d"])).collect()):  # never more than one for each full tile of rows
+        plans[r["d"]] = (r["n"], first)
+        first += code_for(r["d"], r["n"], cosine, seed, aim).filters
     kind = np.float32 if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
-    spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(Code(dims, rows, cosine, seed, aim))
-    decoded = written(vectors.mapInArrow(_members(shared), "id bigint, filters array<bigint>, raw binary"), "decoded")
+    decoded = stored(vectors.mapInArrow(_members(plans, cosine, seed, aim), "id bigint, filters array<bigint>, raw binary"), "decoded")
     classes = decoded.groupBy("raw").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    member = written(decoded.select("id", "raw").join(classes, "raw").select("id", "rep", "copies"), "classes")
+    member = stored(decoded.select("id", "raw").join(classes, "raw").select("id", "rep", "copies"), "classes")
     reps = decoded.join(member.where("id = rep").select("id", "copies").distinct(), "id").dropDuplicates(["id"])
     spread = reps.select("id", "copies", "filters", "raw").mapInArrow(_spread, "filter bigint, before binary, id bigint, copies bigint, raw binary")
     large = decoded.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    large = written(large.select("filter", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "large")
+    large = stored(large.select("filter", F.ceil(F.col("n") / tile).cast("int").alias("tiles")), "large")
     tiled = spread.join(F.broadcast(large) if small(large, 100_000) else large, "filter", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least(t, "tile").alias("s"), F.greatest(t, "tile").alias("t")))
     dealt = tiled.withColumn("p", F.explode(pairs)).select("filter", "p.s", "p.t", F.when(F.col("tile") == F.col("p.t"), F.lit(1)).otherwise(0).alias("side"), "before", "id", "copies", "raw")
     dealt = dealt.repartition("filter", "s", "t").sortWithinPartitions("filter", "s", "t")
-    found = written(dealt.mapInArrow(_compared(cosine, kind), "a bigint, b bigint, n bigint"), "found")
+    found = stored(dealt.mapInArrow(_compared(cosine, kind), "a bigint, b bigint, n bigint"), "found")
+    dropped(decoded, large)
     return _counted(plain, found, member)
 
 
