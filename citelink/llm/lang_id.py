@@ -11,17 +11,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelink.llm.common import lean, text_chunks, with_fields
+from citelink.sources.scratch import dropped, stored
 
 UNKNOWN = "und"
 #: Byte n-grams of these lengths, hashed to so many presence bits each.
 GRAMS, GRAM_BITS = (1, 2, 3, 4), 14
 #: At most about so many labelled rows are fitted on, drawn by a hash; so many landmarks of each language.
 SAMPLE_ROWS, LANDMARKS = 8192, 16
-#: The commonest so many languages are learned.
-MOST_LANGS = 512
+#: Landmarks of all languages together; with more than 32 languages each has fewer, one at least while they last.
+MOST_LANDMARKS = 512
+#: Tasks that the sample is dealt to.
+FIT_TASKS = 8
 RIDGE = 1e-3
-#: Bytes of text scored in one matrix product.
-SCORE_BYTES = 1 << 18
+#: Bytes and rows of text scored in one matrix product.
+SCORE_BYTES, SCORE_ROWS = 1 << 18, 128
 
 
 @dataclass(frozen=True)
@@ -70,7 +73,7 @@ def kernel(bits: np.ndarray, model_bits: np.ndarray, sizes: np.ndarray, used: np
 
 
 def _partial(shared, langs: list[str]):
-    """Of each batch: the sums that ridge regression needs, as (cell, value)."""
+    """Of all batches of a task: the sums that ridge regression needs, as the bytes of one matrix."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,13 +83,12 @@ def _partial(shared, langs: list[str]):
         at_of = {x: i for i, x in enumerate(langs)}
         for batch in batches:
             labels = batch.column(1).to_pylist()
-            for at, n, data, offsets in text_chunks(batch.column(0), SCORE_BYTES):
+            for at, n, data, offsets in text_chunks(batch.column(0), SCORE_BYTES, SCORE_ROWS):
                 phi = np.hstack([kernel(presence(data, offsets), bits, sizes, used) @ root, np.ones((n, 1))])
                 y = np.full((n, len(langs)), -1.0)
                 y[np.arange(n), [at_of[x] for x in labels[at : at + n]]] = 1
                 total += phi.T @ np.hstack([phi, y])
-        cells = np.flatnonzero(total.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total.ravel()[cells])], ["cell", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     return run
 
@@ -95,25 +97,27 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LA
     """A model from (doc_id, text, lang); None where nothing is labelled.
 
     A sample of about ``sample_rows`` rows, drawn by a hash of doc_id, bounds the fit; each language gives up to
-    ``landmarks`` landmark texts. Sums over the sample are gathered on the executors; the driver solves one
-    system as large as the landmarks.
+    ``landmarks`` landmark texts, MOST_LANDMARKS in all. Every language is learned, also one without a landmark of its own. Sums over the
+    sample are gathered on the executors; the driver solves one system as large as the landmarks. What the driver
+    and the model hold grows with the number of languages, never with rows.
     """
     labelled = labelled.where("text is not null and lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
-    total = counts.agg(F.sum("count")).first()[0]
-    if not total:
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    if not counts:
         return None
+    total, langs = sum(counts.values()), sorted(counts)
+    landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(langs)))
     # rare languages keep more of their rows, so that each has its landmarks
-    rate = F.least(F.lit(1.0), F.greatest(F.lit(sample_rows / total), F.lit(4.0 * landmarks) / F.col("count")))
+    rates = [(x, min(1.0, max(sample_rows / total, 4.0 * landmarks / counts[x]))) for x in langs]
+    kept = labelled.sparkSession.createDataFrame(rates, "lang string, _rate double")
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1) / F.lit(float(1 << 63))
-    few = {r["lang"]: r["rate"] for r in counts.select("lang", rate.alias("rate")).collect()}  # MOST_LANGS rows at most
-    rates = F.coalesce(*(F.when(F.col("lang") == k, F.lit(float(v))) for k, v in few.items()))
-    sample = labelled.withColumn("_place", place).where(F.col("_place") < rates)
-    langs = sorted(few)
+    sample = labelled.join(F.broadcast(kept) if len(langs) <= 100_000 else kept, "lang").withColumn("_place", place).where("_place < _rate")
+    sample = stored(sample.select("doc_id", "text", "lang", "_place"), "sample")
     nearest = Window.partitionBy("lang").orderBy("_place", "doc_id", "text")
-    picked = sample.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= landmarks).orderBy("lang", "_n").select("text").collect()
+    first = sample.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= landmarks)
+    picked = first.orderBy("_n", "_place", "lang").limit(MOST_LANDMARKS).select("text").collect()
     texts = pa.array([r["text"] for r in picked])
-    bits = np.vstack([presence(data, offsets) for _, _, data, offsets in text_chunks(texts)])
+    bits = np.vstack([presence(data, offsets) for _, _, data, offsets in text_chunks(texts, SCORE_BYTES, SCORE_ROWS)])
     used = np.flatnonzero(bits.any(0))
     sizes = bits.sum(1, dtype=np.float64)
     model_bits = np.ascontiguousarray(bits[:, used].T.astype(np.float32))
@@ -122,11 +126,11 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LA
     root = vectors[:, keep] / np.sqrt(values[keep])
     m = root.shape[1]
     shared = labelled.sparkSession.sparkContext.broadcast((model_bits, sizes, used, np.hstack([root, np.zeros((len(sizes), len(sizes) - m))])))
-    cells = sample.select("text", "lang").mapInArrow(_partial(shared, langs), "cell int, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect()
+    dealt = sample.repartition(FIT_TASKS, "_place").sortWithinPartitions("_place", "doc_id", "text").select("text", "lang")
+    sums = sorted(bytes(r["sums"]) for r in dealt.mapInArrow(_partial(shared, langs), "sums binary").collect())  # in one order, so that reruns agree
     wide = len(sizes) + 1
-    table = np.zeros(wide * (wide + len(langs)))
-    table[[r["cell"] for r in cells]] = [r["value"] for r in cells]
-    table = table.reshape(wide, -1)
+    table = sum(np.frombuffer(x) for x in sums).reshape(wide, -1)
+    dropped(sample)
     gram, right = table[:, :wide], table[:, wide:]
     solved = np.linalg.solve(gram + np.eye(wide) * ridge * max(1.0, gram[-1, -1]), right)
     return Model(langs, used, model_bits, sizes, np.vstack([np.hstack([root, np.zeros((len(sizes), len(sizes) - m))]) @ solved[:-1], solved[-1:]]))
@@ -141,7 +145,7 @@ def _scored(shared):
             columns, names_in = list(batch.columns), batch.schema.names
             pred, score = [], []
             known = np.array(batch.column(names_in.index("_known")).to_pylist(), bool)
-            for at, n, data, offsets in text_chunks(batch.column(names_in.index("text")), SCORE_BYTES):
+            for at, n, data, offsets in text_chunks(batch.column(names_in.index("text")), SCORE_BYTES, SCORE_ROWS):
                 k = kernel(presence(data, offsets), model.landmarks, model.sizes, model.used)
                 s = k @ model.coefficients[:-1] + model.coefficients[-1]
                 e = np.exp(4 * (s - s.max(1, keepdims=True)))
@@ -158,7 +162,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``lang_pred`` (a learned language, or "und" for a text without a letter, a null one or no model) and ``score`` (0 to 1).
 
     Only the text is read. Every text is scored whole; an empty table gives an empty result; a text of n-grams that
-    no landmark holds goes to the language with the highest intercept, at a low score. Columns already so named are replaced.
+    no landmark holds goes to the language with the highest intercept, at a low score. Of equal scores the language first in order wins. Columns already so named are replaced.
     """
     docs = docs.drop("lang_pred", "score", "_known")
     if model is None:
