@@ -119,6 +119,37 @@ def test_near_duplicates_beyond_the_hub(spark):
     assert [r[0] for r in got] == [0]
 
 
+@pytest.mark.parametrize("tile", [2, 512])
+def test_near_duplicates_in_tiles(spark, mixed_rows, tile):
+    """Many small components in few buckets: what tiles find is what whole buckets hold."""
+    rng = random.Random(21)
+    rows = list(mixed_rows)
+    for k in range(6):
+        text = words(rng, 90, 9999).split(" ")
+        for i in range(14):
+            rows.append((1000 + 20 * k + i, " ".join(text), "s"))
+            for _ in range(2):
+                text[rng.randrange(90)] = f"n{k}x{i}"
+    sets = {i: shingles(t) for i, t, _ in rows}
+    want = union_find([(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])], sets)
+    got = near_dup.near_duplicates(table(spark, rows), tile=tile, tile_shingles=1 << 10).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_tiles_compare_whole_hashes():
+    """Two shared shingles that agree in 32 bits of their hashes count twice: a pair at exactly 0.85 links."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 2**63, 100).astype(np.uint64)
+    a[1] = a[0] + np.uint64(1 << 32)
+    one, two = np.sort(a).tobytes(), np.sort(a[:85]).tobytes()
+    batch = pa.RecordBatch.from_pydict({"bucket": [1, 1], "s": [0, 0], "t": [1, 1], "side": [0, 1], "doc_id": [7, 8], "label": [7, 8], "shingles": [one, two]})
+    out = [row for b in near_dup._across(85)(iter([batch])) for row in b.to_pylist()]
+    assert out == [{"a": 7, "b": 8}]
+    assert not [row for b in near_dup._across(86)(iter([batch])) for row in b.to_pylist()]
+
+
 def test_signatures_estimate_overlap():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
@@ -316,6 +347,85 @@ def test_language_id(spark):
     assert lang_id.predict(docs.limit(0), model).count() == 0
 
 
+def plain_languages(rows, ridge=lang_id.RIDGE):
+    """Kernel ridge regression on all rows as landmarks, with sets of hashed n-grams in plain Python."""
+
+    def grams(text):
+        seen, last = [], None
+        for x in text.encode():
+            c = x + 32 if 65 <= x <= 90 else x if 97 <= x <= 122 or x >= 128 else 32
+            if not (c == 32 and last == 32):
+                seen.append(c)
+            last = c
+        out = set()
+        for n in (1, 2, 3, 4):
+            for i in range(len(seen) - n + 1):
+                code = 0
+                for c in seen[i : i + n]:
+                    code = (code * 257 + c) & 0xFFFFFFFF
+                out.add((n, (code * 0x9E3779B1 & 0xFFFFFFFF) >> 18))
+        return out
+
+    sets, langs = [grams(t) for t, _ in rows], sorted({lang for _, lang in rows})
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    values, vectors = np.linalg.eigh(k)
+    root = vectors[:, values > 1e-9] / np.sqrt(values[values > 1e-9])
+    phi = np.hstack([k @ root, np.ones((len(rows), 1))])
+    y = np.array([[1.0 if lang == x else -1.0 for x in langs] for _, lang in rows])
+    solved = np.linalg.solve(phi.T @ phi + np.eye(phi.shape[1]) * ridge * len(rows), phi.T @ y)
+
+    def score(text):
+        own = grams(text)
+        s = np.append(np.array([len(own & b) / np.sqrt(max(len(own) * len(b), 1)) for b in sets]) @ root, 1.0) @ solved
+        e = np.exp(4 * (s - s.max()))
+        return langs[int(s.argmax())], 1 / e.sum()
+
+    return score
+
+
+def test_language_id_is_kernel_ridge_regression(spark):
+    rng = random.Random(31)
+    letters = {"aa": "abcde ", "bb": "cdefgé ", "cc": "xyzñ  a"}
+    rows = [(i, "".join(rng.choice(letters[x]) for _ in range(rng.randrange(20, 200))) + "q", x) for i, x in enumerate(["aa", "bb", "cc"] * 12)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    score = plain_languages([(t, x) for _, t, x in rows])
+    asked = [(100 + i, "".join(rng.choice("abcdefgxyzñé ") for _ in range(rng.randrange(1, 90))) + "b") for i in range(60)]
+    for r in lang_id.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect():
+        lang, p = score(r["text"])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(p, abs=1e-4)
+
+
+def test_every_language_is_learned(spark):
+    """600 languages of two rows each, far more than landmarks for each of them."""
+    def text(k, i):
+        rng = random.Random(k)
+        own = ["".join(rng.choice("abcdefghijklmnop") for _ in range(4)) for _ in range(12)]
+        return " ".join(random.Random(i).sample(own, 10))
+
+    rows = [(k * 4 + i, text(k, i), f"l{k:03}") for k in range(600) for i in range(3)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 600 and model.landmarks.shape[1] <= lang_id.MOST_LANDMARKS
+    asked = spark.createDataFrame([(k, text(k, 9), f"l{k:03}") for k in range(600)], "doc_id long, text string, lang string")
+    got = lang_id.predict(asked, model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 500
+
+
+def test_many_short_rows_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Shared:
+        value = lang_id.Model(["en"], np.arange(4000), np.ones((4000, 64), np.float32), np.ones(64), np.zeros((65, 1)))
+
+    batch = pa.RecordBatch.from_pydict({"text": [f"short text {i}" for i in range(10_000)], "_known": [True] * 10_000})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in lang_id._scored(Shared)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 10_000 and peak < 100 << 20
+
+
 def test_text_is_hashed_as_utf8(spark):
     assert hashlib.sha256("é".encode()).hexdigest() == spark.sql("select sha2(cast('é' as binary), 256)").first()[0]
 
