@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citelink.llm import lang_id, line_dedup, mixing, near_dup, pieces
-from citelink.llm.common import read_table, written
+from citelink.llm.common import read_table
+from citelink.sources.scratch import stored
 
 
 #: Likeness from which two documents are one, in percent, and bands: a pair at 0.80 shares no bucket with probability (1 - 0.80**5)**36 < 1e-6.
@@ -105,7 +106,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs, name)
+            docs = stored(docs, name)
     return docs
 
 
