@@ -20,6 +20,10 @@ SEED = 29
 SHARPNESS = 1.0
 #: Characters whose distinct units share one pass.
 PASS_CHARS = 1 << 18
+#: Longer units are cut where no piece crosses, which changes nothing and lets their parts be worked on side by side.
+LONG_UNIT = 64
+#: With fewer unfinished units than this, one character after another is cheaper than a step over arrays.
+FEW_UNITS = 8
 _BYTE_BASE = 1 << 24
 _TURN = 0x9E3779B97F4A7C15
 #: Added to a weight for each character covered: the same on every path, it only keeps sums near 1.
@@ -95,6 +99,34 @@ class Pieces:
             open_ = open_[self.key[at[open_]] != h[open_]]
         return at
 
+    def _matches(self, chars: np.ndarray, left: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each width: it, where pieces so wide start (among places with that many characters ``left``), and their table slots."""
+        n = len(chars)
+        start, h, width = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64), 0
+        while len(start):
+            width += 1
+            h = h * np.uint64(_TURN) + chars[start + width - 1] + np.uint64(1)
+            at = self._find(h)
+            go = at >= 0
+            start, h, at = start[go], h[go], at[go]
+            real = self.hit[at] >= 0
+            yield width, start[real], at[real]
+            more = left[start] > width
+            start, h = start[more], h[more]
+
+    def _parts(self, unit: str) -> list[str]:
+        """A unit cut wherever no piece goes over the cut."""
+        chars = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(chars)
+        over = np.zeros(n + 1, np.int64)
+        for width, start, _ in self._matches(chars, np.arange(n, 0, -1)):
+            if width > 1:
+                np.add.at(over, start + 1, 1)
+                np.add.at(over, start + width, -1)
+        cuts = np.flatnonzero(np.cumsum(over)[1:n] == 0) + 1
+        edges = [0, *cuts.tolist(), n]
+        return [unit[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
     def _lattice(self, units: list[str]) -> tuple[np.ndarray, ...]:
         """Forward filtering over many units at once.
 
@@ -108,26 +140,17 @@ class Pieces:
         local = (np.arange(n) - np.repeat(first, size)).astype(np.int32)
         left = np.repeat(size, size).astype(np.int32) - local
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        start, h, width = np.arange(n, dtype=np.int32), np.zeros(n, np.uint64), 0
         plain = np.zeros(n, bool)
-        while len(start):
-            width += 1
-            h = h * np.uint64(_TURN) + chars[start + width - 1] + np.uint64(1)
-            at = self._find(h)
-            go = at >= 0
-            start, h, at = start[go], h[go], at[go]
+        for width, start, at in self._matches(chars, left):
             piece = self.hit[at]
-            real = piece >= 0
             if width == 1:
-                plain[start[real]] = True
+                plain[start] = True
                 odd = np.flatnonzero(~plain).astype(np.int32)
                 wide = 1 + (chars[odd] > 0x7F) + (chars[odd] > 0x7FF) + (chars[odd] > 0xFFFF)
-                ends, ids, weight = np.concatenate([start[real], odd]), np.concatenate([piece[real], _BYTE_BASE + chars[odd].astype(np.int32)]), np.concatenate([self.weight[at[real]], self.byte_weight * wide])
+                ends, ids, weight = np.concatenate([start, odd]), np.concatenate([piece, _BYTE_BASE + chars[odd].astype(np.int32)]), np.concatenate([self.weight[at], self.byte_weight * wide])
             else:
-                ends, ids, weight = start[real] + width - 1, piece[real], self.weight[at[real]]
+                ends, ids, weight = start + width - 1, piece, self.weight[at]
             found.append((ends, ids, np.exp(weight + _PER_CHAR * width)))
-            more = left[start] > width
-            start, h = start[more], h[more]
         count = np.zeros(n, np.int64)
         for ends, _, _ in found:
             count[ends] += 1
@@ -145,6 +168,9 @@ class Pieces:
         cuts = np.cumsum(np.bincount(local)) if n else np.zeros(0, np.int64)
         for t, (a, b) in enumerate(zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True)):
             ends = by_local[a:b]
+            if len(ends) < FEW_UNITS:
+                self._filter_rest(ends, t, first, size, edge, count, covers, value, log_mass)
+                break
             near = log_mass[ends - 1] if t else np.zeros(len(ends))
             counts = count[ends]
             for k in range(int(counts.max())):
@@ -162,6 +188,27 @@ class Pieces:
         chance[edge + count - 1] = 2.0
         return first, size, edge, chance, covers, pieces
 
+    @staticmethod
+    def _filter_rest(ends, t, first, size, edge, count, covers, value, log_mass) -> None:
+        """Forward filtering of a few long units from their character ``t`` on, one character after another."""
+        for i in ends.tolist():
+            u = int(np.searchsorted(first, i, "right")) - 1
+            stop = int(first[u] + size[u])
+            lo, hi = int(edge[i]), int(edge[stop - 1] + count[stop - 1])
+            far, own, many = covers[lo:hi].tolist(), value[lo:hi].tolist(), count[i:stop].tolist()
+            logs = log_mass[i - t : i].tolist()
+            at = 0
+            for local, n in enumerate(many, t):
+                near, mass = logs[local - 1] if local else 0.0, 0.0
+                for k in range(at, at + n):
+                    w = far[k]
+                    own[k] *= math.exp((logs[local - w] if w <= local else 0.0) - near)
+                    mass += own[k]
+                at += n
+                logs.append(math.log(mass) + near)
+            value[lo:hi] = own
+            log_mass[i:stop] = logs[t:]
+
     def encode(self, texts: list[str], keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids of all texts, offsets of the texts in them). The same key, seed and text give the same pieces anywhere."""
         words: list[str] = []
@@ -169,6 +216,8 @@ class Pieces:
         for i, text in enumerate(texts):
             if text:
                 found = self.units.findall(" " + text)
+                if max(map(len, found)) > LONG_UNIT:
+                    found = [x for u in found for x in (self._parts(u) if len(u) > LONG_UNIT else (u,))]
                 words += found
                 counts[i] = len(found)
         place = {u: i for i, u in enumerate(dict.fromkeys(words))}
@@ -182,7 +231,7 @@ class Pieces:
         occ, pos, base = np.arange(len(unit)), size[unit], first[unit] - 1
         state, taken, steps = start_state, np.zeros(len(unit), np.int64), []
         turn = 0
-        while len(occ):  # backward sampling, one piece of every unfinished unit at a time
+        while len(occ) >= FEW_UNITS:  # backward sampling, one piece of every unfinished unit at a time
             draw = (mixed(state + np.uint64(turn)) >> np.uint64(11)) * (1.0 / (1 << 53))
             edge = node[base + pos]
             late = np.flatnonzero(draw >= cum[edge])
@@ -195,8 +244,23 @@ class Pieces:
             go = pos > 0
             occ, pos, base, state = occ[go], pos[go], base[go], state[go]
             turn += 1
+        rests = []
+        for o, p, b, x in zip(occ.tolist(), pos.tolist(), base.tolist(), state.tolist(), strict=True):  # what is left, piece by piece
+            got, k = [], turn
+            while p > 0:
+                draw = (_mixed_int(x + k) >> 11) * (1.0 / (1 << 53))
+                edge = int(node[b + p])
+                while draw >= cum[edge]:
+                    edge += 1
+                got.append(int(piece[edge]))
+                p -= int(back[edge])
+                k += 1
+            taken[o] = k
+            rests.append((o, got[::-1]))
         ends = np.cumsum(taken)
         out = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
+        for o, got in rests:
+            out[ends[o] - taken[o] : ends[o] - taken[o] + len(got)] = got
         for turn, (occ, got) in enumerate(steps):
             out[ends[occ] - 1 - turn] = got
         per_text = np.zeros(len(texts), np.int64)
@@ -229,6 +293,15 @@ class Pieces:
         return [data[a + 1 : b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
+def _mixed_int(h: int) -> int:
+    """``mixed`` of one number."""
+    h &= _MASK
+    h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & _MASK
+    h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & _MASK
+    return h ^ h >> 32
+
+
+_MASK = (1 << 64) - 1
 _known: dict[tuple[int, float], Pieces] = {}
 
 

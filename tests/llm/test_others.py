@@ -215,6 +215,45 @@ def test_pieces_follow_the_lattice():
     assert max(abs(seen[k] / n - w / total) for k, w in weights.items()) < 0.01
 
 
+def vocabulary():
+    with open(pieces.MODEL_PATH, "rb") as f:
+        return pieces.Pieces(f.read())
+
+
+def test_long_units_are_cut_where_no_piece_crosses():
+    p, rng = vocabulary(), random.Random(5)
+    longest = max(map(len, p.ids))
+    for letters in ("etaoin", "qxzkjv", "ab中文字é"):
+        unit = "".join(rng.choice(letters) for _ in range(300))
+        parts = p._parts(unit)
+        cuts = set(np.cumsum([len(x) for x in parts])[:-1].tolist())
+        crossed = {c for a in range(300) for b in range(a + 2, min(300, a + longest) + 1) if unit[a:b] in p.ids for c in range(a + 1, b)}
+        assert "".join(parts) == unit and cuts == set(range(1, 300)) - crossed
+
+
+def test_few_long_units_give_the_same_pieces(monkeypatch):
+    """Going on character by character, where few units are left, draws what steps over arrays draw."""
+    p, texts = vocabulary(), ["x" * 300, "ab" * 150, "-" * 70 + " word", "etaoinshrdlu" * 30]
+    monkeypatch.setattr(pieces, "LONG_UNIT", 1 << 30)
+    one = p.encode(texts, np.arange(4))
+    monkeypatch.setattr(pieces, "FEW_UNITS", 0)
+    other = p.encode(texts, np.arange(4))
+    assert np.array_equal(one[0], other[0]) and np.array_equal(one[1], other[1])
+
+
+def test_unspaced_texts_cost_little_more():
+    import time
+
+    p, rng = vocabulary(), random.Random(6)
+    took = {}
+    for name, text in {"spaced": "".join(rng.choice("etaoin    ") for _ in range(60_000)), "solid": "".join(rng.choice("etaoin") for _ in range(60_000)), "coded": "".join(rng.choice("ABCDEFqrstuv0123456789+/") for _ in range(60_000))}.items():
+        began = time.process_time()
+        ids, cuts = p.encode([text], np.array([3]))
+        took[name] = time.process_time() - began
+        assert p.decode(ids, cuts) == [text.encode()]
+    assert max(took["solid"], took["coded"]) < 5 * took["spaced"] + 0.5
+
+
 def test_pieces_are_the_vocabulary_of_the_library():
     import sentencepiece
 
