@@ -231,7 +231,7 @@ class Pieces:
         occ, pos, base = np.arange(len(unit)), size[unit], first[unit] - 1
         state, taken, steps = start_state, np.zeros(len(unit), np.int64), []
         turn = 0
-        while len(occ) >= FEW_UNITS:  # backward sampling, one piece of every unfinished unit at a time
+        while len(occ) and len(occ) >= FEW_UNITS:  # backward sampling, one piece of every unfinished unit at a time
             draw = (mixed(state + np.uint64(turn)) >> np.uint64(11)) * (1.0 / (1 << 53))
             edge = node[base + pos]
             late = np.flatnonzero(draw >= cum[edge])
