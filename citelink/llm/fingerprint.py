@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,10 +13,17 @@ from citelink.sources.scratch import stored
 WHOLE = 4
 #: Words of a run (code points, in a paragraph without blanks); runs overlap and don't go beyond their paragraph.
 RUN_WORDS = 8
-#: Longs of two 30-bit lanes that count, over all runs, the set bits of the runs' hashes.
-LONGS, LANE, PER_LONG = 30, 30, 2
-_ONES = sum(1 << (LANE * k) for k in range(PER_LONG))
-_M32, _M60 = 1 << 32, 1 << 60
+#: Longs of two 32-bit lanes that count, over all runs, the set bits of the runs' hashes.
+LONGS, LANE = 32, 32
+#: Runs that are counted in 8-bit lanes before these are added up in the wider ones.
+CHUNK = 127
+_M32 = 1 << 32
+_ONES8, _PAIR8 = 0x0101010101010101, 0xFF | 0xFF << LANE
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def _runs(paragraph: Column) -> Column:
@@ -25,47 +34,51 @@ def _runs(paragraph: Column) -> Column:
         return F.transform(starts, lambda i: F.xxhash64(F.slice(units, i, RUN_WORDS)))
 
     words = F.regexp_extract_all(paragraph, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    one = F.element_at(words, 1)
-    none = F.array().cast("array<bigint>")
-    return F.when(F.size(words) > 1, hashed(words)).when(F.size(words) == 1, hashed(F.split(one, ""))).otherwise(none)
+    units = _bound(words, lambda w: F.when(F.size(w) == 1, F.split(F.element_at(w, 1), "")).otherwise(w))
+    hashes = F.transform(units, lambda u: F.xxhash64(u))
+    return _bound(hashes, lambda h: F.when(F.size(h) > 0, hashed(h)).otherwise(F.array().cast("array<bigint>")))
+
+
+def _sums(items: Column, names: list[str], add: Callable[[Column, Column, int], Column]) -> Column:
+    """A struct of sums over an array; ``add`` gives what an item adds to each."""
+    zero = F.struct(*(F.lit(0).cast("bigint").alias(n) for n in names))
+    return F.aggregate(items, zero, lambda acc, x: F.struct(*(add(acc[n], x, j).alias(n) for j, n in enumerate(names))))
+
+
+def _bit_counts(runs: Column) -> Column:
+    """For each of 64 bits the number of hashes that have it set: long t holds the counts of bits t and t + 32."""
+    narrow, wide = [f"n{j}" for j in range(8)], [f"c{t}" for t in range(LONGS)]
+    starts = F.when(F.size(runs) > 0, F.sequence(F.lit(1), F.size(runs), F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    chunks = F.transform(starts, lambda i: _sums(F.slice(runs, i, CHUNK), narrow, lambda n, h, j: n + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_ONES8))))
+    total = _sums(chunks, wide, lambda c, chunk, t: c + F.shiftrightunsigned(chunk[f"n{t % 8}"], t // 8 * 8).bitwiseAND(F.lit(_PAIR8)))
+    return _bound(total, lambda x: F.array(*(x[n] for n in wide)))
 
 
 def fingerprint(text: Column) -> Column:
     """A vector of WHOLE + 1 + LONGS bigints, the sum of one vector for each paragraph (line) of the text.
 
     A paragraph gives two 64-bit hashes in 32-bit lanes summed modulo 2**32, the number of its word runs, and for each
-    of 60 bits how many of its runs' hashes have it set. Sums don't depend on order; equal texts, and
+    of 64 bits how many of its runs' hashes have it set. Sums don't depend on order; equal texts, and
     texts of the same paragraphs in any order, have equal vectors. Null is as empty: one paragraph without runs.
     Every RUN_WORDS neighbouring words are a run, so that a word more or less changes only the runs that hold it; a paragraph of
     fewer words is one run. Words end at ASCII white space; where a paragraph has one word only, its code points stand for words.
-    Over 2**30 runs the bit counts carry into each other; they stay equal for equal texts.
+    A count could only carry into the next from 2**31 runs on, more than a string can hold.
     """
-    text = F.coalesce(text, F.lit(""))
-    whole = F.transform(F.split(text, "\n", -1), lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit("2"), p).alias("b")))
-    runs = F.flatten(F.transform(F.split(text, "\n", -1), _runs))
-    zero = F.lit(0).cast("bigint")
+    paragraphs = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     low, high = (lambda h: h.bitwiseAND(F.lit(_M32 - 1))), (lambda h: F.shiftrightunsigned(h, 32))
-    start = F.struct(*(zero.alias(f"w{i}") for i in range(WHOLE)))
-    sums = F.aggregate(
-        whole,
-        start,
-        lambda acc, h: F.struct(*((acc[f"w{i}"] + part).bitwiseAND(F.lit(_M32 - 1)).alias(f"w{i}") for i, part in enumerate((low(h["a"]), high(h["a"]), low(h["b"]), high(h["b"]))))),
-        lambda acc: F.array(*(acc[f"w{i}"] for i in range(WHOLE))),
-    )
-    bits = F.aggregate(
-        runs,
-        F.struct(*(zero.alias(f"c{j}") for j in range(LONGS))),
-        lambda acc, h: F.struct(*((acc[f"c{j}"] + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(_ONES))).alias(f"c{j}") for j in range(LONGS))),
-        lambda acc: F.array(*(acc[f"c{j}"] for j in range(LONGS))),
-    )
-    return F.concat(sums, F.array(F.size(runs).cast("bigint")), bits)
+    whole = F.transform(paragraphs, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit("2"), p).alias("b")))
+    lanes = [lambda h: low(h["a"]), lambda h: high(h["a"]), lambda h: low(h["b"]), lambda h: high(h["b"])]
+    names = [f"w{i}" for i in range(WHOLE)]
+    sums = _bound(_sums(whole, names, lambda w, h, i: (w + lanes[i](h)).bitwiseAND(F.lit(_M32 - 1))), lambda x: F.array(*(x[n] for n in names)))
+    runs = F.flatten(F.transform(paragraphs, _runs))
+    return F.concat(sums, _bound(runs, lambda r: F.concat(F.array(F.size(r).cast("bigint")), _bit_counts(r))))
 
 
 def _lanes(a: Column, b: Column, sign: int) -> Column:
     def lane(pair: Column, i: Column) -> Column:
         x, y = pair["x"], pair["y"]
-        base = F.when(i <= WHOLE, F.lit(_M32)).otherwise(F.lit(_M60))
-        return F.pmod(x + y if sign > 0 else x - y, base)
+        both = x + y if sign > 0 else x - y
+        return F.when(i < WHOLE, F.pmod(both, F.lit(_M32))).otherwise(both)
 
     return F.transform(F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lane)
 
@@ -82,14 +95,14 @@ def deleted(a: Column, b: Column) -> Column:
 
 def as_text(fp: Column) -> Column:
     """A fingerprint as lower-case hexadecimal digits of fixed length."""
-    return F.lower(F.array_join(F.transform(fp, lambda x, i: F.lpad(F.hex(x), F.when(i <= WHOLE, 8).otherwise(15), "0")), ""))
+    return F.lower(F.array_join(F.transform(fp, lambda x, i: F.lpad(F.hex(x), F.when(i <= WHOLE, 8).otherwise(16), "0")), ""))
 
 
 def centred(fp: Column) -> Column:
     """The counts of set bits as signed sums, one double for each lane."""
     n = F.element_at(fp, WHOLE + 1)
     longs = F.slice(fp, WHOLE + 2, LONGS)
-    lanes = F.flatten(F.transform(longs, lambda x: F.array(*(F.shiftrightunsigned(x, LANE * k).bitwiseAND(F.lit((1 << LANE) - 1)) for k in range(PER_LONG)))))
+    lanes = F.flatten(F.transform(longs, lambda x: F.array(x.bitwiseAND(F.lit(_M32 - 1)), F.shiftrightunsigned(x, LANE))))
     return F.transform(lanes, lambda c: (c * 2 - n).cast("double"))
 
 

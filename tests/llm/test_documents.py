@@ -237,6 +237,60 @@ def test_edited_fingerprints(spark, mixed_rows):
     assert fingerprint.edited_fingerprints(table(spark, [(9, "abcd", None)])).first()["edited"] == "abca"
 
 
+def plain_fingerprint(text):
+    """(sums of paragraph hashes, number of runs, set bits of the runs' hashes) in plain Python."""
+    import xxhash
+
+    def hash_of(parts, seed=42):
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x if isinstance(x, bytes) else x.to_bytes(8, "little"), seed=seed)
+        return seed
+
+    sums, runs, bits = [0] * 4, 0, [0] * 64
+    for paragraph in (text or "").split("\n"):
+        for k, h in enumerate((hash_of([paragraph.encode()]), hash_of([b"2", paragraph.encode()]))):
+            for j, part in enumerate((h & 0xFFFFFFFF, h >> 32)):
+                sums[2 * k + j] = (sums[2 * k + j] + part) % 2**32
+        units = re.findall(f"[^{WS}]+", paragraph)
+        units = list(units[0]) if len(units) == 1 else units
+        hashes = [hash_of([u.encode()]) for u in units]
+        for i in range(max(1, len(hashes) - 7) if hashes else 0):
+            h, runs = hash_of(hashes[i : i + 8]), runs + 1
+            bits = [n + (h >> b & 1) for b, n in enumerate(bits)]
+    return sums, runs, bits
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = ([2 * n - runs for n in bits] for _, runs, bits in (a, b))
+    norm = (sum(v * v for v in x) * sum(v * v for v in y)) ** 0.5
+    return max(0.0, min(1.0, sum(p * q for p, q in zip(x, y)) / norm)) if norm else 0.0
+
+
+def test_fingerprint_query(spark, mixed_rows, tmp_path):
+    """The registered query against plain sums and cosines, on odd texts and some of the given ones."""
+    from citelink.llm.queries import QUERIES
+
+    given = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars < 3000").limit(40).collect()
+    rows = [*mixed_rows, *((500 + i, r["text"], "g") for i, r in enumerate(given)), (900, " ".join(f"w{i}" for i in range(1000)), "g"), (901, "".join(chr(0x4E00 + i) for i in range(300)), "g")]
+    table(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op6_fingerprint"](spark, str(tmp_path)).collect()}
+    order = sorted(rows)
+    assert len(got) == len(rows)
+    for k, (i, t, _) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + after[:cut]
+        own, other, following = plain_fingerprint(t), plain_fingerprint(edited), plain_fingerprint(after)
+        r = got[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        for text, (sums, runs, bits) in ((r["fingerprint"], own), (r["edited_fingerprint"], other)):
+            assert text == "".join(f"{x:08x}" for x in (*sums, runs)) + "".join(f"{bits[j] | bits[j + 32] << 32:016x}" for j in range(32))
+        assert r["near_edited"] == pytest.approx(plain_likeness(own, other), abs=1e-9)
+        assert r["near_next"] == pytest.approx(plain_likeness(own, following), abs=1e-9)
+
+
 def brute_repeats(rows):
     seen, out = {}, {}
     for i, t, _ in sorted(rows, key=lambda r: r[0]):
