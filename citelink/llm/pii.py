@@ -25,15 +25,19 @@ HINT = {
     "phone": ("+", r"\+[0-9][\x20().0-9-]"),
 }
 _W = r"\x20\x09-\x0D"
-#: A token that may be an identifier, since it holds a digit or an @, and the word before it, if that holds neither.
-TOKEN = rf"(?<![^{_W}])(?:([^{_W}0-9@]++)[{_W}]++)?([^{_W}0-9@]*+[0-9@][^{_W}]*+)"
+#: A run of tokens, one blank apart, that may be an identifier, since each of them holds a digit or an @.
+RUN = rf"(?<![^{_W}])[^{_W}0-9@]*+[0-9@][^{_W}]*+(?:\x20[^{_W}0-9@]*+[0-9@][^{_W}]*+)*+"
+#: Code points of text before and after a run in which its neighbouring words are looked for.
+NEAR = 80
 #: Punctuation that is taken off both ends of a learned identifier.
 TRIM = "\"'`.,;:!?()[]{}<>*#%&$="
+#: The same at the left end, but for the bracket of an area code.
+LEFT = r"^(?:(?!\([0-9]{1,5}\))[" + TRIM.replace("[", r"\[").replace("]", r"\]") + "])++"
 ROUNDS = 3
-#: A pattern needs so many different seeds and this confidence, an identifier this one and so many digits (or an @).
-MIN_SEEDS, MIN_PATTERN, MIN_INSTANCE, MIN_DIGITS = 5, 0.9, 0.9, 4
-#: Weight of the doubt that every pattern starts with, in occurrences.
-DOUBT = 0.5
+#: A pattern needs so many different sure values and this confidence, an identifier this one.
+MIN_SEEDS, MIN_PATTERN, MIN_INSTANCE = 5, 0.8, 0.9
+#: Weight of the doubt that every pattern starts with, in occurrences, and of an occurrence that fits a kind and is not known to be of it.
+DOUBT, UNKNOWN = 0.5, 0.2
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -43,6 +47,27 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("gap"), v.alias("value")))
 
 
+def _with_neighbours(text: Column) -> Column:
+    """For each run in order: the code points since the last one, what it holds, the two words before it and the word after it."""
+    found = F.array(F.struct(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("values"), F.split(text, RUN, -1).alias("gaps")))
+
+    def word(c: Column) -> Column:
+        bare = F.rtrim(F.ltrim(F.lower(c), F.lit(TRIM)), F.lit(TRIM))
+        return F.when(bare != "", bare).otherwise(c)
+
+    def each(x: Column) -> Column:
+        def one(v: Column, i: Column) -> Column:
+            tail, head = F.substring(F.get(x["gaps"], i), -NEAR, NEAR), F.substring(F.get(x["gaps"], i + 1), 1, NEAR)
+            last_two, first = rf"(?:([^{_W}]++)[{_W}]++)?([^{_W}]++)[{_W}]*+$", rf"^[{_W}]*+([^{_W}]++)"
+            return F.struct(
+                F.length(F.get(x["gaps"], i)).alias("gap"), v.alias("value"), word(F.regexp_extract(tail, last_two, 1)).alias("l2"), word(F.regexp_extract(tail, last_two, 2)).alias("l1"), word(F.regexp_extract(head, first, 1)).alias("r1")
+            )
+
+        return F.transform(x["values"], one)
+
+    return F.element_at(F.transform(found, each), 1)
+
+
 def luhn(digits: Column) -> Column:
     """Whether a string of digits passes the check sum of card numbers."""
     values = F.transform(F.split(F.reverse(digits), ""), lambda d: F.coalesce(d.try_cast("int"), F.lit(0)))
@@ -63,7 +88,7 @@ def valid(kind: Column, value: Column) -> Column:
 
 
 def _searched(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, email, ip, card, phone, token): the pieces of each row's matches, one pass over the texts."""
+    """(row, doc_id, email, ip, card, phone, token): the pieces of each row's matches and of its runs, one pass over the texts."""
     text = F.coalesce("text", F.lit(""))
     none = F.array().cast("array<struct<gap:int,value:string>>")
     columns = []
@@ -71,36 +96,49 @@ def _searched(docs: DataFrame) -> DataFrame:
         holds, hint = HINT[kind]
         here = text.rlike(hint) if not holds else text.contains(holds) & text.rlike(hint)
         columns.append(F.when(here, _pieces(text, BASE[kind])).otherwise(none).alias(kind))
-    columns.append(F.when(text.rlike("[0-9@]"), _pieces(text, TOKEN)).otherwise(none).alias("token"))
+    columns.append(F.when(text.rlike("[0-9@]"), _with_neighbours(text)).alias("token"))
     return stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *columns), "searched")
 
 
-def _placed(searched: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """(row, kind, start, end, value) of all matches, offsets in code points."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("pieces")) for k in kinds)))
-    flat = searched.where(" or ".join(f"size({k}) > 0" for k in kinds)).select("row", each.alias("k")).select("row", "k.kind", F.posexplode("k.pieces").alias("at", "m"))
-    so_far = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _ends(flat: DataFrame, by: list[str]) -> DataFrame:
+    """``flat`` (at, m) with ``start`` and ``end`` of each match in code points, from the gaps and lengths up to it."""
+    so_far = Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("m.gap") + F.length("m.value")).over(so_far).cast("int")
-    return flat.withColumn("end", end).select("row", "kind", (F.col("end") - F.length("m.value")).alias("start"), "end", F.col("m.value").alias("value"))
+    return flat.withColumn("end", end).withColumn("start", F.col("end") - F.length("m.value"))
+
+
+def _placed(searched: DataFrame) -> DataFrame:
+    """(row, kind, start, end, value) of all matches of the seed patterns."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("pieces")) for k in KINDS)))
+    flat = searched.where(" or ".join(f"size({k}) > 0" for k in KINDS)).select("row", each.alias("k")).select("row", "k.kind", F.posexplode("k.pieces").alias("at", "m"))
+    return _ends(flat, ["row", "kind"]).select("row", "kind", "start", "end", F.col("m.value").alias("value"))
 
 
-def _form(value: Column) -> Column:
-    """A value's form: letters a, runs of one to three digits one 9, longer runs as many nines as digits."""
-    short = F.regexp_replace(value, "(?<![0-9])[0-9]{1,3}(?![0-9])", "9")
-    return F.regexp_replace(F.translate(short, "0123456789", "9" * 10), r"\p{L}++", "a")
+def fits(value: Column, kind: Column) -> Column:
+    """Whether a value could be of a kind at all, whatever its exact form: all that a learned value is asked of its own characters."""
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    return (
+        F.when(kind == "email", value.rlike(rf"^[^@{_W}]+@[^@{_W}]+$"))
+        .when(kind == "ip", value.rlike(r"^[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){3,}$"))
+        .when(kind == "card", value.rlike(r"^[0-9][0-9 -]*[0-9]$") & digits.between(12, 19))
+        .otherwise(value.rlike(r"^[+(]?[0-9][0-9().\x20/-]*[0-9]$") & digits.between(7, 15))
+    )
 
 
 def occurrences(searched: DataFrame, base: DataFrame) -> DataFrame:
-    """(row, start, end, before, form, value, kind, taken) of tokens after a word.
+    """(row, start, end, patterns, value, kind, taken) of runs of tokens, with the lexical patterns that they occur in.
 
-    ``kind`` and ``value`` are the seed's where one begins in the token; ``taken`` says that a seed overlaps it.
-    Tokens inside a seed that began earlier are left out.
+    Patterns are the word before, the two words before, the words on both sides, and the word after. ``kind`` and ``value`` are the seed's where one
+    begins in the run, which then has the words only on the sides that the seed reaches; ``taken`` says that a seed overlaps it. Runs inside
+    a seed that began earlier are left out.
     """
-    raw = _placed(searched, ("token",)).select("row", "end", F.regexp_extract("value", TOKEN, 1).alias("before"), F.regexp_extract("value", TOKEN, 2).alias("token"))
-    left = F.ltrim(F.col("token"), F.lit(TRIM))
-    bare = F.rtrim(F.ltrim(F.col("token"), F.lit(TRIM)), F.lit(TRIM))
-    tokens = raw.withColumn("end", F.col("end") - F.length(left) + F.length(bare)).select("row", (F.col("end") - F.length(bare)).alias("start"), "end", F.lower("before").alias("before"), bare.alias("value")).where("value <> ''")
-    both = tokens.withColumn("seed", F.lit(None).cast("string")).unionByName(base.select("row", "start", "end", F.lit("").alias("before"), "value", F.col("kind").alias("seed")))
+    raw = _ends(searched.where("size(token) > 0").select("row", F.posexplode("token").alias("at", "m")), ["row"]).select("row", "end", "m.value", "m.l2", "m.l1", "m.r1")
+    left = F.regexp_replace("value", LEFT, "")
+    bare = F.rtrim(left, F.lit(TRIM))
+    end = F.col("end") - F.length(left) + F.length(bare)
+    runs = raw.select("row", (end - F.length(bare)).alias("start"), end.alias("end"), bare.alias("value"), "l2", "l1", "r1", F.lit(None).cast("string").alias("seed")).where("value <> ''")
+    none = F.lit("")
+    both = runs.unionByName(base.select("row", "start", "end", "value", none.alias("l2"), none.alias("l1"), none.alias("r1"), F.col("kind").alias("seed")))
     seed = F.when(F.col("seed").isNotNull(), F.struct("start", "end", "seed", "value"))
     order = Window.partitionBy("row").orderBy("start", F.col("seed").isNull(), "end")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
@@ -109,30 +147,37 @@ def occurrences(searched: DataFrame, base: DataFrame) -> DataFrame:
     starts_here = F.when(F.col("_back.start") == F.col("start"), F.col("_back")).otherwise(F.when(F.col("_next.start") < F.col("end"), F.struct("_next.end", "_next.start", "_next.seed", "_next.value")))
     inside = (F.col("_back.end") > F.col("start")) & (F.col("_back.start") < F.col("start"))
     named = seen.where(F.coalesce(~inside, F.lit(True))).withColumn("_own", starts_here)
-    form = _form(F.col("value"))
-    return named.where(F.col("before") != "").select("row", "start", "end", "before", form.alias("form"), F.coalesce("_own.value", "value").alias("value"), F.col("_own.seed").alias("kind"), F.col("_own").isNotNull().alias("taken"))
+    at_start = F.coalesce(F.col("_own.start") == F.col("start"), F.lit(True)) & (F.col("l1") != "")
+    at_end = F.coalesce(F.col("_own.end") == F.col("end"), F.lit(True)) & (F.col("r1") != "")
+    patterns = F.array(
+        F.when(at_start, F.concat(F.lit("1|"), "l1")), F.when(at_start & (F.col("l2") != ""), F.concat(F.lit("2|"), "l2", F.lit(" "), "l1")), F.when(at_start & at_end, F.concat(F.lit("b|"), "l1", F.lit("|"), "r1")), F.when(at_end, F.concat(F.lit("r|"), "r1"))
+    )
+    return named.select("row", "start", "end", F.filter(patterns, lambda x: x.isNotNull()).alias("patterns"), F.coalesce("_own.value", "value").alias("value"), F.col("_own.seed").alias("kind"), F.col("_own").isNotNull().alias("taken"))
 
 
 def learned(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> tuple[DataFrame, DataFrame]:
-    """Patterns (before, form, kind, confidence) and values (value, kind, sure), from the occurrences.
+    """Sure patterns (pattern, kind, confidence) and values (value, kind, sure), from the occurrences.
 
-    A pattern is the word before a token together with the token's form. Patterns and values are the two sides of a graph whose
-    edges count occurrences. A seed is sure of its kind. A pattern is as sure as its occurrences are on average, less
-    some doubt; another value is as sure as its patterns make it together. This goes round a fixed number of times, always on
-    counts. Only patterns with several different seeds take part.
+    Patterns and values are the two sides of a graph whose edges count occurrences. A seed is sure of its kind. A pattern's confidence in a
+    kind weighs its sure values of that kind against values that cannot be of it and, lightly, those that could; it
+    speaks once enough different values stand behind it. Another value is as sure as its patterns make it together, if its characters fit the kind. Values found sure help
+    patterns in the next round, so contexts that few seeds have can still be learned.
     """
-    edges = stored(found.groupBy("before", "form", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind")), "edges")
+    edges = stored(found.select(F.explode("patterns").alias("pattern"), "value", "kind").groupBy("pattern", "value").agg(F.count("*").alias("n"), F.max("kind").alias("kind")), "edges")
     seeds = edges.where("kind is not null").select("value", "kind").distinct().withColumn("sure", F.lit(1.0))
-    total = edges.groupBy("before", "form").agg(F.sum("n").alias("total"), F.count_distinct(F.when(F.col("kind").isNotNull(), F.col("value"))).alias("seeds")).where(F.col("seeds") >= min_seeds)
-    live = stored(edges.join(total.select("before", "form", "total"), ["before", "form"]), "live")
+    could = [F.sum(F.when(fits(F.col("value"), F.lit(k)), F.col("n")).otherwise(0)).alias(f"fit_{k}") for k in KINDS]
+    total = edges.groupBy("pattern").agg(F.sum("n").alias("total"), *could, F.count("*").alias("many")).where(F.col("many") >= min_seeds).drop("many")
+    live = stored(edges.join(total, "pattern"), "live")
     sure = seeds
     for _ in range(rounds):
-        mass = live.drop("kind").join(sure, "value")
-        scored = mass.groupBy("before", "form", "kind").agg(F.sum(F.col("n") * F.col("sure")).alias("mass"), F.max("total").alias("total"))
-        patterns = stored(scored.select("before", "form", "kind", (F.col("mass") / (F.col("total") + DOUBT)).alias("confidence")), "patterns")
-        others = live.where("kind is null").drop("kind").join(patterns, ["before", "form"])
+        mass = live.drop("kind").join(sure, "value").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("sure")).alias("mass"), F.sum("sure").alias("behind"), F.max("total").alias("total"), *(F.max(f"fit_{k}").alias(f"fit_{k}") for k in KINDS))
+        fit = F.coalesce(*(F.when(F.col("kind") == k, F.col(f"fit_{k}")) for k in KINDS))
+        against = F.col("total") - fit + UNKNOWN * F.greatest(fit - F.col("mass"), F.lit(0.0)) + DOUBT
+        scored = mass.where(F.col("behind") >= min_seeds).select("pattern", "kind", (F.col("mass") / (F.col("mass") + against)).alias("confidence"))
+        patterns = stored(scored.where(F.col("confidence") >= MIN_PATTERN), "patterns")
+        others = live.where("kind is null").drop("kind").join(patterns, "pattern").where(fits(F.col("value"), F.col("kind")))
         guess = others.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("confidence"), F.lit(0.999)))))).alias("sure"))
-        sure = stored(seeds.unionByName(guess), "sure")
+        sure = stored(seeds.unionByName(guess.where(F.col("sure") >= MIN_INSTANCE)), "sure")
     return patterns, sure
 
 
@@ -140,15 +185,14 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, spans array<(rank, start, end, kind, seed boolean)>) for each row of (doc_id, text), in order of kind and start.
 
     Offsets are code points, the end exclusive. Seeds are the leftmost matches of the fixed patterns that don't overlap and pass
-    their kind's test. Learned spans are whole tokens without surrounding punctuation that overlap no seed. A null or empty
+    their kind's test. Learned spans are whole runs of tokens without surrounding punctuation that overlap no seed. A null or empty
     text has none. Each row is searched for itself, so rows that repeat have the same spans each.
     """
     searched = _searched(docs.select("doc_id", "text"))
-    base = stored(_placed(searched, KINDS).where(valid(F.col("kind"), F.col("value"))), "base")
+    base = stored(_placed(searched).where(valid(F.col("kind"), F.col("value"))), "base")
     found = stored(occurrences(searched, base), "occurrences")
     patterns, sure = learned(found, rounds)
-    enough = (F.length(F.regexp_replace("value", "[^0-9]", "")) >= MIN_DIGITS) | F.col("value").contains("@")
-    fresh = found.where(~F.col("taken") & enough).drop("kind").join(patterns.where(F.col("confidence") >= MIN_PATTERN), ["before", "form"]).join(sure.where(F.col("sure") >= MIN_INSTANCE), ["value", "kind"])
+    fresh = found.where(~F.col("taken")).select("row", "start", "end", F.explode("patterns").alias("pattern"), "value").join(patterns, "pattern").join(sure, ["value", "kind"])
     best = fresh.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     spans = base.select("row", rank.alias("rank"), "start", "end", "kind", F.lit(True).alias("seed")).unionByName(best.select("row", rank.alias("rank"), "start", "end", "kind", F.lit(False).alias("seed")))
