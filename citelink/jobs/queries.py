@@ -95,21 +95,21 @@ def q_parse_citations(spark, sf):
 
 def q_merge_external_parses(spark, sf):
     text = T.citations_text(spark, sf)
-    outside = text.where("q = 4 and work_id % 8 = 0").select("doc_id", "ref_no", F.col("t").alias("title"), "authors", "year", "venue", "doi")
-    merged = parsing.merge_external_parses(parsing.parse_citations(text.select("doc_id", "ref_no", "original_reference", "q").where("q = 4")), outside)
+    outside = text.where("q = 4 and work_id % 2 = 0").select("doc_id", "ref_no", F.col("t").alias("title"), "authors", "year", "venue", "doi")
+    merged = parsing.merge_external_parses(parsing.parse_citations(text.select("doc_id", "ref_no", "original_reference")), outside)
     return merged.select("doc_id", "ref_no", "title", F.size("authors").cast("bigint").alias("n_authors"), "year", "doi")
 
 
 def q_assign_batches(spark, sf):
-    return parsing.assign_batches(T.citations(spark, sf, whole=True).select("doc_id", "ref_no"), 8, buckets=16).groupBy("bucket", "batch").agg(F.count("*").alias("n"))
+    return parsing.assign_batches(T.citations(spark, sf).select("doc_id", "ref_no"), 8, buckets=16).groupBy("bucket", "batch").agg(F.count("*").alias("n"))
 
 
 def q_parse_coverage(spark, sf):
     return reports.parse_coverage(parsing.parse_citations(T.citations_text(spark, sf)))
 
 
-def _works(spark, sf, whole: bool = False) -> DataFrame:
-    return stored(W.deduplicate_works(T.works_raw(spark, sf, whole)), "works")
+def _works(spark, sf) -> DataFrame:
+    return stored(W.deduplicate_works(T.works_raw(spark, sf)), "works")
 
 
 def q_works_merged(spark, sf):
@@ -133,21 +133,23 @@ def q_title_candidates(spark, sf):
 
 
 def q_stage_queries(spark, sf):
-    return C.stage_queries(_groups(spark, sf), (1, 2, 3, 4, 5)).select("lookup_key", "source", "place", "stage", "text")
+    return C.stage_queries(_groups(spark, sf)).select("lookup_key", "source", "place", "stage", "text")
 
 
 def q_search_topk(spark, sf):
-    return C.search_topk(C.stage_queries(_groups(spark, sf), (1,)), _works(spark, sf), {1: 5}).select("lookup_key", "source", "work_key", "score", F.col("hit_no").cast("bigint").alias("hit_no"))
+    """The best works of every search of all stages, with the operators' own caps."""
+    found = C.search_topk(C.stage_queries(_groups(spark, sf)), _works(spark, sf))
+    return found.select("lookup_key", "source", "stage", "place", "work_key", "score", F.col("hit_no").cast("bigint").alias("hit_no"))
 
 
 def q_candidate_counts(spark, sf):
-    pairs = C.generate_candidates(T.citations(spark, sf, whole=True), _works(spark, sf, whole=True))
+    pairs = C.generate_candidates(T.citations(spark, sf), _works(spark, sf))
     return W.candidate_counts(pairs)
 
 
 def q_staged_candidates(spark, sf):
     """Number of citations by the stage of the first of their hits, over all stages."""
-    pairs = C.generate_candidates(T.citations(spark, sf, whole=True), _works(spark, sf, whole=True))
+    pairs = C.generate_candidates(T.citations(spark, sf), _works(spark, sf))
     return pairs.groupBy("doc_id", "ref_no").agg(F.min("stage").alias("stage")).groupBy("stage").agg(F.count("*").alias("n"))
 
 
@@ -160,22 +162,23 @@ def q_doi_year_states(spark, sf):
 
 def q_field_states(spark, sf):
     """How often each combination of states occurs between citations and the works of their DOI or title."""
-    works = _works(spark, sf, whole=True)
-    pairs = C.with_works(C.lookup_keys(T.citations(spark, sf, whole=True)).join(works.where("norm_title <> ''").select("norm_title", "work_key"), "norm_title"), works)
-    return compare.build_field_states(pairs).groupBy(*(F.col(f"states.{f}").alias(f) for f in compare.FIELDS)).agg(F.count("*").alias("n"))
+    works = _works(spark, sf)
+    pairs = C.with_works(C.lookup_keys(T.citations(spark, sf)).join(works.where("norm_title <> ''").select("norm_title", "work_key"), "norm_title"), works)
+    states = stored(compare.build_field_states(pairs).select("states.*"), "states")  # as columns of a table, each state is worked out once
+    return states.groupBy(*compare.FIELDS).agg(F.count("*").alias("n"))
 
 
 def q_title_measures(spark, sf):
     """Similarity measures between each citation's title and its record's."""
-    base = T.base(spark, sf, whole=True).select("work_id", F.col("title").alias("w_title"), F.col("authors").alias("w_authors"))
-    pairs = T.citations(spark, sf, whole=True).join(base, "work_id")
+    base = T.base(spark, sf).select("work_id", F.col("title").alias("w_title"), F.col("authors").alias("w_authors"))
+    pairs = T.citations(spark, sf).join(base, "work_id")
     a, b = normalize.normalize_text(F.col("title")), normalize.normalize_text(F.col("w_title"))
     return pairs.select("work_id", similarity.fuzz_ratio(a, b).alias("ratio"), similarity.token_sort_ratio(a, b).alias("sorted_ratio"), similarity.token_set_ratio(a, b).alias("set_ratio"), similarity.title_similarity(F.col("title"), F.col("w_title")).alias("similarity"), similarity.title_identity(F.col("title"), F.col("w_title")).alias("identity"), similarity.author_similarity(F.col("authors"), F.col("w_authors")).alias("authors"))
 
 
-def judged_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Citations, and pairs with scores and states by formula, so that ranking and decisions can be checked by SQL. A fifth of the citations have no pair."""
-    cites = T.citations(spark, sf_dir, whole)
+def judged_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Citations, and pairs with scores and states by formula, so that ranking and decisions meet every case. A fifth of the citations have no pair."""
+    cites = T.citations(spark, sf_dir)
     k, w = F.col("k"), F.col("work_id")
 
     def state(values: tuple[str, ...], a: int, b: int) -> Column:
@@ -192,8 +195,8 @@ def judged_pairs(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple
     return cites, pairs
 
 
-def _decided(spark, sf, whole: bool = False) -> DataFrame:
-    cites, pairs = judged_pairs(spark, sf, whole)
+def _decided(spark, sf) -> DataFrame:
+    cites, pairs = judged_pairs(spark, sf)
     return D.route(D.decide(cites, pairs))
 
 
@@ -217,8 +220,15 @@ def q_route(spark, sf):
 
 
 def q_review_queue(spark, sf):
-    queue = sinks.review_queue(_decided(spark, sf))
-    return queue.select("doc_id", "ref_no", F.size(F.from_json("payload", "candidates array<struct<title:string>>")["candidates"]).cast("bigint").alias("n_candidates"))
+    """The fields of every payload, read back from its JSON."""
+    hit = "candidate_index:int,title:string,authors:array<string>,year:int,doi:string,venue:string,source:string,title_similarity:double,author_similarity:double,year_score:double,weighted_score:double,source_agreement:array<string>"
+    case = F.from_json("payload", f"reference_id int, original_reference string, parsed_metadata struct<title:string,authors:array<string>,year:int,venue:string,doi:string>, candidates array<struct<{hit}>>")
+    rows = sinks.review_queue(_decided(spark, sf)).select("doc_id", "ref_no", "bucket", "batch", case.alias("c"))
+
+    def line(h: Column) -> Column:
+        return F.concat_ws("/", h["candidate_index"].cast("string"), h["title"], F.array_join(h["authors"], "+"), h["year"].cast("string"), h["doi"], h["venue"], h["source"], *(h[s].cast("int").cast("string") for s in ("title_similarity", "author_similarity", "year_score")), F.round(h["weighted_score"] * 10).cast("int").cast("string"), F.array_join(h["source_agreement"], "+"))
+
+    return rows.select("doc_id", "ref_no", "bucket", "batch", F.col("c.reference_id").alias("reference_id"), F.col("c.original_reference").alias("original_reference"), F.col("c.parsed_metadata.title").alias("title"), F.array_join("c.parsed_metadata.authors", "|").alias("authors"), F.col("c.parsed_metadata.year").alias("year"), F.col("c.parsed_metadata.venue").alias("venue"), F.col("c.parsed_metadata.doi").alias("doi"), F.array_join(F.transform("c.candidates", line), ";").alias("candidates"))
 
 
 def q_apply_verdicts(spark, sf):
@@ -228,9 +238,9 @@ def q_apply_verdicts(spark, sf):
 
 
 def q_report(spark, sf):
-    names = {"Ref #": "ref_no", "Status": "status", "Manual Check Needed": "manual_check", "Submitted Title": "title", "Submitted Authors": "authors", "Matched Title": "matched", "Sources Agreeing": "agreeing"}
+    """All columns of the flat report, in lower case with underscores."""
     flat = sinks.report(_decided(spark, sf))
-    return flat.select("doc_id", *(F.col(f"`{a}`").alias(b) for a, b in names.items()))
+    return flat.select("doc_id", *(F.col(f"`{c}`").alias(c.lower().replace(" #", "_no").replace(" ", "_")) for c in sinks.REPORT_COLUMNS))
 
 
 def q_status_summary(spark, sf):
@@ -238,7 +248,7 @@ def q_status_summary(spark, sf):
 
 
 def q_text_report(spark, sf):
-    return reports.text_report(_decided(spark, sf, whole=True)).select("doc_id", "ref_no", F.size(F.split("block", "\n")).cast("bigint").alias("n_lines"), F.md5(F.col("block").cast("binary")).alias("block_md5"))
+    return reports.text_report(_decided(spark, sf)).select("doc_id", "ref_no", F.size(F.split("block", "\n")).cast("bigint").alias("n_lines"), F.md5(F.col("block").cast("binary")).alias("block_md5"))
 
 
 def q_usage_summary(spark, sf):
@@ -247,13 +257,13 @@ def q_usage_summary(spark, sf):
 
 def q_verify(spark, sf):
     """Results of the whole verification: each citation's status and best match."""
-    results = verify(T.citations(spark, sf, whole=True), _works(spark, sf, whole=True))
+    results = verify(T.citations(spark, sf), _works(spark, sf))
     return results.select("doc_id", "ref_no", "status", "source", F.col("best_match.title").alias("matched_title"), F.col("best_match.weighted_score").alias("score"))
 
 
 def q_verify_documents(spark, sf):
     """The whole way from documents with reference sections to verdicts."""
-    results = verify_documents(T.documents_with_references(spark, sf, whole=True), T.works_raw(spark, sf, whole=True))
+    results = verify_documents(T.documents_with_references(spark, sf), T.works_raw(spark, sf))
     return results.select("doc_id", "ref_no", "parse_style", "status", F.col("best_match.title").alias("matched_title"))
 
 
@@ -262,10 +272,10 @@ def q_verify_stream(spark, sf):
     import uuid
 
 
-    cites = stored(T.citations_text(spark, sf, whole=True).select("doc_id", "ref_no", "original_reference"), "arrived")
+    cites = stored(T.citations_text(spark, sf).select("doc_id", "ref_no", "original_reference"), "arrived")
     root = cites.inputFiles()[0].rsplit("/", 2)[0] + f"/stream-{uuid.uuid4().hex}"
     cites.write.json(f"{root}/in")
-    query = verify_stream(spark, f"{root}/in", _works(spark, sf, whole=True), f"{root}/out", f"{root}/pools", f"{root}/state")
+    query = verify_stream(spark, f"{root}/in", _works(spark, sf), f"{root}/out", f"{root}/pools", f"{root}/state")
     query.awaitTermination()
     return spark.read.parquet(f"{root}/out").select("doc_id", "ref_no", "status", F.col("best_match.title").alias("matched_title"))
 

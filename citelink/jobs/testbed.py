@@ -1,7 +1,7 @@
 """Records and citations derived from the documents table, so that every job runs on data that grows with it.
 
-Each function has its SQL counterpart in ``SQL``: the same formulas as common table expressions, over a quarter of the records and
-titles of 120 code points. Queries without SQL take ``whole``: a citation of every record, with its whole first sentence.
+Each function has its SQL counterpart in ``SQL``: the same formulas as common table expressions. Every record has a citation, and its
+title is the whole first sentence of its document.
 """
 
 from __future__ import annotations
@@ -18,11 +18,10 @@ def _author(doc: Column, m: int) -> Column:
     return F.concat(F.char(65 + (doc * m) % 26), F.lit(". "), surname)
 
 
-def base(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record for each document whose first sentence makes a title of 12 characters or more."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    sentence = F.regexp_extract("text", r"^[^.\n]*", 0)
-    title = F.trim(sentence if whole else F.substring(sentence, 1, 120))
+    title = F.trim(F.regexp_extract("text", r"^[^.\n]*", 0))
     doc = F.col("doc_id")
     return docs.withColumn("title", title).where(F.length("title") >= 12).select(
         doc.alias("work_id"),
@@ -34,10 +33,10 @@ def base(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     )
 
 
-def works_raw(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def works_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records as several sources have them, with fields missing here and there."""
     i = F.col("i")
-    rows = base(spark, sf_dir, whole).withColumn("i", F.explode(F.array(*map(F.lit, range(len(SOURCES)))))).where((F.col("work_id") + i) % 3 != 0)
+    rows = base(spark, sf_dir).withColumn("i", F.explode(F.array(*map(F.lit, range(len(SOURCES)))))).where((F.col("work_id") + i) % 3 != 0)
     return rows.select(
         "work_id",
         "title",
@@ -50,19 +49,13 @@ def works_raw(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFram
     )
 
 
-def _step(whole: bool) -> int:
-    """Every how many-th record has a citation; ten citations make a document."""
-    return 1 if whole else 4
-
-
-def citations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """A quarter of the records (all, if ``whole``) as parsed citations, each changed in one of eight ways."""
-    step = _step(whole)
-    doc, p = F.col("work_id"), F.expr(f"(work_id div {step}) % 8")
-    rows = base(spark, sf_dir, whole).where(doc % step == 0).withColumn("p", p)
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records as parsed citations, ten in a document, each changed in one of eight ways."""
+    doc, p = F.col("work_id"), F.col("work_id") % 8
+    rows = base(spark, sf_dir).withColumn("p", p)
     return rows.select(
-        F.expr(f"work_id div {10 * step}").alias("doc_id"),
-        F.expr(f"int((work_id % {10 * step}) div {step}) + 1").alias("ref_no"),
+        F.expr("work_id div 10").alias("doc_id"),
+        F.expr("int(work_id % 10) + 1").alias("ref_no"),
         "work_id",
         F.lit("citation").alias("original_reference"),
         F.when(p == 4, F.array_join(F.slice(F.split("title", " "), 1, 3), " ")).when(p == 7, F.regexp_replace("title", "^([^ ]*) ", "$1")).otherwise(F.col("title")).alias("title"),
@@ -78,10 +71,10 @@ def plain_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[^A-Za-z ]", ""), " +", " "))
 
 
-def citations_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def citations_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations written as text in four styles and one that no style fits, with the fields they were made of."""
-    step = _step(whole)
-    rows = base(spark, sf_dir, whole).where(f"work_id % {step} = 0").withColumn("t", F.concat(plain_title(F.col("title")), F.lit(" study"))).where("length(t) >= 18").withColumn("q", F.expr(f"(work_id div {step}) % 5"))
+    rows = base(spark, sf_dir).withColumn("t", F.concat(plain_title(F.col("title")), F.lit(" study"))).where("length(t) >= 18")
+    rows = rows.withColumn("q", F.when((F.col("work_id") % 5 == 0) & (F.length("t") > 290), 1).otherwise(F.col("work_id") % 5))  # quotes hold 300 characters at most
     year = F.col("year").cast("string")
     last = F.transform("authors", lambda a: F.concat(F.substring(a, 4, 20), F.lit(", "), F.substring(a, 1, 2)))
     bare = F.transform("authors", lambda a: F.concat(F.substring(a, 4, 20), F.lit(" "), F.substring(a, 1, 1)))
@@ -93,12 +86,12 @@ def citations_text(spark: SparkSession, sf_dir: str, whole: bool = False) -> Dat
         .when(F.col("q") == 3, F.concat(F.array_join("authors", ", "), F.lit(", "), "t", F.lit(", "), "venue", F.lit(", "), year, doi))
         .otherwise(F.concat(F.lower("t"), F.lit(" "), year))
     )
-    return rows.select(F.expr(f"work_id div {10 * step}").alias("doc_id"), F.expr(f"int((work_id % {10 * step}) div {step}) + 1").alias("ref_no"), "work_id", "q", "t", "authors", "year", "venue", "doi", text.alias("original_reference"))
+    return rows.select(F.expr("work_id div 10").alias("doc_id"), F.expr("int(work_id % 10) + 1").alias("ref_no"), "work_id", "q", "t", "authors", "year", "venue", "doi", text.alias("original_reference"))
 
 
-def documents_with_references(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def documents_with_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents (doc_id, style, text): the document's own text, a reference section in one of three numbering styles, and an appendix."""
-    cites = citations_text(spark, sf_dir, whole).where("length(original_reference) > 25")
+    cites = citations_text(spark, sf_dir).where("length(original_reference) > 25")
     lines = cites.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ref_no", "original_reference"))).alias("c")).where("size(c) >= 2").withColumn("style", F.col("doc_id") % 3)
     mark = F.when(F.col("style") == 0, F.concat(F.lit("["), F.lit("%d"), F.lit("] "))).when(F.col("style") == 1, F.lit("%d. ")).otherwise(F.lit("%d) "))
     numbered = F.transform("c", lambda x, i: F.concat(F.replace(mark, F.lit("%d"), (i + 1).cast("string")), x["original_reference"]))
@@ -128,7 +121,7 @@ def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the shorter documents as blocks of two-column pages, with their place in the text."""
+    """Lines of the documents as blocks of two-column pages, with their place in the text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text"))
     n = F.col("n")
     x0 = F.when(F.expr("n div 2") % 2 == 0, 10.0).otherwise(310.0)
@@ -147,21 +140,21 @@ SQL = f"""
 base AS (
     SELECT doc_id AS work_id, title, {_sql_authors("doc_id")} AS authors, CAST(1990 + doc_id % 34 AS INTEGER) AS year,
            CASE WHEN doc_id % 3 <> 0 THEN '10.5555/d' || doc_id END AS doi, 'Journal of ' || source AS venue
-    FROM (SELECT *, trim(substr(regexp_extract(text, '^[^.\\n]*', 0), 1, 120)) AS title FROM documents) WHERE length(title) >= 12
+    FROM (SELECT *, trim(regexp_extract(text, '^[^.\\n]*', 0)) AS title FROM documents) WHERE length(title) >= 12
 ), works_raw AS (
     SELECT work_id, title, authors, doi, CASE WHEN (work_id + i) % 7 <> 1 THEN year END AS year, CASE WHEN (work_id + i) % 5 <> 1 THEN venue END AS venue,
            ['Crossref', 'OpenAlex', 'DBLP', 'Semantic Scholar', 'PubMed'][i + 1] AS source, work_id * 10 + i AS arrival
     FROM base CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS i) WHERE (work_id + i) % 3 <> 0
 ), citations AS (
-    SELECT work_id // 40 AS doc_id, CAST((work_id % 40) // 4 + 1 AS INTEGER) AS ref_no, work_id,
+    SELECT work_id // 10 AS doc_id, CAST(work_id % 10 + 1 AS INTEGER) AS ref_no, work_id,
            CASE WHEN p = 4 THEN array_to_string(string_split(title, ' ')[1:3], ' ') WHEN p = 7 THEN regexp_replace(title, '^([^ ]*) ', '\\1') ELSE title END AS title,
            CASE WHEN p = 5 THEN {_sql_authors("work_id + 1")} ELSE authors END AS authors,
            CAST(year + CASE p WHEN 2 THEN 1 WHEN 3 THEN 5 ELSE 0 END AS INTEGER) AS year, venue,
            CASE WHEN p IN (1, 7) THEN NULL WHEN p = 6 THEN '10.5555/x' || work_id ELSE doi END AS doi
-    FROM (SELECT *, (work_id // 4) % 8 AS p FROM base) WHERE work_id % 4 = 0
+    FROM (SELECT *, work_id % 8 AS p FROM base)
 ), citations_text AS (
-    SELECT work_id // 40 AS doc_id, CAST((work_id % 40) // 4 + 1 AS INTEGER) AS ref_no, work_id, (work_id // 4) % 5 AS q, t, authors, year, venue, doi
-    FROM (SELECT *, trim(regexp_replace(regexp_replace(title, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) || ' study' AS t FROM base) WHERE work_id % 4 = 0 AND length(t) >= 18
+    SELECT work_id // 10 AS doc_id, CAST(work_id % 10 + 1 AS INTEGER) AS ref_no, work_id, CASE WHEN work_id % 5 = 0 AND length(t) > 290 THEN 1 ELSE work_id % 5 END AS q, t, authors, year, venue, doi
+    FROM (SELECT *, trim(regexp_replace(regexp_replace(title, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) || ' study' AS t FROM base) WHERE length(t) >= 18
 )"""
 
 

@@ -126,18 +126,18 @@ def postings(works: DataFrame) -> DataFrame:
     return kinds.select("source", "fields", F.explode(tokens).alias("token"), "work_key")
 
 
-def search_topk(queries: DataFrame, works: DataFrame, caps: dict[int, int] | None = None, most_common: int = MOST_COMMON) -> DataFrame:
+def search_topk(queries: DataFrame, works: DataFrame, caps: dict[int, int] | None = None, most_common: int = MOST_COMMON, listed: DataFrame | None = None) -> DataFrame:
     """(lookup_key, source, place, stage, work_key, score, hit_no): the best works of each search.
 
     A work scores the rarities of the query's words in it, in thousandths so that sums are exact. ``most_common`` changes the
     work, never the result: a query's rarer words find works first. If these fill the cap with scores above all that the
     query's common words can give together, no work of common words alone is among the best, so those words' rarities are
     only added to the works found; else they find works too, with their lists split by a salt. Queries and
-    lists meet in equi-joins on source and word, and only sums are shuffled after that.
+    lists meet in equi-joins on source and word, and only sums are shuffled after that. ``listed``: the postings of these works, if they are stored already.
     """
     caps = caps or CAPS
     own = ("lookup_key", "source", "place", "stage", "fields")
-    listed = stored(postings(works), "postings")
+    listed = stored(postings(works), "postings") if listed is None else listed
     sizes = listed.where("fields = 'title'").groupBy("source").agg(F.count_distinct("work_key").alias("n_works"))
     counts = listed.groupBy("source", "fields", "token").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "source")  # a row for each source
     rarity = counts.select("source", "fields", "token", "df", F.floor(1000 * F.log(1 + F.col("n_works") / F.col("df"))).cast("bigint").alias("rarity"))
@@ -197,8 +197,8 @@ def _first_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("lookup_key", "work_key").agg(F.min(F.struct("stage", "arrival")).alias("f")).select("lookup_key", "work_key", "f.stage", "f.arrival")
 
 
-def _searched(groups: DataFrame, works: DataFrame, stages: tuple[int, ...], caps: dict[int, int] | None) -> DataFrame:
-    found = search_topk(stage_queries(groups, stages), works, caps)
+def _searched(groups: DataFrame, works: DataFrame, stages: tuple[int, ...], caps: dict[int, int] | None, listed: DataFrame) -> DataFrame:
+    found = search_topk(stage_queries(groups, stages), works, caps, listed=listed)
     arrival = (F.col("stage") * 1_000_000 + F.col("place") * 1_000 + F.col("hit_no")).cast("bigint")
     return found.select("lookup_key", "work_key", "stage", arrival.alias("arrival"))
 
@@ -214,15 +214,17 @@ def candidate_pool(groups: DataFrame, works: DataFrame, caps: dict[int, int] | N
     by_doi = stored(doi_candidates(groups, works), "by_doi")
     open_ = stored(groups.join(by_doi.select("lookup_key").distinct(), "lookup_key", "left_anti"), "open")
 
+    listed = stored(postings(works), "postings")
+
     def judged(hits: DataFrame) -> DataFrame:
         return stored(strong_matches(with_works(hits, works).join(open_.select(*own), "lookup_key")).select("lookup_key", "work_key", "stage", "arrival", "strong"), "judged")
 
-    first = judged(_first_hits(title_candidates(open_, works).unionByName(_searched(open_, works, (1,), caps)) if 1 in stages else title_candidates(open_, works)))
+    first = judged(_first_hits(title_candidates(open_, works).unionByName(_searched(open_, works, (1,), caps, listed)) if 1 in stages else title_candidates(open_, works)))
     later = tuple(s for s in stages if s > 1)
     if not later:
         return by_doi.unionByName(first.drop("strong"))
     left = open_.join(first.where("strong").select("lookup_key").distinct(), "lookup_key", "left_anti")
-    fresh = _searched(left, works, later, caps).join(first.select("lookup_key", "work_key"), ["lookup_key", "work_key"], "left_anti")
+    fresh = _searched(left, works, later, caps, listed).join(first.select("lookup_key", "work_key"), ["lookup_key", "work_key"], "left_anti")
     second = judged(_first_hits(fresh))
     stop = second.where("strong").groupBy("lookup_key").agg(F.min("stage").alias("stop"))
     kept = second.join(stop, "lookup_key", "left").where("stop is null or stage <= stop").select("lookup_key", "work_key", "stage", "arrival")

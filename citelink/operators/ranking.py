@@ -22,7 +22,8 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     """Pairs (citation's fields, the record's as w_...) with scores and field states.
 
     Needs norm_doi, norm_title, w_norm_doi and w_norm_title, which belong to rows and are not computed again for each pair.
-    Each measure of a pair is computed once, for its score and for its state.
+    Each measure of a pair is computed once, for its score and for its state. Scores are rounded half to even on their decimal
+    form, so 0.35 gives 0.4 where rounding the binary value would give 0.3.
     """
     measured = pairs.withColumns(
         {

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Signs of the statuses, and the rule and labels of a text report.
 _ICONS = {"VERIFIED": "✓", "UNCERTAIN": "⚠", "NOT VERIFIED": "✗"}
 _RULE = "-" * 70
 

@@ -10,6 +10,7 @@ from citelink.operators.ranking import REF
 from citelink.operators.works import sources_agreeing
 
 TOP = 5
+# Explanations of stand-in verdicts, of the gates, and of what stays open.
 UNAVAILABLE = "AI verification was unavailable (all providers failed), so this reflects the deterministic estimate instead: "
 NO_VERDICT = "The AI verifier did not return a verdict for this reference; using the deterministic estimate instead."
 CONTRADICTED = "AI selected a candidate, but the existing deterministic rules found a strong bibliographic contradiction: "
@@ -43,6 +44,7 @@ def apply_verdicts(results: DataFrame, verdicts: DataFrame, keys: tuple[str, ...
     """Final results. A verdict picks one of the first five hits or none; two gates keep a VERIFIED from overruling the rules.
 
     The hit's states were computed when it was scored and belong to the pair, so judging the picked hit needs no further matching.
+    A row that a verdict leaves without a status, or unresolved, is UNCERTAIN.
     """
     rows = attach_verdicts(results, verdicts, keys, failed)
     index = F.col("verdict.selected_candidate_index")
@@ -55,13 +57,13 @@ def apply_verdicts(results: DataFrame, verdicts: DataFrame, keys: tuple[str, ...
     rejected = F.coalesce(approved & ~contradicted & (F.col("_rule.status") == "NOT VERIFIED"), F.lit(False))
     moved = F.coalesce(judged & picked & ~contradicted, F.lit(False))
     against = F.concat(F.lit("AI selected candidate #"), index.cast("string"), F.lit(", but the existing deterministic rules rejected it: "), F.col("_rule.reason"))
-    open_ = (F.col("status") == "PENDING_AI") & ~judged
+    open_ = (F.col("status") == "PENDING_AI") & F.coalesce(F.col("verdict.status") == "PENDING_AI", F.lit(True))
     none = F.array().cast("array<string>")
     return rows.withColumns(
         {
-            "status": F.when(contradicted | rejected, "NOT VERIFIED").when(judged, F.col("verdict.status")).when(open_, "UNCERTAIN").otherwise(F.col("status")),
-            "explanation": F.when(contradicted, F.concat(F.lit(CONTRADICTED), F.col("_rule.reason"))).when(rejected, against).when(judged, F.col("verdict.explanation")).when(open_, LEFT_OPEN).otherwise(F.col("explanation")),
-            "source": F.when(contradicted | rejected, "deterministic safety gate").when(judged, "AI verification").when(open_, "deterministic fallback").otherwise(F.col("source")),
+            "status": F.when(contradicted | rejected, "NOT VERIFIED").when(open_, "UNCERTAIN").when(judged, F.col("verdict.status")).otherwise(F.col("status")),
+            "explanation": F.when(contradicted, F.concat(F.lit(CONTRADICTED), F.col("_rule.reason"))).when(rejected, against).when(open_, LEFT_OPEN).when(judged, F.col("verdict.explanation")).otherwise(F.col("explanation")),
+            "source": F.when(contradicted | rejected, "deterministic safety gate").when(open_, "deterministic fallback").when(judged, "AI verification").otherwise(F.col("source")),
             "best_match": F.when(moved, F.col("_picked")).otherwise(F.col("best_match")),
             "states": F.when(moved, F.col("_picked.states")).otherwise(F.col("states")),
             "sources_agreeing": F.when(moved, sources_agreeing(F.col("_picked.sources"), F.col("_picked.source"))).otherwise(F.col("sources_agreeing")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The columns of the flat report.
 REPORT_COLUMNS = (
     "Ref #", "Status", "Manual Check Needed", "Explanation", "Original Reference", "Submitted Title", "Submitted Authors", "Submitted Year", "Submitted DOI", "Matched Title", "Matched Authors", "Matched Year",
     "Matched DOI", "Sources Agreeing", "Verification Source",
