@@ -166,7 +166,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     docs = docs.drop("_drop", "_n_lines", "_n_dropped")
     gone = repeated_lines(docs, min_chars, min_docs, bits)
     by_doc = gone.groupBy("doc_id").agg(F.collect_set(F.struct("k0", "k1")).alias("_drop"))
-    both = docs.join(by_doc.hint("shuffle_hash"), "doc_id", "left").select(*docs.columns, "_drop")
+    both = docs.join(by_doc, "doc_id", "left").select(*docs.columns, "_drop")
     return both.mapInArrow(_without(min_chars), with_fields(docs, "_n_lines bigint, _n_dropped bigint"))
 
 

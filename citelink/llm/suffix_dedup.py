@@ -318,7 +318,7 @@ def _runs(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return key[at], start[at], reach[last] - lift[last]
 
 
-def _induced(shards: int):
+def _matched(shards: int):
     """Of rows sorted by shard: for the texts, the ranges that strings of earlier documents cover."""
 
     def done(held: list) -> pa.RecordBatch:
@@ -429,11 +429,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     digest = stored(digest, "digest")
     many = stored(digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"), "many")
     copies = stored(digest.join(many, "digest").where("doc_id > least").select("key").distinct(), "copies")
-    open_ = docs.join(copies.hint("shuffle_hash"), "key", "left_anti").join(lists.hint("shuffle_hash"), "key").select("key", "doc_id", "text", "hashes")
-    found = _by_shard(open_.mapInArrow(_contexts(shards), _ROWS)).mapInArrow(_induced(shards), _ROWS)
+    open_ = docs.join(copies, "key", "left_anti").join(lists, "key").select("key", "doc_id", "text", "hashes")
+    found = _by_shard(open_.mapInArrow(_contexts(shards), _ROWS)).mapInArrow(_matched(shards), _ROWS)
     spans = stored(_by_shard(found).mapInArrow(_spans, "key bigint, spans binary"), "spans")
-    dropped(lists)
-    dropped(digest)
+    dropped(lists, digest, many)
     return spans.join(copies.withColumn("copy", F.lit(True)), "key", "full_outer").withColumn("copy", F.coalesce("copy", F.lit(False)))
 
 
@@ -473,7 +472,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     keyed = docs.withColumn("key", F.xxhash64("text", "doc_id"))
     spans = repeated_spans(keyed.where("doc_id is not null"))
-    both = keyed.join(spans.select("key", F.col("spans").alias("_spans"), F.col("copy").alias("_copy")).hint("shuffle_hash"), "key", "left")
+    both = keyed.join(spans.select("key", F.col("spans").alias("_spans"), F.col("copy").alias("_copy")), "key", "left")
     return both.select("doc_id", "text", "_spans", F.coalesce("_copy", F.lit(False)).alias("_copy")).mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 
