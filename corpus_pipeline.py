@@ -64,7 +64,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of least doc_id stays. Rows that share that doc_id are one document and stay."""
     kept = near_dup.near_duplicates(docs, percent=NEAR_PERCENT, bands=NEAR_BANDS).where("kept").select("doc_id").distinct()
-    return docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
 @_aside
@@ -74,7 +74,7 @@ def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A document that the mix doesn't take leaves. Documents are told apart by doc_id; without one a row isn't taken.
     """
     takes = mixing.mix(docs.where("doc_id is not null")).groupBy("doc_id").agg(F.max("size").alias("_size"), F.max("taken").alias("_taken")).where("_taken > 0")
-    both = docs.join(takes.hint("shuffle_hash"), "doc_id")
+    both = docs.join(takes, "doc_id")
     size = mixing.word_count(F.col("text"))
     rest = F.expr("_taken % _size")
     pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), rest.cast("string"), F.lit("}+"))
