@@ -4,7 +4,8 @@ This replaces an external induced sort of suffixes: no suffix is ordered by its
 are no queues, recursion or merges on disk. Of every string of LENGTH bytes the GRAM-byte gram of least hash is its sample
 (winnowing), so each such string holds at least one, at the same place wherever the string occurs. Samples are grouped
 by hash, and what one decides for the strings around it is found by the hashes of their contexts. Shards are ranges of the
-samples' hashes; tasks hold a bounded part at a time. The README has figures of an attempt to order all suffixes.
+samples' hashes; tasks hold a bounded part at a time. A sample that very many texts hold may have as many different contexts; its
+strings are dealt over the shards one by one, by their own hashes. The README has figures of an attempt to order all suffixes.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from citelink.sources.scratch import dropped, stored
 LENGTH, GRAM = 50, 24
 #: Text bytes whose samples share a shard, and samples that are grouped at a time.
 SHARD_BYTES, RUN = 8 << 20, 1 << 13
+#: Texts that may hold a sample before its strings are dealt one by one: this many, or one for each of so many bytes in all,
+#: so that there are at most MOST_HOT / GRAM such samples, however large the input is.
+HOT_TEXTS, MOST_HOT = 1000, 1 << 24
 #: Text bytes that a task samples at a time, and those after which it sends samples on.
 READ_BYTES, SEND_BYTES = 1 << 16, 4 << 20
 #: Low bits of a sample's rank that hold its place; longer texts are read in overlapping parts.
@@ -132,8 +136,8 @@ def _rows(kind: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 
 _ROWS = "shard int, kind int, blob binary"
-#: Kinds of rows: what a shard has to group, and answers to texts, dealt by the texts' keys.
-_ASKED, _ANSWER = 0, 1
+#: Kinds of rows: what a shard has to group, answers to texts (dealt by the texts' keys), samples that very many texts hold, and strings of these.
+_ASKED, _ANSWER, _HOT, _STRINGS = 0, 1, 2, 3
 
 
 def _bucket(key: np.ndarray, shards: int) -> np.ndarray:
@@ -176,8 +180,9 @@ def _sampled(shards: int):
     def sent(got: list) -> Iterator[pa.RecordBatch]:
         h, key, many = _shared_by(*(np.concatenate(x) for x in zip(*got, strict=True)))
         first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else many
-        h1, key1, sure = h[first], key[first], many[first]
-        yield _rows(_ASKED, [(k, _packed(_short(h1[at]), key1[at], sure[at])) for k, at in _by(_shard(h1, shards))])
+        h1, key1 = h[first], key[first]
+        texts = np.diff(np.append(np.flatnonzero(first), len(h))).astype(np.uint32)  # more than one: those are sure
+        yield _rows(_ASKED, [(k, _packed(_short(h1[at]), key1[at], texts[at])) for k, at in _by(_shard(h1, shards))])
         yield _rows(_ANSWER, _answers(shards, key[many], h[many]))
 
     @lean
@@ -198,19 +203,24 @@ def _sampled(shards: int):
     return run
 
 
-def _repeated(shards: int):
-    """Of rows sorted by shard: for the texts, the hashes of their samples that some other text holds too."""
+def _repeated(shards: int, hot_texts: int):
+    """Of rows sorted by shard: for the texts, the hashes of their samples that some other text holds too; and what ``hot_texts`` hold."""
 
-    def done(held: list) -> pa.RecordBatch:
-        h, key, sure = (np.concatenate(x) for x in zip(*held, strict=True))
+    def done(held: list) -> Iterator[pa.RecordBatch]:
+        h, key, texts = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(h, kind="stable")
-        h, key, sure = h[order], key[order], sure[order]
+        h, key, texts = h[order], key[order], texts[order]
         same = h[1:] == h[:-1]
         many = np.zeros(len(h), bool)
         many[1:] |= same
         many[:-1] |= same
-        fresh = many & ~sure  # those marked sure know already
-        return _rows(_ANSWER, _answers(shards, key[fresh], h[fresh]))
+        fresh = many & (texts == 1)  # the others know already
+        yield _rows(_ANSWER, _answers(shards, key[fresh], h[fresh]))
+        if len(h):
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            hot = h[first][np.add.reduceat(texts.astype(np.int64), first) >= hot_texts]
+            if len(hot):
+                yield _rows(_HOT, [(shards, hot.tobytes())])
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,19 +231,19 @@ def _repeated(shards: int):
                 continue
             if shard != now:
                 if held:
-                    yield done(held)
+                    yield from done(held)
                 now, held = shard, []
-            short, keys, sure = _unpacked(blob, (np.uint8, np.int64, np.bool_))
-            held.append((_widened(short), keys, sure))
+            short, keys, texts = _unpacked(blob, (np.uint8, np.int64, np.uint32))
+            held.append((_widened(short), keys, texts))
         if held:
-            yield done(held)
+            yield from done(held)
 
     return run
 
 
 @lean
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of answers sorted by bucket: one row for each text with its samples' hashes, short."""
+    """Of answers sorted by bucket: one row for each text with its samples' hashes, short; rows without a key hold those of hot samples."""
     now, held = None, []
 
     def done() -> pa.RecordBatch:
@@ -241,7 +251,10 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [(k, _short(h[at]).tobytes()) for k, at in _by(key)]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["key", "hashes"])
 
-    for bucket, _, blob in _each(batches):
+    for bucket, kind, blob in _each(batches):
+        if kind == _HOT:
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([blob], pa.binary())], ["key", "hashes"])
+            continue
         if bucket != now:
             if held:
                 yield done()
@@ -254,8 +267,20 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KINDS = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.uint8, np.uint8, np.uint8)
 
 
-def _contexts(shards: int):
-    """Of each text with its shared samples: by shard the bytes that each of these decides on."""
+def _contexts(shards: int, hot: np.ndarray):
+    """Of each text with its shared samples: by shard the bytes that each of these decides on; of ``hot`` samples (short hashes, sorted) the strings."""
+
+    def strings(at: np.ndarray, h, doc, key, first, more, begin, text) -> Iterator[pa.RecordBatch]:
+        """Rows for contexts at the given places: of each string the hash and the first document here, answers for the others."""
+        n = more[at].astype(np.int64) + 1
+        which = np.repeat(at, n)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        codes = mixed(_codes(text, begin[which] + step) + h[which] * _B)
+        late = _later(codes, doc[which])
+        start = first[which] + step
+        yield _rows(_ANSWER, _answers(shards, *_runs(key[which[late]], start[late], start[late] + LENGTH)))
+        codes, which, start = codes[~late], which[~late], start[~late]
+        yield _rows(_STRINGS, [(k, _packed(codes[x], doc[which[x]], key[which[x]], start[x])) for k, x in _by(_shard(codes, shards))])
 
     def sent(got: list) -> Iterator[pa.RecordBatch]:
         h, whole, doc, key, first, more, place, size, text = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -267,7 +292,11 @@ def _contexts(shards: int):
         late[order] = doc[order] > least
         start = np.cumsum(size) - size
         yield _rows(_ANSWER, _answers(shards, *_runs(key[late], first[late], first[late] + more[late] + LENGTH)))
-        stay, out = np.flatnonzero(~late), []
+        many = np.isin(h & _LOW, hot) & ~late
+        at = np.flatnonzero(many)
+        for a in range(0, len(at), RUN // 4):
+            yield from strings(at[a : a + RUN // 4], h, doc, key, first, more, start, text)
+        stay, out = np.flatnonzero(~late & ~many), []
         for k, at in _by(_shard(h[stay], shards)):
             at = stay[at]
             n = size[at]
@@ -318,9 +347,25 @@ def _runs(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return key[at], start[at], reach[last] - lift[last]
 
 
+def _later(codes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which strings an earlier document here holds too."""
+    late = np.zeros(len(codes), bool)
+    if len(codes):
+        order = np.lexsort((doc, codes))
+        codes, doc = codes[order], doc[order]
+        top = np.concatenate([[True], codes[1:] != codes[:-1]])
+        late[order] = doc > doc[np.maximum.accumulate(np.where(top, np.arange(len(top)), 0))]
+    return late
+
+
 def _matched(shards: int):
     """Of rows sorted by shard: for the texts, the ranges that strings of earlier documents cover."""
 
+    def compared(held: list) -> pa.RecordBatch:
+        codes, doc, key, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        late = _later(codes, doc)
+        return _rows(_ANSWER, _answers(shards, *_runs(key[late], start[late], start[late] + LENGTH)))
+
     def done(held: list) -> pa.RecordBatch:
         h, whole, doc, key, first, more, place, text = (np.concatenate(x) for x in zip(*held, strict=True))
         size = more.astype(np.int64) + LENGTH
@@ -343,13 +388,13 @@ def _matched(shards: int):
             if kind == _ANSWER:
                 yield _rows(_ANSWER, [(shard, blob)])
                 continue
-            if shard != now:
+            if (shard, kind) != now:
                 if held:
-                    yield done(held)
-                now, held = shard, []
-            held.append(_unpacked(blob, _KINDS))
+                    yield (compared if now[1] == _STRINGS else done)(held)
+                now, held = (shard, kind), []
+            held.append(_unpacked(blob, (np.uint64, np.int64, np.int64, np.int64) if kind == _STRINGS else _KINDS))
         if held:
-            yield done(held)
+            yield (compared if now[1] == _STRINGS else done)(held)
 
     return run
 
@@ -405,17 +450,13 @@ def _decided(h, whole, doc, first, more, start, text) -> tuple[np.ndarray, np.nd
         step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         begin = start[which] + step
         codes = mixed(_codes(text, begin) + group[which].astype(np.uint64) * _B)
-        order = np.lexsort((doc[which], codes))
-        codes, owner = codes[order], doc[which][order]
-        top = np.concatenate([[True], codes[1:] != codes[:-1]])
-        least = owner[np.maximum.accumulate(np.where(top, np.arange(len(top)), 0))]
-        gone = order[owner > least]
+        gone = np.flatnonzero(_later(codes, doc[which]))
         out.append((which[gone], first[which[gone]] + step[gone], first[which[gone]] + step[gone] + LENGTH))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _by_shard(rows: DataFrame) -> DataFrame:
-    return rows.repartition("shard").sortWithinPartitions("shard")
+    return rows.repartition("shard").sortWithinPartitions("shard", "kind")
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -423,14 +464,16 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(8, -(-total // SHARD_BYTES))
     asked = docs.select("key", "text").mapInArrow(_sampled(shards), _ROWS)
-    answers = _by_shard(asked).mapInArrow(_repeated(shards), _ROWS)
+    answers = _by_shard(asked).mapInArrow(_repeated(shards, max(HOT_TEXTS, total // MOST_HOT)), _ROWS)
     lists = stored(_by_shard(answers).mapInArrow(_lists, "key bigint, hashes binary"), "lists")
+    hot = np.frombuffer(b"".join(bytes(r[0]) for r in lists.where("key is null").select("hashes").collect()), np.uint64)
+    hot = np.unique(hot)  # bounded by MOST_HOT
     digest = docs.where(F.octet_length("text") >= LENGTH).select("key", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
     digest = stored(digest, "digest")
     many = stored(digest.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"), "many")
     copies = stored(digest.join(many, "digest").where("doc_id > least").select("key").distinct(), "copies")
     open_ = docs.join(copies, "key", "left_anti").join(lists, "key").select("key", "doc_id", "text", "hashes")
-    found = _by_shard(open_.mapInArrow(_contexts(shards), _ROWS)).mapInArrow(_matched(shards), _ROWS)
+    found = _by_shard(open_.mapInArrow(_contexts(shards, hot), _ROWS)).mapInArrow(_matched(shards), _ROWS)
     spans = stored(_by_shard(found).mapInArrow(_spans, "key bigint, spans binary"), "spans")
     dropped(lists, digest, many)
     return spans.join(copies.withColumn("copy", F.lit(True)), "key", "full_outer").withColumn("copy", F.coalesce("copy", F.lit(False)))

@@ -351,6 +351,36 @@ def test_repeated_passages(spark):
     assert [r["n_removed"] for r in same] == [0, 0, 0]
 
 
+
+def test_repeated_passages_of_hot_samples(spark, monkeypatch):
+    """Samples that many texts hold, whose strings are dealt one by one: results are those of a plain version, and such samples occur."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    shared = [" ".join(word() for _ in range(14)) for _ in range(3)]
+    rows = []
+    for i in range(1, 61):
+        parts = [" ".join(word() for _ in range(12)), shared[i % 3], " ".join(word() for _ in range(12)), shared[(i * 7) % 3][i % 9 :], word()]
+        rows.append((i, "".join(parts) if i % 2 else " é ".join(parts), None))
+    rows += [(30, rows[2][1], None), (70, rows[2][1], None), (71, None, None), (72, "", None)]
+    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", 3)
+    lists = []
+    keep = suffix_dedup._contexts
+    monkeypatch.setattr(suffix_dedup, "_contexts", lambda shards, hot: lists.append(len(hot)) or keep(shards, hot))
+    got = {}
+    for r in suffix_dedup.without_repeats(table(spark, rows)).collect():
+        got.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])))
+    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", 1 << 30)
+    cold = {}
+    for r in suffix_dedup.without_repeats(table(spark, rows)).collect():
+        cold.setdefault(r["doc_id"], []).append((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])))
+    assert lists[0] > 10 and lists[1] == 0
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in cold.items()}
+    single = [r for r in rows if r[0] != 30]
+    monkeypatch.setattr(suffix_dedup, "HOT_TEXTS", 3)
+    alone = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_dedup.without_repeats(table(spark, single)).collect()}
+    assert alone == brute_repeats(single)
+
+
 def test_samples_follow_content():
     rng = np.random.default_rng(3)
     passage = rng.integers(97, 123, 50).astype(np.uint8)
