@@ -134,6 +134,87 @@ _JUDGED = f"""pairs AS (
 _DECIDED = f"{_WITH}, {_JUDGED}"
 _EXPLAINED = "CASE WHEN r_status <> 'PENDING_AI' THEN d_reason || CASE WHEN notes <> '' THEN ' (' || notes || '.)' ELSE '' END END"
 
+def _share(common: str, a: str, b: str) -> str:
+    """The Indel ratio of lengths; 100 for two empty strings is left to the caller."""
+    return f"(CAST(100 AS DOUBLE) * (1 - ({a} + {b} - 2 * {common}) / CAST({a} + {b} AS DOUBLE)))"
+
+
+def _ratio(a: str, b: str, common: str) -> str:
+    return f"(CASE WHEN {a} = {b} THEN CAST(100 AS DOUBLE) ELSE {_share(f'coalesce({common}, 0)', f'length({a})', f'length({b})')} END)"
+
+
+def _sets(a: str, b: str) -> str:
+    """Columns shared, ox, oy: sorted words of both strings, of the one only, and of the other only; nx, ny count all words."""
+    x, y = (f"list_distinct(list_filter(string_split({c}, ' '), lambda w: w <> ''))" for c in (a, b))
+
+    def line(words: str) -> str:
+        return f"array_to_string(list_sort({words}), ' ')"
+
+    return f"""{line(f"list_filter({x}, lambda w: list_contains({y}, w))")} AS shared, {line(f"list_filter({x}, lambda w: NOT list_contains({y}, w))")} AS ox,
+        {line(f"list_filter({y}, lambda w: NOT list_contains({x}, w))")} AS oy, len({x}) AS nx, len({y}) AS ny"""
+
+
+def _set_ratio(common: str) -> str:
+    n, x, y = "length(shared)", "length(ox)", "length(oy)"
+    gap = "CAST(shared <> '' AS INTEGER)"
+    nx, ny = f"({n} + {gap} + {x})", f"({n} + {gap} + {y})"
+    apart = f"CAST(100 AS DOUBLE) * (1 - ({x} + {y} - 2 * coalesce({common}, 0)) / CAST({nx} + {ny} AS DOUBLE))"
+    return f"""(CASE WHEN nx = 0 OR ny = 0 THEN CAST(0 AS DOUBLE) WHEN shared <> '' AND (ox = '' OR oy = '') THEN CAST(100 AS DOUBLE)
+        WHEN shared <> '' THEN greatest({apart}, {_share(n, n, nx)}, {_share(n, n, ny)}) ELSE {apart} END)"""
+
+
+def _lcs(name: str, pairs: str) -> str:
+    """Lengths n of the longest common subsequences of string pairs (a, b), by rows of the classic table, one character of a at a time."""
+    return f"""{name}_need AS (SELECT row_number() OVER (ORDER BY a, b) AS id, a, b FROM (SELECT DISTINCT a, b FROM ({pairs}) WHERE a <> b AND a <> '' AND b <> '')
+    ), {name}_step AS (
+        SELECT id, 0 AS i, unnest(range(0, length(b) + 1)) AS j, 0 AS v FROM {name}_need
+        UNION ALL SELECT id, i + 1, j, max(greatest(v, CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN prev + 1 ELSE 0 END)) OVER (PARTITION BY id ORDER BY j)
+        FROM (SELECT id, i, CAST(j AS INTEGER) AS j, v, coalesce(lag(v) OVER (PARTITION BY id ORDER BY j), -1) AS prev, a, b FROM {name}_step JOIN {name}_need USING (id) WHERE i < length(a))
+    ), {name} AS (SELECT a, b, v AS n FROM {name}_step JOIN {name}_need USING (id) WHERE i = length(a) AND j = length(b))"""
+
+
+def _authors(lists: str) -> str:
+    """Similarity of lists of three authors: own names take the best name left, in order; ``lists`` selects authors and w_authors."""
+    form = "trim(regexp_replace(regexp_replace(lower({}), '[.,;:]', ' ', 'g'), ' +', ' ', 'g'))"
+    hidden = "list_transform({}, lambda v, k: CASE WHEN k IN ({}) THEN -1 ELSE v END)"
+    last = "string_split({}, ' ')[-1]"
+    first = "array_to_string(list_transform(string_split({}, ' '), lambda w: w[1]), '')"
+    return f"""author_lists AS (SELECT DISTINCT authors, w_authors FROM ({lists})
+    ), author_cells AS (SELECT authors, w_authors, i, j, {form.format('authors[i]')} AS x, {form.format('w_authors[j]')} AS y FROM author_lists, range(1, 4) AS p(i), range(1, 4) AS q(j)
+    ), author_names AS (SELECT x, y, {_sets('x', 'y')}, {last.format('x')} AS lx, {last.format('y')} AS ly FROM (SELECT DISTINCT x, y FROM author_cells)
+    ), {_lcs('name_lcs', 'SELECT ox AS a, oy AS b FROM author_names UNION ALL SELECT lx, ly FROM author_names')}, author_parts AS (
+        SELECT x, y, {_set_ratio('s.n')} AS words, {_ratio('lx', 'ly', 'l.n')} AS last, CASE WHEN {first.format('x')} = {first.format('y')} THEN 90 ELSE 0 END AS initials
+        FROM author_names LEFT JOIN name_lcs s ON s.a = ox AND s.b = oy LEFT JOIN name_lcs l ON l.a = lx AND l.b = ly
+    ), author_scores AS (SELECT x, y, CASE WHEN x = y THEN CAST(100 AS DOUBLE) WHEN last >= 90 AND words >= 60 THEN greatest(words, 90) ELSE greatest(words, initials, last * CAST(0.6 AS DOUBLE)) END AS s FROM author_parts
+    ), author_rows AS (SELECT authors, w_authors, i, list(s ORDER BY j) AS s FROM author_cells JOIN author_scores USING (x, y) GROUP BY authors, w_authors, i
+    ), author_sides AS (SELECT authors, w_authors, any_value(s) FILTER (i = 1) AS s1, any_value(s) FILTER (i = 2) AS s2, any_value(s) FILTER (i = 3) AS s3 FROM author_rows GROUP BY authors, w_authors
+    ), author_one AS (SELECT *, list_position(s1, list_max(s1)) AS j1 FROM author_sides
+    ), author_two AS (SELECT *, {hidden.format('s2', 'j1')} AS t2 FROM author_one
+    ), author_three AS (SELECT *, list_position(t2, list_max(t2)) AS j2 FROM author_two
+    ), author_similarity AS (SELECT authors, w_authors, round(least(100, (list_max(s1) + list_max(t2) + list_max({hidden.format('s3', 'j1, j2')})) / 3 + 5), 2) AS score FROM author_three)"""
+
+
+def _recursive(ctes: str) -> str:
+    return ctes.replace("WITH", "WITH RECURSIVE", 1)
+
+
+_MEASURED = f"""{_recursive(_WITH)}, m AS (
+    SELECT c.work_id, {n2('c.title')} AS a, {n2('b.title')} AS b, c.authors, b.authors AS w_authors, c.title AS own FROM citations c JOIN base b USING (work_id)
+), w AS (
+    SELECT *, {_sets('a', 'b')}, array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb, replace(a, ' ', '') AS ca, replace(b, ' ', '') AS cb FROM m
+), {_lcs('lcs', 'SELECT a, b FROM w UNION ALL SELECT sa, sb FROM w UNION ALL SELECT ca, cb FROM w UNION ALL SELECT ox, oy FROM w')},
+{_authors('SELECT authors, w_authors FROM m')}, r AS (
+    SELECT work_id, own, w.a, w.b, {_ratio('w.a', 'w.b', 'l1.n')} AS ratio, {_ratio('sa', 'sb', 'l2.n')} AS sorted_ratio, {_ratio('ca', 'cb', 'l3.n')} AS tight, {_set_ratio('l4.n')} AS set_ratio, score
+    FROM w LEFT JOIN lcs l1 ON l1.a = w.a AND l1.b = w.b LEFT JOIN lcs l2 ON l2.a = sa AND l2.b = sb LEFT JOIN lcs l3 ON l3.a = ca AND l3.b = cb LEFT JOIN lcs l4 ON l4.a = ox AND l4.b = oy
+    JOIN author_similarity USING (authors, w_authors)
+)"""
+
+_VENUES = f"""{_recursive(_GROUPS)}, f AS (
+    SELECT k.norm_doi AS a, w.norm_doi AS b, k.year AS y, w.year AS z, coalesce(k.venue, '') AS v, coalesce(w.venue, '') AS u, k.authors, w.authors AS w_authors FROM keyed k JOIN works w ON k.norm_title = w.norm_title AND w.norm_title <> ''
+), venues AS (SELECT v, u, {_sets(n2('v'), n2('u'))} FROM (SELECT DISTINCT v, u FROM f)
+), {_lcs('lcs', 'SELECT ox AS a, oy AS b FROM venues')}, {_authors('SELECT authors, w_authors FROM f')},
+venue_scores AS (SELECT v, u, {_set_ratio('l.n')} AS s FROM venues LEFT JOIN lcs l ON l.a = ox AND l.b = oy)"""
+
 ORACLES: dict[str, str] = {
     "normalize_doi": f"{_WITH} SELECT work_id, {n1('raw')} AS doi FROM (SELECT work_id, {_RAW_DOI} AS raw FROM (SELECT *, coalesce(doi, '10.1/x') AS d FROM base))",
     "normalize_text": f"{_WITH} SELECT work_id, {n2("'<scp>Pre- view</scp> of: ' || title")} AS norm FROM base",
@@ -172,6 +253,14 @@ ORACLES: dict[str, str] = {
         CASE WHEN k.norm_doi = '' AND w.norm_doi = '' THEN 'UNKNOWN' WHEN k.norm_doi = '' THEN 'MISSING_SUBMITTED' WHEN w.norm_doi = '' THEN 'MISSING_DATABASE' WHEN replace(k.norm_doi, '-', '') = replace(w.norm_doi, '-', '') THEN 'MATCH' ELSE 'MISMATCH' END AS doi_state,
         CASE WHEN w.year IS NULL THEN 'MISSING_DATABASE' WHEN abs(k.year - w.year) = 0 THEN 'MATCH' WHEN abs(k.year - w.year) = 1 THEN 'PARTIAL' ELSE 'MISMATCH' END AS year_state, length(k.norm_title) >= 8 AS short
         FROM keyed k JOIN works w ON k.norm_title = w.norm_title AND w.norm_title <> ''""",
+    "title_measures": f"""{_MEASURED} SELECT work_id, ratio, sorted_ratio, set_ratio, CASE WHEN own <> '' THEN greatest(sorted_ratio, tight) ELSE 0 END AS similarity,
+        CASE WHEN a = b AND a <> '' THEN 100 WHEN a <> '' AND b <> '' THEN greatest(set_ratio, ratio, sorted_ratio) ELSE 0 END AS identity, score AS authors FROM r""",
+    "field_states": f"""{_VENUES} SELECT
+        CASE WHEN a = '' AND b = '' THEN 'UNKNOWN' WHEN a = '' THEN 'MISSING_SUBMITTED' WHEN b = '' THEN 'MISSING_DATABASE' WHEN replace(a, '-', '') = replace(b, '-', '') THEN 'MATCH' ELSE 'MISMATCH' END AS doi,
+        'MATCH' AS title, CASE WHEN score >= 75 THEN 'MATCH' WHEN score < 40 THEN 'MISMATCH' ELSE 'PARTIAL' END AS authors,
+        CASE WHEN z IS NULL THEN 'MISSING_DATABASE' WHEN y = z THEN 'MATCH' WHEN abs(y - z) = 1 THEN 'PARTIAL' ELSE 'MISMATCH' END AS year,
+        CASE WHEN v = '' AND u = '' THEN 'UNKNOWN' WHEN v = '' THEN 'MISSING_SUBMITTED' WHEN u = '' THEN 'MISSING_DATABASE' WHEN s >= 70 THEN 'MATCH' WHEN s < 40 THEN 'MISMATCH' ELSE 'PARTIAL' END AS venue, count(*) AS n
+        FROM f JOIN author_similarity USING (authors, w_authors) JOIN venue_scores USING (v, u) GROUP BY ALL""",
     "flagship": f"""{_GROUPS}, by_doi AS (
             SELECT lookup_key, work_key FROM groups g JOIN works w ON g.norm_doi = w.norm_doi AND g.norm_doi <> '' WHERE list_has_any(w.sources, ['Crossref', 'OpenAlex', 'Semantic Scholar'])
         ), hits AS (
