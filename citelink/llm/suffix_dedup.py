@@ -3,8 +3,8 @@
 This replaces an external induced sort of suffixes: no suffix is ordered by its bytes, no common-prefix value is carried, and there
 are no queues, recursion or merges on disk. Of every string of LENGTH bytes the GRAM-byte gram of least hash is its sample
 (winnowing), so each such string holds at least one, at the same place wherever the string occurs. Samples are grouped
-by hash, and what one decides for the strings around it is found by the hashes of their contexts. Shards are ranges of the
-samples' hashes; tasks hold a bounded part at a time. A sample that very many texts hold may have as many different contexts; its
+by hash, and what one decides for the strings around it is found by the hashes of their contexts. Shards are
+ranges of the samples' hashes, mixed once more; tasks hold a bounded part at a time. A sample that very many texts hold may have as many different contexts; its
 strings are dealt over the shards one by one, by their own hashes. The README has figures of an attempt to order all suffixes.
 """
 
@@ -145,7 +145,8 @@ def _bucket(key: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
+    """Shards of hashes, mixed once more: a sample's hash is the least of many, so plain ranges would put most samples into the first."""
+    return ((mixed(h) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
 
 def _answers(shards: int, key: np.ndarray, *arrays: np.ndarray) -> list[tuple[int, bytes]]:
