@@ -25,7 +25,7 @@ LENGTH, GRAM = 50, 24
 #: Text bytes whose samples share a shard, and samples that are grouped at a time.
 SHARD_BYTES, RUN = 8 << 20, 1 << 13
 #: Texts that may hold a sample before its strings are dealt one by one: this many, or one for each of so many bytes in all,
-#: so that there are at most MOST_HOT / GRAM such samples, however large the input is.
+#: so that there are at most MOST_HOT such samples (8 bytes each), about a fourteenth of that in plain text, however large the input is.
 HOT_TEXTS, MOST_HOT = 1000, 1 << 24
 #: Text bytes that a task samples at a time, and those after which it sends samples on.
 READ_BYTES, SEND_BYTES = 1 << 16, 4 << 20
