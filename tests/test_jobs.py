@@ -3,12 +3,14 @@
 import math
 import random
 from collections import Counter
+from decimal import ROUND_HALF_EVEN, Decimal
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from citelink.functions.similarity import list_similarity
 from citelink.jobs import testbed
 from citelink.jobs.oracles import ORACLES
 from citelink.jobs.queries import QUERIES, _works, judged_pairs
@@ -223,3 +225,143 @@ def test_stream_searches_a_key_once(spark, tmp_path):
     assert {(r["doc_id"], r["ref_no"]): r["status"] for r in got.where("batch_id = 1").collect()} == direct
 
 
+def plain_ratio(a, b):
+    """The Indel ratio by the classic table."""
+    if a == b:
+        return 100.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return 100.0 * (1 - (len(a) + len(b) - 2 * row[-1]) / (len(a) + len(b)))
+
+
+def plain_set_ratio(a, b):
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    shared, p, q = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    return max(plain_ratio(f"{shared} {p}".strip(), shared), plain_ratio(f"{shared} {q}".strip(), shared), plain_ratio(f"{shared} {p}".strip(), f"{shared} {q}".strip())) if shared else plain_ratio(p, q)
+
+
+def in_order(s):
+    return " ".join(sorted(s.split()))
+
+
+def staged_plainly(groups, known, searches, caps):
+    """{(lookup_key, work_key): (stage, arrival)}: stage after stage for each key, until one has a strong match."""
+    lists = {}
+    for w in known.values():
+        title = set(w["norm_title"].split())
+        for source in w["sources"]:
+            for fields, tokens in (("title", title), ("both", title | set(" ".join(w["authors"]).replace(".", " ").lower().split()))):
+                for t in tokens:
+                    lists.setdefault((source, fields, t), set()).add(w["work_key"])
+    n = Counter(s for w in known.values() for s in w["sources"])
+    pool = {}
+    for g in groups:
+        key = g["lookup_key"]
+        by_doi = [k for k, w in known.items() if g["norm_doi"] and w["norm_doi"] == g["norm_doi"] and set(w["sources"]) & set(candidates.DOI_SOURCES)]
+        seen = dict.fromkeys(by_doi, (0, 0))
+        for stage in () if by_doi else range(1, 7):
+            hits = {k: (1, 0) for k, w in known.items() if stage == 1 and g["norm_title"] and w["norm_title"] == g["norm_title"]}
+            for q in searches.get((key, stage), []):
+                scores = Counter()
+                for t in set(q["text"].split()):
+                    found = lists.get((q["source"], q["fields"], t), set())
+                    for k in found:
+                        scores[k] += math.floor(1000 * math.log(1 + n[q["source"]] / len(found)))
+                for at, (k, _) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[: caps[stage]], 1):
+                    hits[k] = min(hits.get(k, (9, 0)), (stage, stage * 1_000_000 + q["place"] * 1_000 + at))
+            fresh = {k: v for k, v in hits.items() if k not in seen}
+            seen |= fresh
+            if any(strong_plainly(g, known[k]) for k in fresh):
+                break
+        pool |= {(key, k): v for k, v in seen.items()}
+    return pool
+
+
+def strong_plainly(g, w):
+    a, b = g["norm_title"], w["norm_title"]
+    alike = bool(a and b) and max(plain_set_ratio(a, b), plain_ratio(a, b), plain_ratio(in_order(a), in_order(b))) >= 95
+    return bool(g["norm_doi"]) and g["norm_doi"] == w["norm_doi"] or alike and list_similarity(g["authors"], w["authors"]) >= 90
+
+
+def scored_plainly(c, w):
+    """Rounded title score, weighted score and whether the DOIs are equal."""
+    a, b = c["norm_title"], w["norm_title"]
+    title = max(plain_ratio(in_order(a), in_order(b)), plain_ratio(a.replace(" ", ""), b.replace(" ", ""))) if a and b else 0.0
+    year = 50.0 if c["year"] is None else {0: 100.0, 1: 75.0}.get(abs(c["year"] - w["year"]), 0.0)
+    weighted = 0.5 * title + 0.35 * list_similarity(c["authors"], w["authors"]) + 0.15 * year
+    short, long = sorted((a, b), key=len)
+    if len(short) >= 8 and long.startswith(short):
+        weighted = max(weighted, 90.0)
+    same = bool(c["norm_doi"]) and c["norm_doi"] == w["norm_doi"]
+    cut = lambda x: float(Decimal(repr(x)).quantize(Decimal("0.1"), ROUND_HALF_EVEN))
+    return cut(title), 100.0 if same else cut(weighted), same
+
+
+@pytest.fixture(scope="module")
+def searched(spark):
+    """Citations that are found by DOI, by title, at later stages and not at all, and records that share many words."""
+    rng = random.Random(11)
+    vocabulary = [f"{a}{b}" for a in ("graph", "query", "on", "sorting", "stream", "the", "model", "cell") for b in ("", "ing", "ate", "s", "able")]
+    names = [f"{x}. {y}" for x in "ABC" for y in ("Orlov", "Maddox", "Quill", "Tanner")]
+    records, cites = [], []
+    for i in range(60):
+        title = " ".join(rng.sample(vocabulary, rng.choice([3, 5, 7, 9])))
+        authors, doi, year = rng.sample(names, 3), f"10.1/r{i}" if i % 3 else None, 1990 + i % 30
+        for s in rng.sample(list(readers_of()), rng.choice([1, 2, 3])):
+            records.append((title, authors, doi, year, "Letters", s, len(records)))
+        words = title.split()
+        kind = i % 10
+        said = {1: words[1:], 2: words[: len(words) // 2 + 1], 3: sorted(words), 4: rng.sample(vocabulary, 4), 5: words[:2] + rng.sample(vocabulary, 5), 6: []}.get(kind, words)
+        cites.append((i // 7, i % 7 + 1, f"citation {i}", " ".join(said), rng.sample(names, 2) if kind in (0, 4) else authors, None if kind == 7 else year + kind % 3, "Letters", doi if kind in (8, 9) else "10.1/none" if kind == 3 else None))
+    cites.append((99, 1, "again", cites[0][3], cites[0][4], 2000, None, None))
+    known = works.deduplicate_works(spark.createDataFrame(records, "title string, authors array<string>, doi string, year int, venue string, source string, arrival long")).cache()
+    return spark.createDataFrame(cites, "doc_id long, ref_no int, original_reference string, title string, authors array<string>, year int, venue string, doi string"), known
+
+
+def readers_of():
+    return ("Crossref", "OpenAlex", "DBLP", "Semantic Scholar", "PubMed")
+
+
+@pytest.mark.parametrize("caps", [candidates.CAPS, dict.fromkeys(range(1, 7), 2)], ids=["given", "small"])
+def test_pools_are_those_of_stage_after_stage(spark, searched, caps):
+    cites, known = searched
+    keyed = candidates.lookup_keys(cites)
+    groups = candidates.lookup_groups(keyed).cache()
+    by_key = {w["work_key"]: w for w in known.collect()}
+    searches = {}
+    for q in candidates.stage_queries(groups).collect():
+        searches.setdefault((q["lookup_key"], q["stage"]), []).append(q)
+    want = staged_plainly(groups.collect(), by_key, searches, caps)
+    got = {(r["lookup_key"], r["work_key"]): (r["stage"], r["arrival"]) for r in candidates.candidate_pool(groups, known, caps).collect()}
+    assert got == want and len({stage for stage, _ in want.values()}) >= 4
+    pairs = candidates.generate_candidates(cites, known, caps)
+    counts = Counter(key for key, _ in want)
+    expected = {(c["doc_id"], c["ref_no"]): counts[c["lookup_key"]] for c in keyed.collect() if counts[c["lookup_key"]]}
+    assert {(r["doc_id"], r["ref_no"]): r["n_candidates"] for r in works.candidate_counts(pairs).collect()} == expected
+
+
+def test_verification_equals_plain_search_and_scores(spark, searched):
+    """Hits, best scores and statuses without hits of the whole job are those of a plain search that scores pair by pair."""
+    cites, known = searched
+    groups = candidates.lookup_groups(candidates.lookup_keys(cites)).collect()
+    by_key = {w["work_key"]: w for w in known.collect()}
+    searches = {}
+    for q in candidates.stage_queries(spark.createDataFrame(groups)).collect():
+        searches.setdefault((q["lookup_key"], q["stage"]), []).append(q)
+    pool = staged_plainly(groups, by_key, searches, candidates.CAPS)
+    results = {(r["doc_id"], r["ref_no"]): r for r in verify(cites, known).collect()}
+    assert len(results) == cites.count()
+    for c in candidates.lookup_keys(cites).collect():
+        scores = [scored_plainly(c, by_key[k]) for key, k in pool if key == c["lookup_key"]]
+        own = [s for s in scores if s[0] >= 50 or s[2]] or scores
+        r = results[c["doc_id"], c["ref_no"]]
+        assert r["n_hits"] == len(own), c
+        if own:
+            assert r["ranked"][0]["weighted_score"] == pytest.approx(max(s[1] for s in own), abs=0.1), c
+        else:
+            assert (r["status"], r["explanation"]) == ("UNCERTAIN", decision.NO_HITS)
