@@ -17,10 +17,18 @@ from citelink.sources.scratch import dropped, stored
 #: Bytes of text that a vectorized pass holds at once; a longer document is a pass of its own.
 CHUNK_BYTES = 1 << 20
 
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII string: a list of its bytes, each followed by eight shifts (256), folded up. Null stays null."""
+    bits = f"flatten(list_transform(range(1, strlen({text}) + 1), lambda i: list_concat([unicode(({text})[i])::UBIGINT], list_transform(range(8), lambda j: 256::UBIGINT))))"
+    step = "CASE WHEN o < 256 THEN xor(c, o) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], {bits}), lambda c, o: {step}), 4294967295::UBIGINT)"
+
+
 def small(ids: DataFrame, most: int) -> bool:
     """Whether a table has at most ``most`` rows; counting stops there."""
     return ids.limit(most + 1).count() <= most

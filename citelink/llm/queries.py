@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citelink.llm import embed_dup, fingerprint, html_text, lang_id, line_dedup, mixing, near_dup, pieces, pii, suffix_dedup
+from citelink.llm import embed_dup, fingerprint, html_text, lang_id, line_dedup, merkle, mixing, near_dup, pieces, pii, suffix_dedup
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_pieces": pieces.op9_pieces,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_merkle": merkle.op11_merkle,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op4_embed_dup": embed_dup.OP4_SQL,
     "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }
