@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citelink.llm import embed_dup, fingerprint, html_text, lang_id, line_dedup, merkle, mixing, near_dup, pieces, pii, suffix_dedup
+from citelink.llm import embed_dup, fingerprint, html_text, lang_id, line_dedup, merkle, mixing, near_dup, ngram_lm, pieces, pii, runs, suffix_dedup
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_pieces": pieces.op9_pieces,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_merkle": merkle.op11_merkle,
+    "op12_lm_scores": ngram_lm.op12_lm_scores,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
 ORACLE_SQL = {
     "op2_mixing": mixing.OP2_SQL,
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op12_lm_scores": ngram_lm.op12_lm_scores,
+    "op13_periodic_runs": runs.OP13_SQL,
 }
