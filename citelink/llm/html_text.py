@@ -35,6 +35,8 @@ IMPLIED_END = {
 SURROUND = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar rail footer masthead topbar cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommend recommended recommendations pagination pager toolbar skip complementary contentinfo".split()
 )
+#: Of these, words that an article's own parts are named by, too.
+WEAK = frozenset("recommend recommended recommendations related share sharing".split())
 VAGUE = frozenset("alert banner copyright disclaimer foot legal notice notices promo promos promotion promotions search widget widgets".split())
 HEADER = frozenset({"header"})
 COMMENTS = frozenset("comment comments commentlist commentbox disqus replies reply respond".split())
@@ -47,32 +49,42 @@ NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(
 WORDS = re.compile("[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
 
-#: How an element is hinted to stand apart: by its tag, by a plain name for what surrounds or for comments, or by a longer name or an attribute.
-BY_TAG, BY_PLAIN_NAME, BY_NAME = 1, 2, 3
+#: Elements that running text is made of: beside the main subtree they are content, whatever their density, unless links fill them.
+FLOW = frozenset("article blockquote details dl figure h1 h2 h3 h4 h5 h6 hgroup main ol p pre section table ul".split())
+#: How an element is hinted to stand apart: by its tag, by a plain name for what surrounds or for comments, by a longer name or an attribute, or, inside
+#: an article, by a name that its own parts may have as well.
+BY_TAG, BY_PLAIN_NAME, BY_NAME, BY_WEAK_NAME = 1, 2, 3, 4
 
 
 class Node:
-    __slots__ = ("chars", "content", "density", "depth", "hint", "inside", "link_chars", "link_tags", "parent", "parts", "summed", "tag", "tags")
+    __slots__ = ("chars", "content", "density", "depth", "flow", "hint", "inside", "link_chars", "link_tags", "parent", "parts", "summed", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, hint: int = 0):
         self.tag, self.parent, self.parts, self.hint = tag, parent, [], hint
         self.depth = parent.depth + 1 if parent is not None else 0
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.summed = 0.0
-        self.content = self.inside = False
+        self.content = self.inside = self.flow = False
 
+    @property
+    def unlinked(self) -> bool:
+        return 3 * self.link_chars < self.chars
 
-def _name_hint(value: str, in_article: bool) -> int:
+
+def _name_hint(value: str, in_article: bool, tag: str) -> int:
     """What the names in a class, id or role attribute say about their element."""
     for name in value.split():
         words = [w.lower() for w in WORDS.findall(name)]
         every = {*words, *(a + b for a, b in zip(words, words[1:], strict=False))}
         if every & LAYOUT:
             continue
-        if every & COMMENTS or (len(words) == 1 and every & SURROUND):
+        plain = len(words) == 1
+        if every & COMMENTS or (plain and every & SURROUND and not (in_article and tag == "section")):
             return BY_PLAIN_NAME
-        if every & SURROUND or (not every & CONTENT and every & (VAGUE if in_article else VAGUE | HEADER)):
+        if every & (SURROUND if plain and tag != "section" else SURROUND - WEAK) and not (plain and tag == "section"):
             return BY_NAME
+        if every & SURROUND or (not every & CONTENT and every & (VAGUE if in_article else VAGUE | HEADER)):
+            return BY_WEAK_NAME if in_article else BY_NAME
     return 0
 
 
@@ -90,7 +102,7 @@ def _hint(tag: str, rest: str, in_article: bool) -> int:
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             found = found or BY_NAME
         elif name in ("class", "id", "role"):
-            found = found or _name_hint(value, in_article)
+            found = found or _name_hint(value, in_article, tag)
     return found if tag != "article" or found == BY_PLAIN_NAME else 0
 
 
@@ -195,39 +207,48 @@ def parse(page: str) -> Node:
     return root
 
 
-def drop_surroundings(root: Node) -> None:
-    """Takes out what stands apart, unless it holds what the page is about.
+def drop_surroundings(root: Node) -> list[Node]:
+    """Takes out what stands apart, unless it holds what the page is about; returns the nodes that are left, parents before children.
 
     Hints only say what may go. An element hinted by a name stays if it holds more than half of the unlinked characters
     that are left, one hinted by its tag if it also holds an article, one of a plain name (ad, comments) only if it holds
-    the one article or nearly all characters.
+    the one article or nearly all characters. A part of an article whose name is hardly a hint stays if it has no form, few links and at least half as many
+    characters for each tag as the article.
     """
-    for kinds in ((BY_PLAIN_NAME,), (BY_TAG, BY_NAME)):
-        nodes = _in_order(root)
-        linked: dict[Node, bool] = {}
-        free = dict.fromkeys(nodes, 0)
-        articles = dict.fromkeys(nodes, 0)
+    nodes = _in_order(root)
+    for kinds in ((BY_PLAIN_NAME,), (BY_TAG, BY_NAME, BY_WEAK_NAME)):
+        if not any(node.hint in kinds for node in nodes):
+            continue
+        within: dict[Node, Node] = {}
+        free, linked, tags, forms, articles = ({} for _ in range(5))
         for node in nodes:
-            linked[node] = node.tag == "a" or (node.parent is not None and linked[node.parent])
-            if not linked[node]:
-                free[node] = sum(len(SPACE.sub(" ", p).strip()) for p in node.parts if isinstance(p, str))
-            articles[node] = int(node.tag in ("article", "main") and not node.hint)
+            up = node.parent
+            node.inside = node.tag == "a" or (up is not None and up.inside)
+            within[node] = node if node.tag in ("article", "main") or up is None else within[up]
+            own = sum(len(SPACE.sub(" ", p).strip()) for p in node.parts if isinstance(p, str))
+            free[node], linked[node] = (0, own) if node.inside else (own, 0)
+            tags[node], forms[node], articles[node] = 1, int(node.tag in ("form", "button")), int(node.tag in ("article", "main") and not node.hint)
         for node in reversed(nodes):
             if node.parent is not None:
-                free[node.parent] += free[node]
-                articles[node.parent] += articles[node]
+                for sums in (free, linked, tags, forms, articles):
+                    sums[node.parent] += sums[node]
         total, gone = free[root], set()
         for node in nodes:
             if node.parent in gone:
                 gone.add(node)
             elif node.hint in kinds:
-                most, article = 2 * free[node] > total, articles[node] > 0
-                stays = most and {BY_NAME: True, BY_TAG: article, BY_PLAIN_NAME: (article and articles[node] == articles[root]) or 50 * free[node] > 49 * total}[node.hint]
+                most, article, whole = 2 * free[node] > total, articles[node] > 0, within[node]
+                if node.hint == BY_WEAK_NAME:
+                    stays = most or (not forms[node] and 3 * linked[node] < free[node] and 2 * free[node] * tags[whole] >= free[whole] * tags[node])
+                else:
+                    stays = most and {BY_NAME: True, BY_TAG: article, BY_PLAIN_NAME: (article and articles[node] == articles[root]) or 50 * free[node] > 49 * total}[node.hint]
                 if not stays:
                     gone.add(node)
-        for node in nodes:
-            if node not in gone:
+        if gone:
+            nodes = [node for node in nodes if node not in gone]
+            for node in nodes:
                 node.parts = [None if isinstance(p, Node) and p in gone else p for p in node.parts]
+    return nodes
 
 
 def _in_order(root: Node) -> list[Node]:
@@ -240,13 +261,13 @@ def _in_order(root: Node) -> list[Node]:
     return out
 
 
-def densities(root: Node) -> list[Node]:
-    """Sets every node's composite text density and the sum of its children's; returns all nodes.
+def densities(nodes: list[Node]) -> None:
+    """Sets every node's composite text density and the sum of its children's; parents come before children.
 
     With C characters, T tags, LC and LT those of links, and the body's ratio of link to all characters:
     C/T * log(C/LC * T/LT) to the base ln(C/notLC * LC + ratio * C + e), zero counts taken as one.
     """
-    nodes = _in_order(root)
+    root = nodes[0]
     for node in nodes:
         node.inside = node.tag == "a" or (node.parent is not None and node.parent.inside)
         own = sum(len(SPACE.sub(" ", p).strip()) for p in node.parts if isinstance(p, str))
@@ -259,6 +280,7 @@ def densities(root: Node) -> list[Node]:
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags + (node.tag == "a")
+            up.flow |= node.flow or (node.tag in FLOW and node.chars > 0)
     ratio = root.link_chars / max(root.chars, 1)
     for node in nodes:
         c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
@@ -268,35 +290,63 @@ def densities(root: Node) -> list[Node]:
     for node in nodes:
         if node.parent is not None:
             node.parent.summed += node.density
-    return nodes
 
 
 def mark_content(nodes: list[Node]) -> None:
-    """Marks the subtree of greatest density sum, and by the least density on its path to the body what else is content."""
+    """Marks the subtree of greatest density sum, and what else on its path to the body is content.
+
+    The threshold is the least number of characters for each tag on that path. Of what hangs beside the path, what running text is made of counts unless
+    links fill it; any other element, and text of no element, counts if links don't fill it and it has half the threshold. Straight in the
+    body an element has to hold running text as well: a lone line there is not an article's.
+    """
     root = nodes[0]
     best = max(nodes, key=lambda n: n.summed)
     if best.summed <= 0:
         best.content = best.chars > 0
         return
-    least, up = best.density, best
-    while up is not None:
-        least = min(least, up.density)
-        up = up.parent
     best.content = True
     if best is root:  # a page without a main subtree: all but lists of links
         for part in root.parts:
             if isinstance(part, Node) and part.tag in BLOCKS and 2 * part.link_chars > part.chars:
                 part.parts = []
         return
-    # the best node's own path stays a frame: of what hangs beside it, only articles' parts as dense as the threshold count
+    least, up = math.inf, best
+    while up is not None:
+        least = min(least, up.chars / max(up.tags, 1))
+        up = up.parent
     up = best
     while up.parent is not None:
-        for beside in up.parent.parts:
-            if isinstance(beside, Node) and beside is not up and beside.density >= least and beside.tag not in ("a", "ul", "ol", "table") and beside.link_chars * 3 < beside.chars:
-                beside.content = up.parent is not root or beside.tag in ("h1", "h2", "p", "article", "main", "section")
-        if up.parent.tag in ("article", "main"):
-            up.parent.content = True
-        up = up.parent
+        above = up.parent
+        if above.tag in ("article", "main"):
+            above.content = True
+        if len(above.parts) == 1 or above.hint == BY_TAG:  # nothing beside; or a frame that is left open by mistake, as of a menu
+            up = above
+            continue
+        parts: list[Node | str | None] = []
+        run = Node("span", above)
+
+        def text_ends(parts: list = parts, above: Node = above) -> None:
+            nonlocal run
+            if not run.parts:
+                return
+            inner = [p for p in run.parts if isinstance(p, Node)]
+            run.chars = sum(len(SPACE.sub(" ", p).strip()) for p in run.parts if isinstance(p, str)) + sum(p.chars for p in inner)
+            run.link_chars = sum(p.link_chars for p in inner)
+            run.content = run.unlinked and (above is not root or 2 * run.chars >= least)
+            parts.append(run)
+            run = Node("span", above)
+
+        for part in above.parts:
+            if not isinstance(part, Node) or (part is not up and part.tag not in BLOCKS):
+                run.parts.append(part)
+                continue
+            text_ends()
+            parts.append(part)
+            if part is not up and part.unlinked:
+                part.content = part.tag in FLOW or (2 * part.chars >= least * max(part.tags, 1) and (above is not root or part.flow))
+        text_ends()
+        above.parts = parts
+        up = above
 
 
 def text_of(root: Node) -> str:
@@ -305,6 +355,8 @@ def text_of(root: Node) -> str:
     piece: list[str] = []
 
     def flush() -> None:
+        if not piece:
+            return
         line = SPACE.sub(" ", html.unescape("".join(piece))).strip()
         piece.clear()
         if line:
@@ -336,8 +388,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    drop_surroundings(root)
-    mark_content(densities(root))
+    nodes = drop_surroundings(root)
+    densities(nodes)
+    mark_content(nodes)
     return text_of(root)
 
 
