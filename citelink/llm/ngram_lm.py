@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citelink.llm.common import lean, mixed, read_table, text_chunks, with_fields
@@ -21,16 +21,16 @@ ORDER = 2
 THRESHOLDS = [1]
 while THRESHOLDS[-1] < 1 << 60:
     THRESHOLDS.append(max(THRESHOLDS[-1] + 1, math.ceil(THRESHOLDS[-1] * 1.25)))
-#: Filter bits for each (n-gram, level), and bits that an n-gram and level sets.
-BITS, PROBES = 12, 4
-#: N-gram tokens of one segment of the filter, which one task merges, and the most bytes of filter that are broadcast at a time.
-SEGMENT_TOKENS, MOST_BYTES = 1 << 20, 1 << 27
+#: Filter bits for each (n-gram, level), and bits that an n-gram and level sets, all in one block of 256.
+BITS, PROBES, BLOCK = 12, 4, 256
+#: N-gram tokens of one segment of the filter, which one task merges, and the most bytes of filter and word counts that are broadcast at a time.
+SEGMENT_TOKENS, MOST_BYTES = 1 << 20, 1 << 28
 #: The counts that the next shorter n-gram's probability adds to a history, as if it had been seen so many times more.
 PRIOR = 200.0
 #: Bytes of text whose n-grams are counted together before they are shuffled.
 COUNT_BYTES = 4 << 20
-#: A word with one in so many tokens is common: there are at most so many such words, and they are joined by broadcast.
-COMMON = 1 << 18
+_ADDED = ("n_tokens", "n_known", "base_score", "score")
+_SO_FAR = ("_levels", "_known", "_base")
 
 _END = np.uint64(0x6A09E667F3BCC909)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -74,81 +74,102 @@ def _segment(grams: np.ndarray, segments: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)).astype(np.int32)
 
 
-def _steps(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """From where, and by what odd steps, an n-gram and level set their bits."""
+def _places(grams: np.ndarray, level: int, blocks: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """An n-gram and level's block, and 32 bits of which every eight name a bit of the block."""
     h = mixed(grams + np.uint64(level * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
-    return h >> np.uint64(32), h & np.uint64(0xFFFFFFFF) | np.uint64(1)
+    return ((h >> np.uint64(32)) * np.asarray(blocks).astype(np.uint64) >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _packed(segment: np.ndarray, cuts: np.ndarray, values: np.ndarray) -> dict[int, bytes]:
+    return {int(segment[a]): values[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(values)], strict=True)}
 
 
 def _counted(order: int, segments: int):
-    """By segment, the n-grams of some text and how often each comes."""
+    """By segment, the words and the longer n-grams of some text and how often each comes."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0), COUNT_BYTES):
                 found, _ = ngrams(data, offsets, order)
-                grams, counts = np.unique(np.concatenate(found), return_counts=True)
-                segment = _segment(grams, segments)
-                cuts = np.flatnonzero(np.diff(segment, prepend=-1))
-                ends = [*cuts[1:], len(grams)]
-                counts = counts.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(segment[cuts]), *(pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()) for x in (grams, counts))], ["segment", "grams", "counts"]
-                )
+                columns = []
+                for grams in (found[0], np.concatenate(found[1:] or [found[0][:0]])):
+                    grams, counts = np.unique(grams, return_counts=True)
+                    segment = _segment(grams, segments)
+                    cuts = np.flatnonzero(np.diff(segment, prepend=-1))
+                    columns += [_packed(segment, cuts, grams), _packed(segment, cuts, counts.astype(np.uint32))]
+                some = sorted({*columns[0], *columns[2]})
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([c.get(k, b"") for k in some], pa.binary()) for c in columns)], ["segment", "words", "word_counts", "grams", "counts"])
 
     return run
 
 
-def _summed(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    values, at = np.unique(np.concatenate(grams), return_inverse=True)
-    total = np.zeros(len(values), np.int64)
-    np.add.at(total, at, np.concatenate(counts))
-    return values, total
+_PARTS = "segment int, words binary, word_counts binary, grams binary, counts binary"
+_SEGMENTS = "segment int, tokens bigint, blocks bigint, filter binary, words binary, counts binary"
+
+
+class _Sums:
+    """Counts that are added up. Equal keys become one whenever many have come in, so that the distinct keys of a segment bound the memory."""
+
+    def __init__(self):
+        self.keys, self.counts, self.waiting = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
 
+    def add(self, keys: bytes, counts: bytes) -> None:
+        self.keys.append(np.frombuffer(keys, np.uint64))
+        self.counts.append(np.frombuffer(counts, np.uint32).astype(np.int64))
+        self.waiting += len(self.keys[-1])
+        if self.waiting > 2 * SEGMENT_TOKENS:
+            self.total()
 
-def _filter(grams: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
-    """(bits, filter) that hold every n-gram with each level up to its count's."""
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        values, at = np.unique(np.concatenate(self.keys), return_inverse=True)
+        counts = np.zeros(len(values), np.int64)
+        np.add.at(counts, at, np.concatenate(self.counts))
+        self.keys, self.counts, self.waiting = [values], [counts], 0
+        return values, counts
+
+
+def _filter(keys: np.ndarray, counts: np.ndarray) -> tuple[int, bytes]:
+    """(blocks, filter) that hold every n-gram with each level up to its count's."""
     levels = _levels_of(counts)
-    bits = -(-int(levels.sum(dtype=np.int64)) * BITS // 64) * 64
-    held = np.zeros(bits, bool)
-    for level in range(1, int(levels.max()) + 1):
-        a, b = _steps(grams[levels >= level], level)
+    blocks = max(1, -(-int(levels.sum(dtype=np.int64)) * BITS // BLOCK))
+    held = np.zeros(blocks * BLOCK, bool)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        block, inside = _places(keys[levels >= level], level, blocks)
         for i in range(PROBES):
-            held[(a + np.uint64(i) * b) % np.uint64(bits)] = True
-    return bits, np.packbits(held, bitorder="little").tobytes()
+            held[block * BLOCK + (inside >> np.uint32(8 * i) & np.uint32(255))] = True
+    return blocks, np.packbits(held, bitorder="little").tobytes()
 
 
 @lean
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by segment: each segment's filter. Equal n-grams are added up whenever many rows have come in, so that a segment's distinct n-grams bound the memory."""
-    now, grams, counts, waiting = None, [], [], 0
+    """Of rows sorted by segment: each segment's filter and exact word counts."""
+    now, words, grams = None, _Sums(), _Sums()
 
     def done() -> pa.RecordBatch:
-        bits, held = _filter(*_summed(grams, counts))
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([bits], pa.int64()), pa.array([held], pa.binary())], ["segment", "bits", "filter"])
+        (w, n), (g, m) = words.total(), grams.total()
+        blocks, held = _filter(np.concatenate([w, g]), np.concatenate([n, m]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([now], pa.int32()), *(pa.array([x], pa.int64()) for x in (int(n.sum()), blocks)), *(pa.array([x], pa.binary()) for x in (held, w.tobytes(), n.tobytes()))], ["segment", "tokens", "blocks", "filter", "words", "counts"]
+        )
 
     for batch in batches:
-        for segment, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for segment, w, n, g, m in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if segment != now:
                 if now is not None:
                     yield done()
-                now, grams, counts, waiting = segment, [], [], 0
-            grams.append(np.frombuffer(a, np.uint64))
-            counts.append(np.frombuffer(b, np.uint32).astype(np.int64))
-            waiting += len(grams[-1])
-            if waiting > 2 * SEGMENT_TOKENS:
-                g, c = _summed(grams, counts)
-                grams, counts, waiting = [g], [c], 0
+                now, words, grams = segment, _Sums(), _Sums()
+            words.add(w, n)
+            grams.add(g, m)
     if now is not None:
         yield done()
 
 
 @dataclass(frozen=True)
 class Model:
-    """A filter in segments (segment, bits, filter), as a table in the shared folder, and what the smoothing needs besides."""
+    """A filter in segments, with the words of each and their exact counts, as a table in the shared folder; and what the smoothing needs besides."""
 
-    filters: DataFrame
+    parts: DataFrame
     segments: int
     order: int
     tokens: int
@@ -156,185 +177,158 @@ class Model:
     texts: int
 
 
-def word_arrays(text: Column) -> Column:
-    """A text's words with A-Z lower-cased; a word of over 32 bytes is known by its SHA-256, so that no key is long."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.transform(F.regexp_extract_all(lower, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.when(F.octet_length(w) > 32, F.sha2(w.cast("binary"), 256)).otherwise(w))
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, as a table in the shared folder."""
-    words = docs.select(F.explode(word_arrays(F.col("text"))).alias("word"))
-    return stored(words.groupBy("word").agg(F.count("*").alias("n")), "words")
+def fit(docs: DataFrame, order: int = ORDER) -> Model:
+    """A model of all texts of ``docs``: every n-gram and word counts. An empty table gives a model that knows none.
 
-
-def fit(docs: DataFrame, words: DataFrame, order: int = ORDER) -> Model:
-    """A model of all texts of ``docs``; ``words`` are their word counts. An empty table gives a model that knows no n-gram."""
-    texts = docs.count()
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    tokens = n + texts
-    segments = max(1, -(-tokens * order // SEGMENT_TOKENS))
-    parts = docs.select("text").mapInArrow(_counted(order, segments), "segment int, grams binary, counts binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merged, "segment int, bits bigint, filter binary")
-    return Model(stored(merged, "filters"), segments, order, tokens, v + (texts > 0), texts)
+    N-grams are counted in chunks of text and added up by segments of their hashes, so that a frequent one is a row for each chunk, never one for each place.
+    Words and n-grams are known by 64-bit hashes; among 10**9 different ones two agree with a chance of about 3 %.
+    """
+    texts, chars = docs.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    segments = max(1, -(-(chars // 6 + texts) * order // SEGMENT_TOKENS))
+    parts = docs.select("text").mapInArrow(_counted(order, segments), _PARTS)
+    table = stored(parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merged, _SEGMENTS), "ngrams")
+    tokens, distinct = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum(F.expr("length(words) div 8")), F.lit(0))).first()
+    return Model(table, segments, order, tokens, distinct, texts)
 
 
 class _Held:
-    """Some neighbouring segments of a filter, in one piece of memory."""
+    """Some neighbouring segments of a model, in one piece of memory."""
 
     def __init__(self, rows: list, first: int, last: int):
         self.first, self.last = first, last
-        self.bits, self.start = np.zeros(last - first + 1, np.int64), np.zeros(last - first + 1, np.int64)
-        size, parts = 0, []
-        for segment, bits, held in rows:
-            self.bits[segment - first], self.start[segment - first] = bits, size
-            parts.append(bytes(held))
+        self.blocks, self.start = np.zeros(last - first + 1, np.int64), np.zeros(last - first + 1, np.int64)
+        size, filters, words, counts = 0, [], [], []
+        for segment, _, blocks, held, w, n in rows:
+            self.blocks[segment - first], self.start[segment - first] = blocks, size
             size += len(held)
-        self.data = np.frombuffer(b"".join(parts) or b"\0", np.uint8)
-
-    def levels(self, grams: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the n-grams belong to these segments, and their levels: the last that is found when probing from the first up."""
+            filters.append(held)
+            words.append(w)
+            counts.append(n)
+        self.data = np.frombuffer(b"".join(filters) or b"\0", np.uint8)
+        self.words, self.counts = (np.frombuffer(b"".join(x), t) for x, t in ((words, np.uint64), (counts, np.int64)))  # segments ascend as hashes do
+
+    def levels(self, grams: np.ndarray, segments: int) -> np.ndarray:
+        """The n-grams' levels, each the last that is found when probing from the first up; 0 for those of other segments."""
         segment = _segment(grams, segments)
-        mine = np.flatnonzero((segment >= self.first) & (segment <= self.last))
-        segment = segment[mine] - self.first
-        bits, start = self.bits[segment], self.start[segment]
-        level, left = np.zeros(len(mine), np.uint8), np.flatnonzero(bits)
-        step = 0
+        found = np.zeros(len(grams), np.uint8)
+        left = np.flatnonzero((segment >= self.first) & (segment <= self.last))
+        segment = segment[left] - self.first
+        keys, blocks, start = grams[left], self.blocks[segment], self.start[segment]
+        some = blocks > 0
+        left, keys, blocks, start = left[some], keys[some], blocks[some], start[some]
+        level = 0
         while len(left):
-            step += 1
-            hit = left
-            a, b = _steps(grams[mine[hit]], step)
+            level += 1
+            block, inside = _places(keys, level, blocks)
+            at = start + block * (BLOCK // 8)
+            held = np.ones(len(left), bool)
             for i in range(PROBES):
-                at = ((a + np.uint64(i) * b) % bits[hit].astype(np.uint64)).astype(np.int64)
-                found = (self.data[start[hit] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 > 0
-                hit, a, b = hit[found], a[found], b[found]
-            level[hit] = step
-            left = hit
-        return mine, level
+                bit = inside >> np.uint32(8 * i) & np.uint32(255)
+                held &= self.data[at + (bit >> np.uint32(3))] >> (bit & np.uint32(7)).astype(np.uint8) & np.uint8(1) > 0
+            left, keys, blocks, start = left[held], keys[held], blocks[held], start[held]
+            found[left] = level
+        return found
+
+    def exact(self, words: np.ndarray) -> np.ndarray:
+        """The words' counts; 0 for those of other segments."""
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, self.counts[at], 0)
 
 
-def _log_scores(levels: np.ndarray, first: np.ndarray, model: dict) -> np.ndarray:
+def _log_scores(levels: np.ndarray, starts: np.ndarray, model: dict) -> np.ndarray:
     """log10 of each row's probability: of every order, a count over its history's, with the next shorter order as a prior."""
     counts = expected_counts()[levels]
-    starts = first[:-1]
     p = (counts[0] + 1) / (model["tokens"] + model["distinct"] + 1)
     for n in range(1, len(counts)):
         history = np.concatenate([[0.0], counts[n - 1][:-1]])
         history[starts] = model["texts"]
         p = (np.minimum(counts[n], history) + PRIOR * p) / (history + PRIOR)
-    return np.add.reduceat(np.log10(p), starts) if len(starts) else np.zeros(0)
+    return np.add.reduceat(np.log10(p), starts)
 
 
 def _probed(shared, model: dict, last: bool):
-    """Rows with the levels that these segments hold of their n-grams; in the last round, with n_tokens and score in place of levels."""
+    """Rows with what these segments tell of their n-grams and words; in the last round, with the scores that follow."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value if shared is not None else None
+        held = shared.value
         for batch in batches:
             names = batch.schema.names
-            earlier = batch.column(names.index("_levels"))
+            so_far, known, base = (batch.column(names.index(c)) for c in _SO_FAR)
+            known, base = known.to_numpy(zero_copy_only=False).copy(), base.to_numpy(zero_copy_only=False).copy()
             sizes, scores, kept = [], [], []
             for row, rows, data, offsets in text_chunks(batch.column(names.index("text"))):
                 found, first = ngrams(data, offsets, model["order"])
-                levels = np.zeros((len(found), first[-1]), np.uint8)
-                if earlier.null_count < len(earlier):
+                starts = first[:-1]
+                words, at = np.unique(found[0], return_inverse=True)
+                levels = np.stack([held.levels(words, model["segments"])[at], *(held.levels(g, model["segments"]) for g in found[1:])])
+                exact = held.exact(words)
+                known[row : row + rows] += np.add.reduceat((exact > 0).astype(np.int64)[at], starts)
+                base[row : row + rows] += np.add.reduceat(np.log10(exact + 1.0)[at], starts)
+                if so_far.null_count < len(so_far):
                     for i in range(rows):
-                        levels[:, first[i] : first[i + 1]] = np.frombuffer(earlier[row + i].as_py(), np.uint8).reshape(len(found), -1)
-                if held is not None:
-                    grams, at = np.unique(np.concatenate(found), return_inverse=True)
-                    mine, new = held.levels(grams, model["segments"])
-                    every = np.zeros(len(grams), np.uint8)
-                    every[mine] = new
-                    levels |= every[at].reshape(levels.shape)
+                        levels[:, first[i] : first[i + 1]] |= np.frombuffer(so_far[row + i].as_py(), np.uint8).reshape(len(found), -1)
                 if last:
                     sizes.append(np.diff(first))
-                    scores.append(_log_scores(levels, first, model))
+                    scores.append(_log_scores(levels, starts, model))
                 else:
                     kept += [levels[:, first[i] : first[i + 1]].tobytes() for i in range(rows)]
-            others = [batch.column(i) for i, n in enumerate(names) if n != "_levels"]
-            left = [n for n in names if n != "_levels"]
+            own = [(batch.column(i), n) for i, n in enumerate(names) if n not in _SO_FAR]
             if last:
-                added = [pa.array(np.concatenate(x or [np.zeros(0)]), t) for x, t in ((sizes, pa.int64()), (scores, pa.float64()))]
-                yield pa.RecordBatch.from_arrays([*others, *added], [*left, "n_tokens", "score"])
+                size = np.concatenate(sizes or [np.zeros(0, np.int64)])
+                added = zip([pa.array(size), pa.array(known), pa.array(base - size * math.log10(model["tokens"] + model["distinct"] + 1)), pa.array(np.concatenate(scores or [np.zeros(0)]))], _ADDED, strict=True)
             else:
-                yield pa.RecordBatch.from_arrays([*others, pa.array(kept, pa.binary())], [*left, "_levels"])
+                added = zip([pa.array(kept, pa.binary()), pa.array(known), pa.array(base)], _SO_FAR, strict=True)
+            columns, labels = zip(*own, *added, strict=True)
+            yield pa.RecordBatch.from_arrays([*columns], [*labels])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """``docs`` (text and any other columns) with ``n_tokens`` and ``score``, the log10 probability of the whole text.
+    """``docs`` (text and any other columns) with ``n_tokens``, ``n_known``, ``base_score`` and ``score``.
 
-    Of each n-gram the filter tells the level of its count, by probing level after level until one isn't held; a level too high is found with a
-    chance of about one in two hundred. The filter is broadcast at most ``most_bytes`` at a time: a larger one goes round after
-    round, texts keeping the levels found so far, and results are the same whatever the rounds.
+    ``score`` is the log10 probability of the whole text. Of each n-gram the filter tells the level of its count, by probing level after level until
+    one isn't held; a level too high is found with a chance of about one in a hundred. ``base_score`` takes exact counts of words alone, ``n_known`` counts the tokens learned.
+    Filter and word counts are broadcast at most ``most_bytes`` at a time: a larger model goes round after round over the texts, which keep
+    what was found so far, and results are the same whatever the rounds.
 
     A null or empty text has one token, its end. Very long texts are scored whole; repeated rows alike; an empty table gives
-    an empty one. Columns already named n_tokens or score are replaced, all others stay.
+    an empty one. Columns already named as those added are replaced, all others stay.
     """
-    docs = docs.drop("n_tokens", "score", "_levels")
+    docs = docs.drop(*_ADDED, *_SO_FAR)
     spark = docs.sparkSession
-    known = {k: getattr(model, k) for k in ("segments", "order", "tokens", "distinct", "texts")}
+    about = {k: getattr(model, k) for k in ("segments", "order", "tokens", "distinct", "texts")}
     groups: list[list[int]] = []
-    size = 0
-    for segment, bits in model.filters.select("segment", "bits").orderBy("segment").toLocalIterator():  # two numbers for each segment
-        if not groups or size + bits // 8 > most_bytes:
+    room = 0
+    for segment, size in model.parts.select("segment", F.expr("length(filter) + length(words) + length(counts)")).orderBy("segment").toLocalIterator():  # two numbers for each segment
+        if not groups or size > room:
             groups.append([segment, segment])
-            size = 0
+            room = most_bytes
         groups[-1][1] = segment
-        size += bits // 8
-    rows, old = docs.withColumn("_levels", F.lit(None).cast("binary")), None
-    for i, (a, b) in enumerate(groups or [(0, -1)]):
-        shared = spark.sparkContext.broadcast(_Held(model.filters.where(F.col("segment").between(a, b)).toLocalIterator(), a, b)) if groups else None
-        if i + 1 >= len(groups):
-            return rows.mapInArrow(_probed(shared, known, True), with_fields(docs, "n_tokens bigint, score double"))
-        rows = stored(rows.mapInArrow(_probed(shared, known, False), with_fields(docs, "_levels binary")), "levels")
+        room -= size
+    rows, old = docs.withColumns({"_levels": F.lit(None).cast("binary"), "_known": F.lit(0).cast("bigint"), "_base": F.lit(0.0)}), None
+    groups = groups or [[0, -1]]
+    for a, b in groups:
+        shared = spark.sparkContext.broadcast(_Held(model.parts.where(F.col("segment").between(a, b)).orderBy("segment").toLocalIterator(), a, b))
+        if b == groups[-1][1]:
+            return rows.mapInArrow(_probed(shared, about, True), with_fields(docs, "n_tokens bigint, n_known bigint, base_score double, score double"))
+        rows = stored(rows.mapInArrow(_probed(shared, about, False), with_fields(docs, "_levels binary, _known bigint, _base double")), "levels")
         shared.unpersist()
         if old is not None:
             dropped(old)
         old = rows
-
-
-def base_scores(docs: DataFrame, words: DataFrame, tokens: int) -> DataFrame:
-    """(k0, k1, known, total) for the rows of ``docs`` (k0, k1, text) of each key: words that ``words`` holds, and the sum of log10(n + 1) over all words.
-
-    Words with one in COMMON tokens or more are looked up where the texts are read; only the others, once for each text, are shuffled and joined, and none
-    of them is frequent.
-    """
-    common = words.where(F.col("n") * COMMON >= tokens)
-    texts = docs.select("k0", "k1", F.explode(word_arrays(F.col("text"))).alias("word"))
-    looked_up = texts.join(F.broadcast(common), "word", "left")
-    log = F.log10(F.col("n") + 1)
-    pairs = looked_up.groupBy("k0", "k1", F.when(F.col("n").isNull(), F.col("word")).alias("word")).agg(F.count("*").alias("times"), F.sum(log).alias("total"))
-    pairs = stored(pairs, "rare")
-    rare = pairs.where("word is not null").join(words, "word").select("k0", "k1", F.col("times").alias("known"), (F.col("times") * log).alias("total"))
-    both = rare.unionByName(pairs.where("word is null").select("k0", "k1", F.col("times").alias("known"), "total"))
-    return both.groupBy("k0", "k1").agg(F.sum("known").alias("known"), F.sum("total").alias("total"))
+    raise AssertionError
 
 
 def op12_lm_scores(spark, sf_dir: str) -> DataFrame:
     """Every document's log10 probability by the filter's model and by exact word counts, both learned from six sevenths of the documents.
 
-    Rows are told apart by hashes of doc_id and text; those that agree in both have the same result each. A null doc_id is never held out. A null text is empty: one token.
+    A null doc_id is never held out. A null text is empty: one token. Rows that repeat a doc_id are rows of their own.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    learned = docs.where(~F.col("held_out"))
-    words = word_counts(learned)
-    model = fit(learned, words)
-    keyed = docs.withColumns({"k0": F.xxhash64("doc_id", "text"), "k1": F.xxhash64(F.lit("2"), "text", "doc_id")})
-    base = base_scores(keyed, words, model.tokens)
-    scored = stored(score(keyed, model).drop("text"), "scored")
-    copies = scored.groupBy("k0", "k1").agg(F.count("*").alias("copies"))  # rows that are equal were added up
-    rows = scored.join(copies, ["k0", "k1"]).join(base, ["k0", "k1"], "left")
-    end, every = math.log10(model.texts + 1), math.log10(model.tokens + model.distinct + 1)
-    return rows.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.coalesce("known", F.lit(0)) / F.col("copies") + int(model.texts > 0)).cast("bigint").alias("n_known"),
-        F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        (F.coalesce("total", F.lit(0.0)) / F.col("copies") + end - F.col("n_tokens") * every).alias("base_score"),
-        "score",
-    )
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "text")
+    model = fit(docs.where(~F.col("held_out")))
+    return score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
