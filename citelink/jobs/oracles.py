@@ -62,8 +62,7 @@ _SEARCHES = f"""w AS (
 ), t AS (
     SELECT *, list_filter(ws, lambda x: x NOT IN ({_STOP}) AND length(x) > 2) AS short, list_filter(ws, lambda x: x NOT IN ({_STOP}) AND length(x) > 4)[1:8] AS terms FROM w
 ), texts AS (
-    SELECT lookup_key, 1 AS stage, 0 AS j, norm_title AS text, TRUE AS two FROM t
-    UNION ALL SELECT lookup_key, 2, 0, array_to_string(short, ' '), TRUE FROM t WHERE array_to_string(short, ' ') NOT IN ('', norm_title)
+    SELECT lookup_key, 2 AS stage, 0 AS j, array_to_string(short, ' ') AS text, TRUE AS two FROM t WHERE array_to_string(short, ' ') NOT IN ('', norm_title)
     UNION ALL SELECT lookup_key, 3, 0, {n2('authors[1]')} || ' ' || array_to_string(ws[1:3], ' '), TRUE FROM t WHERE len(authors) > 0
     UNION ALL SELECT lookup_key, 5, 0, array_to_string(ws[1:len(ws) // 2], ' '), FALSE FROM t WHERE len(ws) >= 6
     UNION ALL SELECT lookup_key, 5, 1, array_to_string(ws[len(ws) // 2 + 1:], ' '), FALSE FROM t WHERE len(ws) >= 6
@@ -77,10 +76,39 @@ _SEARCHES = f"""w AS (
 ), searches AS (
     SELECT lookup_key, 'Crossref' AS source, CAST(j AS INTEGER) AS place, CAST(stage AS INTEGER) AS stage, CASE WHEN stage = 3 THEN 'both' ELSE 'title' END AS fields, text FROM texts
     UNION ALL SELECT lookup_key, 'OpenAlex', CAST(10 + j AS INTEGER), CAST(stage AS INTEGER), CASE WHEN stage = 3 THEN 'both' ELSE 'title' END, text FROM texts WHERE two
+    UNION ALL SELECT lookup_key, 'Crossref', 0, 1, CASE WHEN len(ws) > 2 THEN 'phrase' ELSE 'title' END, norm_title FROM t
+    UNION ALL SELECT lookup_key, 'Crossref', 1, 1, 'record', norm_title FROM t
+    UNION ALL SELECT lookup_key, 'OpenAlex', 10, 1, 'title', norm_title FROM t
     UNION ALL SELECT lookup_key, 'Crossref', CAST(j AS INTEGER), 4, 'title', text FROM once WHERE j < 8
     UNION ALL SELECT lookup_key, more[i], CAST(10 * (i - 1) AS INTEGER), 6, 'title', norm_title FROM (SELECT *, unnest(range(1, len(more) + 1)) AS i FROM t)
 )"""
 
+#: The best works of every search: found (lookup_key, source, place, stage, fields, work_key, score, hit_no).
+_FOUND = f"""known AS (
+    SELECT work_key, unnest(sources) AS source, norm_title, list_filter(string_split(norm_title, ' '), lambda x: x <> '') AS tw, list_filter(string_split({n2("array_to_string(authors, ' ')")}, ' '), lambda x: x <> '') AS nw,
+           list_filter(string_split({n2("venue")} || ' ' || {n2("CAST(year AS VARCHAR)")}, ' '), lambda x: x <> '') AS mw FROM works
+), texts_of AS (
+    SELECT work_key, source, 'title' AS fields, tw AS tokens FROM known
+    UNION ALL SELECT work_key, source, 'both', list_concat(tw, nw) FROM known WHERE source IN ('Crossref', 'OpenAlex')
+    UNION ALL SELECT work_key, source, 'record', list_concat(list_concat(tw, nw), mw) FROM known WHERE source = 'Crossref'
+), sizes AS (
+    SELECT source, fields, count(*) AS n, greatest(CAST(1000 * sum(len(tokens)) AS BIGINT) // count(*), 1) AS mean FROM texts_of WHERE len(tokens) > 0 GROUP BY source, fields
+), listed AS (
+    SELECT work_key, source, fields, size, token, count(*) AS tf FROM (SELECT work_key, source, fields, len(tokens) AS size, unnest(tokens) AS token FROM texts_of) GROUP BY ALL
+), rare AS (
+    SELECT source, fields, token, min(mean) AS mean, CAST(floor(1000 * ln(1 + min(n) / count(*))) AS BIGINT) AS rarity FROM listed JOIN sizes USING (source, fields) GROUP BY source, fields, token
+), impacts AS (
+    SELECT work_key, source, fields, token, CAST((rarity * tf * 2200) // (1000 * tf + 300 + (900000 * size) // mean) AS BIGINT) AS impact FROM listed JOIN rare USING (source, fields, token)
+), words AS (
+    SELECT DISTINCT lookup_key, source, place, stage, fields, text, CASE WHEN fields = 'phrase' THEN 'title' ELSE fields END AS by_fields, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS token FROM searches
+), scored AS (
+    SELECT lookup_key, q.source, place, stage, q.fields, text, work_key, CAST(sum(impact) AS BIGINT) AS score FROM words q JOIN impacts i ON q.source = i.source AND q.by_fields = i.fields AND q.token = i.token GROUP BY ALL
+), allowed AS (
+    SELECT s.* FROM scored s JOIN works w USING (work_key) WHERE s.fields <> 'phrase' OR contains(' ' || w.norm_title || ' ', ' ' || s.text || ' ')
+), found AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lookup_key, source, place, stage ORDER BY score DESC, work_key) AS hit_no FROM allowed) WHERE hit_no <= CASE WHEN stage <= 3 THEN 50 WHEN stage <= 5 THEN 30 ELSE 20 END
+)"""
+
 
 def _bucket(buckets: int) -> str:
     return f"CAST('0x' || substr(md5(r.doc_id || ':' || r.ref_no), 1, 8) AS BIGINT) % {buckets}"
@@ -238,17 +266,8 @@ ORACLES: dict[str, str] = {
     "doi_candidates": f"{_GROUPS} SELECT lookup_key, work_key FROM groups g JOIN works w ON g.norm_doi = w.norm_doi AND g.norm_doi <> '' WHERE list_has_any(w.sources, ['Crossref', 'OpenAlex', 'Semantic Scholar'])",
     "title_candidates": f"{_GROUPS} SELECT lookup_key, work_key FROM groups g JOIN works w ON g.norm_title = w.norm_title AND g.norm_title <> ''",
     "stage_queries": f"{_GROUPS}, {_SEARCHES} SELECT lookup_key, source, place, stage, text FROM searches",
-    "search_topk": f"""{_GROUPS}, {_SEARCHES}, titles AS (
-            SELECT DISTINCT work_key, source, 'title' AS fields, unnest(list_filter(string_split(norm_title, ' '), lambda x: x <> '')) AS token FROM (SELECT *, unnest(sources) AS source FROM works)
-        ), names AS (
-            SELECT DISTINCT work_key, source, unnest(list_filter(string_split({n2("array_to_string(authors, ' ')")}, ' '), lambda x: x <> '')) AS token FROM (SELECT *, unnest(sources) AS source FROM works)
-        ), listed AS (
-            SELECT * FROM titles UNION ALL SELECT work_key, source, 'both', token FROM (SELECT work_key, source, token FROM titles UNION SELECT work_key, source, token FROM names)
-        ), sizes AS (SELECT source, count(DISTINCT work_key) AS n FROM titles GROUP BY source
-        ), rare AS (SELECT source, fields, token, CAST(floor(1000 * ln(1 + min(n) / count(*))) AS BIGINT) AS rarity FROM listed JOIN sizes USING (source) GROUP BY source, fields, token
-        ), words AS (SELECT DISTINCT lookup_key, source, place, stage, fields, unnest(list_filter(string_split(text, ' '), lambda x: x <> '')) AS token FROM searches
-        ), scored AS (SELECT lookup_key, source, place, stage, work_key, CAST(sum(rarity) AS BIGINT) AS score FROM words JOIN rare USING (source, fields, token) JOIN listed USING (source, fields, token) GROUP BY ALL)
-        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lookup_key, source, place, stage ORDER BY score DESC, work_key) AS hit_no FROM scored) WHERE hit_no <= CASE WHEN stage <= 3 THEN 50 WHEN stage <= 5 THEN 30 ELSE 20 END""",
+    "search_topk": f"""{_GROUPS}, {_SEARCHES}, {_FOUND}
+        SELECT lookup_key, source, place, stage, work_key, score, hit_no FROM found""",
     "doi_year_states": f"""{_GROUPS} SELECT k.doc_id, k.ref_no, w.work_key,
         CASE WHEN k.norm_doi = '' AND w.norm_doi = '' THEN 'UNKNOWN' WHEN k.norm_doi = '' THEN 'MISSING_SUBMITTED' WHEN w.norm_doi = '' THEN 'MISSING_DATABASE' WHEN replace(k.norm_doi, '-', '') = replace(w.norm_doi, '-', '') THEN 'MATCH' ELSE 'MISMATCH' END AS doi_state,
         CASE WHEN w.year IS NULL THEN 'MISSING_DATABASE' WHEN abs(k.year - w.year) = 0 THEN 'MATCH' WHEN abs(k.year - w.year) = 1 THEN 'PARTIAL' ELSE 'MISMATCH' END AS year_state, length(k.norm_title) >= 8 AS short

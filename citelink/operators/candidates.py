@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelink.functions.normalize import detect_domain, extra_sources, normalize_doi, normalize_text
 from citelink.functions.similarity import author_similarity, title_identity
 from citelink.operators.ranking import REF
-from citelink.sources.scratch import stored
+from citelink.sources.scratch import dropped, stored
 
 # Words left out of reduced queries, sources of DOI lookups, and how many hits each search takes.
 STOPWORDS = ("a", "an", "the", "of", "for", "on", "at", "to", "in", "with", "without", "and", "or", "but", "by", "from", "into", "through")
@@ -16,10 +18,12 @@ DOI_SOURCES = ("Crossref", "OpenAlex", "Semantic Scholar")
 TEXT_SOURCES = ("Crossref", "OpenAlex")
 CAPS = {1: 50, 2: 50, 3: 50, 4: 30, 5: 30, 6: 20}
 STRONG_TITLE, STRONG_AUTHORS = 95, 90
-#: A token in more works of a source than this, and not among a query's rarest so many, finds works only where that can change the result.
-MOST_COMMON, RAREST = 50_000, 3
-#: Parts into which the works of such a token are split.
-SALTS = 32
+#: Postings of a block, about, and blocks of a part; a word's list is dealt over as many parts as it needs.
+BLOCK_POSTINGS, PART_BLOCKS = 512, 64
+#: Words are read for a first bound until their lists have so many times a search's cap.
+SEED_CAPS = 2
+#: Which sources' records are searched by which fields.
+FIELDS = {"title": None, "phrase": ("Crossref",), "both": TEXT_SOURCES, "record": ("Crossref",)}
 
 
 def lookup_keys(cites: DataFrame) -> DataFrame:
@@ -65,7 +69,9 @@ def _query(sources: tuple[str, ...] | Column, stage: int, texts: Column, fields:
 
 
 def full_title(groups: DataFrame) -> Column:
-    return _query(TEXT_SOURCES, 1, F.array("norm_title"))
+    """The title as a phrase (as words, where it has two or fewer) and in whole records of the first source, and as words in the second."""
+    asked = zip(TEXT_SOURCES[:1] * 2 + TEXT_SOURCES[1:], (0, 1, 10), (F.when(F.size(_words(F.col("norm_title"))) > 2, "phrase").otherwise("title"), F.lit("record"), F.lit("title")), strict=True)
+    return F.array(*(F.struct(F.lit(s).alias("source"), F.lit(place).alias("place"), F.lit(1).alias("stage"), fields.alias("fields"), F.col("norm_title").alias("text")) for s, place, fields in asked))
 
 
 def reduced_title(groups: DataFrame) -> Column:
@@ -116,67 +122,147 @@ def stage_queries(groups: DataFrame, stages: tuple[int, ...] = (1, 2, 3, 4, 5, 6
     return groups.where("norm_title <> ''").select("lookup_key", F.explode(every).alias("q")).select("lookup_key", "q.*")
 
 
-def postings(works: DataFrame) -> DataFrame:
-    """(source, fields, token, work_key): each word of a work once, of its title and of title and authors, in each of its sources."""
-    title = F.array_distinct(_words(F.col("norm_title")))
-    both = F.array_distinct(F.concat(title, _words(normalize_text(F.array_join("authors", " ")))))
-    flat = works.select("work_key", F.explode("sources").alias("source"), title.alias("title"), both.alias("both"))
-    kinds = flat.withColumn("fields", F.explode(F.array(F.lit("title"), F.lit("both"))))
-    tokens = F.when(F.col("fields") == "title", F.col("title")).otherwise(F.col("both"))
-    return kinds.select("source", "fields", F.explode(tokens).alias("token"), "work_key")
+@dataclass(frozen=True)
+class Index:
+    """A search index over works, as tables in the shared folder.
+
+    ``numbers`` (work_no, work_key): numbers ascend with keys. ``words`` (source, fields, token, df, top, parts): a word's works, its highest impact, and
+    the parts of its list. ``blocks`` (source, fields, token, part, first, highest, posts): the lists, in blocks of works (work_no, impact) of about equal impact.
+    ``forward`` (source, fields, work_no, posts): the same by work. ``titles`` (work_no, title).
+    """
+
+    numbers: DataFrame
+    words: DataFrame
+    blocks: DataFrame
+    forward: DataFrame
+    titles: DataFrame
+
+
+def _pairs(words: Column) -> Column:
+    """Neighbouring words as tokens: the places of a phrase's words."""
+    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.try_element_at(words, i + 2)))
 
 
-def search_topk(queries: DataFrame, works: DataFrame, caps: dict[int, int] | None = None, most_common: int = MOST_COMMON, listed: DataFrame | None = None) -> DataFrame:
-    """(lookup_key, source, place, stage, work_key, score, hit_no): the best works of each search.
+def search_index(works: DataFrame) -> Index:
+    """The index of works (work_key, norm_title, authors, sources and, if there, venue and year).
 
-    A work scores the rarities of the query's words in it, in thousandths so that sums are exact. ``most_common`` changes the
-    work, never the result: a query's rarer words find works first. If these fill the cap with scores above all that the
-    query's common words can give together, no work of common words alone is among the best, so those words' rarities are
-    only added to the works found; else they find works too, with their lists split by a salt. Queries and
-    lists meet in equi-joins on source and word, and only sums are shuffled after that. ``listed``: the postings of these works, if they are stored already.
+    A word's impact in a work is its rarity (in thousandths) by BM25: more for a word that comes again, less in a long record, in whole numbers so that sums
+    are exact. A list of any length is grouped by impact and by a salt, so that no task gets a common word's whole list.
+    """
+    other = [normalize_text(F.col(c).cast("string")) if c in works.columns else F.lit("") for c in ("venue", "year")]
+    keyed = works.select("work_key", "sources", F.coalesce("norm_title", F.lit("")).alias("title"), _words(normalize_text(F.array_join(F.coalesce("authors", F.array().cast("array<string>")), " "))).alias("names"), _words(F.concat_ws(" ", *other)).alias("more"))
+    numbered = stored(keyed.repartitionByRange("work_key").sortWithinPartitions("work_key").withColumn("work_no", F.monotonically_increasing_id()), "numbered")
+    title = _words(F.col("title"))
+    texts = {"title": title, "phrase": _pairs(title), "both": F.concat(title, "names"), "record": F.concat(title, "names", "more")}
+    asked = F.array(*(F.struct(F.lit(f).alias("fields"), texts[f].alias("tokens"), F.array(*map(F.lit, sources or ())).cast("array<string>").alias("of")) for f, sources in FIELDS.items()))
+    asked = asked.cast("array<struct<fields:string,tokens:array<string>,of:array<string>>>")
+    kinds = numbered.select("work_no", F.explode("sources").alias("source"), asked.alias("asked"))
+    kinds = kinds.select("work_no", "source", F.explode("asked").alias("k")).where("size(k.of) = 0 or array_contains(k.of, source)").select("work_no", "source", "k.fields", "k.tokens", F.size("k.tokens").alias("n_tokens")).where("n_tokens > 0")
+    sizes = kinds.groupBy("source", "fields").agg(F.count("*").alias("n_works"), F.expr("greatest(1000 * sum(n_tokens) div count(*), 1)").alias("mean"))
+    flat = kinds.select("source", "fields", "work_no", "n_tokens", F.explode("tokens").alias("token")).groupBy("source", "fields", "work_no", "n_tokens", "token").agg(F.count("*").alias("tf"))
+    flat = stored(flat, "tokens")
+    counts = flat.groupBy("source", "fields", "token").agg(F.count("*").alias("df")).join(F.broadcast(sizes), ["source", "fields"])  # a row for each source and kind of field
+    rare = counts.select("source", "fields", "token", "df", "mean", F.floor(1000 * F.log(1 + F.col("n_works") / F.col("df"))).cast("bigint").alias("rarity"))
+    impact = F.expr("(rarity * tf * 2200) div (1000 * tf + 300 + 900000 * n_tokens div mean)")
+    listed = stored(flat.join(rare, ["source", "fields", "token"]).select("source", "fields", "token", "df", "work_no", impact.alias("impact")), "postings")
+    salts = F.expr(f"df div {BLOCK_POSTINGS} + 1")
+    parts = F.expr(f"df div {BLOCK_POSTINGS * PART_BLOCKS} + 1")
+    placed = listed.withColumn("salt", F.pmod(F.xxhash64("work_no"), salts)).withColumn("part", F.pmod(F.col("salt"), parts)).withColumn("band", F.floor(8 * F.log2(F.col("impact") + 1)))
+    blocks = placed.groupBy("source", "fields", "token", "part", "salt", "band").agg(F.max("impact").alias("highest"), F.collect_list(F.struct("work_no", "impact")).alias("posts"))
+    blocks = stored(blocks.select("source", "fields", "token", "part", (F.col("salt") == 0).alias("first"), "highest", "posts"), "blocks")
+    words = stored(listed.groupBy("source", "fields", "token").agg(F.max("df").alias("df"), F.max("impact").alias("top")).withColumn("parts", parts), "words")
+    forward = stored(listed.where("fields <> 'phrase'").groupBy("source", "fields", "work_no").agg(F.collect_list(F.struct("token", "impact")).alias("posts")), "forward")
+    dropped(flat, listed)
+    return Index(numbered.select("work_no", "work_key"), words, blocks, forward, numbered.select("work_no", "title"))
+
+
+_BY_WORD = ["source", "fields", "token"]
+
+
+def _read(terms: DataFrame, blocks: DataFrame, wanted: Column) -> DataFrame:
+    """``terms`` with the postings (work_no, impact) of the blocks that ``wanted`` asks for, part by part."""
+    dealt = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = dealt.join(blocks, [*_BY_WORD, "part"]).where(wanted)
+    return met.select("q_no", "cap", "fields", "source", "above", "rest", F.explode("posts").alias("p")).select("*", "p.work_no", "p.impact").drop("p")
+
+
+def _scored(pairs: DataFrame, asked: DataFrame, index: Index) -> DataFrame:
+    """``pairs`` (q_no, work_no) with their exact score, from the works' own words."""
+    rows = pairs.join(asked.select("q_no", "source", F.when(F.col("fields") == "phrase", "title").otherwise(F.col("fields")).alias("fields"), "tokens", "cap"), "q_no")
+    rows = rows.join(index.forward, ["source", "fields", "work_no"])
+    score = F.aggregate("posts", F.lit(0).cast("bigint"), lambda s, p: s + F.when(F.array_contains("tokens", p["token"]), p["impact"]).otherwise(0))
+    return rows.select("q_no", "work_no", "cap", score.alias("score"))
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    order = Window.partitionBy("q_no").orderBy(F.desc("score"), "work_no")
+    return scored.withColumn("hit_no", F.row_number().over(order)).where(F.col("hit_no") <= F.col("cap"))
+
+
+def query_terms(asked: DataFrame, index: Index) -> DataFrame:
+    """A row for each query and word of it that works have: the words ascend by their highest impact from last to first.
+
+    ``above``: the lists' lengths of the words before; ``rest``: the highest impacts of the words after, so that a work whose first word of the query
+    this is scores its impact and ``rest`` at most.
+    """
+    terms = asked.where("fields <> 'phrase'").select("q_no", "source", "fields", "cap", F.explode("tokens").alias("token")).join(index.words, _BY_WORD)
+    order = Window.partitionBy("q_no").orderBy(F.desc("top"), "token")
+    above = F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.coalesce(F.sum("top").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    return terms.withColumns({"above": above, "rest": rest})
+
+
+def first_bounds(terms: DataFrame, asked: DataFrame, index: Index) -> DataFrame:
+    """(q_no, least): a score that a query's last hit reaches at least, 0 where too few works are met.
+
+    Of a query's strongest words the first blocks of each impact are read, and the best works so found are scored exactly.
+    """
+    seeds = terms.where(F.col("above") < SEED_CAPS * F.col("cap")).withColumn("parts", F.lit(1).cast("bigint"))
+    met = _read(seeds, index.blocks, F.col("first")).groupBy("q_no", "cap", "work_no").agg(F.sum("impact").alias("score"))
+    exact = _scored(_best(met).select("q_no", "work_no"), asked, index)
+    return exact.groupBy("q_no").agg(F.when(F.count("*") >= F.max("cap"), F.min("score")).otherwise(0).alias("least"))
+
+
+def postings_met(terms: DataFrame, bounds: DataFrame, index: Index) -> DataFrame:
+    """The postings that can belong to a best work: of each word only blocks, and in these works, whose impact and ``rest`` reach the bound."""
+    bound = terms.join(bounds, "q_no", "left").withColumn("least", F.coalesce("least", F.lit(0)))
+    # what works met may have in postings that were not: less than would have made them met
+    unmet = bound.groupBy("q_no").agg(F.max("least").alias("least"), F.sum(F.least("top", F.greatest(F.col("least") - 1 - F.col("rest"), F.lit(0)))).alias("unmet"))
+    met = _read(bound.withColumn("rest", F.expr("rest - least")), index.blocks, F.col("highest") + F.col("rest") >= 0).where("impact + rest >= 0")
+    return met.join(unmet, "q_no")
+
+
+def phrase_hits(asked: DataFrame, index: Index) -> DataFrame:
+    """(q_no, work_no): works whose title holds a query's words one after another. The rarest two neighbours find them, the title confirms."""
+    phrases = asked.where("fields = 'phrase'")
+    pairs = phrases.select("q_no", "source", "fields", "cap", F.explode(F.array_distinct(_pairs("sequence"))).alias("token")).join(index.words, _BY_WORD, "left")
+    order = Window.partitionBy("q_no").orderBy("df", "token")
+    rarest = pairs.withColumns({"_n": F.row_number().over(order), "above": F.lit(0), "rest": F.lit(0)}).where("_n = 1 and df is not null").drop("_n")  # no df: a pair that no title has
+    found = _read(rarest, index.blocks, F.lit(True)).select("q_no", "work_no")
+    spaced = found.join(index.titles, "work_no").join(phrases.select("q_no", "text"), "q_no")
+    return spaced.where(F.contains(F.concat(F.lit(" "), "title", F.lit(" ")), F.concat(F.lit(" "), "text", F.lit(" ")))).select("q_no", "work_no")
+
+
+def search_topk(queries: DataFrame, works: DataFrame, caps: dict[int, int] | None = None, index: Index | None = None) -> DataFrame:
+    """(lookup_key, source, place, stage, work_key, score, hit_no): the best works of each search, ties by work_key.
+
+    A work scores the impacts of the query's words in it. Results are those of a search by all words; the work is less. A first look at a query's
+    strongest words gives a score that its last hit reaches at least. A work is then met by the first of its words in the query's order only if that word's impact
+    with all that may follow reaches this score, so common words' lists are left alone, block by block. What is met is scored exactly from the works' own words.
+    A phrase's works are found by its rarest neighbours. All is equi-joins and sums; nothing is collected. ``index``: of these works, if there is one already.
     """
     caps = caps or CAPS
-    own = ("lookup_key", "source", "place", "stage", "fields")
-    listed = stored(postings(works), "postings") if listed is None else listed
-    sizes = listed.where("fields = 'title'").groupBy("source").agg(F.count_distinct("work_key").alias("n_works"))
-    counts = listed.groupBy("source", "fields", "token").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "source")  # a row for each source
-    rarity = counts.select("source", "fields", "token", "df", F.floor(1000 * F.log(1 + F.col("n_works") / F.col("df"))).cast("bigint").alias("rarity"))
-    words = queries.select(*own, F.explode(F.array_distinct(_words(F.col("text")))).alias("token")).join(rarity, ["source", "fields", "token"])
-    order = Window.partitionBy(*own).orderBy("df", "token")
-    finds = (F.col("df") <= most_common) | (F.col("_place") <= RAREST)
-    placed = stored(words.withColumn("_place", F.row_number().over(order)).select(*own, "token", "rarity", (F.col("df") > most_common).alias("common"), finds.alias("finds")), "words")
+    index = index or search_index(works)
     cap = F.coalesce(*(F.when(F.col("stage") == s, F.lit(k)) for s, k in caps.items()))
-    scored = _found(placed.where("finds"), listed, own)
-    if not placed.where("not finds").isEmpty():
-        scored = _with_common_words(placed, listed, stored(scored, "found"), own, cap)
-    best = Window.partitionBy(*own).orderBy(F.desc("score"), "work_key")
-    return scored.withColumn("hit_no", F.row_number().over(best)).where(F.col("hit_no") <= cap).drop("fields")
-
-
-def _found(words: DataFrame, listed: DataFrame, own: tuple[str, ...]) -> DataFrame:
-    """The works of each query that hold any of its words, with the sum of these words' rarities; lists of common words are split by a salt."""
-    on = ["source", "fields", "token"]
-    met = words.where("not common").join(listed, on).select(*own, "work_key", "rarity")
-    common = words.where("common")
-    salted = common.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lists = listed.join(common.select(*on).distinct(), on, "left_semi").withColumn("_salt", F.pmod(F.xxhash64("work_key"), F.lit(SALTS)).cast("int"))
-    met = met.unionByName(salted.join(lists, [*on, "_salt"]).select(*own, "work_key", "rarity"))
-    return met.groupBy(*own, "work_key").agg(F.sum("rarity").alias("score"))
-
-
-def _with_common_words(words: DataFrame, listed: DataFrame, found: DataFrame, own: tuple[str, ...], cap: Column) -> DataFrame:
-    """``found`` with the rarities of the words that did not find, and the works which only these find where they can be among the best."""
-    rest = words.where("not finds")
-    best = Window.partitionBy(*own).orderBy(F.desc("score"), "work_key")
-    floor = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == cap).select(*own, F.col("score").alias("_floor"))
-    bounds = rest.groupBy(*own).agg(F.sum("rarity").alias("_most")).join(floor, list(own), "left")
-    bounds = stored(bounds.withColumn("_open", F.coalesce(F.col("_floor") <= F.col("_most"), F.lit(True))), "bounds")
-    wanted = _found(rest.join(bounds.where("_open").select(*own), list(own), "left_semi"), listed, own)
-    near = found.join(bounds.where("not _open"), list(own)).where("score + _most >= _floor").select(*own, "work_key")
-    asked = near.join(rest.select(*own, "token", "rarity"), list(own))
-    added = asked.join(listed, ["source", "fields", "token", "work_key"]).select(*own, "work_key", F.col("rarity").alias("score"))
-    every = found.unionByName(wanted).unionByName(added)
-    return every.groupBy(*own, "work_key").agg(F.sum("score").alias("score"))
+    sequence = _words(F.col("text"))
+    asked = queries.select("*", cap.alias("cap"), F.array_distinct(sequence).alias("tokens"), sequence.alias("sequence")).withColumn("q_no", F.monotonically_increasing_id())
+    asked = stored(asked, "asked")
+    terms = stored(query_terms(asked, index), "terms")
+    bounds = stored(first_bounds(terms, asked, index), "bounds")
+    met = postings_met(terms, bounds, index).groupBy("q_no", "work_no").agg(F.sum("impact").alias("_sum"), F.max("least").alias("_least"), F.max("unmet").alias("_unmet"))
+    pairs = met.where("_sum + _unmet >= _least").select("q_no", "work_no").unionByName(phrase_hits(asked, index))
+    hits = _best(_scored(pairs, asked, index)).join(index.numbers, "work_no")
+    return hits.join(asked.select("q_no", "lookup_key", "source", "place", "stage"), "q_no").select("lookup_key", "source", "place", "stage", "work_key", "score", "hit_no")
 
 
 def strong_matches(pairs: DataFrame) -> DataFrame:
@@ -197,8 +283,8 @@ def _first_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("lookup_key", "work_key").agg(F.min(F.struct("stage", "arrival")).alias("f")).select("lookup_key", "work_key", "f.stage", "f.arrival")
 
 
-def _searched(groups: DataFrame, works: DataFrame, stages: tuple[int, ...], caps: dict[int, int] | None, listed: DataFrame) -> DataFrame:
-    found = search_topk(stage_queries(groups, stages), works, caps, listed=listed)
+def _searched(groups: DataFrame, works: DataFrame, stages: tuple[int, ...], caps: dict[int, int] | None, index: Index) -> DataFrame:
+    found = search_topk(stage_queries(groups, stages), works, caps, index)
     arrival = (F.col("stage") * 1_000_000 + F.col("place") * 1_000 + F.col("hit_no")).cast("bigint")
     return found.select("lookup_key", "work_key", "stage", arrival.alias("arrival"))
 
@@ -214,17 +300,17 @@ def candidate_pool(groups: DataFrame, works: DataFrame, caps: dict[int, int] | N
     by_doi = stored(doi_candidates(groups, works), "by_doi")
     open_ = stored(groups.join(by_doi.select("lookup_key").distinct(), "lookup_key", "left_anti"), "open")
 
-    listed = stored(postings(works), "postings")
+    index = search_index(works)
 
     def judged(hits: DataFrame) -> DataFrame:
         return stored(strong_matches(with_works(hits, works).join(open_.select(*own), "lookup_key")).select("lookup_key", "work_key", "stage", "arrival", "strong"), "judged")
 
-    first = judged(_first_hits(title_candidates(open_, works).unionByName(_searched(open_, works, (1,), caps, listed)) if 1 in stages else title_candidates(open_, works)))
+    first = judged(_first_hits(title_candidates(open_, works).unionByName(_searched(open_, works, (1,), caps, index)) if 1 in stages else title_candidates(open_, works)))
     later = tuple(s for s in stages if s > 1)
     if not later:
         return by_doi.unionByName(first.drop("strong"))
     left = open_.join(first.where("strong").select("lookup_key").distinct(), "lookup_key", "left_anti")
-    fresh = _searched(left, works, later, caps, listed).join(first.select("lookup_key", "work_key"), ["lookup_key", "work_key"], "left_anti")
+    fresh = _searched(left, works, later, caps, index).join(first.select("lookup_key", "work_key"), ["lookup_key", "work_key"], "left_anti")
     second = judged(_first_hits(fresh))
     stop = second.where("strong").groupBy("lookup_key").agg(F.min("stage").alias("stop"))
     kept = second.join(stop, "lookup_key", "left").where("stop is null or stage <= stop").select("lookup_key", "work_key", "stage", "arrival")

@@ -153,31 +153,76 @@ def test_readers_take_odd_records(spark):
     assert [(r["doi"], r["year"], r["venue"]) for r in got] == [(None, None, "S"), ("10.1/q", 2011, "F")]
 
 
-def test_common_words_still_find_works(spark):
-    known = spark.createDataFrame([(f"w{i}", f"the the common word{i % 3}", ["A"], ["Crossref"]) for i in range(30)], "work_key string, norm_title string, authors array<string>, sources array<string>")
-    asked = spark.createDataFrame([("q", "Crossref", 0, 1, "title", "the common word1")], "lookup_key string, source string, place int, stage int, fields string, text string")
-    for most in (1, 1000):
-        hits = candidates.search_topk(asked, known, {1: 5}, most_common=most).orderBy("hit_no").collect()
-        assert [h["hit_no"] for h in hits] == [1, 2, 3, 4, 5] and all(int(h["work_key"][1:]) % 3 == 1 for h in hits)
-
-
-def test_common_words_change_no_result(spark):
-    """Whatever counts as a common word, hits and scores are those of a plain search by all words."""
-    rng = random.Random(3)
-    pick = lambda n: list(dict.fromkeys(rng.choices([f"c{i}" for i in range(6)] + [f"r{i}" for i in range(40)], [20] * 6 + [1] * 40, k=n)))
-    titles = {f"w{i:03}": pick(8) for i in range(200)}
-    asked = {f"q{i}": pick(rng.choice([3, 6, 9])) for i in range(30)} | {"common": [f"c{i}" for i in range(6)], "odd": ["none", "c1", "r1", "c2", "c3", "c4", "c5"]}
-    known = spark.createDataFrame([(k, " ".join(t), ["A"], ["Crossref"]) for k, t in titles.items()], "work_key string, norm_title string, authors array<string>, sources array<string>")
-    queries = spark.createDataFrame([(q, "Crossref", 0, 1, "title", " ".join(t)) for q, t in asked.items()], "lookup_key string, source string, place int, stage int, fields string, text string")
-    df = Counter(t for title in titles.values() for t in title)
-    for cap in (5, 150):
-        want = []
-        for q, text in asked.items():
-            scores = {k: sum(math.floor(1000 * math.log(1 + len(titles) / df[t])) for t in set(text) & set(title)) for k, title in titles.items() if set(text) & set(title)}
-            want += [(q, k, s, n) for n, (k, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:cap], 1)]
-        for most in (0, 12, 60, 1000):
-            got = candidates.search_topk(queries, known, {1: cap}, most_common=most).select("lookup_key", "work_key", "score", "hit_no").collect()
-            assert sorted(map(tuple, got)) == sorted(want), (cap, most)
+ASKED = "lookup_key string, source string, place int, stage int, fields string, text string"
+KNOWN = "work_key string, norm_title string, authors array<string>, sources array<string>"
+
+
+def plain_impacts(known):
+    """{(source, fields, word): {work_key: impact}} by BM25 in whole numbers, from dicts of works."""
+    texts, lists = {}, {}
+    for w in known:
+        title, names = w["norm_title"].split(), " ".join(w["authors"]).replace(".", " ").lower().split()
+        more = f"{w.get('venue') or ''} {w.get('year') or ''}".lower().split()
+        for source in w["sources"]:
+            for fields, words in (("title", title), ("both", title + names), ("record", title + names + more)):
+                if words:
+                    texts.setdefault((source, fields), {})[w["work_key"]] = words
+    for kind, of in texts.items():
+        mean = max(1000 * sum(map(len, of.values())) // len(of), 1)
+        df = Counter(t for words in of.values() for t in set(words))
+        for key, words in of.items():
+            for t, tf in Counter(words).items():
+                rarity = math.floor(1000 * math.log(1 + len(of) / df[t]))
+                lists.setdefault((*kind, t), {})[key] = rarity * tf * 2200 // (1000 * tf + 300 + 900_000 * len(words) // mean)
+    return lists
+
+
+def plain_hits(lists, titles, source, fields, text, cap):
+    """[(work_key, score)]: the best works of a search that reads every list."""
+    scores = Counter()
+    for t in set(text.split()):
+        for k, impact in lists.get((source, "title" if fields == "phrase" else fields, t), {}).items():
+            scores[k] += impact
+    return sorted(((k, s) for k, s in scores.items() if fields != "phrase" or f" {text} " in f" {titles[k]} "), key=lambda x: (-x[1], x[0]))[:cap]
+
+
+def many_works(n, seed=3):
+    rng = random.Random(seed)
+    pick = lambda n: rng.choices([f"c{i}" for i in range(6)] + [f"r{i}" for i in range(40)], [20] * 6 + [1] * 40, k=n)
+    titles = {f"w{i:05}": " ".join(pick(rng.choice([4, 8, 12]))) for i in range(n)}
+    asked = {f"q{i}": " ".join(pick(rng.choice([3, 6, 9]))) for i in range(30)} | {"common": "c0 c1 c2 c3 c4 c5", "odd": "none c1 r1 c2 c3 c4 c5", "nothing": "none at all"}
+    return titles, asked
+
+
+@pytest.mark.parametrize("block", [1, 3, 512])
+@pytest.mark.parametrize("cap", [1, 5, 150])
+def test_pruned_search_is_a_search_of_all_lists(spark, monkeypatch, block, cap):
+    """Whatever the blocks and caps, hits and scores are those of a plain search by all words, phrases included."""
+    monkeypatch.setattr(candidates, "BLOCK_POSTINGS", block)
+    monkeypatch.setattr(candidates, "PART_BLOCKS", 4)
+    titles, asked = many_works(200)
+    known = [{"work_key": k, "norm_title": t, "authors": ["A. Ito"], "sources": ["Crossref", "DBLP"]} for k, t in titles.items()]
+    searches = [(f"{q}|{fields}", "Crossref", 0, 1, fields, t) for q, t in asked.items() for fields in ("title", "both", "record")]
+    searches += [(f"{q}|phrase", "Crossref", 0, 1, "phrase", " ".join(t.split()[1:3])) for q, t in titles.items() if q < "w00040"] + [("none|phrase", "Crossref", 0, 1, "phrase", "c0 none c1"), ("empty|phrase", "Crossref", 0, 1, "phrase", "")]
+    lists = plain_impacts(known)
+    want = [(q, k, s, n) for q, source, _, _, fields, text in searches for n, (k, s) in enumerate(plain_hits(lists, titles, source, fields, text, cap), 1)]
+    works_table = spark.createDataFrame([tuple(w.values()) for w in known], KNOWN)
+    got = candidates.search_topk(spark.createDataFrame(searches, ASKED), works_table, {1: cap}).select("lookup_key", "work_key", "score", "hit_no").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_common_words_lists_are_left_alone(spark):
+    """With ten times the works, a search with rare words meets about as many postings of common words as before, not ten times as many."""
+    met = []
+    for n in (300, 3000):
+        titles, _ = many_works(n)
+        titles |= {f"x{i:03}": f"rare{i % 3} word{i % 3} c0 c1" for i in range(60)}
+        index = candidates.search_index(spark.createDataFrame([(k, t, ["A"], ["Crossref"]) for k, t in titles.items()], KNOWN))
+        asked = spark.createDataFrame([(i, "Crossref", "title", f"rare{i} word{i} c0 c1 c2 c3".split(), 10) for i in range(3)], "q_no long, source string, fields string, tokens array<string>, cap int")
+        terms = candidates.query_terms(asked, index)
+        rows = candidates.postings_met(terms, candidates.first_bounds(terms, asked, index), index).count()
+        met.append((rows, terms.agg(F.sum("df")).first()[0]))
+    assert met[1][0] <= 1.5 * met[0][0] and met[1][1] > 5 * met[0][1] and met[1][0] < 0.1 * met[1][1]
 
 
 def test_failed_batches_get_the_rules_verdict(spark):
@@ -251,14 +296,8 @@ def in_order(s):
 
 def staged_plainly(groups, known, searches, caps):
     """{(lookup_key, work_key): (stage, arrival)}: stage after stage for each key, until one has a strong match."""
-    lists = {}
-    for w in known.values():
-        title = set(w["norm_title"].split())
-        for source in w["sources"]:
-            for fields, tokens in (("title", title), ("both", title | set(" ".join(w["authors"]).replace(".", " ").lower().split()))):
-                for t in tokens:
-                    lists.setdefault((source, fields, t), set()).add(w["work_key"])
-    n = Counter(s for w in known.values() for s in w["sources"])
+    lists = plain_impacts([w.asDict() for w in known.values()])
+    titles = {k: w["norm_title"] for k, w in known.items()}
     pool = {}
     for g in groups:
         key = g["lookup_key"]
@@ -267,12 +306,7 @@ def staged_plainly(groups, known, searches, caps):
         for stage in () if by_doi else range(1, 7):
             hits = {k: (1, 0) for k, w in known.items() if stage == 1 and g["norm_title"] and w["norm_title"] == g["norm_title"]}
             for q in searches.get((key, stage), []):
-                scores = Counter()
-                for t in set(q["text"].split()):
-                    found = lists.get((q["source"], q["fields"], t), set())
-                    for k in found:
-                        scores[k] += math.floor(1000 * math.log(1 + n[q["source"]] / len(found)))
-                for at, (k, _) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[: caps[stage]], 1):
+                for at, (k, _) in enumerate(plain_hits(lists, titles, q["source"], q["fields"], q["text"], caps[stage]), 1):
                     hits[k] = min(hits.get(k, (9, 0)), (stage, stage * 1_000_000 + q["place"] * 1_000 + at))
             fresh = {k: v for k, v in hits.items() if k not in seen}
             seen |= fresh
