@@ -105,7 +105,7 @@ _FOUND = f"""known AS (
     SELECT lookup_key, q.source, place, stage, q.fields, text, work_key, CAST(sum(impact) AS BIGINT) AS score FROM words q JOIN impacts i ON q.source = i.source AND q.by_fields = i.fields AND q.token = i.token GROUP BY ALL
 ), allowed AS (
     SELECT s.* FROM scored s JOIN works w USING (work_key) WHERE s.fields <> 'phrase' OR contains(' ' || w.norm_title || ' ', ' ' || s.text || ' ')
-), found AS (
+), found AS MATERIALIZED (
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lookup_key, source, place, stage ORDER BY score DESC, work_key) AS hit_no FROM allowed) WHERE hit_no <= CASE WHEN stage <= 3 THEN 50 WHEN stage <= 5 THEN 30 ELSE 20 END
 )"""
 
@@ -237,6 +237,36 @@ _MEASURED = f"""{_recursive(_WITH)}, m AS (
     JOIN author_similarity USING (authors, w_authors)
 )"""
 
+#: Pools: every citation's works up to the stage of its first strong match; pool (lookup_key, work_key, stage).
+_POOL = f"""{_recursive(_GROUPS)}, {_SEARCHES}, {_FOUND}, by_doi AS (
+    SELECT lookup_key, work_key FROM groups g JOIN works w ON g.norm_doi = w.norm_doi AND g.norm_doi <> '' WHERE list_has_any(w.sources, ['Crossref', 'OpenAlex', 'Semantic Scholar'])
+), hits AS MATERIALIZED (
+    SELECT lookup_key, work_key, min(stage) AS stage
+    FROM (SELECT lookup_key, work_key, 1 AS stage FROM groups g JOIN works w ON g.norm_title = w.norm_title AND g.norm_title <> '' UNION ALL SELECT lookup_key, work_key, stage FROM found)
+    WHERE lookup_key NOT IN (SELECT lookup_key FROM by_doi) GROUP BY ALL
+), pairs_met AS MATERIALIZED (
+    SELECT h.*, g.norm_title AS a, w.norm_title AS b, g.authors, w.authors AS w_authors, g.norm_doi <> '' AND g.norm_doi = w.norm_doi AS same FROM hits h JOIN groups g USING (lookup_key) JOIN works w USING (work_key)
+), titles_met AS (
+    SELECT a, b, {_sets('a', 'b')}, array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb FROM (SELECT DISTINCT a, b FROM pairs_met)
+), titles_wide AS (
+    SELECT *, {_set_ratio('least(length(ox), length(oy))')} AS set_most, CAST(200 AS DOUBLE) * least(length(a), length(b)) / (length(a) + length(b)) AS size_most FROM titles_met
+), titles_near AS MATERIALIZED (
+    SELECT * FROM titles_wide WHERE set_most >= 95 OR (size_most >= 95 AND 200 * list_sum(list_transform(list_distinct(string_split(a, '')), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, ''))))) >= 95 * (length(a) + length(b)))
+), near_pairs AS MATERIALIZED (SELECT * FROM pairs_met JOIN titles_near USING (a, b)
+), {_authors('SELECT authors, w_authors FROM near_pairs')}, by_authors AS MATERIALIZED (
+    SELECT * FROM near_pairs JOIN author_similarity USING (authors, w_authors) WHERE score >= 90
+), set_open AS MATERIALIZED (SELECT DISTINCT a, b, sa, sb, shared, ox, oy, nx, ny FROM by_authors WHERE a <> b AND {_set_ratio('0')} < 95
+), {_lcs('lcs', 'SELECT a, b FROM set_open UNION ALL SELECT sa, sb FROM set_open UNION ALL SELECT ox, oy FROM set_open')}, titles_same AS MATERIALIZED (
+    SELECT a, b FROM by_authors WHERE a = b OR {_set_ratio('0')} >= 95
+    UNION SELECT o.a, o.b FROM set_open o LEFT JOIN lcs l1 ON l1.a = o.a AND l1.b = o.b LEFT JOIN lcs l2 ON l2.a = sa AND l2.b = sb LEFT JOIN lcs l4 ON l4.a = ox AND l4.b = oy
+    WHERE greatest({_ratio('o.a', 'o.b', 'l1.n')}, {_ratio('sa', 'sb', 'l2.n')}, {_set_ratio('l4.n')}) >= 95
+), strong AS (
+    SELECT lookup_key, stage FROM by_authors JOIN titles_same USING (a, b) UNION ALL SELECT lookup_key, stage FROM pairs_met WHERE same
+), stops AS (SELECT lookup_key, min(stage) AS stop FROM strong GROUP BY lookup_key
+), pool AS (
+    SELECT lookup_key, work_key, 0 AS stage FROM by_doi UNION ALL SELECT lookup_key, work_key, stage FROM hits LEFT JOIN stops USING (lookup_key) WHERE stop IS NULL OR stage <= stop
+)"""
+
 _VENUES = f"""{_recursive(_GROUPS)}, f AS (
     SELECT k.norm_doi AS a, w.norm_doi AS b, k.year AS y, w.year AS z, coalesce(k.venue, '') AS v, coalesce(w.venue, '') AS u, k.authors, w.authors AS w_authors FROM keyed k JOIN works w ON k.norm_title = w.norm_title AND w.norm_title <> ''
 ), venues AS (SELECT v, u, {_sets(n2('v'), n2('u'))} FROM (SELECT DISTINCT v, u FROM f)
@@ -268,6 +298,8 @@ ORACLES: dict[str, str] = {
     "stage_queries": f"{_GROUPS}, {_SEARCHES} SELECT lookup_key, source, place, stage, text FROM searches",
     "search_topk": f"""{_GROUPS}, {_SEARCHES}, {_FOUND}
         SELECT lookup_key, source, place, stage, work_key, score, hit_no FROM found""",
+    "candidate_counts": f"{_POOL} SELECT doc_id, ref_no, count(*) AS n_candidates FROM keyed JOIN pool USING (lookup_key) GROUP BY doc_id, ref_no",
+    "staged_candidates": f"{_POOL} SELECT stage, count(*) AS n FROM (SELECT doc_id, ref_no, min(stage) AS stage FROM keyed JOIN pool USING (lookup_key) GROUP BY doc_id, ref_no) GROUP BY stage",
     "doi_year_states": f"""{_GROUPS} SELECT k.doc_id, k.ref_no, w.work_key,
         CASE WHEN k.norm_doi = '' AND w.norm_doi = '' THEN 'UNKNOWN' WHEN k.norm_doi = '' THEN 'MISSING_SUBMITTED' WHEN w.norm_doi = '' THEN 'MISSING_DATABASE' WHEN replace(k.norm_doi, '-', '') = replace(w.norm_doi, '-', '') THEN 'MATCH' ELSE 'MISMATCH' END AS doi_state,
         CASE WHEN w.year IS NULL THEN 'MISSING_DATABASE' WHEN abs(k.year - w.year) = 0 THEN 'MATCH' WHEN abs(k.year - w.year) = 1 THEN 'PARTIAL' ELSE 'MISMATCH' END AS year_state, length(k.norm_title) >= 8 AS short
@@ -282,7 +314,7 @@ ORACLES: dict[str, str] = {
         FROM f JOIN author_similarity USING (authors, w_authors) JOIN venue_scores USING (v, u) GROUP BY ALL""",
     "flagship": f"""{_GROUPS}, by_doi AS (
             SELECT lookup_key, work_key FROM groups g JOIN works w ON g.norm_doi = w.norm_doi AND g.norm_doi <> '' WHERE list_has_any(w.sources, ['Crossref', 'OpenAlex', 'Semantic Scholar'])
-        ), hits AS (
+        ), hits AS MATERIALIZED (
             SELECT * FROM by_doi UNION ALL SELECT lookup_key, work_key FROM groups g JOIN works w ON g.norm_title = w.norm_title AND g.norm_title <> '' WHERE lookup_key NOT IN (SELECT lookup_key FROM by_doi)
         ), pairs AS (SELECT k.norm_doi AS a, w.norm_doi AS b, k.year AS y, w.year AS z FROM keyed k JOIN hits USING (lookup_key) JOIN works w USING (work_key))
         SELECT CASE WHEN a = '' AND b = '' THEN 'UNKNOWN' WHEN a = '' THEN 'MISSING_SUBMITTED' WHEN b = '' THEN 'MISSING_DATABASE' WHEN replace(a, '-', '') = replace(b, '-', '') THEN 'MATCH' ELSE 'MISMATCH' END AS doi_state,
@@ -294,7 +326,7 @@ ORACLES: dict[str, str] = {
     "route": f"{_DECIDED} SELECT doc_id, ref_no, r_status AS status, {_EXPLAINED} AS explanation, CASE WHEN r_status <> 'PENDING_AI' THEN 'deterministic rules' END AS source, CASE WHEN found THEN 'DBLP|PubMed' ELSE '' END AS agreeing FROM routed",
     "review_queue": f"""{_DECIDED}, open AS (
             SELECT r.doc_id, r.ref_no, c.title, c.authors, c.year, c.venue, c.doi, CAST({_bucket(64)} AS INTEGER) AS bucket FROM routed r JOIN citations c ON c.doc_id = r.doc_id AND c.ref_no = r.ref_no WHERE r_status = 'PENDING_AI'
-        ), hits AS (
+        ), hits AS MATERIALIZED (
             SELECT doc_id, ref_no, string_agg(rank || '/T' || k || '/A. Abor/2000/10.1/z/V/DBLP/' || CAST(title_score AS INTEGER) || '/50/50/' || CAST(round(weighted_score * 10) AS INTEGER) || '/PubMed+DBLP+DBLP', ';' ORDER BY rank) AS candidates FROM judged WHERE rank <= 5 GROUP BY ALL
         )
         SELECT o.doc_id, o.ref_no, bucket, CAST((row_number() OVER (PARTITION BY bucket ORDER BY o.doc_id, o.ref_no) - 1) // 6 AS BIGINT) AS batch, o.ref_no AS reference_id, 'citation' AS original_reference, title, {_join('authors')} AS authors, year, venue, doi, candidates

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citelink.functions.normalize import detect_domain, extra_sources, normalize_doi, normalize_text
-from citelink.functions.similarity import author_similarity, title_identity
+from citelink.functions.similarity import author_similarity, title_identity, title_identity_bound
 from citelink.operators.ranking import REF
 from citelink.sources.scratch import dropped, stored
 
@@ -126,21 +126,21 @@ def stage_queries(groups: DataFrame, stages: tuple[int, ...] = (1, 2, 3, 4, 5, 6
 class Index:
     """A search index over works, as tables in the shared folder.
 
-    ``numbers`` (work_no, work_key): numbers ascend with keys. ``words`` (source, fields, token, df, top, parts): a word's works, its highest impact, and
-    the parts of its list. ``blocks`` (source, fields, token, part, first, highest, posts): the lists, in blocks of works (work_no, impact) of about equal impact.
-    ``forward`` (source, fields, work_no, posts): the same by work. ``titles`` (work_no, title).
+    ``docs`` (doc_no, source, fields, work_key, title): a work in a source's lists of some kind; numbers ascend with keys. ``words`` (token_no, source, fields,
+    token, df, top, parts): a word's works, its highest impact, and the parts of its list. ``blocks`` (token_no, part, first, highest, posts):
+    the lists, in blocks of postings (doc_no, impact) of about equal impact. ``forward`` (doc_no, posts): the same by work.
     """
 
-    numbers: DataFrame
+    docs: DataFrame
     words: DataFrame
     blocks: DataFrame
     forward: DataFrame
-    titles: DataFrame
 
 
-def _pairs(words: Column) -> Column:
-    """Neighbouring words as tokens: the places of a phrase's words."""
-    return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.try_element_at(words, i + 2)))
+def _pairs(words: str) -> Column:
+    """Neighbouring words of a column of words as tokens: the places of a phrase's words."""
+    last = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), last), F.slice(words, F.lit(2), last), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def search_index(works: DataFrame) -> Index:
@@ -150,52 +150,52 @@ def search_index(works: DataFrame) -> Index:
     are exact. A list of any length is grouped by impact and by a salt, so that no task gets a common word's whole list.
     """
     other = [normalize_text(F.col(c).cast("string")) if c in works.columns else F.lit("") for c in ("venue", "year")]
-    keyed = works.select("work_key", "sources", F.coalesce("norm_title", F.lit("")).alias("title"), _words(normalize_text(F.array_join(F.coalesce("authors", F.array().cast("array<string>")), " "))).alias("names"), _words(F.concat_ws(" ", *other)).alias("more"))
-    numbered = stored(keyed.repartitionByRange("work_key").sortWithinPartitions("work_key").withColumn("work_no", F.monotonically_increasing_id()), "numbered")
-    title = _words(F.col("title"))
-    texts = {"title": title, "phrase": _pairs(title), "both": F.concat(title, "names"), "record": F.concat(title, "names", "more")}
-    asked = F.array(*(F.struct(F.lit(f).alias("fields"), texts[f].alias("tokens"), F.array(*map(F.lit, sources or ())).cast("array<string>").alias("of")) for f, sources in FIELDS.items()))
-    asked = asked.cast("array<struct<fields:string,tokens:array<string>,of:array<string>>>")
-    kinds = numbered.select("work_no", F.explode("sources").alias("source"), asked.alias("asked"))
-    kinds = kinds.select("work_no", "source", F.explode("asked").alias("k")).where("size(k.of) = 0 or array_contains(k.of, source)").select("work_no", "source", "k.fields", "k.tokens", F.size("k.tokens").alias("n_tokens")).where("n_tokens > 0")
-    sizes = kinds.groupBy("source", "fields").agg(F.count("*").alias("n_works"), F.expr("greatest(1000 * sum(n_tokens) div count(*), 1)").alias("mean"))
-    flat = kinds.select("source", "fields", "work_no", "n_tokens", F.explode("tokens").alias("token")).groupBy("source", "fields", "work_no", "n_tokens", "token").agg(F.count("*").alias("tf"))
+    names = _words(normalize_text(F.array_join(F.coalesce("authors", F.array().cast("array<string>")), " ")))
+    keyed = works.select("work_key", "sources", F.coalesce("norm_title", F.lit("")).alias("title"), names.alias("names"), _words(F.concat_ws(" ", *other)).alias("more"))
+    keyed = keyed.repartitionByRange("work_key").sortWithinPartitions("work_key").withColumn("words", _words(F.col("title")))
+    texts = {"title": F.col("words"), "phrase": _pairs("words"), "both": F.concat("words", "names"), "record": F.concat("words", "names", "more")}
+    kind = "struct<fields:string,tokens:array<string>,of:array<string>>"
+    asked = F.array(*(F.struct(F.lit(f), texts[f], F.array(*map(F.lit, sources or ())).cast("array<string>")).cast(kind) for f, sources in FIELDS.items()))
+    kinds = keyed.select("work_key", "title", F.explode("sources").alias("source"), asked.alias("asked")).select("work_key", "title", "source", F.explode("asked").alias("k"))
+    kinds = kinds.where("size(k.tokens) > 0 and (size(k.of) = 0 or array_contains(k.of, source))").select("work_key", "title", "source", "k.fields", "k.tokens")
+    docs = stored(kinds.withColumn("doc_no", F.monotonically_increasing_id()), "docs")
+    sizes = docs.groupBy("source", "fields").agg(F.count("*").alias("n_works"), F.expr("greatest(1000 * sum(size(tokens)) div count(*), 1)").alias("mean"))
+    flat = docs.select("doc_no", "source", "fields", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("token")).groupBy("doc_no", "source", "fields", "n_tokens", "token").agg(F.count("*").alias("tf"))
     flat = stored(flat, "tokens")
     counts = flat.groupBy("source", "fields", "token").agg(F.count("*").alias("df")).join(F.broadcast(sizes), ["source", "fields"])  # a row for each source and kind of field
-    rare = counts.select("source", "fields", "token", "df", "mean", F.floor(1000 * F.log(1 + F.col("n_works") / F.col("df"))).cast("bigint").alias("rarity"))
-    impact = F.expr("(rarity * tf * 2200) div (1000 * tf + 300 + 900000 * n_tokens div mean)")
-    listed = stored(flat.join(rare, ["source", "fields", "token"]).select("source", "fields", "token", "df", "work_no", impact.alias("impact")), "postings")
+    rarity = F.floor(1000 * F.log(1 + F.col("n_works") / F.col("df"))).cast("bigint")
+    rare = stored(counts.withColumns({"rarity": rarity, "token_no": F.monotonically_increasing_id()}), "rarities")
+    impact = F.expr("(rarity * tf * 2200) div (1000 * tf + 300 + 900000L * n_tokens div mean)")
+    listed = flat.join(rare, ["source", "fields", "token"]).select("doc_no", "token_no", "df", impact.alias("impact"))
+    forward = stored(listed.groupBy("doc_no").agg(F.collect_list(F.struct("token_no", "impact", "df")).alias("posts")), "forward")
     salts = F.expr(f"df div {BLOCK_POSTINGS} + 1")
     parts = F.expr(f"df div {BLOCK_POSTINGS * PART_BLOCKS} + 1")
-    placed = listed.withColumn("salt", F.pmod(F.xxhash64("work_no"), salts)).withColumn("part", F.pmod(F.col("salt"), parts)).withColumn("band", F.floor(8 * F.log2(F.col("impact") + 1)))
-    blocks = placed.groupBy("source", "fields", "token", "part", "salt", "band").agg(F.max("impact").alias("highest"), F.collect_list(F.struct("work_no", "impact")).alias("posts"))
-    blocks = stored(blocks.select("source", "fields", "token", "part", (F.col("salt") == 0).alias("first"), "highest", "posts"), "blocks")
-    words = stored(listed.groupBy("source", "fields", "token").agg(F.max("df").alias("df"), F.max("impact").alias("top")).withColumn("parts", parts), "words")
-    forward = stored(listed.where("fields <> 'phrase'").groupBy("source", "fields", "work_no").agg(F.collect_list(F.struct("token", "impact")).alias("posts")), "forward")
-    dropped(flat, listed)
-    return Index(numbered.select("work_no", "work_key"), words, blocks, forward, numbered.select("work_no", "title"))
-
-
-_BY_WORD = ["source", "fields", "token"]
+    placed = forward.select("doc_no", F.explode("posts").alias("p")).select("doc_no", "p.*").withColumn("salt", F.pmod(F.xxhash64("doc_no"), salts))
+    placed = placed.withColumn("part", F.pmod(F.col("salt"), parts)).withColumn("band", F.floor(8 * F.log2(F.col("impact") + 1)))
+    blocks = placed.groupBy("token_no", "part", "salt", "band").agg(F.max("impact").alias("highest"), F.collect_list(F.struct("doc_no", "impact")).alias("posts"))
+    blocks = stored(blocks.select("token_no", "part", (F.col("salt") == 0).alias("first"), "highest", "posts"), "blocks")
+    tops = blocks.groupBy("token_no").agg(F.max("highest").alias("top"))
+    words = stored(rare.join(tops, "token_no").select("token_no", "source", "fields", "token", "df", "top", parts.alias("parts")), "words")
+    dropped(flat, rare)
+    return Index(docs.drop("tokens"), words, blocks, forward.select("doc_no", "posts"))
 
 
 def _read(terms: DataFrame, blocks: DataFrame, wanted: Column) -> DataFrame:
-    """``terms`` with the postings (work_no, impact) of the blocks that ``wanted`` asks for, part by part."""
+    """``terms`` with the postings (doc_no, impact) of the blocks that ``wanted`` asks for, part by part."""
     dealt = terms.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = dealt.join(blocks, [*_BY_WORD, "part"]).where(wanted)
-    return met.select("q_no", "cap", "fields", "source", "above", "rest", F.explode("posts").alias("p")).select("*", "p.work_no", "p.impact").drop("p")
+    met = dealt.join(blocks, ["token_no", "part"]).where(wanted)
+    return met.select(*terms.columns, F.explode("posts").alias("p")).select("*", "p.*").drop("p")
 
 
-def _scored(pairs: DataFrame, asked: DataFrame, index: Index) -> DataFrame:
-    """``pairs`` (q_no, work_no) with their exact score, from the works' own words."""
-    rows = pairs.join(asked.select("q_no", "source", F.when(F.col("fields") == "phrase", "title").otherwise(F.col("fields")).alias("fields"), "tokens", "cap"), "q_no")
-    rows = rows.join(index.forward, ["source", "fields", "work_no"])
-    score = F.aggregate("posts", F.lit(0).cast("bigint"), lambda s, p: s + F.when(F.array_contains("tokens", p["token"]), p["impact"]).otherwise(0))
-    return rows.select("q_no", "work_no", "cap", score.alias("score"))
+def _scored(pairs: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
+    """``pairs`` (q_no, doc_no) with their exact score, from the works' own words."""
+    asked = terms.groupBy("q_no", "cap").agg(F.collect_list("token_no").alias("tokens"))
+    score = F.aggregate("posts", F.lit(0).cast("bigint"), lambda s, p: s + F.when(F.array_contains("tokens", p["token_no"]), p["impact"]).otherwise(0))
+    return pairs.join(asked, "q_no").join(index.forward, "doc_no").select("q_no", "doc_no", "cap", score.alias("score"))
 
 
 def _best(scored: DataFrame) -> DataFrame:
-    order = Window.partitionBy("q_no").orderBy(F.desc("score"), "work_no")
+    order = Window.partitionBy("q_no").orderBy(F.desc("score"), "doc_no")
     return scored.withColumn("hit_no", F.row_number().over(order)).where(F.col("hit_no") <= F.col("cap"))
 
 
@@ -205,42 +205,42 @@ def query_terms(asked: DataFrame, index: Index) -> DataFrame:
     ``above``: the lists' lengths of the words before; ``rest``: the highest impacts of the words after, so that a work whose first word of the query
     this is scores its impact and ``rest`` at most.
     """
-    terms = asked.where("fields <> 'phrase'").select("q_no", "source", "fields", "cap", F.explode("tokens").alias("token")).join(index.words, _BY_WORD)
+    terms = asked.where("fields <> 'phrase'").select("q_no", "source", "fields", "cap", F.explode("tokens").alias("token")).join(index.words, ["source", "fields", "token"])
     order = Window.partitionBy("q_no").orderBy(F.desc("top"), "token")
     above = F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rest = F.coalesce(F.sum("top").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    return terms.withColumns({"above": above, "rest": rest})
+    return terms.select("q_no", "cap", "token_no", "df", "top", "parts", above.alias("above"), rest.alias("rest"))
 
 
-def first_bounds(terms: DataFrame, asked: DataFrame, index: Index) -> DataFrame:
+def first_bounds(terms: DataFrame, index: Index) -> DataFrame:
     """(q_no, least): a score that a query's last hit reaches at least, 0 where too few works are met.
 
     Of a query's strongest words the first blocks of each impact are read, and the best works so found are scored exactly.
     """
     seeds = terms.where(F.col("above") < SEED_CAPS * F.col("cap")).withColumn("parts", F.lit(1).cast("bigint"))
-    met = _read(seeds, index.blocks, F.col("first")).groupBy("q_no", "cap", "work_no").agg(F.sum("impact").alias("score"))
-    exact = _scored(_best(met).select("q_no", "work_no"), asked, index)
+    met = _read(seeds, index.blocks, F.col("first")).groupBy("q_no", "cap", "doc_no").agg(F.sum("impact").alias("score"))
+    exact = _scored(_best(met).select("q_no", "doc_no"), terms, index)
     return exact.groupBy("q_no").agg(F.when(F.count("*") >= F.max("cap"), F.min("score")).otherwise(0).alias("least"))
 
 
 def postings_met(terms: DataFrame, bounds: DataFrame, index: Index) -> DataFrame:
-    """The postings that can belong to a best work: of each word only blocks, and in these works, whose impact and ``rest`` reach the bound."""
+    """(q_no, doc_no) of the postings that can belong to a best work, some of each such work.
+
+    Of each word only those blocks are read, and of these only those postings met, whose impact with ``rest`` reaches the bound.
+    """
     bound = terms.join(bounds, "q_no", "left").withColumn("least", F.coalesce("least", F.lit(0)))
-    # what works met may have in postings that were not: less than would have made them met
-    unmet = bound.groupBy("q_no").agg(F.max("least").alias("least"), F.sum(F.least("top", F.greatest(F.col("least") - 1 - F.col("rest"), F.lit(0)))).alias("unmet"))
-    met = _read(bound.withColumn("rest", F.expr("rest - least")), index.blocks, F.col("highest") + F.col("rest") >= 0).where("impact + rest >= 0")
-    return met.join(unmet, "q_no")
+    return _read(bound, index.blocks, F.col("highest") + F.col("rest") >= F.col("least")).where("impact + rest >= least").select("q_no", "doc_no")
 
 
 def phrase_hits(asked: DataFrame, index: Index) -> DataFrame:
-    """(q_no, work_no): works whose title holds a query's words one after another. The rarest two neighbours find them, the title confirms."""
+    """(q_no, work_key): works whose title holds a query's words one after another. The rarest two neighbours find them, the title confirms."""
     phrases = asked.where("fields = 'phrase'")
-    pairs = phrases.select("q_no", "source", "fields", "cap", F.explode(F.array_distinct(_pairs("sequence"))).alias("token")).join(index.words, _BY_WORD, "left")
+    pairs = phrases.select("q_no", "source", "fields", F.explode(F.array_distinct(_pairs("sequence"))).alias("token")).join(index.words, ["source", "fields", "token"], "left")
     order = Window.partitionBy("q_no").orderBy("df", "token")
-    rarest = pairs.withColumns({"_n": F.row_number().over(order), "above": F.lit(0), "rest": F.lit(0)}).where("_n = 1 and df is not null").drop("_n")  # no df: a pair that no title has
-    found = _read(rarest, index.blocks, F.lit(True)).select("q_no", "work_no")
-    spaced = found.join(index.titles, "work_no").join(phrases.select("q_no", "text"), "q_no")
-    return spaced.where(F.contains(F.concat(F.lit(" "), "title", F.lit(" ")), F.concat(F.lit(" "), "text", F.lit(" ")))).select("q_no", "work_no")
+    rarest = pairs.withColumn("_n", F.row_number().over(order)).where("_n = 1 and df is not null")  # no df: a pair that no title has
+    found = _read(rarest.select("q_no", "token_no", "parts"), index.blocks, F.lit(True)).select("q_no", "doc_no")
+    spaced = found.join(index.docs.select("doc_no", "work_key", "title"), "doc_no").join(phrases.select("q_no", "text"), "q_no")
+    return spaced.where(F.contains(F.concat(F.lit(" "), "title", F.lit(" ")), F.concat(F.lit(" "), "text", F.lit(" ")))).select("q_no", "work_key")
 
 
 def search_topk(queries: DataFrame, works: DataFrame, caps: dict[int, int] | None = None, index: Index | None = None) -> DataFrame:
@@ -248,8 +248,8 @@ def search_topk(queries: DataFrame, works: DataFrame, caps: dict[int, int] | Non
 
     A work scores the impacts of the query's words in it. Results are those of a search by all words; the work is less. A first look at a query's
     strongest words gives a score that its last hit reaches at least. A work is then met by the first of its words in the query's order only if that word's impact
-    with all that may follow reaches this score, so common words' lists are left alone, block by block. What is met is scored exactly from the works' own words.
-    A phrase's works are found by its rarest neighbours. All is equi-joins and sums; nothing is collected. ``index``: of these works, if there is one already.
+    with all that may follow reaches this score, so common words' lists are left alone, block by block. What is met is scored exactly
+    from the works' own words. A phrase's works are found by its rarest neighbours and scored by its words. All is equi-joins and sums; nothing is collected. ``index``: of these works, if there is one already.
     """
     caps = caps or CAPS
     index = index or search_index(works)
@@ -258,18 +258,26 @@ def search_topk(queries: DataFrame, works: DataFrame, caps: dict[int, int] | Non
     asked = queries.select("*", cap.alias("cap"), F.array_distinct(sequence).alias("tokens"), sequence.alias("sequence")).withColumn("q_no", F.monotonically_increasing_id())
     asked = stored(asked, "asked")
     terms = stored(query_terms(asked, index), "terms")
-    bounds = stored(first_bounds(terms, asked, index), "bounds")
-    met = postings_met(terms, bounds, index).groupBy("q_no", "work_no").agg(F.sum("impact").alias("_sum"), F.max("least").alias("_least"), F.max("unmet").alias("_unmet"))
-    pairs = met.where("_sum + _unmet >= _least").select("q_no", "work_no").unionByName(phrase_hits(asked, index))
-    hits = _best(_scored(pairs, asked, index)).join(index.numbers, "work_no")
+    bounds = stored(first_bounds(terms, index), "bounds")
+    by_title = asked.where("fields = 'phrase'").withColumn("fields", F.lit("title"))
+    in_phrase = phrase_hits(asked, index).join(by_title.select("q_no", "source", "fields"), "q_no").join(index.docs.drop("title"), ["source", "fields", "work_key"]).select("q_no", "doc_no")
+    pairs = stored(postings_met(terms, bounds, index).distinct().unionByName(in_phrase), "pairs")
+    every = terms.select("q_no", "cap", "token_no").unionByName(query_terms(by_title, index).select("q_no", "cap", "token_no"))
+    hits = _best(_scored(pairs, every, index)).join(index.docs.select("doc_no", "work_key"), "doc_no")
     return hits.join(asked.select("q_no", "lookup_key", "source", "place", "stage"), "q_no").select("lookup_key", "source", "place", "stage", "work_key", "score", "hit_no")
 
 
 def strong_matches(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with ``strong``: equal DOIs, or nearly equal titles (95) with very similar authors (90)."""
+    """``pairs`` with ``strong``: equal DOIs, or nearly equal titles (95) with very similar authors (90).
+
+    Only pairs that a bound from lengths, letters and words leaves open are measured; of the others nothing goes to the measures.
+    """
     same = (F.col("norm_doi") != "") & (F.col("norm_doi") == F.col("w_norm_doi"))
-    close = (title_identity(F.col("norm_title"), F.col("w_norm_title"), normalized=True) >= STRONG_TITLE) & (author_similarity(F.col("authors"), F.col("w_authors")) >= STRONG_AUTHORS)
-    return pairs.withColumn("strong", F.coalesce(same | close, F.lit(False)))
+    open_ = ~F.coalesce(same, F.lit(False)) & (title_identity_bound(F.col("norm_title"), F.col("w_norm_title"), STRONG_TITLE) >= STRONG_TITLE)
+    asked = pairs.withColumn("_open", F.coalesce(open_, F.lit(False)))
+    mine, theirs = (F.when(F.col("_open"), F.col(c)) for c in ("norm_title", "w_norm_title"))
+    close = (title_identity(mine, theirs, normalized=True) >= STRONG_TITLE) & (author_similarity(F.when(F.col("_open"), F.col("authors")), F.when(F.col("_open"), F.col("w_authors"))) >= STRONG_AUTHORS)
+    return asked.withColumn("strong", F.coalesce(same, F.lit(False)) | (F.col("_open") & F.coalesce(close, F.lit(False)))).drop("_open")
 
 
 def with_works(hits: DataFrame, works: DataFrame) -> DataFrame:
