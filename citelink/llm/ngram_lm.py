@@ -81,7 +81,7 @@ def _places(grams: np.ndarray, level: int, blocks: np.ndarray | int) -> tuple[np
 
 
 def _packed(segment: np.ndarray, cuts: np.ndarray, values: np.ndarray) -> dict[int, bytes]:
-    return {int(segment[a]): values[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(values)], strict=True)}
+    return {int(segment[a]): values[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(values)][: len(cuts)], strict=True)}
 
 
 def _counted(order: int, segments: int):

@@ -49,6 +49,8 @@ def plain_manifest(docs):
     groups = {}
     for doc, text, lang, source, n, *_ in docs:
         groups.setdefault(source, []).append((doc is not None, doc or 0, leaf(doc, source, lang, n, text), doc, leaf(doc, source, lang, n, text and text.translate(AZ)) if doc is not None and zlib.crc32(str(doc).encode()) % 5 == 0 else None))
+    if not docs:
+        return []
     order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
     found = {s: (rows := sorted(groups[s], key=lambda r: r[:3]), *tree([r[2] for r in rows])) for s in order}
     root, upper = tree([found[s][1] for s in order])
