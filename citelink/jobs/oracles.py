@@ -279,6 +279,11 @@ ORACLES: dict[str, str] = {
     "normalize_author": rf"{_WITH} SELECT work_id, trim(regexp_replace(regexp_replace(regexp_replace({_NAME}, '\bet\s+al\.?\b', '', 'g'), '[.,;:]', ' ', 'g'), '\s+', ' ', 'g')) AS norm FROM base",
     "domains": f"{_WITH} SELECT work_id, domain, CASE domain WHEN 'cs' THEN 'DBLP|Semantic Scholar' WHEN 'biomedical' THEN 'PubMed|Semantic Scholar' ELSE 'Semantic Scholar' END AS extra FROM (SELECT work_id, {_DOMAIN} AS domain FROM base)",
     "read_sources": f"{_WITH} SELECT work_id, arrival, title, {_join('authors')} AS authors, doi, year, venue, source FROM works_raw",
+    "quarantine": f"""{_WITH} SELECT source, CASE work_id % 25 WHEN 3 THEN 'not a record of this source' WHEN 5 THEN 'no record' WHEN 7 THEN 'no record' ELSE 'read' END AS reason, count(*) AS n FROM works_raw GROUP BY ALL""",
+    "read_citations": f"""{_WITH} SELECT CASE WHEN work_id % 20 <> 9 THEN doc_id END AS doc_id, CASE WHEN work_id % 20 <> 9 THEN ref_no END AS ref_no, CASE WHEN work_id % 20 = 9 THEN '[' || work_id ELSE 'citation' END AS original_reference,
+        CASE WHEN work_id % 20 <> 9 THEN title END AS title, CASE WHEN work_id % 20 <> 9 THEN {_join('authors')} END AS authors, CASE WHEN work_id % 20 NOT IN (4, 9) THEN year END AS year, CASE WHEN work_id % 20 <> 9 THEN venue END AS venue,
+        CASE WHEN work_id % 20 <> 9 THEN doi END AS doi, CASE work_id % 20 WHEN 9 THEN 'the record is not a citation' WHEN 4 THEN 'the year is not a number: in press' END AS error FROM citations""",
+    "number_batches": f"""{_WITH} SELECT batch, count(*) AS n, min(doc_id * 100 + ref_no) AS first FROM (SELECT *, (row_number() OVER (ORDER BY doc_id, ref_no) - 1) // 8 AS batch FROM citations) GROUP BY batch""",
     "reading_order": """
         WITH blocks AS (SELECT doc_id, n // 4 AS page, (n // 2) % 2 AS side, n % 2 AS row, n, lines[n + 1] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM documents))
         SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY page, side, row, n)) AS text_md5 FROM blocks GROUP BY doc_id""",

@@ -12,7 +12,7 @@ from citelink.jobs import testbed as T
 from citelink.jobs.verify import verify, verify_documents
 from citelink.operators import candidates as C
 from citelink.operators import decision as D
-from citelink.operators import extraction, ranking, reports, review
+from citelink.operators import extraction, numbering, ranking, reports, review
 from citelink.operators import works as W
 from citelink.sources import readers, sinks
 from citelink.sources.scratch import stored
@@ -80,6 +80,29 @@ def q_read_sources(spark, sf):
     return readers.union_sources(parts).select("work_id", "arrival", "title", F.array_join("authors", "|").alias("authors"), "doi", "year", "venue", "source")
 
 
+def _damaged(df: DataFrame) -> DataFrame:
+    """Some records cut short, some missing, some blank."""
+    k = F.col("work_id") % 25
+    return df.withColumn("record", F.when(k == 3, F.expr("substring(record, 1, length(record) - 2)")).when(k == 5, F.lit(None)).when(k == 7, F.lit("  ")).otherwise(F.col("record")))
+
+
+def q_quarantine(spark, sf):
+    """How many records of each source are left out, by reason, and how many are read."""
+    parts = dict(zip(("Crossref", "OpenAlex", "DBLP", "Semantic Scholar", "PubMed"), map(_damaged, _source_json(T.works_raw(spark, sf))), strict=True))
+    reads = (readers.read_crossref, readers.read_openalex, readers.read_dblp, readers.read_semantic_scholar, readers.read_pubmed)
+    good = readers.union_sources([read(df) for read, df in zip(reads, parts.values(), strict=True)]).select("source", F.lit("read").alias("reason"))
+    return good.unionByName(readers.quarantine(parts).select("source", "reason")).groupBy("source", "reason").agg(F.count("*").alias("n"))
+
+
+def q_read_citations(spark, sf):
+    """Citations as JSON, some cut short and some with words for a year: their fields, and what is wrong with them."""
+    k = F.col("work_id") % 20
+    fields = F.struct("doc_id", "ref_no", "original_reference", "title", "authors", F.when(k == 4, F.lit("in press")).otherwise(F.col("year").cast("string")).alias("year"), "venue", "doi")
+    text = F.to_json(fields)
+    rows = T.citations(spark, sf).select(F.when(k == 9, F.concat(F.lit("["), F.col("work_id").cast("string"))).otherwise(text).alias("record"))
+    return readers.read_citations(rows).select("doc_id", "ref_no", "original_reference", "title", F.array_join("authors", "|").alias("authors"), "year", "venue", "doi", "error")
+
+
 def q_reading_order(spark, sf):
     return extraction.reading_order(T.page_blocks(spark, sf)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
@@ -104,6 +127,12 @@ def q_assign_batches(spark, sf):
     return parsing.assign_batches(T.citations(spark, sf).select("doc_id", "ref_no"), 8, buckets=16).groupBy("bucket", "batch").agg(F.count("*").alias("n"))
 
 
+def q_number_batches(spark, sf):
+    """Every batch's rows and its first citation: all batches are full but the last."""
+    rows = numbering.number_batches(T.citations(spark, sf).select("doc_id", "ref_no"), 8)
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.min(F.col("doc_id") * 100 + F.col("ref_no")).alias("first"))
+
+
 def q_parse_coverage(spark, sf):
     return reports.parse_coverage(parsing.parse_citations(T.citations_text(spark, sf)))
 

@@ -22,9 +22,58 @@ def _works(title: Column, authors: Column, doi: Column, year: Column, venue: Col
     return [title.alias("title"), F.coalesce(authors, none).alias("authors"), doi.alias("doi"), year.cast("int").alias("year"), venue.alias("venue"), F.lit(source).alias("source")]
 
 
+#: What a record is that no reader can take.
+BLANK, BROKEN = "no record", "not a record of this source"
+_CORRUPT = {"columnNameOfCorruptRecord": "_corrupt"}
+
+
+def _record(record: str, schema: str) -> Column:
+    """A JSON text as a struct of its fields, ``_corrupt`` the text itself where it isn't such a record."""
+    return F.from_json(record, f"{schema}, _corrupt string", _CORRUPT)
+
+
 def _parsed(df: DataFrame, schema: str, record: str) -> DataFrame:
+    """Rows with a whole record; what is left out is in ``quarantine``."""
     kept = [c for c in df.columns if c != record]
-    return df.select(*kept, F.from_json(record, schema).alias("_r")).where("_r is not null")
+    return df.select(*kept, _record(record, schema).alias("_r")).where("_r is not null and _r._corrupt is null")
+
+
+def quarantine(parts: dict[str, DataFrame], record: str = "record") -> DataFrame:
+    """(source, record, reason) of the records that the readers leave out, from each source's rows, by the source's name.
+
+    Every row is read by its source's reader or is here: null and blank texts, and texts that aren't JSON of a record. Nothing of them goes on.
+    """
+    found = None
+    for source, df in parts.items():
+        text = F.col(record)
+        blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+        broken = _record(record, SCHEMAS[source])["_corrupt"].isNotNull()
+        rows = df.select(F.lit(source).alias("source"), text.alias("record"), F.when(blank, BLANK).when(broken, BROKEN).alias("reason")).where("reason is not null")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+#: The schema of each source's records.
+SCHEMAS = {"Crossref": _CROSSREF, "OpenAlex": _OPENALEX, "DBLP": _DBLP, "Semantic Scholar": _SEMANTIC, "PubMed": _PUBMED}
+
+_CITATION = "doc_id bigint, ref_no int, original_reference string, title string, authors array<string>, year string, venue string, doi string"
+
+
+def read_citations(df: DataFrame, record: str = "record") -> DataFrame:
+    """Parsed citations, one JSON text in each row, with ``error``: why a citation can't be processed, null if it can.
+
+    A text that isn't such a record comes out with the text as its original reference and no other field; a year that isn't a whole number is null. Every row of the
+    input is a row of the result, so that what can't be processed is reported and everything else goes on.
+    """
+    rows = df.select(F.col(record).alias("_text"), _record(record, _CITATION).alias("_r"))
+    r = F.col("_r")
+    broken = r.isNull() | r["_corrupt"].isNotNull()
+    year = r["year"].try_cast("int")
+    error = F.when(broken, "the record is not a citation").when(r["year"].isNotNull() & year.isNull(), F.concat(F.lit("the year is not a number: "), r["year"]))
+    fields = [F.when(~broken, r[f]).alias(f) for f in ("doc_id", "ref_no")]
+    fields.append(F.when(broken, F.col("_text")).otherwise(r["original_reference"]).alias("original_reference"))
+    fields += [F.when(~broken, year if f == "year" else r[f]).alias(f) for f in ("title", "authors", "year", "venue", "doi")]
+    return rows.select(*fields, error.alias("error"))
 
 
 def _kept(df: DataFrame) -> list[str]:

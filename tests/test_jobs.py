@@ -15,7 +15,7 @@ from citelink.jobs import testbed
 from citelink.jobs.oracles import ORACLES
 from citelink.jobs.queries import QUERIES, _works, judged_pairs
 from citelink.jobs.verify import parse, verify, verify_documents
-from citelink.operators import candidates, decision, extraction, reports, review, works
+from citelink.operators import candidates, decision, extraction, numbering, reports, review, works
 from citelink.sources import readers, sinks
 from citelink.streaming.requests import verify_stream
 
@@ -92,6 +92,40 @@ def test_failed_citations_are_uncertain(spark):
     assert n > 0 and reports.status_summary(results).first()["errors"] == n
 
 
+def test_job_goes_on_with_citations_that_cannot_be_processed(spark, searched):
+    """Broken records and years come out as uncertain with their error; all other results are as without them."""
+    cites, known = searched
+    fields = F.struct(*(F.col(c).cast("string").alias(c) if c == "year" else F.col(c) for c in cites.columns))
+    good = cites.select(F.to_json(fields).alias("record"))
+    bad = spark.createDataFrame([("{not json",), ("",), (None,), ('{"doc_id":77,"ref_no":1,"original_reference":"x","title":"graph query","year":"soon"}',)], "record string")
+    read = readers.read_citations(good.unionByName(bad))
+    assert read.where("error is null").count() == cites.count() and read.count() == cites.count() + 4
+    results = verify(read, known).collect()
+    failed = [r for r in results if r["error"] is not None]
+    assert {r["status"] for r in failed} == {"UNCERTAIN"} and len(failed) == 4 and all(r["n_hits"] == 0 for r in failed)
+    assert sorted(r["error"] for r in failed)[-1] == "the year is not a number: soon"
+    direct = {(r["doc_id"], r["ref_no"]): r["status"] for r in verify(cites, known).collect()}
+    assert {(r["doc_id"], r["ref_no"]): r["status"] for r in results if r["error"] is None} == direct
+
+
+def test_batches_are_full_but_the_last(spark):
+    rows = spark.range(0, 1003, 1, 7).select((F.col("id") * 37 % 1003 % 90).alias("doc_id"), F.col("id").cast("int").alias("ref_no"))
+    batches = numbering.number_batches(rows, 10).collect()
+    order = sorted(batches, key=lambda r: (r["doc_id"], r["ref_no"]))
+    assert [r["batch"] for r in order] == [i // 10 for i in range(1003)]
+    assert numbering.number_rows(rows.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, 1), (None, 1), (1, None), (1, 1)], "doc_id long, ref_no int")
+    assert sorted(r["row_no"] for r in numbering.number_rows(odd).collect()) == [0, 1, 2, 3]
+
+
+def test_quarantine_and_readers_share_out_all_records(spark):
+    whole = '{"title":["A"],"author":[],"DOI":"10.1/a"}'
+    df = spark.createDataFrame([(whole,), (whole[:-1],), ("",), (None,), ("[1]",), ("nonsense",)], "record string")
+    assert [r["title"] for r in readers.read_crossref(df).collect()] == ["A"]
+    got = Counter((r["source"], r["reason"]) for r in readers.quarantine({"Crossref": df}).collect())
+    assert got == {("Crossref", readers.BROKEN): 3, ("Crossref", readers.BLANK): 2}
+
+
 def test_verdicts_that_leave_a_citation_open(spark):
     cites, pairs = judged_pairs(spark, SF)
     results = decision.route(decision.decide(cites, pairs))
