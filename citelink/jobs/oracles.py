@@ -297,6 +297,7 @@ ORACLES: dict[str, str] = {
         FROM citations_text""",
     "parse_coverage": f"{_WITH} SELECT count(*) FILTER (q < 4) AS parsed, count(*) AS total FROM citations_text",
     "works_merged": f"{_GROUPS} SELECT work_key, title, {_join('authors')} AS authors, year, venue, doi, {_join('sources')} AS sources, arrival FROM works",
+    "works_updated": f"{_GROUPS} SELECT work_key, title, {_join('authors')} AS authors, year, venue, doi, {_join('sources')} AS sources, arrival FROM works",
     "lookup_groups": f"{_GROUPS} SELECT lookup_key, n_citations, title, year FROM groups",
     "doi_candidates": f"{_GROUPS} SELECT lookup_key, work_key FROM groups g JOIN works w ON g.norm_doi = w.norm_doi AND g.norm_doi <> '' WHERE list_has_any(w.sources, ['Crossref', 'OpenAlex', 'Semantic Scholar'])",
     "title_candidates": f"{_GROUPS} SELECT lookup_key, work_key FROM groups g JOIN works w ON g.norm_title = w.norm_title AND g.norm_title <> ''",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from citelink.operators import decision as D
 from citelink.operators import extraction, numbering, ranking, reports, review
 from citelink.operators import works as W
 from citelink.sources import readers, sinks
-from citelink.sources.scratch import stored
+from citelink.sources.scratch import scratch_root, stored
 from citelink.streaming.requests import verify_stream
 
 
@@ -145,6 +146,15 @@ def q_works_merged(spark, sf):
     return W.deduplicate_works(T.works_raw(spark, sf)).select("work_key", "title", F.array_join("authors", "|").alias("authors"), "year", "venue", "doi", F.array_join(W.sources_agreeing(F.col("sources"), F.col("source")), "|").alias("sources"), "arrival")
 
 
+def q_works_updated(spark, sf):
+    """Works that were merged from three snapshots one after another: the same as from all records at once."""
+    path = f"{scratch_root(spark)}/works-{uuid.uuid4().hex}"
+    raw = T.works_raw(spark, sf)
+    for part in (2, 0, 1):
+        works = W.update_works(raw.where(F.col("arrival") % 3 == part), path)
+    return works.select("work_key", "title", F.array_join("authors", "|").alias("authors"), "year", "venue", "doi", F.array_join("sources", "|").alias("sources"), "arrival")
+
+
 def q_lookup_groups(spark, sf):
     return C.lookup_groups(C.lookup_keys(T.citations(spark, sf))).select("lookup_key", "n_citations", "title", "year")
 
@@ -298,9 +308,6 @@ def q_verify_documents(spark, sf):
 
 def q_verify_stream(spark, sf):
     """The citations as arriving files, verified in a stream; how many came out with each status."""
-    import uuid
-
-
     cites = stored(T.citations_text(spark, sf).select("doc_id", "ref_no", "original_reference"), "arrived")
     root = cites.inputFiles()[0].rsplit("/", 2)[0] + f"/stream-{uuid.uuid4().hex}"
     cites.write.json(f"{root}/in")

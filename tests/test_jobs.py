@@ -108,6 +108,21 @@ def test_job_goes_on_with_citations_that_cannot_be_processed(spark, searched):
     assert {(r["doc_id"], r["ref_no"]): r["status"] for r in results if r["error"] is None} == direct
 
 
+def test_works_merged_in_steps_are_those_merged_at_once(spark, tmp_path):
+    raw = testbed.works_raw(spark, SF).cache()
+    want = sorted(map(repr, works.deduplicate_works(raw).collect()))
+    path, columns = f"{tmp_path}/works", works.deduplicate_works(raw).columns
+    for part in (1, 2, 0, 2):  # and some of them again
+        got = works.update_works(raw.where(F.col("arrival") % 3 == part), path)
+    assert sorted(map(repr, got.select(*columns).collect())) == want
+    assert works.update_works(raw.limit(0), path).count() == len(want)
+    one = raw.orderBy("arrival").limit(1)
+    before = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    works.update_works(one, path)
+    after = {f: f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    assert len({f.parent for f in before if f not in after}) == 1  # of all buckets, the one of that record alone was written
+
+
 def test_batches_are_full_but_the_last(spark):
     rows = spark.range(0, 1003, 1, 7).select((F.col("id") * 37 % 1003 % 90).alias("doc_id"), F.col("id").cast("int").alias("ref_no"))
     batches = numbering.number_batches(rows, 10).collect()
