@@ -194,18 +194,21 @@ def fit(docs: DataFrame, order: int = ORDER) -> Model:
 class _Held:
     """Some neighbouring segments of a model, in one piece of memory."""
 
-    def __init__(self, rows: list, first: int, last: int):
-        self.first, self.last = first, last
-        self.blocks, self.start = np.zeros(last - first + 1, np.int64), np.zeros(last - first + 1, np.int64)
-        size, filters, words, counts = 0, [], [], []
-        for segment, _, blocks, held, w, n in rows:
-            self.blocks[segment - first], self.start[segment - first] = blocks, size
-            size += len(held)
-            filters.append(held)
-            words.append(w)
-            counts.append(n)
-        self.data = np.frombuffer(b"".join(filters) or b"\0", np.uint8)
-        self.words, self.counts = (np.frombuffer(b"".join(x), t) for x, t in ((words, np.uint64), (counts, np.int64)))  # segments ascend as hashes do
+    def __init__(self, segments: list, rows: Iterator):
+        """``segments``: (segment, blocks, filter bytes, words) of each, ascending; ``rows``: (segment, filter, words, counts) in any order."""
+        self.first, self.last = (segments[0][0], segments[-1][0]) if segments else (0, -1)
+        self.blocks, self.start = np.zeros(self.last - self.first + 1, np.int64), np.zeros(self.last - self.first + 1, np.int64)
+        size, n, at = 0, 0, {}
+        for segment, blocks, held, words in segments:
+            self.blocks[segment - self.first], self.start[segment - self.first] = blocks, size
+            at[segment] = size, n
+            size, n = size + held, n + words
+        self.data, self.words, self.counts = np.zeros(max(size, 1), np.uint8), np.zeros(n, np.uint64), np.zeros(n, np.int64)  # segments ascend as hashes do
+        for segment, held, words, counts in rows:
+            size, n = at[segment]
+            self.data[size : size + len(held)] = np.frombuffer(held, np.uint8)
+            self.words[n : n + len(words) // 8] = np.frombuffer(words, np.uint64)
+            self.counts[n : n + len(counts) // 8] = np.frombuffer(counts, np.int64)
 
     def levels(self, grams: np.ndarray, segments: int) -> np.ndarray:
         """The n-grams' levels, each the last that is found when probing from the first up; 0 for those of other segments."""
@@ -301,19 +304,20 @@ def score(docs: DataFrame, model: Model, most_bytes: int = MOST_BYTES) -> DataFr
     docs = docs.drop(*_ADDED, *_SO_FAR)
     spark = docs.sparkSession
     about = {k: getattr(model, k) for k in ("segments", "order", "tokens", "distinct", "texts")}
-    groups: list[list[int]] = []
-    room = 0
-    for segment, size in model.parts.select("segment", F.expr("length(filter) + length(words) + length(counts)")).orderBy("segment").toLocalIterator():  # two numbers for each segment
-        if not groups or size > room:
-            groups.append([segment, segment])
-            room = most_bytes
-        groups[-1][1] = segment
-        room -= size
+    sizes = model.parts.selectExpr("segment", "blocks", "length(filter)", "length(words) div 8").collect()  # four numbers for each segment
+    groups: list[list] = [[]]
+    room = most_bytes
+    for segment in sorted(map(tuple, sizes)):
+        room -= segment[2] + 16 * segment[3]
+        if room < 0 and groups[-1]:
+            groups.append([])
+            room = most_bytes - segment[2] - 16 * segment[3]
+        groups[-1].append(segment)
     rows, old = docs.withColumns({"_levels": F.lit(None).cast("binary"), "_known": F.lit(0).cast("bigint"), "_base": F.lit(0.0)}), None
-    groups = groups or [[0, -1]]
-    for a, b in groups:
-        shared = spark.sparkContext.broadcast(_Held(model.parts.where(F.col("segment").between(a, b)).orderBy("segment").toLocalIterator(), a, b))
-        if b == groups[-1][1]:
+    for i, group in enumerate(groups):
+        wanted = model.parts.where(F.col("segment").between(group[0][0], group[-1][0])) if group else model.parts
+        shared = spark.sparkContext.broadcast(_Held(group, wanted.select("segment", "filter", "words", "counts").toLocalIterator()))
+        if i + 1 == len(groups):
             return rows.mapInArrow(_probed(shared, about, True), with_fields(docs, "n_tokens bigint, n_known bigint, base_score double, score double"))
         rows = stored(rows.mapInArrow(_probed(shared, about, False), with_fields(docs, "_levels binary, _known bigint, _base double")), "levels")
         shared.unpersist()
