@@ -24,7 +24,7 @@ while THRESHOLDS[-1] < 1 << 60:
 #: Filter bits for each (n-gram, level), and bits that an n-gram and level sets, all in one block of 256.
 BITS, PROBES, BLOCK = 12, 4, 256
 #: N-gram tokens of one segment of the filter, which one task merges, and the most bytes of filter and word counts that are broadcast at a time.
-SEGMENT_TOKENS, MOST_BYTES = 1 << 20, 1 << 28
+SEGMENT_TOKENS, MOST_BYTES = 1 << 20, 80 << 20
 #: The counts that the next shorter n-gram's probability adds to a history, as if it had been seen so many times more.
 PRIOR = 200.0
 #: Bytes of text whose n-grams are counted together before they are shuffled.
@@ -203,12 +203,18 @@ class _Held:
             self.blocks[segment - self.first], self.start[segment - self.first] = blocks, size
             at[segment] = size, n
             size, n = size + held, n + words
-        self.data, self.words, self.counts = np.zeros(max(size, 1), np.uint8), np.zeros(n, np.uint64), np.zeros(n, np.int64)  # segments ascend as hashes do
+        self.data, self.words, self.counts = np.zeros(max(size, 1), np.uint8), np.zeros(n, np.uint64), np.zeros(n, np.uint8)  # segments ascend as hashes do
+        high_at, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # few words have counts of 255 or more
         for segment, held, words, counts in rows:
             size, n = at[segment]
             self.data[size : size + len(held)] = np.frombuffer(held, np.uint8)
             self.words[n : n + len(words) // 8] = np.frombuffer(words, np.uint64)
-            self.counts[n : n + len(counts) // 8] = np.frombuffer(counts, np.int64)
+            exact = np.frombuffer(counts, np.int64)
+            self.counts[n : n + len(exact)] = np.minimum(exact, 255)
+            high_at.append(n + np.flatnonzero(exact >= 255))
+            high.append(exact[exact >= 255])
+        order = np.argsort(np.concatenate(high_at))
+        self.high_at, self.high = np.concatenate(high_at)[order], np.concatenate(high)[order]
 
     def levels(self, grams: np.ndarray, segments: int) -> np.ndarray:
         """The n-grams' levels, each the last that is found when probing from the first up; 0 for those of other segments."""
@@ -237,7 +243,10 @@ class _Held:
         if not len(self.words):
             return np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.counts[at], 0)
+        counts = np.where(self.words[at] == words, self.counts[at], np.uint8(0)).astype(np.int64)
+        high = np.flatnonzero(counts == 255)
+        counts[high] = self.high[np.searchsorted(self.high_at, at[high])]
+        return counts
 
 
 def _log_scores(levels: np.ndarray, starts: np.ndarray, model: dict) -> np.ndarray:
@@ -308,10 +317,10 @@ def score(docs: DataFrame, model: Model, most_bytes: int = MOST_BYTES) -> DataFr
     groups: list[list] = [[]]
     room = most_bytes
     for segment in sorted(map(tuple, sizes)):
-        room -= segment[2] + 16 * segment[3]
+        room -= segment[2] + 9 * segment[3]
         if room < 0 and groups[-1]:
             groups.append([])
-            room = most_bytes - segment[2] - 16 * segment[3]
+            room = most_bytes - segment[2] - 9 * segment[3]
         groups[-1].append(segment)
     rows, old = docs.withColumns({"_levels": F.lit(None).cast("binary"), "_known": F.lit(0).cast("bigint"), "_base": F.lit(0.0)}), None
     for i, group in enumerate(groups):
