@@ -87,19 +87,30 @@ def _packed(segment: np.ndarray, cuts: np.ndarray, values: np.ndarray) -> dict[i
 def _counted(order: int, segments: int):
     """By segment, the words and the longer n-grams of some text and how often each comes."""
 
+    def part(words: list[np.ndarray], longer: list[np.ndarray]) -> pa.RecordBatch:
+        columns = []
+        for grams in (words, longer):
+            grams, counts = np.unique(np.concatenate(grams or [np.zeros(0, np.uint64)]), return_counts=True)
+            segment = _segment(grams, segments)
+            cuts = np.flatnonzero(np.diff(segment, prepend=-1))
+            columns += [_packed(segment, cuts, grams), _packed(segment, cuts, counts.astype(np.uint32))]
+        some = sorted({*columns[0], *columns[2]})
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([c.get(k, b"") for k in some], pa.binary()) for c in columns)], ["segment", "words", "word_counts", "grams", "counts"])
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, longer, size = [], [], 0
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0), COUNT_BYTES):
+            for _, _, data, offsets in text_chunks(batch.column(0)):  # hashes take far less memory than the work of hashing
                 found, _ = ngrams(data, offsets, order)
-                columns = []
-                for grams in (found[0], np.concatenate(found[1:] or [found[0][:0]])):
-                    grams, counts = np.unique(grams, return_counts=True)
-                    segment = _segment(grams, segments)
-                    cuts = np.flatnonzero(np.diff(segment, prepend=-1))
-                    columns += [_packed(segment, cuts, grams), _packed(segment, cuts, counts.astype(np.uint32))]
-                some = sorted({*columns[0], *columns[2]})
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([c.get(k, b"") for k in some], pa.binary()) for c in columns)], ["segment", "words", "word_counts", "grams", "counts"])
+                words.append(found[0])
+                longer += found[1:]
+                size += len(data)
+                if size >= COUNT_BYTES:
+                    yield part(words, longer)
+                    words, longer, size = [], [], 0
+        if words:
+            yield part(words, longer)
 
     return run
 
