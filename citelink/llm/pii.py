@@ -27,8 +27,6 @@ HINT = {
 _W = r"\x20\x09-\x0D"
 #: A run of tokens, one blank apart, that may be an identifier, since each of them holds a digit or an @.
 RUN = rf"(?<![^{_W}])[^{_W}0-9@]*+[0-9@][^{_W}]*+(?:\x20[^{_W}0-9@]*+[0-9@][^{_W}]*+)*+"
-#: Code points of text before and after a run in which its neighbouring words are looked for.
-NEAR = 80
 #: Punctuation that is taken off both ends of a learned identifier.
 TRIM = "\"'`.,;:!?()[]{}<>*#%&$="
 #: The same at the left end, but for the bracket of an area code.
@@ -57,11 +55,11 @@ def _with_neighbours(text: Column) -> Column:
 
     def each(x: Column) -> Column:
         def one(v: Column, i: Column) -> Column:
-            tail, head = F.substring(F.get(x["gaps"], i), -NEAR, NEAR), F.substring(F.get(x["gaps"], i + 1), 1, NEAR)
-            last_two, first = rf"(?:([^{_W}]++)[{_W}]++)?([^{_W}]++)[{_W}]*+$", rf"^[{_W}]*+([^{_W}]++)"
-            return F.struct(
-                F.length(F.get(x["gaps"], i)).alias("gap"), v.alias("value"), word(F.regexp_extract(tail, last_two, 1)).alias("l2"), word(F.regexp_extract(tail, last_two, 2)).alias("l1"), word(F.regexp_extract(head, first, 1)).alias("r1")
-            )
+            # what comes before is read from its end, so that each search begins at a text's start and takes linear time
+            back, ahead = F.reverse(F.get(x["gaps"], i)), F.get(x["gaps"], i + 1)
+            first_two = rf"^[{_W}]*+([^{_W}]++)(?:[{_W}]++([^{_W}]++))?"
+            l2, l1 = (word(F.reverse(F.regexp_extract(back, first_two, k))) for k in (2, 1))
+            return F.struct(F.length(F.get(x["gaps"], i)).alias("gap"), v.alias("value"), l2.alias("l2"), l1.alias("l1"), word(F.regexp_extract(ahead, first_two, 1)).alias("r1"))
 
         return F.transform(x["values"], one)
 

@@ -193,6 +193,17 @@ def test_personal_data_learns_contexts(spark):
     assert [s[3] for s in found[102]] == [True] and all(len(found[i]) == 1 for i in range(40))
 
 
+def test_personal_data_contexts_of_any_length(spark):
+    """Words of a thousand letters are contexts as whole words: one that differs in its last letter only is another. Far blanks between don't matter."""
+    rng = random.Random(16)
+    lead, other = "é" + "q" * 1000 + "x", "é" + "q" * 1000 + "y"
+    rows = [(i, f"{words(rng, 4)} {lead}{' ' * rng.randrange(1, 300)}user{i}@mail.example.org then {words(rng, 4)}", None) for i in range(20)]
+    rows += [(50, f"a {lead} user@localhost end", None), (51, f"a {other} user@localhost end", None), (52, "w" * 300_000 + " 7 " + "v" * 300_000, None)]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"], s["seed"]) for s in r["spans"]] for r in pii.find_personal_data(table(spark, rows)).collect()}
+    at = len(f"a {lead} ")
+    assert got[50] == [("email", at, at + 14, False)] and got[51] == got[52] == []
+
+
 def test_personal_data_of_several_tokens(spark):
     """Spaced numbers without a + after words that spaced phones follow, and a context that is only learned from learned values."""
     rng = random.Random(8)
