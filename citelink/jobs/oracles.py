@@ -134,11 +134,13 @@ def _case(column: int, quote: bool = True) -> str:
 
 
 _NOTES = "concat_ws('; ', " + ", ".join(f"CASE s_{f} WHEN 'MISSING_SUBMITTED' THEN '{label} was not provided in the submitted reference' WHEN 'MISSING_DATABASE' THEN '{label} was not provided by the matched database record' END" for f, label in NOTE_LABELS) + ")"
-#: Pairs by formula, ranked and judged.
-_JUDGED = f"""pairs AS (
+#: Pairs by formula.
+_BY_FORMULA = f"""pairs AS (
     SELECT doc_id, ref_no, work_id, k, CAST((work_id * 7 + k * 13) % 101 AS DOUBLE) AS title_score, ((work_id * 11 + k * 29) % 200) / 2.0 AS weighted_score, (work_id + k) % 9 = 0 AS same_doi, {', '.join(f'{sql} AS s_{f}' for f, sql in _FIELD_STATES.items())}
     FROM (SELECT *, unnest(range(0, (work_id // 4) % 5 + 1)) AS k FROM citations WHERE work_id % 5 < 4)
-), marked AS (
+)"""
+#: Pairs (doc_id, ref_no, k, title_score, weighted_score, same_doi, s_...) ranked and judged; ties by k.
+_JUDGED = f"""marked AS (
     SELECT *, title_score >= 50 OR same_doi AS own, max(CASE WHEN title_score >= 50 OR same_doi THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, ref_no) AS any_own FROM pairs
 ), ranked AS (
     SELECT *, row_number() OVER (PARTITION BY doc_id, ref_no ORDER BY weighted_score DESC, k) AS rank, count(*) OVER (PARTITION BY doc_id, ref_no) AS n_hits FROM marked WHERE own OR any_own = 0
@@ -159,7 +161,7 @@ _JUDGED = f"""pairs AS (
 ), routed AS (
     SELECT *, CASE WHEN found AND NOT contradiction AND (d_review OR d_status = 'NOT VERIFIED') THEN 'PENDING_AI' ELSE d_status END AS r_status FROM final
 )"""
-_DECIDED = f"{_WITH}, {_JUDGED}"
+_DECIDED = f"{_WITH}, {_BY_FORMULA}, {_JUDGED}"
 _EXPLAINED = "CASE WHEN r_status <> 'PENDING_AI' THEN d_reason || CASE WHEN notes <> '' THEN ' (' || notes || '.)' ELSE '' END END"
 
 def _share(common: str, a: str, b: str) -> str:
@@ -191,42 +193,49 @@ def _set_ratio(common: str) -> str:
         WHEN shared <> '' THEN greatest({apart}, {_share(n, n, nx)}, {_share(n, n, ny)}) ELSE {apart} END)"""
 
 
-def _lcs(name: str, pairs: str) -> str:
-    """Lengths n of the longest common subsequences of string pairs (a, b), by rows of the classic table, one character of a at a time."""
-    return f"""{name}_need AS (SELECT row_number() OVER (ORDER BY a, b) AS id, a, b FROM (SELECT DISTINCT a, b FROM ({pairs}) WHERE a <> b AND a <> '' AND b <> '')
-    ), {name}_step AS (
-        SELECT id, 0 AS i, unnest(range(0, length(b) + 1)) AS j, 0 AS v FROM {name}_need
-        UNION ALL SELECT id, i + 1, j, max(greatest(v, CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN prev + 1 ELSE 0 END)) OVER (PARTITION BY id ORDER BY j)
-        FROM (SELECT id, i, CAST(j AS INTEGER) AS j, v, coalesce(lag(v) OVER (PARTITION BY id ORDER BY j), -1) AS prev, a, b FROM {name}_step JOIN {name}_need USING (id) WHERE i < length(a))
-    ), {name} AS (SELECT a, b, v AS n FROM {name}_step JOIN {name}_need USING (id) WHERE i = length(a) AND j = length(b))"""
+#: All bits of a block of 60 characters.
+_FULL_BLOCK = (1 << 60) - 1
 
 
-def _authors(lists: str) -> str:
+def _lcs(name: str, pairs: str) -> str:
+    """Lengths n of the longest common subsequences of string pairs (a, b): a bit for each character of a, in blocks of 60 with a carry, folded over the characters of b."""
+    total = "p[1] + (p[1] & p[2]) + done[1]"
+    step = f"list_concat([({total}) >> 60], done[2:], [(({total}) & {_FULL_BLOCK}) | (p[1] & xor(p[2], CAST({_FULL_BLOCK} AS BIGINT)))])"
+    return f"""{name}_need AS (SELECT DISTINCT a, b FROM ({pairs}) WHERE a <> b AND a <> '' AND b <> ''
+    ), {name}_cut AS (
+        SELECT a, b, list_transform(range(1, length(a) + 1), lambda i: substr(a, i, 1)) AS x, list_transform(range(1, length(b) + 1), lambda i: substr(b, i, 1)) AS y, range(0, (length(a) + 59) // 60) AS blocks FROM {name}_need
+    ), {name}_bits AS MATERIALIZED (
+        SELECT *, list_distinct(y) AS cs, list_transform(list_distinct(y), lambda c: list_transform(blocks, lambda k: CAST(list_sum(list_transform(range(0, 60), lambda i: CASE WHEN x[60 * k + i + 1] = c THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT))) AS masks FROM {name}_cut
+    ), {name} AS MATERIALIZED (
+        SELECT a, b, 60 * len(blocks) - CAST(list_sum(list_transform(
+            list_reduce(list_concat([list_transform(blocks, lambda k: CAST({_FULL_BLOCK} AS BIGINT))], list_transform(y, lambda c: masks[list_position(cs, c)])),
+                lambda v, m: list_reduce(list_concat([[CAST(0 AS BIGINT)]], list_transform(blocks, lambda k: [v[k + 1], m[k + 1]])), lambda done, p: {step})[2:]),
+            lambda v: bit_count(v))) AS INTEGER) AS n FROM {name}_bits
+    )"""
+
+
+def _authors(lists: str, named: str = "author") -> str:
     """Similarity of lists of three authors: own names take the best name left, in order; ``lists`` selects authors and w_authors."""
     form = "trim(regexp_replace(regexp_replace(lower({}), '[.,;:]', ' ', 'g'), ' +', ' ', 'g'))"
     hidden = "list_transform({}, lambda v, k: CASE WHEN k IN ({}) THEN -1 ELSE v END)"
     last = "string_split({}, ' ')[-1]"
     first = "array_to_string(list_transform(string_split({}, ' '), lambda w: w[1]), '')"
-    return f"""author_lists AS (SELECT DISTINCT authors, w_authors FROM ({lists})
-    ), author_cells AS (SELECT authors, w_authors, i, j, {form.format('authors[i]')} AS x, {form.format('w_authors[j]')} AS y FROM author_lists, range(1, 4) AS p(i), range(1, 4) AS q(j)
-    ), author_names AS (SELECT x, y, {_sets('x', 'y')}, {last.format('x')} AS lx, {last.format('y')} AS ly FROM (SELECT DISTINCT x, y FROM author_cells)
-    ), {_lcs('name_lcs', 'SELECT ox AS a, oy AS b FROM author_names UNION ALL SELECT lx, ly FROM author_names')}, author_parts AS (
+    return f"""{named}_lists AS (SELECT DISTINCT authors, w_authors FROM ({lists})
+    ), {named}_cells AS (SELECT authors, w_authors, i, j, {form.format('authors[i]')} AS x, {form.format('w_authors[j]')} AS y FROM {named}_lists, range(1, 4) AS p(i), range(1, 4) AS q(j)
+    ), {named}_names AS (SELECT x, y, {_sets('x', 'y')}, {last.format('x')} AS lx, {last.format('y')} AS ly FROM (SELECT DISTINCT x, y FROM {named}_cells)
+    ), {_lcs(f'{named}_lcs', f'SELECT ox AS a, oy AS b FROM {named}_names UNION ALL SELECT lx, ly FROM {named}_names')}, {named}_parts AS (
         SELECT x, y, {_set_ratio('s.n')} AS words, {_ratio('lx', 'ly', 'l.n')} AS last, CASE WHEN {first.format('x')} = {first.format('y')} THEN 90 ELSE 0 END AS initials
-        FROM author_names LEFT JOIN name_lcs s ON s.a = ox AND s.b = oy LEFT JOIN name_lcs l ON l.a = lx AND l.b = ly
-    ), author_scores AS (SELECT x, y, CASE WHEN x = y THEN CAST(100 AS DOUBLE) WHEN last >= 90 AND words >= 60 THEN greatest(words, 90) ELSE greatest(words, initials, last * CAST(0.6 AS DOUBLE)) END AS s FROM author_parts
-    ), author_rows AS (SELECT authors, w_authors, i, list(s ORDER BY j) AS s FROM author_cells JOIN author_scores USING (x, y) GROUP BY authors, w_authors, i
-    ), author_sides AS (SELECT authors, w_authors, any_value(s) FILTER (i = 1) AS s1, any_value(s) FILTER (i = 2) AS s2, any_value(s) FILTER (i = 3) AS s3 FROM author_rows GROUP BY authors, w_authors
-    ), author_one AS (SELECT *, list_position(s1, list_max(s1)) AS j1 FROM author_sides
-    ), author_two AS (SELECT *, {hidden.format('s2', 'j1')} AS t2 FROM author_one
-    ), author_three AS (SELECT *, list_position(t2, list_max(t2)) AS j2 FROM author_two
-    ), author_similarity AS (SELECT authors, w_authors, round(least(100, (list_max(s1) + list_max(t2) + list_max({hidden.format('s3', 'j1, j2')})) / 3 + 5), 2) AS score FROM author_three)"""
+        FROM {named}_names LEFT JOIN {named}_lcs s ON s.a = ox AND s.b = oy LEFT JOIN {named}_lcs l ON l.a = lx AND l.b = ly
+    ), {named}_scores AS (SELECT x, y, CASE WHEN x = y THEN CAST(100 AS DOUBLE) WHEN last >= 90 AND words >= 60 THEN greatest(words, 90) ELSE greatest(words, initials, last * CAST(0.6 AS DOUBLE)) END AS s FROM {named}_parts
+    ), {named}_rows AS (SELECT authors, w_authors, i, list(s ORDER BY j) AS s FROM {named}_cells JOIN {named}_scores USING (x, y) GROUP BY authors, w_authors, i
+    ), {named}_sides AS (SELECT authors, w_authors, any_value(s) FILTER (i = 1) AS s1, any_value(s) FILTER (i = 2) AS s2, any_value(s) FILTER (i = 3) AS s3 FROM {named}_rows GROUP BY authors, w_authors
+    ), {named}_one AS (SELECT *, list_position(s1, list_max(s1)) AS j1 FROM {named}_sides
+    ), {named}_two AS (SELECT *, {hidden.format('s2', 'j1')} AS t2 FROM {named}_one
+    ), {named}_three AS (SELECT *, list_position(t2, list_max(t2)) AS j2 FROM {named}_two
+    ), {named}_similarity AS (SELECT authors, w_authors, round(least(100, (list_max(s1) + list_max(t2) + list_max({hidden.format('s3', 'j1, j2')})) / 3 + 5), 2) AS score FROM {named}_three)"""
 
 
-def _recursive(ctes: str) -> str:
-    return ctes.replace("WITH", "WITH RECURSIVE", 1)
-
-
-_MEASURED = f"""{_recursive(_WITH)}, m AS (
+_MEASURED = f"""{_WITH}, m AS (
     SELECT c.work_id, {n2('c.title')} AS a, {n2('b.title')} AS b, c.authors, b.authors AS w_authors, c.title AS own FROM citations c JOIN base b USING (work_id)
 ), w AS (
     SELECT *, {_sets('a', 'b')}, array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb, replace(a, ' ', '') AS ca, replace(b, ' ', '') AS cb FROM m
@@ -237,12 +246,12 @@ _MEASURED = f"""{_recursive(_WITH)}, m AS (
     JOIN author_similarity USING (authors, w_authors)
 )"""
 
-#: Pools: every citation's works up to the stage of its first strong match; pool (lookup_key, work_key, stage).
-_POOL = f"""{_recursive(_GROUPS)}, {_SEARCHES}, {_FOUND}, by_doi AS (
+#: Pools: every citation's works up to the stage of its first strong match; pool (lookup_key, work_key, stage, arrival).
+_POOL = f"""{_GROUPS}, {_SEARCHES}, {_FOUND}, by_doi AS (
     SELECT lookup_key, work_key FROM groups g JOIN works w ON g.norm_doi = w.norm_doi AND g.norm_doi <> '' WHERE list_has_any(w.sources, ['Crossref', 'OpenAlex', 'Semantic Scholar'])
 ), hits AS MATERIALIZED (
-    SELECT lookup_key, work_key, min(stage) AS stage
-    FROM (SELECT lookup_key, work_key, 1 AS stage FROM groups g JOIN works w ON g.norm_title = w.norm_title AND g.norm_title <> '' UNION ALL SELECT lookup_key, work_key, stage FROM found)
+    SELECT lookup_key, work_key, min(stage) AS stage, min(arrival) AS arrival
+    FROM (SELECT lookup_key, work_key, 1 AS stage, 0 AS arrival FROM groups g JOIN works w ON g.norm_title = w.norm_title AND g.norm_title <> '' UNION ALL SELECT lookup_key, work_key, stage, 1000000 * stage + 1000 * place + hit_no FROM found)
     WHERE lookup_key NOT IN (SELECT lookup_key FROM by_doi) GROUP BY ALL
 ), pairs_met AS MATERIALIZED (
     SELECT h.*, g.norm_title AS a, w.norm_title AS b, g.authors, w.authors AS w_authors, g.norm_doi <> '' AND g.norm_doi = w.norm_doi AS same FROM hits h JOIN groups g USING (lookup_key) JOIN works w USING (work_key)
@@ -264,15 +273,59 @@ _POOL = f"""{_recursive(_GROUPS)}, {_SEARCHES}, {_FOUND}, by_doi AS (
     SELECT lookup_key, stage FROM by_authors JOIN titles_same USING (a, b) UNION ALL SELECT lookup_key, stage FROM pairs_met WHERE same
 ), stops AS (SELECT lookup_key, min(stage) AS stop FROM strong GROUP BY lookup_key
 ), pool AS (
-    SELECT lookup_key, work_key, 0 AS stage FROM by_doi UNION ALL SELECT lookup_key, work_key, stage FROM hits LEFT JOIN stops USING (lookup_key) WHERE stop IS NULL OR stage <= stop
+    SELECT lookup_key, work_key, 0 AS stage, 0 AS arrival FROM by_doi UNION ALL SELECT lookup_key, work_key, stage, arrival FROM hits LEFT JOIN stops USING (lookup_key) WHERE stop IS NULL OR stage <= stop
 )"""
 
-_VENUES = f"""{_recursive(_GROUPS)}, f AS (
+_VENUES = f"""{_GROUPS}, f AS (
     SELECT k.norm_doi AS a, w.norm_doi AS b, k.year AS y, w.year AS z, coalesce(k.venue, '') AS v, coalesce(w.venue, '') AS u, k.authors, w.authors AS w_authors FROM keyed k JOIN works w ON k.norm_title = w.norm_title AND w.norm_title <> ''
 ), venues AS (SELECT v, u, {_sets(n2('v'), n2('u'))} FROM (SELECT DISTINCT v, u FROM f)
 ), {_lcs('lcs', 'SELECT ox AS a, oy AS b FROM venues')}, {_authors('SELECT authors, w_authors FROM f')},
 venue_scores AS (SELECT v, u, {_set_ratio('l.n')} AS s FROM venues LEFT JOIN lcs l ON l.a = ox AND l.b = oy)"""
 
+
+def _rounded(x: str, by: int = 10) -> str:
+    """A number of 0 or more rounded half to even at its decimal form, to a part of ``by``."""
+    scaled = f"(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 17)) * {by})"
+    down, rest = f"floor({scaled})", f"({scaled} - floor({scaled}))"
+    return f"(CAST({down} + CASE WHEN {rest} > 0.5 OR ({rest} = 0.5 AND CAST({down} AS BIGINT) % 2 = 1) THEN 1 ELSE 0 END AS DOUBLE) / {by})"
+
+
+_GENERAL = ", ".join(map(_q, ("machine learning", "deep learning", "artificial intelligence", "data mining", "computer vision", "natural language processing")))
+#: Every citation's works of its DOI, or else of its title and the first two of each search of stage 1: pool (lookup_key, work_key, arrival).
+_BY_TITLE = f"""{_GROUPS}, {_SEARCHES}, {_FOUND}, by_doi AS (
+    SELECT lookup_key, work_key FROM groups g JOIN works w ON g.norm_doi = w.norm_doi AND g.norm_doi <> '' WHERE list_has_any(w.sources, ['Crossref', 'OpenAlex', 'Semantic Scholar'])
+), pool AS MATERIALIZED (
+    SELECT lookup_key, work_key, 0 AS arrival FROM by_doi
+    UNION ALL SELECT lookup_key, work_key, min(arrival) FROM (
+        SELECT lookup_key, work_key, 0 AS arrival FROM groups g JOIN works w ON g.norm_title = w.norm_title AND g.norm_title <> '' UNION ALL SELECT lookup_key, work_key, 1000000 + 1000 * place + hit_no FROM found WHERE stage = 1 AND hit_no <= 2
+    ) WHERE lookup_key NOT IN (SELECT lookup_key FROM by_doi) GROUP BY ALL
+)"""
+#: Pairs of every citation with the works of its pool, measured, ranked, judged and routed. Names of helpers differ from the pool's own.
+_VERIFIED = f"""m AS MATERIALIZED (
+    SELECT k.doc_id, k.ref_no, k.authors, w.authors AS w_authors, k.norm_title AS a, w.norm_title AS b, k.norm_doi AS da, w.norm_doi AS db, k.year AS y, w.year AS z, coalesce(k.venue, '') AS v, coalesce(w.venue, '') AS u, w.title AS matched,
+           row_number() OVER (PARTITION BY k.doc_id, k.ref_no ORDER BY pool.arrival, work_key) AS k FROM keyed k JOIN pool USING (lookup_key) JOIN works w USING (work_key)
+), titles AS MATERIALIZED (
+    SELECT a, b, array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb, replace(a, ' ', '') AS ca, replace(b, ' ', '') AS cb FROM (SELECT DISTINCT a, b FROM m)
+), {_lcs('title_lcs', 'SELECT sa AS a, sb AS b FROM titles UNION ALL SELECT ca, cb FROM titles')}, title_scores AS (
+    SELECT t.a, t.b, CASE WHEN t.a = '' OR t.b = '' THEN CAST(0 AS DOUBLE) ELSE greatest({_ratio('sa', 'sb', 'l2.n')}, {_ratio('ca', 'cb', 'l3.n')}) END AS t_score,
+           CASE WHEN length(t.a) <= length(t.b) THEN length(t.a) >= 8 AND starts_with(t.b, t.a) AND t.a NOT IN ({_GENERAL}) ELSE length(t.b) >= 8 AND starts_with(t.a, t.b) AND t.b NOT IN ({_GENERAL}) END AS short
+    FROM titles t LEFT JOIN title_lcs l2 ON l2.a = sa AND l2.b = sb LEFT JOIN title_lcs l3 ON l3.a = ca AND l3.b = cb
+), venues AS (SELECT v, u, {_sets(n2('v'), n2('u'))} FROM (SELECT DISTINCT v, u FROM m)
+), {_lcs('venue_lcs', 'SELECT ox AS a, oy AS b FROM venues')}, {_authors('SELECT authors, w_authors FROM m', 'pair')},
+venue_scores AS (SELECT v, u, {_set_ratio('l.n')} AS s FROM venues LEFT JOIN venue_lcs l ON l.a = ox AND l.b = oy
+), states AS (
+    SELECT doc_id, ref_no, k, matched, t_score, score, short, da <> '' AND da = db AS same_doi,
+        CASE WHEN da = '' AND db = '' THEN 'UNKNOWN' WHEN da = '' THEN 'MISSING_SUBMITTED' WHEN db = '' THEN 'MISSING_DATABASE' WHEN replace(da, '-', '') = replace(db, '-', '') THEN 'MATCH' ELSE 'MISMATCH' END AS s_doi,
+        CASE WHEN t_score >= 90 OR short THEN 'MATCH' WHEN t_score < 50 THEN 'MISMATCH' ELSE 'PARTIAL' END AS s_title, CASE WHEN score >= 75 THEN 'MATCH' WHEN score < 40 THEN 'MISMATCH' ELSE 'PARTIAL' END AS s_authors,
+        CASE WHEN z IS NULL THEN 'MISSING_DATABASE' WHEN y = z THEN 'MATCH' WHEN abs(y - z) = 1 THEN 'PARTIAL' ELSE 'MISMATCH' END AS s_year,
+        CASE WHEN v = '' AND u = '' THEN 'UNKNOWN' WHEN v = '' THEN 'MISSING_SUBMITTED' WHEN u = '' THEN 'MISSING_DATABASE' WHEN s >= 70 THEN 'MATCH' WHEN s < 40 THEN 'MISMATCH' ELSE 'PARTIAL' END AS s_venue
+    FROM m JOIN title_scores USING (a, b) JOIN pair_similarity USING (authors, w_authors) JOIN venue_scores USING (v, u)
+), weighed AS (
+    SELECT *, CAST(0.5 AS DOUBLE) * t_score + CAST(0.35 AS DOUBLE) * score + CAST(0.15 AS DOUBLE) * CASE s_year WHEN 'MATCH' THEN 100 WHEN 'PARTIAL' THEN 75 WHEN 'MISMATCH' THEN 0 ELSE 50 END AS plain FROM states
+), pairs AS MATERIALIZED (
+    SELECT *, {_rounded('t_score')} AS title_score, {_rounded('CASE WHEN same_doi THEN 100 WHEN short THEN greatest(plain, 90) ELSE plain END')} AS weighted_score FROM weighed
+), {_JUDGED}"""
+
 ORACLES: dict[str, str] = {
     "normalize_doi": f"{_WITH} SELECT work_id, {n1('raw')} AS doi FROM (SELECT work_id, {_RAW_DOI} AS raw FROM (SELECT *, coalesce(doi, '10.1/x') AS d FROM base))",
     "normalize_text": f"{_WITH} SELECT work_id, {n2("'<scp>Pre- view</scp> of: ' || title")} AS norm FROM base",
@@ -325,6 +378,9 @@ ORACLES: dict[str, str] = {
         ), pairs AS (SELECT k.norm_doi AS a, w.norm_doi AS b, k.year AS y, w.year AS z FROM keyed k JOIN hits USING (lookup_key) JOIN works w USING (work_key))
         SELECT CASE WHEN a = '' AND b = '' THEN 'UNKNOWN' WHEN a = '' THEN 'MISSING_SUBMITTED' WHEN b = '' THEN 'MISSING_DATABASE' WHEN replace(a, '-', '') = replace(b, '-', '') THEN 'MATCH' ELSE 'MISMATCH' END AS doi_state,
             CASE WHEN z IS NULL THEN 'MISSING_DATABASE' WHEN y = z THEN 'MATCH' WHEN abs(y - z) = 1 THEN 'PARTIAL' ELSE 'MISMATCH' END AS year_state, count(*) AS n FROM pairs GROUP BY 1, 2""",
+    "verify_titles": f"""{_BY_TITLE}, {_VERIFIED} SELECT r.doc_id, r.ref_no, r_status AS status, {_EXPLAINED} AS explanation, coalesce(n_hits, 0) AS n_hits, matched AS matched_title, weighted_score AS score,
+        s_doi || '|' || s_title || '|' || s_authors || '|' || s_year || '|' || s_venue AS states FROM routed r""",
+    "verify": f"""{_POOL}, {_VERIFIED} SELECT r.doc_id, r.ref_no, r_status AS status, CASE WHEN r_status <> 'PENDING_AI' THEN 'deterministic rules' END AS source, matched AS matched_title, weighted_score AS score FROM routed r""",
     "rank_pairs": f"{_DECIDED} SELECT doc_id, ref_no, k AS arrival, rank, weighted_score, CASE WHEN rank = 1 THEN gap END AS margin, n_hits FROM spaced",
     "top_hits": f"""{_DECIDED} SELECT doc_id, ref_no, string_agg('T' || k, '|' ORDER BY place) AS titles
         FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, ref_no ORDER BY weighted_score DESC, k) AS place FROM pairs) WHERE place <= 3 GROUP BY doc_id, ref_no""",

@@ -300,6 +300,13 @@ def q_verify(spark, sf):
     return results.select("doc_id", "ref_no", "status", "source", F.col("best_match.title").alias("matched_title"), F.col("best_match.weighted_score").alias("score"))
 
 
+def q_verify_titles(spark, sf):
+    """Verification by DOI, else by title and the first two works of each search of the full title: measured scores, ranked, judged and routed."""
+    results = verify(T.citations(spark, sf), _works(spark, sf), stages=(1,), caps={1: 2})
+    states = F.concat_ws("|", *(F.col(f"states.{f}") for f in compare.FIELDS))
+    return results.select("doc_id", "ref_no", "status", "explanation", "n_hits", F.col("best_match.title").alias("matched_title"), F.col("best_match.weighted_score").alias("score"), F.when(F.col("n_hits") > 0, states).alias("states"))
+
+
 def q_verify_documents(spark, sf):
     """The whole way from documents with reference sections to verdicts."""
     results = verify_documents(T.documents_with_references(spark, sf), T.works_raw(spark, sf))

@@ -56,13 +56,14 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     ).drop("_title", "_authors", "_short", "_year")
 
 
-def _best_first(keys: tuple[str, ...]):
-    return Window.partitionBy(*keys).orderBy(F.desc("weighted_score"), "arrival")
+def _best_first(keys: tuple[str, ...], last: tuple[str, ...] = ()):
+    return Window.partitionBy(*keys).orderBy(F.desc("weighted_score"), "arrival", *last)
 
 
 def rank_pairs(pairs: DataFrame, keys: tuple[str, ...] = REF) -> DataFrame:
-    """``rank`` in each citation, highest weighted score first, ties in order of arrival."""
-    return pairs.withColumn("rank", F.row_number().over(_best_first(keys)))
+    """``rank`` in each citation, highest weighted score first, ties in order of arrival; works that arrive together by ``work_key``, if there is one."""
+    last = tuple(c for c in ("work_key",) if c in pairs.columns)
+    return pairs.withColumn("rank", F.row_number().over(_best_first(keys, last)))
 
 
 def plausible_pairs(pairs: DataFrame, keys: tuple[str, ...] = REF) -> DataFrame:
