@@ -314,18 +314,33 @@ _VERIFIED = f"""m AS MATERIALIZED (
 ), {_lcs('venue_lcs', 'SELECT ox AS a, oy AS b FROM venues')}, {_authors('SELECT authors, w_authors FROM m', 'pair')},
 venue_scores AS (SELECT v, u, {_set_ratio('l.n')} AS s FROM venues LEFT JOIN venue_lcs l ON l.a = ox AND l.b = oy
 ), states AS (
-    SELECT doc_id, ref_no, k, matched, t_score, score, short, da <> '' AND da = db AS same_doi,
+    SELECT doc_id, ref_no, k, matched, t_score, coalesce(score, 0) AS score, short, da <> '' AND da = db AS same_doi,
         CASE WHEN da = '' AND db = '' THEN 'UNKNOWN' WHEN da = '' THEN 'MISSING_SUBMITTED' WHEN db = '' THEN 'MISSING_DATABASE' WHEN replace(da, '-', '') = replace(db, '-', '') THEN 'MATCH' ELSE 'MISMATCH' END AS s_doi,
-        CASE WHEN t_score >= 90 OR short THEN 'MATCH' WHEN t_score < 50 THEN 'MISMATCH' ELSE 'PARTIAL' END AS s_title, CASE WHEN score >= 75 THEN 'MATCH' WHEN score < 40 THEN 'MISMATCH' ELSE 'PARTIAL' END AS s_authors,
+        CASE WHEN t_score >= 90 OR short THEN 'MATCH' WHEN t_score < 50 THEN 'MISMATCH' ELSE 'PARTIAL' END AS s_title, CASE WHEN len(authors) = 0 THEN 'MISSING_SUBMITTED' WHEN score >= 75 THEN 'MATCH' WHEN score < 40 THEN 'MISMATCH' ELSE 'PARTIAL' END AS s_authors,
         CASE WHEN z IS NULL THEN 'MISSING_DATABASE' WHEN y = z THEN 'MATCH' WHEN abs(y - z) = 1 THEN 'PARTIAL' ELSE 'MISMATCH' END AS s_year,
         CASE WHEN v = '' AND u = '' THEN 'UNKNOWN' WHEN v = '' THEN 'MISSING_SUBMITTED' WHEN u = '' THEN 'MISSING_DATABASE' WHEN s >= 70 THEN 'MATCH' WHEN s < 40 THEN 'MISMATCH' ELSE 'PARTIAL' END AS s_venue
-    FROM m JOIN title_scores USING (a, b) JOIN pair_similarity USING (authors, w_authors) JOIN venue_scores USING (v, u)
+    FROM m JOIN title_scores USING (a, b) LEFT JOIN pair_similarity USING (authors, w_authors) JOIN venue_scores USING (v, u)
 ), weighed AS (
     SELECT *, CAST(0.5 AS DOUBLE) * t_score + CAST(0.35 AS DOUBLE) * score + CAST(0.15 AS DOUBLE) * CASE s_year WHEN 'MATCH' THEN 100 WHEN 'PARTIAL' THEN 75 WHEN 'MISMATCH' THEN 0 ELSE 50 END AS plain FROM states
 ), pairs AS MATERIALIZED (
     SELECT *, {_rounded('t_score')} AS title_score, {_rounded('CASE WHEN same_doi THEN 100 WHEN short THEN greatest(plain, 90) ELSE plain END')} AS weighted_score FROM weighed
 ), {_JUDGED}"""
 
+#: Citations read back from their text; what no style fits has the text for its title and no authors.
+_PARSED = f"""parsed AS (
+    SELECT doc_id, ref_no, CASE WHEN q < 4 THEN t ELSE substr(lower(t) || ' ' || year, 1, 300) END AS title,
+        CASE q WHEN 0 THEN authors WHEN 1 THEN list_transform(authors, lambda a: substr(a, 4, 20) || ', ' || substr(a, 1, 2)) WHEN 2 THEN list_transform(authors, lambda a: substr(a, 4, 20) || ' ' || substr(a, 1, 1)) WHEN 3 THEN authors ELSE [] END AS authors, year,
+        CASE WHEN q IN (0, 3) THEN venue || CASE WHEN doi IS NOT NULL THEN ', ' || year ELSE '' END WHEN q = 1 THEN venue WHEN q = 2 THEN venue || '. ' || year || ';15(2):100-110' END AS venue, CASE WHEN q < 4 THEN doi END AS doi,
+        ['quoted', 'apa_or_vancouver', 'vancouver_plain', 'fallback', NULL][q + 1] AS parse_style FROM arrived
+)"""
+
+
+def _of_text(arrived: str) -> str:
+    """The whole verification of citations as text; ``arrived`` selects rows of ``written``."""
+    job = f"{_KEYED}{_POOL.removeprefix(_GROUPS)}, {_VERIFIED}".replace("FROM citations)", "FROM parsed)").replace("FROM citations c ", "FROM parsed c ")
+    return f"{_WITH}, {_TEXT}, arrived AS ({arrived}), {_PARSED}, {job}"
+
+
 ORACLES: dict[str, str] = {
     "normalize_doi": f"{_WITH} SELECT work_id, {n1('raw')} AS doi FROM (SELECT work_id, {_RAW_DOI} AS raw FROM (SELECT *, coalesce(doi, '10.1/x') AS d FROM base))",
     "normalize_text": f"{_WITH} SELECT work_id, {n2("'<scp>Pre- view</scp> of: ' || title")} AS norm FROM base",
@@ -378,6 +393,10 @@ ORACLES: dict[str, str] = {
         ), pairs AS (SELECT k.norm_doi AS a, w.norm_doi AS b, k.year AS y, w.year AS z FROM keyed k JOIN hits USING (lookup_key) JOIN works w USING (work_key))
         SELECT CASE WHEN a = '' AND b = '' THEN 'UNKNOWN' WHEN a = '' THEN 'MISSING_SUBMITTED' WHEN b = '' THEN 'MISSING_DATABASE' WHEN replace(a, '-', '') = replace(b, '-', '') THEN 'MATCH' ELSE 'MISMATCH' END AS doi_state,
             CASE WHEN z IS NULL THEN 'MISSING_DATABASE' WHEN y = z THEN 'MATCH' WHEN abs(y - z) = 1 THEN 'PARTIAL' ELSE 'MISMATCH' END AS year_state, count(*) AS n FROM pairs GROUP BY 1, 2""",
+    "verify_documents": f"""{_of_text("""SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ref_no) AS INTEGER) AS ref_no)
+        FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM written WHERE length(original_reference) > 25) WHERE n >= 2""")} SELECT r.doc_id, r.ref_no, parse_style, r_status AS status, matched AS matched_title
+        FROM routed r JOIN parsed p ON p.doc_id = r.doc_id AND p.ref_no = r.ref_no""",
+    "verify_stream": f"""{_of_text("SELECT * FROM written")} SELECT r.doc_id, r.ref_no, r_status AS status, matched AS matched_title FROM routed r""",
     "verify_titles": f"""{_BY_TITLE}, {_VERIFIED} SELECT r.doc_id, r.ref_no, r_status AS status, {_EXPLAINED} AS explanation, coalesce(n_hits, 0) AS n_hits, matched AS matched_title, weighted_score AS score,
         s_doi || '|' || s_title || '|' || s_authors || '|' || s_year || '|' || s_venue AS states FROM routed r""",
     "verify": f"""{_POOL}, {_VERIFIED} SELECT r.doc_id, r.ref_no, r_status AS status, CASE WHEN r_status <> 'PENDING_AI' THEN 'deterministic rules' END AS source, matched AS matched_title, weighted_score AS score FROM routed r""",
