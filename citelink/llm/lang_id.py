@@ -72,6 +72,16 @@ def kernel(bits: np.ndarray, model_bits: np.ndarray, sizes: np.ndarray, used: np
     return shared / np.sqrt(np.maximum(own[:, None] * sizes[None, :], 1))
 
 
+@lean
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the packed presence bits of their text in its place."""
+    for batch in batches:
+        names = batch.schema.names
+        found = [np.packbits(presence(data, offsets), axis=1) for _, _, data, offsets in text_chunks(batch.column(names.index("text")), SCORE_BYTES, SCORE_ROWS)]
+        packed = pa.array([row.tobytes() for rows in found for row in rows], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(batch.column(names.index(n)) for n in ("_n", "_place", "lang")), packed], ["_n", "_place", "lang", "bits"])
+
+
 def _partial(shared, langs: list[str]):
     """Of all batches of a task: the sums that ridge regression needs, as the bytes of one matrix."""
 
@@ -115,9 +125,11 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, landmarks: int = LA
     sample = stored(sample.select("doc_id", "text", "lang", "_place"), "sample")
     nearest = Window.partitionBy("lang").orderBy("_place", "doc_id", "text")
     first = sample.withColumn("_n", F.row_number().over(nearest)).where(F.col("_n") <= landmarks)
-    picked = first.orderBy("_n", "_place", "lang").limit(MOST_LANDMARKS).select("text").collect()
-    texts = pa.array([r["text"] for r in picked])
-    bits = np.vstack([presence(data, offsets) for _, _, data, offsets in text_chunks(texts, SCORE_BYTES, SCORE_ROWS)])
+    # of a landmark only its presence bits come to the driver, 8 KB however long its text is
+    picked = first.orderBy("_n", "_place", "lang").limit(MOST_LANDMARKS).select("_n", "_place", "lang", "text")
+    rows = picked.mapInArrow(_marked, "_n int, _place double, lang string, bits binary").collect()
+    rows.sort(key=lambda r: (r["_n"], r["_place"], r["lang"], bytes(r["bits"])))
+    bits = np.unpackbits(np.stack([np.frombuffer(r["bits"], np.uint8) for r in rows]), axis=1).astype(bool)
     used = np.flatnonzero(bits.any(0))
     sizes = bits.sum(1, dtype=np.float64)
     model_bits = np.ascontiguousarray(bits[:, used].T.astype(np.float32))
