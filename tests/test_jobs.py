@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from citelink.functions.similarity import list_similarity
 from citelink.jobs import testbed
 from citelink.jobs.oracles import ORACLES
-from citelink.jobs.queries import QUERIES, _works, judged_pairs
+from citelink.jobs.queries import QUERIES, _paired, _works, judged_pairs
 from citelink.jobs.verify import parse, verify, verify_documents
 from citelink.operators import candidates, decision, extraction, numbering, reports, review, works
 from citelink.sources import readers, sinks
@@ -448,3 +448,23 @@ def test_verification_equals_plain_search_and_scores(spark, searched):
             assert r["ranked"][0]["weighted_score"] == pytest.approx(max(s[1] for s in own), abs=0.1), c
         else:
             assert (r["status"], r["explanation"]) == ("UNCERTAIN", decision.NO_HITS)
+
+
+def test_works_of_one_text_are_one_document(spark):
+    """Of 500 works of one title a search lists one document, and its hits are the first of them by key; equal searches of many keys are one."""
+    known = spark.createDataFrame([(f"k{i:03}", "graph query plans", ["A. Ito"], ["DBLP"]) for i in range(500)] + [("a", "graph query", ["A. Ito"], ["DBLP"])], KNOWN)
+    index = candidates.search_index(known)
+    assert index.docs.where("fields = 'title'").count() == 2
+    searches = [(f"q{i}", "DBLP", 0, 1, "title", "query plans") for i in range(30)]
+    hits = candidates.search_topk(spark.createDataFrame(searches, ASKED), known, {1: 20}, index).collect()
+    assert sorted((r["lookup_key"], r["hit_no"], r["work_key"]) for r in hits) == sorted((q[0], n + 1, f"k{n:03}") for q in searches for n in range(20))
+
+
+def test_pairs_of_copies_are_counted_not_listed(spark):
+    """Nine thousand million pairs of one title, by year and DOI, come from counts."""
+    n = 30_000
+    cites = spark.range(n).select(F.lit("t").alias("title"), (F.col("id") % 2).alias("year"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("10.1/a-"), F.col("id"))).otherwise("").alias("norm_doi"))
+    known = spark.range(10 * n).select(F.lit("t").alias("title"), F.lit(7).alias("w_year"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("10.1/a"), F.col("id"))).otherwise("").alias("w_norm_doi"))
+    got = {(r["year"], r["doi_state"]): r["n"] for r in _paired(cites, known, ("title",), ("year",), ("w_year",)).collect()}
+    assert sum(got.values()) == 10 * n * n
+    assert got[0, "MATCH"] == n // 6 and (1, "MATCH") not in got and got[0, "MISMATCH"] == n // 6 * 5 * n - n // 6
