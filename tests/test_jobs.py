@@ -260,6 +260,38 @@ def test_pruned_search_is_a_search_of_all_lists(spark, monkeypatch, block, cap):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize(("postings", "searches", "cap"), [(150, 7, 5), (150, 7, 1), (10**6, 10**6, 150), (40, 1000, 20)])
+def test_search_in_cells_is_a_search_of_all_lists(spark, monkeypatch, postings, searches, cap):
+    """However documents and searches are dealt into cells, hits and scores are those of a plain search by all words; copies count as often as there are works of them."""
+    monkeypatch.setattr(candidates, "FEW_POSTINGS", 0)
+    monkeypatch.setattr(candidates, "CELL_POSTINGS", postings)
+    monkeypatch.setattr(candidates, "CELL_SEARCHES", searches)
+    titles, asked = many_works(100)
+    titles |= {f"x{i:03}": "r1 c1 r2 copied" for i in range(30)}
+    known = [{"work_key": k, "norm_title": t, "authors": ["A. Ito"], "sources": ["Crossref", "DBLP"]} for k, t in titles.items()]
+    wanted = [(f"{q}|{fields}", "Crossref", 0, 1, fields, t) for q, t in asked.items() for fields in ("title", "both", "record")]
+    wanted += [("copies", "DBLP", 0, 1, "title", "r1 copied"), ("words|phrase", "Crossref", 0, 1, "phrase", "c1 r2 copied"), ("empty", "DBLP", 0, 1, "title", "")]
+    lists = plain_impacts(known)
+    want = [(q, k, s, n) for q, source, _, _, fields, text in wanted for n, (k, s) in enumerate(plain_hits(lists, titles, source, fields, text, cap), 1)]
+    works_table = spark.createDataFrame([tuple(w.values()) for w in known], KNOWN)
+    got = candidates.search_topk(spark.createDataFrame(wanted, ASKED), works_table, {1: cap}).select("lookup_key", "work_key", "score", "hit_no").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_many_searches_of_common_words_give_their_best_documents_only(spark):
+    """A thousand searches of common words over a thousand texts: millions of postings are added up, and each cell gives no more than the cap's documents of a search."""
+    titles = {f"w{i:04}": f"c0 c1 c2 c3 r{i % 50} s{i}" for i in range(1000)}
+    index = candidates.search_index(spark.createDataFrame([(k, t, ["A"], ["DBLP"]) for k, t in titles.items()], KNOWN))
+    rows = [(i, "DBLP", "title", f"c0 c1 c2 c3 r{i % 50} s{i}".split(), 3) for i in range(1000)]
+    asked = spark.createDataFrame(rows, "q_no long, source string, fields string, tokens array<string>, cap int")
+    terms = candidates.query_terms(asked, index)
+    got = candidates.cell_hits(asked, terms, index).collect()
+    assert terms.agg(F.sum("length")).first()[0] > 4_000_000 and len(got) == 3 * len(rows)
+    first = {r["q_no"]: r["doc_no"] for r in sorted(got, key=lambda r: r["score"])}
+    text = {r["doc_no"]: r["title"] for r in index.docs.where("source = 'DBLP' and fields = 'title'").collect()}
+    assert all(text[d] == titles[f"w{q:04}"] for q, d in first.items())
+
+
 def test_common_words_lists_are_left_alone(spark):
     """With ten times the works, a search with rare words meets about as many postings of common words as before, not ten times as many."""
     met = []
