@@ -292,6 +292,18 @@ def test_many_searches_of_common_words_give_their_best_documents_only(spark):
     assert all(text[d] == titles[f"w{q:04}"] for q, d in first.items())
 
 
+def test_pairs_of_one_title_are_the_work_of_many_tasks(spark, monkeypatch):
+    """A million pairs of one title, and a few of others: all are listed, each once, and no task lists more than a third of them."""
+    monkeypatch.setattr(candidates, "TILE", 50, raising=False)
+    groups = spark.range(1003).select(F.concat(F.lit("k"), F.col("id")).alias("lookup_key"), F.when(F.col("id") < 1000, "t").when(F.col("id") == 1000, "u").when(F.col("id") == 1001, "").otherwise("v").alias("norm_title"))
+    known = spark.range(1004).select(F.concat(F.lit("w"), F.col("id")).alias("work_key"), F.when(F.col("id") < 1000, "t").when(F.col("id") < 1002, "u").when(F.col("id") == 1002, "").otherwise("w").alias("norm_title"))
+    pairs = candidates.title_candidates(groups, known).withColumn("task", F.spark_partition_id())
+    rows = {r["task"]: (r["n"], r["keys"]) for r in pairs.groupBy("task").agg(F.count("*").alias("n"), F.countDistinct("lookup_key", "work_key").alias("keys")).collect()}
+    assert sum(n for n, _ in rows.values()) == 1_000_002 == pairs.select("lookup_key", "work_key").distinct().count()
+    assert max(n for n, _ in rows.values()) < 333_000 and all(n == k for n, k in rows.values())
+    assert sorted(r["work_key"] for r in pairs.where("lookup_key in ('k1000', 'k1001', 'k1002')").collect()) == ["w1000", "w1001"]
+
+
 def test_common_words_lists_are_left_alone(spark):
     """With ten times the works, a search with rare words meets about as many postings of common words as before, not ten times as many."""
     met = []
