@@ -304,6 +304,14 @@ def test_pairs_of_one_title_are_the_work_of_many_tasks(spark, monkeypatch):
     assert sorted(r["work_key"] for r in pairs.where("lookup_key in ('k1000', 'k1001', 'k1002')").collect()) == ["w1000", "w1001"]
 
 
+def test_pairs_of_one_lookup_key_are_the_work_of_many_tasks(spark, monkeypatch):
+    """Six hundred citations of one key and a thousand works of its title: no task gets more than a third of their pairs."""
+    cites = spark.range(600).selectExpr("id doc_id", "1 ref_no", "'Query plans of graphs' title", "array('A. Ito') authors", "2000 year", "'V' venue", "cast(null as string) doi")
+    known = spark.range(1000).selectExpr("concat('w', id) work_key", "'Query plans of graphs' title", "array('A. Ito') authors", "2000 year", "'V' venue", "concat('10.1/', id) doi", "'DBLP' source", "array('DBLP') sources", "id arrival", "concat('10.1/', id) norm_doi", "'query plans of graphs' norm_title")
+    pairs = candidates.generate_candidates(cites, known, {1: 2}, (1,)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in pairs) == 600_000 and max(r["count"] for r in pairs) < 200_000
+
+
 def test_common_words_lists_are_left_alone(spark):
     """With ten times the works, a search with rare words meets about as many postings of common words as before, not ten times as many."""
     met = []
