@@ -6,6 +6,8 @@ from collections import Counter
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -292,6 +294,22 @@ def test_many_searches_of_common_words_give_their_best_documents_only(spark):
     assert all(text[d] == titles[f"w{q:04}"] for q, d in first.items())
 
 
+def test_common_words_are_only_looked_up_where_they_matter(spark):
+    """Twenty thousand texts of common words and a rare one: a search sums its rare words' lists, and of the common ones what its best documents need."""
+    docs = {"doc_no": range(20_000), "works": [[i] for i in range(20_000)], "tokens": [[0, 1, 2, 3, 10 + i // 10] for i in range(20_000)], "impacts": [[2, 3, 4, 5, 9_000 + i % 10] for i in range(20_000)]}
+    cell = candidates._Cell(pa.table({k: pa.array(list(v)) for k, v in docs.items()}))
+    rows, score = cell.best(np.searchsorted(cell.words, [0, 1, 2, 3, 17]), 3)
+    assert 3 <= len(rows) <= 10 and max(score) == 9_009 + 14 and not cell.sums.any()
+    rows, places, score = cell.works_of(rows, score, 3)
+    assert places.tolist() == [79, 78, 77] == rows.tolist() and score.tolist() == [9_023, 9_022, 9_021]
+
+
+def test_documents_are_copied_for_cores_not_for_some_thousand_searches(spark):
+    index = candidates.search_index(spark.createDataFrame([(f"w{i}", f"c{i % 7} r{i}", ["A"], ["DBLP"]) for i in range(50)], KNOWN))
+    parts = {n: candidates.cell_parts(spark.range(n).selectExpr("'DBLP' source", "'title' fields"), index).first() for n in (10, 60_000, 600_000)}
+    assert [parts[n]["parts"] for n in (10, 60_000, 600_000)] == [1, 4, 10] and {r["of_parts"] for r in parts.values()} == {1}
+
+
 def test_pairs_of_one_title_are_the_work_of_many_tasks(spark, monkeypatch):
     """A million pairs of one title, and a few of others: all are listed, each once, and no task lists more than a third of them."""
     monkeypatch.setattr(candidates, "TILE", 50, raising=False)
