@@ -330,6 +330,20 @@ def test_pairs_of_one_lookup_key_are_the_work_of_many_tasks(spark, monkeypatch):
     assert sum(r["count"] for r in pairs) == 600_000 and max(r["count"] for r in pairs) < 200_000
 
 
+def test_pools_count_works_of_a_title_without_listing_them(spark):
+    """Six hundred keys and a thousand works of one title: pools are counted, and nothing that is made has a row for each pair."""
+    fields = ("'Query plans of graphs' title", "array('A. Ito') authors", "2000 year", "'V' venue")
+    cites = spark.range(600).selectExpr("id doc_id", "1 ref_no", *fields, "concat('10.2/', id) doi")
+    known = spark.range(1000).selectExpr("concat('w', id) work_key", *fields, "concat('10.1/', id) doi", "'DBLP' source", "array('DBLP') sources", "id arrival", "concat('10.1/', id) norm_doi", "'query plans of graphs' norm_title")
+    groups = candidates.lookup_groups(candidates.lookup_keys(cites))
+    pools = candidates.candidate_pools(groups, known, {s: 2 for s in range(1, 7)})
+    got = candidates.pool_counts(pools).collect()
+    assert len(got) == 600 and {(r["n_candidates"], r["stage"]) for r in got} == {(1000, 1)}
+    assert pools.hits.count() + pools.titled.count() <= 600
+    listed = candidates.candidate_pool(groups, known, {s: 2 for s in range(1, 7)})
+    assert listed.count() == 600_000 == listed.select("lookup_key", "work_key").distinct().count()
+
+
 def test_common_words_lists_are_left_alone(spark):
     """With ten times the works, a search with rare words meets about as many postings of common words as before, not ten times as many."""
     met = []
