@@ -17,7 +17,7 @@ from citelink.jobs import testbed
 from citelink.jobs.oracles import ORACLES
 from citelink.jobs.queries import QUERIES, _paired, _works, judged_pairs
 from citelink.jobs.verify import parse, verify, verify_documents
-from citelink.operators import candidates, decision, extraction, numbering, reports, review, works
+from citelink.operators import candidates, decision, extraction, judging, numbering, ranking, reports, review, works
 from citelink.sources import readers, sinks
 from citelink.streaming.requests import verify_stream
 
@@ -344,6 +344,29 @@ def test_pools_count_works_of_a_title_without_listing_them(spark):
     assert listed.count() == 600_000 == listed.select("lookup_key", "work_key").distinct().count()
 
 
+def test_works_of_a_title_are_judged_in_arrays_as_pair_by_pair(spark):
+    """Many works of few titles, with DOIs that match, differ in a hyphen or are missing, and odd authors, years and venues: results are those of all pairs as rows, places included."""
+    rng = random.Random(5)
+    names = [["A. Ito"], ["B. Ito", "C. Orlov"], ["C. Orlov"], ["D. Quill", "E. Tanner"], [], None]
+    record = lambda i, doi: (f"{('Query plans of graphs', 'Short', 'Machine learning')[i % 3]}", rng.choice(names), rng.choice([None, 0, 1999, 2000, 2001, 2005]), rng.choice([None, "", "Letters", "Journal of Plans"]), doi)
+    known = [(f"w{i:03}", *record(i, rng.choice([None, f"10.1/{i}"])), rng.choice(["DBLP", "PubMed"]), i) for i in range(90)]
+    cites = [(i // 7, i % 7, f"c{i}", *record(i, rng.choice([None, f"10.1/{rng.randrange(90)}", f"10.-1/{rng.randrange(90)}", "10.9/x"]))) for i in range(60)]
+    fields = "title string, authors array<string>, year int, venue string, doi string"
+    cites = spark.createDataFrame(cites, f"doc_id long, ref_no int, original_reference string, {fields}")
+    known = works.with_keys(spark.createDataFrame(known, f"work_key string, {fields}, source string, arrival long").withColumn("sources", F.array("source"))).cache()
+    want = decision.route(decision.decide(cites, ranking.score_pairs(candidates.generate_candidates(cites, known, {1: 2}, (1,))))).collect()
+    got = verify(cites, known, (1,), {1: 2}).select(*want[0].asDict()).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and max(r["best_match"]["rank"] for r in want if r["best_match"]) > 5
+
+
+def test_pairs_of_one_title_never_become_rows(spark):
+    """Six hundred citations and a thousand works of one title: some works of each citation are picked, the others counted."""
+    keyed = candidates.lookup_keys(spark.range(600).selectExpr("id doc_id", "1 ref_no", "'Query plans of graphs' title", "array('A. Ito') authors", "cast(1990 + id % 30 as int) year", "'V' venue", "concat('10.2/', id) doi"))
+    known = works.with_keys(spark.range(1000).selectExpr("concat('w', id) work_key", "'Query plans of graphs' title", "array('A. Ito') authors", "cast(1990 + id % 30 as int) year", "'V' venue", "if(id = 500, null, concat('10.1/', id)) doi"))
+    picks = judging.title_picks(keyed, known).collect()
+    assert len(picks) == 600 and all(r["n"] == 1000 == r["counts"][-1] and len(r["picked"]) == 6 and len(r["levels"]) == 3 for r in picks)
+
+
 def test_common_words_lists_are_left_alone(spark):
     """With ten times the works, a search with rare words meets about as many postings of common words as before, not ten times as many."""
     met = []
